@@ -15,7 +15,14 @@ from lectern.functions.vectors import Embedder
 from lectern.operators.chunks import explode_chunks, with_chunk_id, with_embedding
 from lectern.schemas import BRONZE, CHUNK_INDEX, GOLD, METADATA, SILVER, conform
 from lectern.sources.landing import EXTRACTORS, Extractor, extract_documents, read_landing
-from lectern.sources.layers import current, publish, read_layer, write_layer
+from lectern.sources.layers import (
+    current,
+    newest_version,
+    publish,
+    read_increments,
+    read_layer,
+    write_layer,
+)
 from lectern.sources.upsert import replace_documents, upsert
 
 
@@ -132,4 +139,28 @@ def index_load(
     rows = index_rows(read_layer(spark, gold, GOLD) if isinstance(gold, str) else gold)
     old = current(spark, index_path, CHUNK_INDEX)
     merged = replace_documents(old, rows) if whole_documents else upsert(old, rows, ["chunk_id"])
-    return publish(merged, index_path)
+    last = newest_version(spark, index_path)
+    return publish(merged, index_path, last.through if last else -1)
+
+
+def read_index(spark: SparkSession, index_path: str) -> DataFrame:
+    """The index as of now: its newest version with the micro-batches stored since.
+
+    Of a document only the last batch counts, and it hides the document's older chunks.
+    """
+    base = current(spark, index_path, CHUNK_INDEX)
+    fresh = read_increments(spark, index_path, CHUNK_INDEX)
+    if fresh is None:
+        return base
+    last = fresh.groupBy("path").agg(F.max("batch").alias("batch"))
+    rows = fresh.join(last, ["path", "batch"], "left_semi").drop("batch")
+    return replace_documents(base, rows)
+
+
+def compact_index(spark: SparkSession, index_path: str) -> DataFrame:
+    """Publish what `read_index` returns, so the micro-batches need not be merged again."""
+    fresh = read_increments(spark, index_path, CHUNK_INDEX)
+    through = fresh.agg(F.max("batch")).first()[0] if fresh is not None else None
+    if through is None:
+        return current(spark, index_path, CHUNK_INDEX)
+    return publish(read_index(spark, index_path), index_path, through)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from lectern.schemas import conform
 
@@ -51,41 +52,74 @@ def scan_corpus(chunks: DataFrame, item_id: str = "chunk_id", text: str = "chunk
 
 # ---- versioned layers --------------------------------------------------------------------
 
-_VERSIONS = "version string, published_at timestamp, seq bigint"
+_POINTER = "seq bigint, version string, through bigint, published_at timestamp"
+
 
+@dataclass(frozen=True)
+class Version:
+    seq: int
+    name: str
+    through: int  # the last incremental batch this version contains
 
-def _versions(spark: SparkSession, path: str) -> list:
-    """Published versions, newest first; there is one row per publication."""
+
+def _if_present(read):
     try:
-        published = spark.read.schema(_VERSIONS).parquet(f"{path}/published")
-        return published.orderBy(F.col("seq").desc(), F.col("version").desc()).take(1)
+        return read()
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-        return []
+        return None
+
+
+def newest_version(spark: SparkSession, path: str) -> Version | None:
+    """The last published version; the pointer table has one row per publication."""
+    published = _if_present(lambda: spark.read.schema(_POINTER).parquet(f"{path}/published"))
+    if published is None:
+        return None
+    last = published.orderBy(F.col("seq").desc(), F.col("version").desc()).first()
+    return Version(last["seq"], last["version"], last["through"]) if last else None
 
 
-def publish(df: DataFrame, path: str, fmt: str = FORMAT) -> DataFrame:
+def publish(df: DataFrame, path: str, through: int = -1, fmt: str = FORMAT) -> DataFrame:
     """Write a new version and point readers at it by appending one row.
 
     Readers keep the version they started with, and a failed write is never seen.
     """
     spark = df.sparkSession
-    last = _versions(spark, path)
-    version = uuid.uuid4().hex
-    df.write.format(fmt).save(f"{path}/versions/{version}")
-    row = [(version, dt.datetime.now(dt.timezone.utc), (last[0]["seq"] + 1) if last else 0)]
-    spark.createDataFrame(row, _VERSIONS).coalesce(1).write.mode("append").parquet(
+    last = newest_version(spark, path)
+    name = uuid.uuid4().hex
+    df.write.format(fmt).save(f"{path}/versions/{name}")
+    row = [(last.seq + 1 if last else 0, name, through, dt.datetime.now(dt.timezone.utc))]
+    spark.createDataFrame(row, _POINTER).coalesce(1).write.mode("append").parquet(
         f"{path}/published"
     )
-    return read_layer(spark, f"{path}/versions/{version}", df.schema, fmt)
+    return read_layer(spark, f"{path}/versions/{name}", df.schema, fmt)
 
 
 def current(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = FORMAT
 ) -> DataFrame:
     """The newest published version; an unpublished layer is an empty table."""
-    last = _versions(spark, path)
-    if not last:
+    last = newest_version(spark, path)
+    if last is None:
         return spark.createDataFrame([], schema)
-    return read_layer(spark, f"{path}/versions/{last[0]['version']}", schema, fmt)
+    return read_layer(spark, f"{path}/versions/{last.name}", schema, fmt)
+
+
+def write_increment(df: DataFrame, path: str, batch: int, fmt: str = FORMAT) -> None:
+    """Store one micro-batch; running the batch again replaces it."""
+    df.write.format(fmt).mode("overwrite").save(f"{path}/increments/batch={batch}")
+
+
+def read_increments(
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = FORMAT
+) -> DataFrame | None:
+    """Stored micro-batches that the newest version does not contain yet, with their `batch`."""
+    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    rows = _if_present(
+        lambda: spark.read.format(fmt).schema(with_batch).load(f"{path}/increments")
+    )
+    if rows is None:
+        return None
+    last = newest_version(spark, path)
+    return rows.filter(F.col("batch") > (last.through if last else -1))

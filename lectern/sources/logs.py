@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from lectern.config import DEFAULTS, Settings
-from lectern.functions.text import first_non_empty
 from lectern.operators.conversation import clear_history
 from lectern.schemas import CHAT_HISTORY, RETRIEVAL_LOG, conform
 
@@ -15,8 +16,15 @@ from lectern.schemas import CHAT_HISTORY, RETRIEVAL_LOG, conform
 ROLES = ("user", "assistant")
 
 
-def _by_day(df: DataFrame, ts: str) -> DataFrame:
-    return df.withColumn("day", F.to_date(ts))
+def _store(df: DataFrame, ts: str, path: str, batch: int | None) -> None:
+    """One directory per day, so that time windows read few of them.
+
+    Rows of a micro-batch go to a directory of their own that a repeated batch replaces, so a
+    batch that is run again after a failure leaves no row twice.
+    """
+    mode, target = ("append", path) if batch is None else ("overwrite", f"{path}/batch={batch}")
+    rows = df.withColumn("day", F.to_date(ts))
+    rows.write.mode(mode).partitionBy("day").parquet(target)
 
 
 def turns(df: DataFrame) -> DataFrame:
@@ -30,9 +38,8 @@ def turns(df: DataFrame) -> DataFrame:
     return conform(shaped, CHAT_HISTORY)
 
 
-def append_turns(df: DataFrame, path: str) -> None:
-    """Append turns, one directory per day so that time windows read few of them."""
-    _by_day(turns(df), "created_at").write.mode("append").partitionBy("day").parquet(path)
+def append_turns(df: DataFrame, path: str, batch: int | None = None) -> None:
+    _store(turns(df), "created_at", path, batch)
 
 
 def retrieval_rows(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -61,9 +68,8 @@ def retrieval_rows(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFr
     return conform(rows, RETRIEVAL_LOG, {**blank, "score": 0.0})
 
 
-def append_retrievals(requests: DataFrame, path: str) -> None:
-    rows = _by_day(retrieval_rows(requests), "retrieved_at")
-    rows.write.mode("append").partitionBy("day").parquet(path)
+def append_retrievals(requests: DataFrame, path: str, batch: int | None = None) -> None:
+    _store(retrieval_rows(requests), "retrieved_at", path, batch)
 
 
 def append_clears(cleared: DataFrame, path: str) -> None:
@@ -71,9 +77,14 @@ def append_clears(cleared: DataFrame, path: str) -> None:
     cleared.select("session_id", "cleared_at").write.mode("append").parquet(path)
 
 
-def read_history(spark: SparkSession, path: str, clears: str | None = None) -> DataFrame:
-    """The stored history without what has been cleared since."""
-    history = spark.read.schema(CHAT_HISTORY).parquet(path)
+def read_history(
+    spark: SparkSession, path: str, clears: str | None = None, since: dt.date | None = None
+) -> DataFrame:
+    """The stored history without what has been cleared since; `since` skips older days."""
+    stored = spark.read.parquet(path)
+    if since is not None:
+        stored = stored.filter(F.col("day") >= F.lit(since))
+    history = conform(stored, CHAT_HISTORY)
     if clears is None:
         return history
     try:
@@ -85,6 +96,8 @@ def read_history(spark: SparkSession, path: str, clears: str | None = None) -> D
     return clear_history(history, cleared)
 
 
-def source_text(source, fields):
-    """The first non-empty of the text fields a source may carry."""
-    return first_non_empty(*[source[f] for f in fields])
+def read_retrievals(spark: SparkSession, path: str, since: dt.date | None = None) -> DataFrame:
+    stored = spark.read.parquet(path)
+    if since is not None:
+        stored = stored.filter(F.col("day") >= F.lit(since))
+    return conform(stored, RETRIEVAL_LOG)
