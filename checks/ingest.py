@@ -1 +1,318 @@
+"""Files to chunks to the index: S2, S3, S5, S12, J1 to J4, W6, R1, B1 to B3, B5."""
 
+from __future__ import annotations
+
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from checks import query
+from checks.scalars import most_hits_sql, strip_sql
+from checks.tables import FILES_SQL, documents, files, table, with_ctes
+from lectern.config import DEFAULTS, Settings
+from lectern.functions import language, text
+from lectern.functions.vectors import embed, has_length
+from lectern.operators.chunks import explode_chunks, with_chunk_id
+from lectern.plans import lake
+from lectern.schemas import CHUNK_INDEX, conform
+from lectern.sources.landing import extract_documents
+from lectern.sources.layers import scan_corpus
+from lectern.sources.upsert import replace_documents, upsert
+
+SMALL = Settings(chunk_size=300, chunk_overlap=50)
+
+
+# ---- the chunker in SQL ------------------------------------------------------------------
+
+
+def pack_sql(expr: str, size: int, separators: tuple[str, ...], depth: int = 0) -> str:
+    """Greedy packing as nested list folds: the same result, written for DuckDB."""
+    if not separators:
+        return (
+            f"list_transform(range(1, length({expr}) + 1, {size}), "
+            f"lambda z: substring({expr}, z, {size}))"
+        )
+    sep = " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in separators[0])
+    n, a, x, p = len(separators[0]), f"a{depth}", f"x{depth}", f"p{depth}"
+    none = "CAST([] AS VARCHAR[])"
+    closed = f"CASE WHEN {a}.o <> '' THEN list_append({a}.d, {a}.o) ELSE {a}.d END"
+    joined = f"length({a}.o) + CASE WHEN {a}.o <> '' THEN {n} ELSE 0 END + length({x}.o)"
+    glued = f"CASE WHEN {a}.o <> '' THEN {a}.o || {sep} || {x}.o ELSE {x}.o END"
+    finer = pack_sql(f"{x}.o", size, separators[1:], depth + 1)
+    step = (
+        f"CASE WHEN {joined} <= {size} THEN {{'d': {a}.d, 'o': {glued}}} "
+        f"WHEN length({x}.o) > {size} THEN {{'d': list_concat({closed}, {finer}), 'o': ''}} "
+        f"ELSE {{'d': {closed}, 'o': {x}.o}} END"
+    )
+    parts = f"list_transform(string_split({expr}, {sep}), lambda {p}: {{'d': {none}, 'o': {p}}})"
+    folded = f"list_reduce(list_prepend({{'d': {none}, 'o': ''}}, {parts}), lambda {a}, {x}: {step})"
+    done = f"f{depth}"
+    return (
+        f"list_transform([{folded}], lambda {done}: CASE WHEN {done}.o <> '' "
+        f"THEN list_append({done}.d, {done}.o) ELSE {done}.d END)[1]"
+    )
+
+
+def chunks_sql(source: str, key: str, body: str, settings: Settings) -> str:
+    """CTEs `raw` (raw chunks as a list) and `chunks` (one row per kept chunk)."""
+    overlapped = strip_sql(
+        f"CASE WHEN i > 1 THEN concat(right(raw[i - 1], {settings.chunk_overlap}), ' ', raw[i]) ELSE raw[i] END"
+    )
+    return f"""raw AS (SELECT {key}, {pack_sql(body, settings.chunk_size, text.SEPARATORS)} AS raw FROM {source}),
+numbered AS (SELECT {key}, raw, unnest(range(1, len(raw) + 1)) AS i FROM raw),
+kept AS (SELECT {key}, i, {overlapped} AS chunk_text FROM numbered),
+chunks AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS INTEGER) AS chunk_pos, chunk_text
+           FROM kept WHERE length(chunk_text) > {settings.min_chunk_chars})"""
+
+
+def raw_chunk_sql(size: int) -> str:
+    body = pack_sql("text", size, text.SEPARATORS)
+    return (
+        f"WITH c AS (SELECT doc_id, {body} AS c FROM documents) SELECT doc_id, len(c) AS chunks, "
+        "list_max(list_transform(c, lambda x: length(x))) AS longest, md5(array_to_string(c, '|')) AS digest FROM c"
+    )
+
+
+def raw_chunks(spark, sf_dir, size):
+    cut = documents(spark, sf_dir).select("doc_id", text.recursive_chunk(F.col("text"), size).alias("c"))
+    return cut.select(
+        "doc_id",
+        F.size("c").alias("chunks"),
+        F.array_max(F.transform("c", lambda x: F.length(x))).alias("longest"),
+        F.md5(F.array_join("c", "|")).alias("digest"),
+    )
+
+
+@query("recursive_chunk_300", raw_chunk_sql(300))
+def recursive_chunk_300(spark, sf_dir):
+    return raw_chunks(spark, sf_dir, 300)
+
+
+@query("recursive_chunk_2000", raw_chunk_sql(2000))
+def recursive_chunk_2000(spark, sf_dir):
+    return raw_chunks(spark, sf_dir, 2000)
+
+
+@query(
+    "explode_chunks",
+    f"WITH {chunks_sql('documents', 'doc_id', 'text', SMALL)} SELECT doc_id, chunk_pos, chunk_text FROM chunks",
+)
+def exploded(spark, sf_dir):
+    rows = explode_chunks(documents(spark, sf_dir).select("doc_id", "text"), "text", SMALL)
+    return rows.select("doc_id", "chunk_pos", "chunk_text")
+
+
+@query("chunk_ids", f"WITH {chunks_sql('documents', 'doc_id', 'text', SMALL)} SELECT count(*) AS chunks, count(*) AS ids FROM chunks")
+def chunk_ids(spark, sf_dir):
+    rows = explode_chunks(documents(spark, sf_dir).select("doc_id", "text"), "text", SMALL)
+    return with_chunk_id(rows, "doc_id").agg(
+        F.count("*").alias("chunks"), F.count_distinct("chunk_id").alias("ids")
+    )
+
+
+# ---- layers ------------------------------------------------------------------------------
+
+STEM = r"string_split(regexp_replace(filename, '^(.+)\.[^.]+$', '\1'), '_')"
+SILVER_SQL = f"""
+SELECT doc_id, filename, raw_text,
+  coalesce(nullif(trim({STEM}[1]), ''), 'Unknown') AS professor,
+  CASE WHEN coalesce(trim({STEM}[2]), '') = '' THEN {most_hits_sql(strip_sql('substring(raw_text, 1, 800)'), language.SUBJECT_WORDS, 'Unknown')}
+       ELSE trim({STEM}[2]) END AS subject,
+  coalesce(nullif(trim({STEM}[3]), ''), 'Unknown') AS chapter,
+  {most_hits_sql(strip_sql('substring(raw_text, 1, 500)'), language.STOP_WORDS, 'unknown')} AS language,
+  len(string_split_regex(raw_text, '\\s+')) AS word_count,
+  CASE WHEN lower(filename) LIKE '%.pdf' THEN 'pdf' WHEN lower(filename) LIKE '%.pptx' THEN 'pptx' ELSE 'unknown' END AS doc_type
+FROM files"""
+SILVER_COLUMNS = "professor, subject, chapter, language, word_count, doc_type"
+
+
+@query(
+    "build_silver",
+    with_ctes(f"SELECT doc_id, {SILVER_COLUMNS} FROM silver", files=FILES_SQL, silver=SILVER_SQL),
+)
+def build_silver(spark, sf_dir):
+    silver = lake.build_silver(files(spark, sf_dir))
+    return silver.select("doc_id", *SILVER_COLUMNS.split(", "))
+
+
+@query(
+    "build_gold",
+    with_ctes(
+        f""", {chunks_sql('files', 'doc_id', 'raw_text', DEFAULTS)}
+SELECT c.doc_id, c.chunk_pos, md5(c.chunk_text) AS digest, s.subject, s.language, 64 AS dim, TRUE AS embed_ok
+FROM chunks c JOIN silver s USING (doc_id)""",
+        files=FILES_SQL,
+        silver=SILVER_SQL,
+    ),
+)
+def build_gold(spark, sf_dir):
+    gold = lake.build_gold(lake.build_silver(files(spark, sf_dir)))
+    return gold.select(
+        "doc_id", "chunk_pos", F.md5("chunk_text").alias("digest"), "subject", "language",
+        F.size("embedding").alias("dim"), "embed_ok",
+    )
+
+
+# The default embedder in SQL: the MD5 of a word gives its dimension and its sign.
+def word_place_sql(word: str, dim: int = DEFAULTS.embed_dim) -> str:
+    return (
+        f"CAST('0x' || substr(md5({word}), 1, 4) AS INTEGER) % {dim} AS dim, "
+        f"CASE WHEN CAST('0x' || substr(md5({word}), 5, 1) AS INTEGER) < 8 THEN 1 ELSE -1 END AS sign"
+    )
+
+
+@query(
+    "embed",
+    f"""
+WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w FROM documents),
+p AS (SELECT doc_id, {word_place_sql('w')} FROM w WHERE w <> ''),
+v AS (SELECT doc_id, dim, sum(sign) AS x FROM p GROUP BY doc_id, dim)
+SELECT d.doc_id, coalesce(CAST(sum(abs(v.x)) AS DOUBLE), 0) AS weight, coalesce(CAST(sum(v.x * (v.dim + 1)) AS DOUBLE), 0) AS moment,
+       coalesce(sum(v.x * v.x) > 0, FALSE) AS embed_ok
+FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY d.doc_id""",
+)
+def embedded(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", embed(F.col("text")).alias("e"))
+    moment = F.aggregate(
+        F.transform("e", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x
+    )
+    weight = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.abs(x).cast("double"))
+    return rows.select("doc_id", weight.alias("weight"), moment.alias("moment"), has_length(F.col("e")).alias("embed_ok"))
+
+
+@query("scan_corpus", "SELECT doc_id, length(text) AS chars FROM documents WHERE length(text) > 0")
+def corpus(spark, sf_dir):
+    rows = scan_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", F.length("text").alias("chars"))
+
+
+# ---- presentations -----------------------------------------------------------------------
+
+_SLIDE = (
+    '<p:sld xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" '
+    'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><p:cSld><p:spTree>{}'
+    "</p:spTree></p:cSld></p:sld>"
+)
+_SHAPE = "<p:sp><p:txBody><a:p>{}</a:p></p:txBody></p:sp>"
+_RUN = "<a:r><a:t>{}</a:t></a:r>"
+_DECK = (
+    '<p:presentation xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" '
+    'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+    "<p:sldIdLst>{}</p:sldIdLst></p:presentation>"
+)
+_LINKS = (
+    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}'
+    "</Relationships>"
+)
+
+
+def presentation(slides: list[list[str]]) -> bytes:
+    """A minimal presentation package: one shape per line of a slide."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as package:
+        ids, links = [], []
+        for i, lines in enumerate(slides, 1):
+            shapes = "".join(_SHAPE.format(_RUN.format(escape(line))) for line in lines)
+            package.writestr(f"ppt/slides/slide{i}.xml", _SLIDE.format(shapes))
+            ids.append(f'<p:sldId id="{255 + i}" r:id="rId{i}"/>')
+            links.append(f'<Relationship Id="rId{i}" Target="slides/slide{i}.xml"/>')
+        package.writestr("ppt/presentation.xml", _DECK.format("".join(ids)))
+        package.writestr("ppt/_rels/presentation.xml.rels", _LINKS.format("".join(links)))
+    return out.getvalue()
+
+
+def as_presentations(rows):
+    """Documents as presentation files: every line of a text is a slide with its sentences."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            content = [
+                presentation([line.split(". ") for line in body.split("\n")])
+                for body in batch["text"]
+            ]
+            yield pd.DataFrame({"path": batch["path"], "content": content})
+
+    named = rows.select(
+        F.concat(F.lit("landing/"), F.col("doc_id").cast("string"), F.lit("/deck.PPTX")).alias("path"),
+        F.regexp_replace("text", r"[\x00-\x08\x0b-\x1f]", "").alias("text"),
+    )
+    return named.mapInPandas(build, "path string, content binary")
+
+
+SLIDE_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i
+  FROM (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0b-\x1f]', '', 'g') AS t FROM documents)),
+slides AS (SELECT doc_id, i, array_to_string(list_filter(list_transform(string_split(line, '. '), lambda s: """ + strip_sql("s") + r"""), lambda s: s <> ''), chr(10)) AS body FROM lines)
+SELECT concat('landing/', doc_id, '/deck.PPTX') AS path, 'deck.PPTX' AS filename,
+  md5(string_agg(concat('[Slide ', i, ']', chr(10), body), chr(10) || chr(10) ORDER BY i) FILTER (WHERE body <> '')) AS digest,
+  NULL AS error
+FROM slides GROUP BY doc_id"""
+
+
+@query("extract_presentations", SLIDE_SQL)
+def extract_presentations(spark, sf_dir):
+    read = extract_documents(as_presentations(documents(spark, sf_dir)))
+    return read.select("path", "filename", F.md5("raw_text").alias("digest"), "error")
+
+
+# ---- index -------------------------------------------------------------------------------
+
+
+def index_of(rows, hours: int):
+    """Documents as index rows loaded `hours` after the first load."""
+    shaped = rows.select(
+        F.col("doc_id").alias("chunk_id"),
+        F.concat_ws("_", "source", "lang").alias("path"),
+        F.col("text").alias("document"),
+        F.timestamp_seconds(F.lit(1704067200 + hours * 3600)).alias("load_ts"),
+    )
+    return conform(shaped, CHUNK_INDEX)
+
+
+INDEX_CTES = {
+    "old": "SELECT doc_id AS chunk_id, concat(source, '_', lang) AS path, text AS document, 0 AS h FROM documents",
+    "new": "SELECT doc_id AS chunk_id, concat(source, '_', lang) AS path, upper(text) AS document, 1 AS h FROM documents WHERE lang = 'fr' "
+    "UNION ALL SELECT doc_id, concat(source, '_', lang), lower(text), 2 FROM documents WHERE lang = 'fr' AND n_chars < 2000",
+    "newest": "SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY h DESC) = 1",
+}
+
+
+def loads(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    french = docs.filter(F.col("lang") == "fr")
+    new = index_of(french.withColumn("text", F.upper("text")), 1).unionByName(
+        index_of(french.filter("n_chars < 2000").withColumn("text", F.lower("text")), 2)
+    )
+    return index_of(docs, 0), new
+
+
+@query(
+    "upsert_chunks",
+    with_ctes(
+        "SELECT chunk_id, path, md5(document) AS digest FROM (SELECT * FROM newest UNION ALL "
+        "SELECT * FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM new))",
+        **INDEX_CTES,
+    ),
+)
+def upsert_chunks(spark, sf_dir):
+    old, new = loads(spark, sf_dir)
+    merged = upsert(old, new, ["chunk_id"])
+    return merged.select("chunk_id", "path", F.md5("document").alias("digest"))
+
+
+@query(
+    "replace_documents",
+    with_ctes(
+        "SELECT chunk_id, path, md5(document) AS digest FROM (SELECT * FROM newest UNION ALL "
+        "SELECT * FROM old WHERE path NOT IN (SELECT path FROM new))",
+        **INDEX_CTES,
+    ),
+)
+def replaced(spark, sf_dir):
+    old, new = loads(spark, sf_dir)
+    merged = replace_documents(old, new)
+    return merged.select("chunk_id", "path", F.md5("document").alias("digest"))

@@ -128,7 +128,8 @@ PAIRS_FROM_SQL = """FROM history u JOIN history a
 
 def with_ctes(body: str, **ctes: str) -> str:
     named = ",\n".join(f"{name} AS ({text})" for name, text in ctes.items())
-    return f"WITH {named}\n{body}"
+    body = body.lstrip()
+    return f"WITH {named}{body}" if body.startswith(",") else f"WITH {named}\n{body}"
 
 
 def conversation_sql(body: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS, REPLY_LANGUAGES
-from lectern.functions.text import strip
+from lectern.functions.text import bind, strip
 
 # Frequent function words per language (our own short profiles).
 STOP_WORDS: dict[str, tuple[str, ...]] = {
@@ -61,8 +61,7 @@ def most_hits(c: Column, profiles: Mapping[str, Sequence[str]], otherwise: str)
         best = F.array_min(F.array(*counted))
         return F.when(best["votes"] < 0, best["label"]).otherwise(F.lit(otherwise))
 
-    # the word array is bound once as a lambda variable instead of being split per label
-    return F.transform(F.array(words(F.coalesce(c, F.lit("")))), votes)[0]
+    return bind(words(F.coalesce(c, F.lit(""))), votes)
 
 
 def detect_language(c: Column, sample_chars: int | None = 500) -> Column:

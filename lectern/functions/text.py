@@ -15,6 +15,14 @@ from lectern.config import DEFAULTS, DOCUMENT_TYPES, PASSAGE_RULE
 BLANK = r"[\s\x1c-\x1f]"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often the body uses it.
+
+    A column that is used inside a lambda would otherwise be computed for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Remove every kind of Unicode white space from both ends."""
     return F.regexp_replace(c, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
@@ -288,18 +296,17 @@ def add_overlap(chunks: Column, chars: int = DEFAULTS.chunk_overlap) -> Column:
     """Start every chunk but the first with the tail of the one before it, then strip."""
     if chars <= 0:
         return F.transform(chunks, strip)
-    return F.transform(
-        chunks,
-        lambda c, i: strip(
-            F.when(
-                i > 0, F.concat(F.right(F.get(chunks, i - 1), F.lit(chars)), F.lit(" "), c)
-            ).otherwise(c)
-        ),
-    )
+
+    def overlapped(listed: Column) -> Column:
+        def with_tail(c: Column, i: Column) -> Column:
+            tail = F.right(F.get(listed, i - 1), F.lit(chars))
+            return strip(F.when(i > 0, F.concat(tail, F.lit(" "), c)).otherwise(c))
+
+        return F.transform(listed, with_tail)
+
+    return bind(chunks, overlapped)
 
 
 def drop_short(chunks: Column, chars: int = DEFAULTS.min_chunk_chars) -> Column:
     return F.filter(chunks, lambda c: F.length(c) > chars)
 
-
-Classifier = Callable[[Column], Column]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS, PASSAGE_RULE, Settings
 from lectern.functions.jsonops import parse_rewrites
-from lectern.functions.text import split_sentences, tokens
+from lectern.functions.text import bind, split_sentences, tokens
 from lectern.functions.vectors import Embedder, embed, sentence_similarity
 from lectern.operators.bm25 import Bm25Index, bm25_top_k
 from lectern.operators.ranking import dedupe_by_prefix, ordered_union, top_k
@@ -272,7 +272,7 @@ def keep_sentences(
         return F.array_join(F.transform(kept, lambda x: x["s"]), " ")
 
     return F.when((F.size(sentences) <= 1) | scores.isNull(), text).otherwise(
-        F.transform(F.array(scored), choose)[0]
+        bind(scored, choose)
     )
 
 

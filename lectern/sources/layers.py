@@ -42,7 +42,7 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     A table of the size this is built for has far more, and is left as it is.
     """
     wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() <= wanted else df
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def scan_corpus(chunks: DataFrame, item_id: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
