@@ -1 +1,404 @@
+"""Search and retrieval over the documents as chunks: R2 to R12, W2, W4, W5, W8, W9, A7, A14, A15."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import query
+from checks.ingest import word_place_sql
+from checks.scalars import REWRITES_SQL, questions, sentences_sql
+from checks.tables import documents, table, with_ctes
+from lectern.operators import bm25, ranking, retrieval
+from lectern.operators.chunks import with_embedding
+from lectern.operators.vector_search import vector_top_k
+from lectern.plans import search
+from lectern.session import cut_lineage
+
+# ---- SQL ---------------------------------------------------------------------------------
+
+RULE = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+
+
+def tokens_sql(expr: str) -> str:
+    return rf"list_filter(string_split_regex({expr}, '\s+'), lambda w: w <> '')"
+
+
+INDEX_CTES = {
+    "docs": f"SELECT doc_id, text, source, lang, {tokens_sql('text')} AS toks FROM documents WHERE length(text) > 0",
+    "tf": "SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM docs) GROUP BY ALL",
+    "df": "SELECT term, count(*) AS df FROM tf GROUP BY term",
+    "sizes": "SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM docs",
+    "raw_idf": "SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS r FROM df, sizes",
+    "idf": "SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw_idf) ELSE r END AS idf FROM raw_idf",
+}
+
+# variants: question_id, rewrite_idx, text
+LEG_CTES = {
+    "vtok": f"SELECT question_id, rewrite_idx, term, count(*) AS times FROM (SELECT question_id, rewrite_idx, unnest({tokens_sql('text')}) AS term FROM variants) GROUP BY ALL",
+    "bm_all": "SELECT question_id, rewrite_idx, doc_id, round(sum(idf * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))), 6) AS score "
+    "FROM vtok JOIN idf USING (term) JOIN tf USING (term), sizes GROUP BY ALL",
+    "bm": "SELECT *, row_number() OVER (PARTITION BY question_id, rewrite_idx ORDER BY score DESC, doc_id) AS leg_rank FROM bm_all",
+    "dvec": f"SELECT doc_id, dim, sum(sign) AS x FROM (SELECT doc_id, {word_place_sql('w')} FROM (SELECT doc_id, unnest(toks) AS w FROM docs)) GROUP BY ALL",
+    "dnorm": "SELECT doc_id, sqrt(sum(x * x)) AS norm FROM dvec GROUP BY doc_id HAVING sum(x * x) > 0",
+    "vvec": f"SELECT question_id, rewrite_idx, dim, sum(sign) AS x FROM (SELECT question_id, rewrite_idx, {word_place_sql('w')} FROM (SELECT question_id, rewrite_idx, unnest({tokens_sql('text')}) AS w FROM variants)) GROUP BY ALL",
+    "vnorm": "SELECT question_id, rewrite_idx, sqrt(sum(x * x)) AS norm FROM vvec GROUP BY ALL HAVING sum(x * x) > 0",
+    "vec_all": "SELECT question_id, rewrite_idx, doc_id, round(CAST(dot AS DOUBLE) / (d.norm * v.norm), 6) AS score FROM "
+    "(SELECT question_id, rewrite_idx, doc_id, sum(v.x * d.x) AS dot FROM vvec v JOIN dvec d USING (dim) GROUP BY ALL) "
+    "JOIN dnorm d USING (doc_id) JOIN vnorm v USING (question_id, rewrite_idx)",
+    "vec": "SELECT *, row_number() OVER (PARTITION BY question_id, rewrite_idx ORDER BY score DESC, doc_id) AS leg_rank FROM vec_all",
+}
+
+
+def hits_ctes(k: int) -> dict[str, str]:
+    return {
+        "hits": f"SELECT h.*, d.text, d.source, substring(d.text, 1, 100) AS start FROM ("
+        f"SELECT question_id, rewrite_idx, 0 AS src_ord, leg_rank, doc_id FROM vec WHERE leg_rank <= {k} UNION ALL "
+        f"SELECT question_id, rewrite_idx, 1, leg_rank, doc_id FROM bm WHERE leg_rank <= {k}) h JOIN docs d USING (doc_id)",
+        "per_variant": "SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY question_id, rewrite_idx, start ORDER BY src_ord, leg_rank, doc_id) = 1",
+        "cand": "SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rewrite_idx, src_ord, leg_rank, doc_id) - 1 AS cand_index FROM "
+        "(SELECT * FROM per_variant QUALIFY row_number() OVER (PARTITION BY question_id, start ORDER BY rewrite_idx, src_ord, leg_rank, doc_id) = 1)",
+    }
+
+
+RANK_CTES = {
+    "qterms": f"SELECT question_id, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS w FROM "
+    f"(SELECT DISTINCT item_id AS question_id, unnest({tokens_sql('text')}) AS term FROM benchmark) LEFT JOIN df USING (term), sizes",
+    "scored": "SELECT c.*, coalesce(round(f.found / t.total, 6), 0) AS score FROM cand c "
+    "JOIN (SELECT question_id, sum(w) AS total FROM qterms GROUP BY question_id) t USING (question_id) "
+    "LEFT JOIN (SELECT c.question_id, c.doc_id, sum(q.w) AS found FROM cand c JOIN qterms q USING (question_id) "
+    "JOIN tf ON tf.doc_id = c.doc_id AND tf.term = q.term GROUP BY ALL) f ON f.question_id = c.question_id AND f.doc_id = c.doc_id",
+    "ranked": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, cand_index) AS rank FROM scored) WHERE rank <= 5",
+    "grades": "SELECT b.item_id AS question_id, count(r.doc_id) AS num_docs, max(r.score) AS max_score, "
+    "CASE WHEN count(r.doc_id) = 0 THEN 'incorrect' WHEN max(r.score) > 0.25 THEN 'correct' WHEN max(r.score) < 0.01 THEN 'incorrect' ELSE 'ambiguous' END AS grade "
+    "FROM benchmark b LEFT JOIN ranked r ON r.question_id = b.item_id GROUP BY b.item_id",
+    "relevant": "SELECT r.* FROM ranked r JOIN grades g USING (question_id) WHERE g.grade <> 'incorrect'",
+    "sent": f"SELECT question_id, rank, n, s[i] AS s, i FROM (SELECT question_id, rank, len(s) AS n, s, unnest(range(1, len(s) + 1)) AS i FROM "
+    f"(SELECT question_id, rank, {sentences_sql('text')} AS s FROM relevant))",
+    "svec": f"SELECT question_id, rank, i, dim, sum(sign) AS x FROM (SELECT question_id, rank, i, {word_place_sql('w')} FROM "
+    f"(SELECT question_id, rank, i, unnest({tokens_sql('s')}) AS w FROM sent)) GROUP BY ALL",
+    "snorm": "SELECT question_id, rank, i, sqrt(sum(x * x)) AS norm FROM svec GROUP BY ALL",
+    "sscore": "SELECT s.question_id, s.rank, s.i, s.n, s.s, CASE WHEN coalesce(sn.norm, 0) = 0 THEN 0 ELSE round(coalesce(d.dot, 0) / (sn.norm * qn.norm), 6) END AS score "
+    "FROM sent s LEFT JOIN snorm sn USING (question_id, rank, i) "
+    "LEFT JOIN (SELECT v.question_id, v.rank, v.i, CAST(sum(v.x * q.x) AS DOUBLE) AS dot FROM svec v JOIN vvec q ON q.question_id = v.question_id AND q.rewrite_idx = 0 AND q.dim = v.dim GROUP BY ALL) d USING (question_id, rank, i) "
+    "JOIN vnorm qn ON qn.question_id = s.question_id AND qn.rewrite_idx = 0",
+    "marked": "SELECT *, count(*) FILTER (WHERE score >= 0.55) OVER (PARTITION BY question_id, rank) AS passed, "
+    "row_number() OVER (PARTITION BY question_id, rank ORDER BY score DESC, i) AS place FROM sscore",
+    "shortened": "SELECT question_id, rank, string_agg(s, ' ' ORDER BY CASE WHEN passed >= 2 THEN i ELSE place END) AS t FROM marked "
+    "WHERE n > 1 AND CASE WHEN passed >= 2 THEN score >= 0.55 ELSE place <= 2 END GROUP BY question_id, rank",
+    "compressed": "SELECT r.*, coalesce(s.t, r.text) AS compressed FROM relevant r LEFT JOIN shortened s USING (question_id, rank)",
+}
+
+ONE_VARIANT = "SELECT item_id AS question_id, 0 AS rewrite_idx, text FROM benchmark"
+
+
+def search_sql(body: str, k: int = 10, variants: str = REWRITES_SQL) -> str:
+    return with_ctes(body, variants=variants, **INDEX_CTES, **LEG_CTES, **hits_ctes(k), **RANK_CTES)
+
+
+# ---- Spark -------------------------------------------------------------------------------
+
+
+def chunk_table(spark, sf_dir):
+    rows = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), "source", "lang"
+    )
+    # stands for the stored gold table: vectors are made once, not once per scan
+    return cut_lineage(with_embedding(rows))
+
+
+def corpus(spark, sf_dir):
+    chunks = chunk_table(spark, sf_dir)
+    return search_corpus(chunks)
+
+
+def search_corpus(chunks):
+    return retrieval.SearchCorpus(chunks, bm25.bm25_index(chunks).stored(), ("source",))
+
+
+def plain_index(spark, sf_dir):
+    rows = documents(spark, sf_dir)
+    return bm25.bm25_index(rows, "doc_id", "text")
+
+
+@query(
+    "vector_neighbors",
+    """
+SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings a, embeddings b)) WHERE rank <= 5""",
+)
+def vector_neighbors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.withColumnRenamed("vec_id", "query_id")
+    return vector_top_k(asked, vectors, 5, item_id="vec_id")
+
+
+@query("bm25_terms", with_ctes("SELECT term, df, round(idf, 6) AS idf FROM idf", **INDEX_CTES))
+def bm25_terms(spark, sf_dir):
+    return plain_index(spark, sf_dir).terms.withColumn("idf", F.round("idf", 6))
+
+
+@query(
+    "bm25_stats",
+    with_ctes(
+        "SELECT n AS n_docs, round(avg_len, 6) AS avg_len, round(0.25 * (SELECT avg(r) FROM raw_idf), 6) AS floor_idf FROM sizes",
+        **INDEX_CTES,
+    ),
+)
+def bm25_stats(spark, sf_dir):
+    stats = plain_index(spark, sf_dir).stats
+    return stats.select("n_docs", F.round("avg_len", 6).alias("avg_len"), F.round("floor_idf", 6).alias("floor_idf"))
+
+
+@query("bm25_postings", with_ctes("SELECT term, doc_id, dl AS doc_len, tf FROM tf", **INDEX_CTES))
+def bm25_postings(spark, sf_dir):
+    return bm25.postings(plain_index(spark, sf_dir))
+
+
+@query(
+    "bm25_search",
+    with_ctes(
+        "SELECT question_id AS query_id, doc_id, score, leg_rank AS rank FROM bm WHERE leg_rank <= 5",
+        variants=ONE_VARIANT, **INDEX_CTES, vtok=LEG_CTES["vtok"], bm_all=LEG_CTES["bm_all"], bm=LEG_CTES["bm"],
+    ),
+)
+def bm25_search(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return bm25.bm25_top_k(asked, plain_index(spark, sf_dir).stored(), 5)
+
+
+def single(spark, sf_dir):
+    return retrieval.single_variant(questions(spark, sf_dir))
+
+
+@query(
+    "hybrid_candidates",
+    search_sql("SELECT question_id, src_ord, leg_rank, doc_id AS chunk_id FROM per_variant", 5, ONE_VARIANT),
+)
+def hybrid_candidates(spark, sf_dir):
+    rows = retrieval.hybrid_candidates(single(spark, sf_dir), corpus(spark, sf_dir), 5)
+    return rows.select("question_id", "src_ord", "leg_rank", "chunk_id")
+
+
+@query(
+    "multi_query_candidates",
+    search_sql("SELECT question_id, rewrite_idx, src_ord, leg_rank, doc_id AS chunk_id, cand_index FROM cand"),
+)
+def multi_query_candidates(spark, sf_dir):
+    variants = retrieval.query_variants(questions(spark, sf_dir))
+    rows = retrieval.multi_query_candidates(variants, corpus(spark, sf_dir))
+    return rows.select("question_id", "rewrite_idx", "src_ord", "leg_rank", "chunk_id", "cand_index")
+
+
+@query(
+    "rerank",
+    search_sql("SELECT question_id, rank, doc_id AS chunk_id, score, cand_index AS original_index FROM ranked"),
+)
+def rerank(spark, sf_dir):
+    asked, searched = questions(spark, sf_dir), corpus(spark, sf_dir)
+    candidates = retrieval.multi_query_candidates(retrieval.query_variants(asked), searched)
+    scorer = retrieval.term_overlap_scorer(asked, searched.bm25)
+    return retrieval.rerank(candidates, scorer).select(
+        "question_id", "rank", "chunk_id", "score", F.col("cand_index").alias("original_index")
+    )
+
+
+@query("grades", search_sql("SELECT question_id, num_docs, max_score, grade FROM grades"))
+def grades(spark, sf_dir):
+    return search.trace(questions(spark, sf_dir), corpus(spark, sf_dir)).grades
+
+
+@query(
+    "retrieval_stats",
+    search_sql(
+        "SELECT v.question_id, v.rewrite_idx, coalesce(p.n, 0) AS retrieved, coalesce(c.n, 0) AS new, "
+        "CASE WHEN length(v.text) > 120 THEN substring(v.text, 1, 120) || '…' ELSE v.text END AS query FROM variants v "
+        "LEFT JOIN (SELECT question_id, rewrite_idx, count(*) AS n FROM per_variant GROUP BY ALL) p USING (question_id, rewrite_idx) "
+        "LEFT JOIN (SELECT question_id, rewrite_idx, count(*) AS n FROM cand GROUP BY ALL) c USING (question_id, rewrite_idx)"
+    ),
+)
+def retrieval_stats(spark, sf_dir):
+    return search.trace(questions(spark, sf_dir), corpus(spark, sf_dir)).retrieval
+
+
+@query(
+    "retrieval_totals",
+    search_sql(
+        "SELECT question_id, t AS total_with_dupes, u AS unique_candidates FROM "
+        "(SELECT question_id, count(*) AS t FROM per_variant GROUP BY ALL) JOIN (SELECT question_id, count(*) AS u FROM cand GROUP BY ALL) USING (question_id)"
+    ),
+)
+def retrieval_totals(spark, sf_dir):
+    return search.trace(questions(spark, sf_dir), corpus(spark, sf_dir)).totals
+
+
+@query(
+    "trace_candidates",
+    search_sql(
+        "SELECT question_id, cand_index, doc_id AS chunk_id, length(text) AS length, source, "
+        "CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '…' ELSE text END AS preview FROM cand"
+    ),
+)
+def trace_candidates(spark, sf_dir):
+    return search.trace(questions(spark, sf_dir), corpus(spark, sf_dir)).candidates
+
+
+@query(
+    "compression_stats",
+    search_sql(
+        "SELECT question_id, rank, doc_id AS chunk_id, length(text) AS before_length, length(compressed) AS after_length, "
+        "round(100 * (1 - length(compressed) / greatest(length(text), 1)), 1) AS reduction_pct FROM compressed"
+    ),
+)
+def compression_stats(spark, sf_dir):
+    return search.trace(questions(spark, sf_dir), corpus(spark, sf_dir)).compressed
+
+
+ANSWER_SQL = (
+    "SELECT b.item_id AS question_id, g.num_docs, g.max_score AS top_score, g.grade, md5(coalesce(c.context, '')) AS context, "
+    "coalesce(c.sources, '') AS sources FROM benchmark b JOIN grades g ON g.question_id = b.item_id LEFT JOIN "
+    f"(SELECT question_id, string_agg(compressed, {RULE} ORDER BY rank) AS context, "
+    "string_agg(concat(rank, ':', doc_id, ':', source, ':', CAST(round(score * 1000) AS BIGINT), ':', md5(compressed)), ',' ORDER BY rank) AS sources "
+    "FROM compressed GROUP BY question_id) c ON c.question_id = b.item_id"
+)
+
+
+def shown_answers(answers):
+    """Answers with their nested parts as text, to be compared with SQL."""
+    line = F.transform(
+        "sources",
+        lambda s: F.concat_ws(
+            ":", s["rank"].cast("string"), s["chunk_id"].cast("string"), s["source"],
+            F.round(s["score"] * 1000).cast("bigint").cast("string"), F.md5(s["chunk_text"]),
+        ),
+    )
+    return answers.select(
+        "question_id", "num_docs", "top_score", "grade", F.md5("context").alias("context"),
+        F.coalesce(F.array_join(line, ","), F.lit("")).alias("sources"),
+    )
+
+
+@query("retrieve_multistage", search_sql(ANSWER_SQL))
+def retrieve_multistage(spark, sf_dir):
+    return shown_answers(search.retrieve_multistage(questions(spark, sf_dir), corpus(spark, sf_dir)))
+
+
+@query("trace_answers", search_sql(ANSWER_SQL))
+def trace_answers(spark, sf_dir):
+    return shown_answers(search.trace(questions(spark, sf_dir), corpus(spark, sf_dir)).answers)
+
+
+PLAIN_SQL = (
+    "SELECT b.item_id AS question_id, 'correct' AS grade, md5(coalesce(c.context, '')) AS context, coalesce(c.sources, '') AS sources "
+    "FROM benchmark b LEFT JOIN (SELECT question_id, string_agg(text, {rule} ORDER BY rank) AS context, "
+    "string_agg(concat(rank, ':', doc_id), ',' ORDER BY rank) AS sources FROM ({rows}) GROUP BY question_id) c ON c.question_id = b.item_id"
+)
+
+
+def plain_answers(answers):
+    line = F.transform(
+        "sources", lambda s: F.concat_ws(":", s["rank"].cast("string"), s["chunk_id"].cast("string"))
+    )
+    return answers.select(
+        "question_id", "grade", F.md5("context").alias("context"),
+        F.coalesce(F.array_join(line, ","), F.lit("")).alias("sources"),
+    )
+
+
+@query(
+    "retrieve_simple",
+    search_sql(
+        PLAIN_SQL.format(rule=RULE, rows="SELECT question_id, doc_id, text, cand_index + 1 AS rank FROM cand WHERE cand_index < 5"),
+        5, ONE_VARIANT,
+    ),
+)
+def retrieve_simple(spark, sf_dir):
+    return plain_answers(search.retrieve_simple(questions(spark, sf_dir), corpus(spark, sf_dir)))
+
+
+@query(
+    "retrieve_vector_only",
+    search_sql(
+        PLAIN_SQL.format(rule=RULE, rows="SELECT v.question_id, v.doc_id, d.text, v.leg_rank AS rank FROM vec v JOIN docs d USING (doc_id) WHERE v.leg_rank <= 5"),
+        5, ONE_VARIANT,
+    ),
+)
+def retrieve_vector_only(spark, sf_dir):
+    chunks = chunk_table(spark, sf_dir)
+    plain = retrieval.SearchCorpus(chunks, None)
+    return plain_answers(search.retrieve_vector_only(questions(spark, sf_dir), plain))
+
+
+# ---- ranking on its own ------------------------------------------------------------------
+
+
+@query(
+    "top_k_per_key",
+    "SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents "
+    "QUALIFY rank <= 3",
+)
+def top_k_per_key(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return ranking.top_k(rows, ["source"], [F.col("n_chars").desc(), F.col("doc_id").asc()], 3, fan_in=4)
+
+
+@query(
+    "dedupe_by_prefix",
+    "SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang, substring(text, 1, 100) ORDER BY doc_id) = 1",
+)
+def dedupe_by_prefix(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    return ranking.dedupe_by_prefix(rows, ["lang"], "text", [F.col("doc_id").asc()]).select("lang", "doc_id")
+
+
+@query(
+    "rank_with_origin",
+    """
+SELECT user_id, event_id, original_index, rank FROM (SELECT user_id, event_id,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS original_index,
+  row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5""",
+)
+def rank_with_origin(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    ranked = ranking.rank_with_origin(
+        rows, ["user_id"], [F.col("ts").asc(), F.col("event_id").asc()],
+        [F.col("value").desc(), F.col("event_id").asc()], 5,
+    )
+    return ranked.select("user_id", "event_id", "original_index", "rank")
+
+
+@query(
+    "ordered_union",
+    "SELECT doc_id AS id, 0 AS src_ord FROM documents UNION ALL SELECT doc_id, 1 FROM labels UNION ALL SELECT page_id, 2 FROM pages",
+)
+def ordered_union(spark, sf_dir):
+    legs = [
+        table(spark, sf_dir, name).select(F.col(key).alias("id"))
+        for name, key in (("documents", "doc_id"), ("labels", "doc_id"), ("pages", "page_id"))
+    ]
+    return ranking.ordered_union(*legs)
+
+
+@query(
+    "grade_by_score",
+    """
+SELECT d.doc_id AS question_id, count(l.doc_id) AS num_docs, max(l.s) AS max_score,
+       CASE WHEN count(l.doc_id) = 0 THEN 'incorrect' WHEN max(l.s) > 0.25 THEN 'correct'
+            WHEN max(l.s) < 0.01 THEN 'incorrect' ELSE 'ambiguous' END AS grade
+FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 0 THEN quality / 4.0 + 0.005 END AS s FROM labels) l ON l.doc_id = d.doc_id
+GROUP BY d.doc_id""",
+)
+def grade_by_score(spark, sf_dir):
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"))
+    score = F.when(F.col("toxic") == 0, F.col("quality") / 4.0 + 0.005)
+    found = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), score.alias("score"))
+    return retrieval.grade_by_score(asked, found)
+
+
+@query(
+    "latest_events",
+    "SELECT event_id, user_id FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 20)",
+)
+def latest_events(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return ranking.latest(rows, [F.col("ts").desc(), F.col("event_id").asc()], 20).drop("ts")

@@ -122,6 +122,7 @@ def sentence_similarity(
             dots = np.einsum("ij,ij->i", q[owner], s)
             norms = np.linalg.norm(q, axis=1)[owner] * np.linalg.norm(s, axis=1)
             scores = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+            scores = np.round(scores, 6)  # equal sentences must compare equal
             parts = np.split(scores, np.cumsum(counts)[:-1]) if counts else []
             blind = ~q.any(axis=1)
             yield pd.Series(
