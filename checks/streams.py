@@ -1 +1,195 @@
+"""Streaming forms, run to the end over the given tables: L2 to L7 (L1 needs files, see tests)."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from checks import query
+from checks.tables import (
+    FALLBACK_SQL,
+    HISTORY_SQL,
+    PAIRS_FROM_SQL,
+    as_history,
+    conversation_sql,
+    requests,
+    retrieval_log,
+    table,
+    with_ctes,
+)
+from lectern.session import ensure_checkpoint_dir
+from lectern.sources.logs import read_history, read_retrievals
+from lectern.streaming import conversation as live
+from lectern.streaming import tokens
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = table(spark, sf_dir, name).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.parquet(sf_dir)
+
+
+def run(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Process all that is there, and return what the stream has written."""
+    folder = shared_folder(spark)
+    writer = rows.writeStream.format("parquet").option("path", f"{folder}/out")
+    done = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+def live_turns(spark, sf_dir):
+    return as_history(stream(spark, sf_dir, "conversations"))
+
+
+# A day comes out once the watermark, ten minutes behind the newest turn, has passed its end.
+CLOSED = "day + INTERVAL 1 DAY <= (SELECT max(created_at) FROM history{}) - INTERVAL {}"
+
+
+@query(
+    "stream_replies",
+    conversation_sql(f"SELECT u.session_id, u.id AS question_id, a.id AS reply_id {PAIRS_FROM_SQL} WHERE u.role = 'user'"),
+)
+def stream_replies(spark, sf_dir):
+    pairs = live.streaming_reply_join(live_turns(spark, sf_dir))
+    return run(spark, pairs.select("session_id", "question_id", "reply_id"))
+
+
+@query(
+    "stream_questions",
+    with_ctes(
+        "SELECT strftime(day, '%Y-%m-%d') AS day, questions, turns FROM (SELECT CAST(created_at AS DATE) AS day, "
+        "count(*) FILTER (WHERE role = 'user') AS questions, count(*) AS turns FROM history GROUP BY 1) WHERE "
+        + CLOSED.format("", "10 MINUTE"),
+        history=HISTORY_SQL,
+    ),
+)
+def stream_questions(spark, sf_dir):
+    days = live.streaming_questions(live_turns(spark, sf_dir))
+    return run(spark, days.withColumn("day", F.col("day").cast("string")))
+
+
+@query(
+    "stream_sessions",
+    with_ctes(
+        "SELECT strftime(day, '%Y-%m-%d') AS day, sessions FROM (SELECT CAST(created_at AS DATE) AS day, "
+        "count(DISTINCT session_id) AS sessions FROM history GROUP BY 1) WHERE " + CLOSED.format("", "1 DAY"),
+        history=HISTORY_SQL,
+    ),
+)
+def stream_sessions(spark, sf_dir):
+    days = live.streaming_sessions(live_turns(spark, sf_dir))
+    return run(spark, days.withColumn("day", F.col("day").cast("string")))
+
+
+@query(
+    "stream_heatmap",
+    conversation_sql(
+        "SELECT strftime(day, '%Y-%m-%d') AS day, subject, confusion_count FROM (SELECT CAST(u.created_at AS DATE) AS day, "
+        f"coalesce(nullif(r.subject, ''), 'Unknown') AS subject, count(*) AS confusion_count {PAIRS_FROM_SQL} "
+        "LEFT JOIN log r ON r.session_id = u.session_id AND r.query = substring(u.content, 1, 500) "
+        f"WHERE u.role = 'user' AND {FALLBACK_SQL} GROUP BY 1, 2) WHERE "
+        "day + INTERVAL 1 DAY <= least((SELECT max(created_at) FROM history WHERE role = 'user'), "
+        f"(SELECT max(a.created_at) FROM history a WHERE a.role = 'assistant' AND {FALLBACK_SQL})) - INTERVAL 10 MINUTE"
+    ),
+)
+def stream_heatmap(spark, sf_dir):
+    days = live.streaming_heatmap(live_turns(spark, sf_dir), retrieval_log(spark, sf_dir))
+    return run(spark, days.withColumn("day", F.col("day").cast("string")))
+
+
+# ---- tokens ------------------------------------------------------------------------------
+
+
+def token_rows(turns: DataFrame) -> DataFrame:
+    """Assistant texts as tokens: the words with the blank before them, then an end mark."""
+    pieces = F.transform(F.split("text", " "), lambda w, i: F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w))
+    return turns.filter(F.col("role") == "assistant").select(
+        F.col("conv_id").cast("string").alias("session_id"),
+        F.col("turn").alias("reply_id"),
+        F.posexplode(F.concat(pieces, F.array(F.lit(None).cast("string")))).alias("seq", "token"),
+    )
+
+
+def token_lines(turns: DataFrame) -> DataFrame:
+    """The same as a model server sends it, with blank and broken lines in between."""
+    rows = token_rows(turns)
+    message = F.to_json(
+        F.struct(
+            F.struct(F.coalesce("token", F.lit("ignored")).alias("content")).alias("message"),
+            F.col("token").isNull().alias("done"),
+        )
+    )
+    noise = F.when(F.col("seq") % 3 == 0, "").otherwise('{"message": {"content"')
+    lines = F.array(message, noise, F.lit("   "))
+    return rows.select(
+        "session_id", "reply_id", (F.col("seq") * 3).alias("first"), F.posexplode(lines).alias("p", "line")
+    ).select("session_id", "reply_id", (F.col("first") + F.col("p")).alias("seq"), "line")
+
+
+STEP = (
+    "CASE WHEN regexp_matches(x.o, '[.!?;:,*•\\-]') AND length(trim(a.o || x.o, chr(10) || ' ')) >= 20 "
+    "THEN {'d': list_append(a.d, trim(a.o || x.o, chr(10) || ' ')), 'o': ''} ELSE {'d': a.d, 'o': a.o || x.o} END"
+)
+SEGMENTS_SQL = f"""
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS reply_id,
+  list_transform(string_split(text, ' '), lambda w, i: {{'d': CAST([] AS VARCHAR[]), 'o': CASE WHEN i > 1 THEN ' ' || w ELSE w END}}) AS p
+  FROM conversations WHERE role = 'assistant'),
+f AS (SELECT session_id, reply_id, list_reduce(list_prepend({{'d': CAST([] AS VARCHAR[]), 'o': ''}}, p), lambda a, x: {STEP}) AS r FROM t),
+s AS (SELECT session_id, reply_id, CASE WHEN trim(r.o, chr(10) || ' ') <> '' THEN list_append(r.d, trim(r.o, chr(10) || ' ')) ELSE r.d END AS s FROM f)
+SELECT session_id, reply_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS segment_no, unnest(s) AS segment FROM s"""
+
+
+@query("token_segments", SEGMENTS_SQL)
+def token_segments(spark, sf_dir):
+    lines = tokens.parse_token_lines(token_lines(table(spark, sf_dir, "conversations")))
+    return tokens.segment_tokens(tokens.until_done(lines))
+
+
+@query("stream_token_segments", SEGMENTS_SQL)
+def stream_token_segments(spark, sf_dir):
+    lines = tokens.parse_token_lines(token_lines(stream(spark, sf_dir, "conversations")))
+    return run(spark, tokens.segment_stream(lines))
+
+
+# ---- storing conversations as they happen ------------------------------------------------
+
+
+@query(
+    "stream_conversation_log",
+    conversation_sql(
+        "SELECT kind, count(*) AS n, count(DISTINCT session_id) AS sessions, sum(chars)::BIGINT AS chars FROM ("
+        "SELECT 'user' AS kind, session_id, length(content) AS chars FROM history WHERE role = 'user' AND length(content) >= 60 "
+        "UNION ALL SELECT 'assistant', session_id, length(content) + 4 FROM history WHERE role = 'user' AND length(content) >= 60 "
+        "UNION ALL SELECT 'retrieval', session_id, length(chunk_text) FROM log) GROUP BY kind"
+    ),
+)
+def stream_conversation_log(spark, sf_dir):
+    folder = shared_folder(spark)
+    asked = requests(spark, sf_dir).select(
+        "id", "session_id", F.col("query").alias("question"), F.col("retrieved_at").alias("asked_at"),
+        "sources", F.concat(F.lit("Re: "), "query").alias("answer"),
+        (F.col("retrieved_at") + F.expr("INTERVAL 20 SECONDS")).alias("answered_at"),
+    )
+    asked.write.parquet(f"{folder}/messages")
+    messages = spark.readStream.schema(asked.schema).parquet(f"{folder}/messages")
+    live.log_conversations(
+        messages, f"{folder}/history", f"{folder}/retrievals", f"{folder}/state"
+    ).awaitTermination()
+    said = read_history(spark, f"{folder}/history").select(
+        F.col("role").alias("kind"), "session_id", F.length("content").alias("chars")
+    )
+    found = read_retrievals(spark, f"{folder}/retrievals").select(
+        F.lit("retrieval").alias("kind"), "session_id", F.length("chunk_text").alias("chars")
+    )
+    return said.unionByName(found).groupBy("kind").agg(
+        F.count("*").alias("n"), F.count_distinct("session_id").alias("sessions"), F.sum("chars").alias("chars")
+    )

@@ -132,7 +132,8 @@ class Bm25Scorer:
         entry = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
         entry += self.first[term][owner]
         cell = doc[owner] * q + self.query_of[entry]
-        scores = np.bincount(cell, part[owner] * self.weight[entry], n * q).reshape(n, q)
+        scores = np.bincount(cell, part[owner] * self.weight[entry], n * q).astype(float)
+        scores = scores.reshape(n, q)  # without any hit the counts are whole numbers
         if not self.with_zero:
             scores[np.bincount(cell, minlength=n * q).reshape(n, q) == 0] = np.nan
         return scores
