@@ -339,7 +339,7 @@ def retrieve_vector_only(spark, sf_dir):
 )
 def top_k_per_key(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return ranking.top_k(rows, ["source"], [F.col("n_chars").desc(), F.col("doc_id").asc()], 3, fan_in=4)
+    return ranking.top_k(rows, ["source"], [F.col("n_chars").desc(), F.col("doc_id").asc()], 3, spread_by="doc_id")
 
 
 @query(

@@ -1,8 +1,8 @@
 """BM25 ranking over white-space tokens.
 
-The index is three DataFrames: the tokens of every document (one row per document, so a
-document is scored where it lies), the document frequency and weight of every term, and one
-row of corpus numbers. `write`/`read` keep them as versioned tables beside the corpus.
+The index is three tables: the tokens of every document (one row per document, so a document is
+scored where it lies), the document frequency of every term, and one row of corpus numbers.
+`write` and `read_index` keep them beside the corpus; `stored` keeps them for one job.
 """
 
 from __future__ import annotations
@@ -12,37 +12,73 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS, Settings
 from lectern.functions.text import tokens
 from lectern.operators.blocks import best_per_query
-from lectern.session import cut_lineage
+from lectern.session import at_most, cut_lineage
 
 
 @dataclass(frozen=True)
 class Bm25Index:
     docs: DataFrame  # item id, tokens
-    terms: DataFrame  # term, df, idf
+    frequencies: DataFrame  # term, df
     stats: DataFrame  # n_docs, avg_len, floor_idf
     item_id: str = "chunk_id"
+    epsilon: float = DEFAULTS.bm25_epsilon
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, df, idf); a negative weight is replaced by the floor."""
+        n_docs, floor = (self.stats.select(c).scalar() for c in ("n_docs", "floor_idf"))
+        raw = _raw_idf(n_docs)
+        return self.frequencies.select(
+            "term", "df", F.when(raw < 0, floor).otherwise(raw).alias("idf")
+        )
 
     def write(self, path: str) -> Bm25Index:
-        """Store the three tables under `path` and return the index that reads them."""
+        """Store the tables under `path`, each made from the stored ones before it."""
         spark = self.docs.sparkSession
-        for name in ("docs", "terms", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        return read_index(spark, path, self.item_id)
 
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+        return self._rebuilt(keep)
 
     def stored(self) -> Bm25Index:
-        """The same index with its three tables computed once and kept in shared storage."""
-        return Bm25Index(*[cut_lineage(t) for t in (self.docs, self.terms, self.stats)], self.item_id)
+        """The same index with its tables made once and kept in shared storage."""
+        return self._rebuilt(lambda df, _: cut_lineage(df))
+
+    def _rebuilt(self, keep) -> Bm25Index:
+        docs = keep(self.docs, "docs")
+        frequencies = keep(_document_frequencies(docs), "frequencies")
+        stats = keep(_corpus_numbers(docs, frequencies, self.epsilon), "stats")
+        return Bm25Index(docs, frequencies, stats, self.item_id, self.epsilon)
+
+
+def read_index(spark: SparkSession, path: str, item_id: str = "chunk_id") -> Bm25Index:
+    names = ("docs", "frequencies", "stats")
+    return Bm25Index(*[spark.read.parquet(f"{path}/{n}") for n in names], item_id)
 
 
-def read_index(spark, path: str, item_id: str = "chunk_id") -> Bm25Index:
-    return Bm25Index(*[spark.read.parquet(f"{path}/{n}") for n in ("docs", "terms", "stats")], item_id)
+def _raw_idf(n_docs):
+    return F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def _document_frequencies(docs: DataFrame) -> DataFrame:
+    """Counting is combined before the shuffle: a term costs one row per partition."""
+    each = docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _corpus_numbers(docs: DataFrame, frequencies: DataFrame, epsilon: float) -> DataFrame:
+    sizes = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
+    n_docs = docs.agg(F.count("*")).scalar()
+    floor = frequencies.agg(F.lit(epsilon) * F.avg(_raw_idf(n_docs))).scalar()
+    return sizes.withColumn("floor_idf", floor)
 
 
 def bm25_index(
@@ -51,32 +87,11 @@ def bm25_index(
     text: str = "chunk_text",
     settings: Settings = DEFAULTS,
 ) -> Bm25Index:
-    """Index the rows of `corpus` whose text is not empty.
-
-    The only shuffle moves (term, partial count): counting is combined before it, so a term
-    that every document holds costs one row per partition.
-    """
+    """Index the rows of `corpus` whose text is not empty. Nothing is computed yet."""
     docs = corpus.filter(F.length(text) > 0).select(item_id, tokens(F.col(text)).alias("tokens"))
-    counted = (
-        docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
-    )
-    sizes = docs.agg(
-        F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len")
-    )
-    n_docs = sizes.select("n_docs").scalar()
-    weighed = counted.withColumn(
-        "raw_idf", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    )
-    floor = weighed.agg(F.lit(settings.bm25_epsilon) * F.avg("raw_idf")).scalar()
-    terms = weighed.select(
-        "term",
-        "df",
-        F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")).alias("idf"),
-    )
-    stats = sizes.withColumn("floor_idf", floor)
-    return Bm25Index(docs, terms, stats, item_id)
+    frequencies = _document_frequencies(docs)
+    stats = _corpus_numbers(docs, frequencies, settings.bm25_epsilon)
+    return Bm25Index(docs, frequencies, stats, item_id, settings.bm25_epsilon)
 
 
 def postings(index: Bm25Index) -> DataFrame:
@@ -88,14 +103,28 @@ def postings(index: Bm25Index) -> DataFrame:
     return exploded.groupBy("term", index.item_id, "doc_len").agg(F.count("*").alias("tf"))
 
 
-def query_terms(queries: DataFrame, index: Bm25Index, query_id: str, text: str) -> DataFrame:
+def weights_of(asked: DataFrame, index: Bm25Index, broadcast_rows: int) -> DataFrame:
+    """The rows of `index.terms` for the terms in `asked`.
+
+    A vocabulary grows with the corpus. Where the asked terms are few, which is checked, they go
+    to the vocabulary and it is read in place; otherwise both sides are shuffled by term.
+    """
+    wanted = asked.select("term").distinct()
+    if at_most(wanted, broadcast_rows):
+        wanted = F.broadcast(wanted)
+    return index.terms.join(wanted, "term", "left_semi")
+
+
+def query_terms(
+    queries: DataFrame, index: Bm25Index, query_id: str, text: str, broadcast_rows: int
+) -> DataFrame:
     """(query, term, weight): weight is idf times how often the query repeats the term."""
     asked = (
         queries.select(query_id, F.explode(tokens(F.col(text))).alias("term"))
         .groupBy(query_id, "term")
         .agg(F.count("*").alias("times"))
     )
-    return asked.join(index.terms, "term").select(
+    return asked.join(weights_of(asked, index, broadcast_rows), "term").select(
         query_id, "term", (F.col("idf") * F.col("times")).alias("weight")
     )
 
@@ -158,12 +187,13 @@ def bm25_top_k(
     stats = index.stats.first()
     avg_len = stats["avg_len"] or 1.0
     k1, b = settings.bm25_k1, settings.bm25_b
-    terms = query_terms(queries, index, query_id, text)
+    rows = broadcast_rows if broadcast_rows is not None else settings.broadcast_rows
+    terms = query_terms(queries, index, query_id, text, rows)
     return best_per_query(
         terms,
         index.docs.select(index.item_id, "tokens"),
         lambda block: Bm25Scorer(block, avg_len, k1, b, with_zero),
         k,
-        broadcast_rows if broadcast_rows is not None else settings.broadcast_rows,
+        rows,
         rank=rank,
     )

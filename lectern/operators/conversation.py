@@ -261,7 +261,7 @@ def confusion_rate(
 def last_n_turns(history: DataFrame, turns: int = DEFAULTS.history_turns) -> DataFrame:
     """The newest 2 x `turns` messages of every session; `position` counts from the oldest."""
     newest = [F.col("created_at").desc(), F.col("id").desc()]
-    kept = top_k(history, ["session_id"], newest, 2 * turns, "_age", fan_in=8)
+    kept = top_k(history, ["session_id"], newest, 2 * turns, "_age", spread_by="id")
     # the k newest rows per session are few, so turning the order round is cheap
     oldest = [F.col("created_at").asc(), F.col("id").asc()]
     return top_k(kept, ["session_id"], oldest, 2 * turns, "position").drop("_age")

@@ -19,17 +19,19 @@ def top_k(
     order: Sequence[Column],
     k: int,
     rank: str = "rank",
-    fan_in: int = 1,
+    spread_by: str | None = None,
+    slices: int = 16,
 ) -> DataFrame:
     """The first `k` rows of every key in `order`, with their 1-based rank.
 
-    Spark cuts each input partition to k rows per key before the shuffle. With `fan_in` > 1 a
-    first round runs on that many random slices of each key, so a key that every partition
-    holds does not send all their survivors to one task.
+    Spark cuts each input partition to k rows per key before the shuffle. With `spread_by`, a
+    first round runs on slices of each key, made by a hash of that column, so a key that every
+    partition holds does not send all their survivors to one task. (A hash, not a random
+    number: a task that is run again must deal its rows out the same way.)
     """
-    if fan_in > 1:
-        spread = df.withColumn("_slice", (F.rand(7) * fan_in).cast("int"))
-        df = top_k(spread, [*keys, "_slice"], order, k, "_in_slice").drop("_slice", "_in_slice")
+    if spread_by is not None:
+        dealt = df.withColumn("_slice", F.pmod(F.xxhash64(spread_by), F.lit(slices)))
+        df = top_k(dealt, [*keys, "_slice"], order, k, "_in_slice").drop("_slice", "_in_slice")
     numbered = F.row_number().over(W.partitionBy(*_keys(keys)).orderBy(*order))
     return df.withColumn(rank, numbered).filter(F.col(rank) <= k)
 

@@ -21,7 +21,7 @@ from lectern.config import DEFAULTS, PASSAGE_RULE, Settings
 from lectern.functions.jsonops import parse_rewrites
 from lectern.functions.text import bind, split_sentences, tokens
 from lectern.functions.vectors import Embedder, embed, sentence_similarity
-from lectern.operators.bm25 import Bm25Index, bm25_top_k
+from lectern.operators.bm25 import Bm25Index, bm25_top_k, weights_of
 from lectern.operators.ranking import dedupe_by_prefix, ordered_union, top_k
 from lectern.operators.vector_search import vector_top_k
 from lectern.session import at_most
@@ -163,7 +163,12 @@ def retrieval_totals(stats: DataFrame) -> DataFrame:
 # ---- reranking and grading ---------------------------------------------------------------
 
 
-def term_overlap_scorer(questions: DataFrame, index: Bm25Index, question: str = "question") -> PairScorer:
+def term_overlap_scorer(
+    questions: DataFrame,
+    index: Bm25Index,
+    question: str = "question",
+    broadcast_rows: int = DEFAULTS.broadcast_rows,
+) -> PairScorer:
     """Default pair score: the share of a question's idf weight that a text contains (0 to 1)."""
     asked = questions.select(
         "question_id", F.explode(F.array_distinct(tokens(F.col(question)))).alias("term")
@@ -171,8 +176,9 @@ def term_overlap_scorer(questions: DataFrame, index: Bm25Index, question: str =
     n_docs = index.stats.select("n_docs").scalar()
     df = F.coalesce(F.col("df"), F.lit(0))
     weight = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    known = weights_of(asked, index, broadcast_rows).select("term", "df")
     weighed = (
-        asked.join(index.terms.select("term", "df"), "term", "left")
+        asked.join(known, "term", "left")
         .select("question_id", "term", weight.alias("weight"))
         .groupBy("question_id")
         .agg(
@@ -182,16 +188,17 @@ def term_overlap_scorer(questions: DataFrame, index: Bm25Index, question: str =
     )
 
     def score(pairs: DataFrame) -> DataFrame:
-        found = F.aggregate(
-            F.filter("_terms", lambda t: F.array_contains("_tokens", t["term"])),
-            F.lit(0.0),
-            lambda acc, t: acc + t["weight"],
-        )
-        joined = pairs.withColumn("_tokens", tokens(F.col("chunk_text"))).join(
-            weighed, "question_id", "left"
+        joined = pairs.join(weighed, "question_id", "left")
+        shared = F.array_intersect(
+            F.transform("_terms", lambda t: t["term"]), tokens(F.col("chunk_text"))
         )
-        share = F.round(F.coalesce(found / F.col("_total"), F.lit(0.0)), 6)
-        return joined.withColumn("score", share).drop("_tokens", "_terms", "_total")
+
+        def weigh(found: Column) -> Column:
+            kept = F.filter("_terms", lambda t: F.array_contains(found, t["term"]))
+            return F.aggregate(kept, F.lit(0.0), lambda acc, t: acc + t["weight"])
+
+        share = F.round(F.coalesce(bind(shared, weigh) / F.col("_total"), F.lit(0.0)), 6)
+        return joined.withColumn("score", share).drop("_terms", "_total")
 
     return score
 

@@ -149,11 +149,11 @@ def test_dedupe_by_prefix(spark):
     assert whole.count() == 4
 
 
-def test_top_k_with_fan_in(spark):
+def test_top_k_in_slices(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     order = [F.col("v").desc()]
     plain = ranking.top_k(df, ["k"], order, 4).collect()
-    spread = ranking.top_k(df, ["k"], order, 4, fan_in=5).collect()
+    spread = ranking.top_k(df, ["k"], order, 4, spread_by="v", slices=5).collect()
     assert sorted(map(tuple, plain)) == sorted(map(tuple, spread))
 
 
