@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 
 from checks import query
 from checks.scalars import most_hits_sql, strip_sql
-from checks.tables import FILES_SQL, documents, files, table, with_ctes
+from checks.tables import FILES_SQL, documents, files, shared_folder, table, with_ctes
 from lectern.config import DEFAULTS, Settings
 from lectern.functions import language, text
 from lectern.functions.vectors import embed, has_length
 from lectern.operators.chunks import explode_chunks, with_chunk_id
 from lectern.plans import lake
-from lectern.schemas import CHUNK_INDEX, conform
+from lectern.schemas import CHUNK_INDEX, GOLD, conform
 from lectern.sources.landing import extract_documents
-from lectern.sources.layers import scan_corpus
+from lectern.sources.layers import read_layer, scan_corpus, write_increment
 from lectern.sources.upsert import replace_documents, upsert
 
 SMALL = Settings(chunk_size=300, chunk_overlap=50)
@@ -259,6 +259,36 @@ def extract_presentations(spark, sf_dir):
     return read.select("path", "filename", F.md5("raw_text").alias("digest"), "error")
 
 
+def slide_text_sql() -> str:
+    """Documents as the text of their presentation, named the way the pipeline names them."""
+    head, tail = SLIDE_SQL.rsplit("SELECT concat(", 1)
+    return head + (
+        "SELECT doc_id, string_agg(concat('[Slide ', i, ']', chr(10), body), chr(10) || chr(10) ORDER BY i) "
+        "FILTER (WHERE body <> '') AS raw_text FROM slides GROUP BY doc_id"
+    )
+
+
+@query(
+    "run_layers",
+    with_ctes(
+        f""", {chunks_sql('decks', 'doc_id', "coalesce(raw_text, '')", DEFAULTS)}
+SELECT concat('landing/', c.doc_id, '/deck.PPTX') AS path, c.chunk_pos, md5(c.chunk_text) AS digest, 'deck' AS professor,
+  {most_hits_sql(strip_sql('substring(d.raw_text, 1, 800)'), language.SUBJECT_WORDS, 'Unknown')} AS subject,
+  {most_hits_sql(strip_sql('substring(d.raw_text, 1, 500)'), language.STOP_WORDS, 'unknown')} AS language,
+  len(string_split_regex(d.raw_text, '\s+')) AS word_count
+FROM chunks c JOIN decks d USING (doc_id)""",
+        decks=slide_text_sql(),
+    ),
+)
+def run_layers(spark, sf_dir):
+    paths = lake.LakePaths.under(shared_folder(spark))
+    lake.run_layers(as_presentations(documents(spark, sf_dir)), paths)
+    gold = read_layer(spark, paths.gold, GOLD)
+    return gold.select(
+        "path", "chunk_pos", F.md5("chunk_text").alias("digest"), "professor", "subject", "language", "word_count"
+    )
+
+
 # ---- index -------------------------------------------------------------------------------
 
 
@@ -275,8 +305,8 @@ def index_of(rows, hours: int):
 
 INDEX_CTES = {
     "old": "SELECT doc_id AS chunk_id, concat(source, '_', lang) AS path, text AS document, 0 AS h FROM documents",
-    "new": "SELECT doc_id AS chunk_id, concat(source, '_', lang) AS path, upper(text) AS document, 1 AS h FROM documents WHERE lang = 'fr' "
-    "UNION ALL SELECT doc_id, concat(source, '_', lang), lower(text), 2 FROM documents WHERE lang = 'fr' AND n_chars < 2000",
+    "new": "SELECT doc_id AS chunk_id, concat(source, '_', lang) AS path, concat('v1 ', text) AS document, 1 AS h FROM documents WHERE lang = 'fr' "
+    "UNION ALL SELECT doc_id, concat(source, '_', lang), concat('v2 ', text), 2 FROM documents WHERE lang = 'fr' AND n_chars < 2000",
     "newest": "SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY h DESC) = 1",
 }
 
@@ -284,8 +314,8 @@ INDEX_CTES = {
 def loads(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     french = docs.filter(F.col("lang") == "fr")
-    new = index_of(french.withColumn("text", F.upper("text")), 1).unionByName(
-        index_of(french.filter("n_chars < 2000").withColumn("text", F.lower("text")), 2)
+    new = index_of(french.withColumn("text", F.concat(F.lit("v1 "), "text")), 1).unionByName(
+        index_of(french.filter("n_chars < 2000").withColumn("text", F.concat(F.lit("v2 "), "text")), 2)
     )
     return index_of(docs, 0), new
 
@@ -316,3 +346,34 @@ def replaced(spark, sf_dir):
     old, new = loads(spark, sf_dir)
     merged = replace_documents(old, new)
     return merged.select("chunk_id", "path", F.md5("document").alias("digest"))
+
+
+@query(
+    "index_load",
+    with_ctes(
+        f""", {chunks_sql('files', 'doc_id', 'raw_text', SMALL)},
+again AS (SELECT doc_id, chunk_pos, chunk_text FROM chunks JOIN files USING (doc_id) WHERE lang <> 'fr')
+SELECT concat('landing/', doc_id) AS path, md5(string_agg(chunk_text, '|' ORDER BY chunk_pos)) AS digest, count(*) AS chunks
+FROM again GROUP BY doc_id""",
+        files=FILES_SQL,
+    ),
+)
+def index_load(spark, sf_dir):
+    """All documents are loaded; then the French ones come again, emptied, and lose their chunks."""
+    index = f"{shared_folder(spark)}/index"
+    silver = lake.build_silver(files(spark, sf_dir))
+    gold = lake.build_gold(silver, settings=SMALL)
+    lake.index_load(spark, gold, index)
+    french = table(spark, sf_dir, "documents").filter("lang = 'fr'").select(
+        F.concat(F.lit("landing/"), F.col("doc_id").cast("string")).alias("path")
+    )
+    emptied = conform(french.withColumn("chunk_id", F.xxhash64("path")).withColumn("document", F.lit("")), CHUNK_INDEX)
+    write_increment(emptied, index, 0)
+    rows = lake.read_index(spark, index).filter(F.length("document") > 0).join(
+        gold.select("chunk_id", "chunk_pos"), "chunk_id"
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_pos", "document")))
+    return rows.groupBy("path").agg(
+        F.md5(F.array_join(F.transform(ordered, lambda x: x["document"]), "|")).alias("digest"),
+        F.count("*").alias("chunks"),
+    )

@@ -12,6 +12,7 @@ from lectern.operators import bm25, ranking, retrieval
 from lectern.operators.chunks import with_embedding
 from lectern.operators.vector_search import vector_top_k
 from lectern.plans import search
+from lectern.plans.evaluate import evaluate
 from lectern.session import cut_lineage
 
 # ---- SQL ---------------------------------------------------------------------------------
@@ -288,6 +289,34 @@ def trace_answers(spark, sf_dir):
     return shown_answers(search.trace(questions(spark, sf_dir), corpus(spark, sf_dir)).answers)
 
 
+# The passages themselves are the questions, so every verdict expected is "correct"; answers are
+# known for the questions of more than 150 characters.
+@query(
+    "evaluate",
+    search_sql(
+        "SELECT b.text AS question, 'in_scope' AS category, g.grade AS obtained_verdict, g.max_score AS top_score, "
+        "g.grade = 'correct' AS match, CAST(coalesce(c.n, 0) AS BIGINT) AS num_sources, "
+        "CASE WHEN g.grade <> 'incorrect' AND length(b.text) > 150 THEN concat('So: ', b.text) END AS answer, coalesce(c.contexts, '') AS contexts, "
+        "CASE WHEN g.grade <> 'incorrect' AND length(b.text) <= 150 THEN 'no answer or no context, so not judged' END AS error "
+        "FROM benchmark b JOIN grades g ON g.question_id = b.item_id LEFT JOIN (SELECT question_id, count(*) AS n, "
+        "md5(string_agg(compressed, '|' ORDER BY rank)) AS contexts FROM compressed GROUP BY question_id) c ON c.question_id = b.item_id"
+    ),
+)
+def evaluation_run(spark, sf_dir):
+    asked = questions(spark, sf_dir).withColumns(
+        {"category": F.lit("in_scope"), "expected_verdict": F.lit("correct")}
+    )
+    answers = asked.filter(F.length("question") > 150).select(
+        "question_id", F.concat(F.lit("So: "), "question").alias("answer")
+    )
+    rows = evaluate(asked, corpus(spark, sf_dir), answers)
+    texts = F.when(F.size("context_texts") > 0, F.md5(F.array_join("context_texts", "|"))).otherwise("")
+    return rows.select(
+        "question", "category", "obtained_verdict", "top_score", "match",
+        F.col("num_sources").cast("bigint").alias("num_sources"), "answer", texts.alias("contexts"), "error",
+    )
+
+
 PLAIN_SQL = (
     "SELECT b.item_id AS question_id, 'correct' AS grade, md5(coalesce(c.context, '')) AS context, coalesce(c.sources, '') AS sources "
     "FROM benchmark b LEFT JOIN (SELECT question_id, string_agg(text, {rule} ORDER BY rank) AS context, "

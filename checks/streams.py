@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +14,15 @@ from checks.tables import (
     conversation_sql,
     requests,
     retrieval_log,
+    shared_folder,
     table,
     with_ctes,
 )
-from lectern.session import ensure_checkpoint_dir
 from lectern.sources.logs import read_history, read_retrievals
 from lectern.streaming import conversation as live
 from lectern.streaming import tokens
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder every executor can reach."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
-
-
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = table(spark, sf_dir, name).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")

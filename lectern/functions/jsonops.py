@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.text import strip
+from lectern.functions.text import bind, strip
 from lectern.schemas import QUIZ_PAYLOAD
 
 # Strict JSON: quotes must be double quotes.
@@ -82,23 +82,27 @@ def checked_type() -> str:
 def validate_question(q: Column) -> Column:
     """A clean question struct, or null when the item breaks a rule."""
     question = strip(q["question"])
-    options = F.filter(
-        F.transform(q["options"], lambda o: strip(o)), lambda o: o.isNotNull() & (o != "")
-    )
     index = F.trim(q["correct_index"]).try_cast("int")
-    valid = (
-        (F.length(question) > 0)
-        & (F.size(q["options"]) >= 2)
-        & (F.size(options) >= 2)
-        & (index >= 0)
-        & (index < F.size(options))
-    )
-    return F.when(
-        valid,
-        F.struct(
-            question.alias("question"),
-            options.alias("options"),
-            index.alias("correct_index"),
-            F.coalesce(strip(q["explanation"]), F.lit("")).alias("explanation"),
-        ),
+    cleaned = F.filter(
+        F.transform(q["options"], lambda o: strip(o)), lambda o: o.isNotNull() & (o != "")
     )
+
+    def check(options: Column) -> Column:
+        valid = (
+            (F.length(question) > 0)
+            & (F.size(q["options"]) >= 2)
+            & (F.size(options) >= 2)
+            & (index >= 0)
+            & (index < F.size(options))
+        )
+        return F.when(
+            valid,
+            F.struct(
+                question.alias("question"),
+                options.alias("options"),
+                index.alias("correct_index"),
+                F.coalesce(strip(q["explanation"]), F.lit("")).alias("explanation"),
+            ),
+        )
+
+    return bind(cleaned, check)
