@@ -275,7 +275,7 @@ def slide_text_sql() -> str:
 SELECT concat('landing/', c.doc_id, '/deck.PPTX') AS path, c.chunk_pos, md5(c.chunk_text) AS digest, 'deck' AS professor,
   {most_hits_sql(strip_sql('substring(d.raw_text, 1, 800)'), language.SUBJECT_WORDS, 'Unknown')} AS subject,
   {most_hits_sql(strip_sql('substring(d.raw_text, 1, 500)'), language.STOP_WORDS, 'unknown')} AS language,
-  len(string_split_regex(d.raw_text, '\s+')) AS word_count
+  len(string_split_regex(d.raw_text, '\\s+')) AS word_count
 FROM chunks c JOIN decks d USING (doc_id)""",
         decks=slide_text_sql(),
     ),

@@ -55,16 +55,26 @@ def reply_join(
     ).drop("_bucket")
 
 
+def _query_key(c: Column, query_chars: int | None) -> Column:
+    return c if query_chars is None else F.substring(c, 1, query_chars)
+
+
 def question_reply_pairs(
     history: DataFrame,
     as_of: dt.datetime,
     days: int,
     phrases: Sequence[str] | None = None,
     seconds: int = DEFAULTS.reply_window_seconds,
+    question_chars: int | None = None,
 ) -> DataFrame:
-    """Recent questions with their replies; with `phrases`, only replies that contain one."""
+    """Recent questions with their replies; with `phrases`, only replies that contain one.
+
+    `question_chars` cuts the question before the join, where a caller needs no more of it.
+    """
     since = recent(F.col("created_at"), as_of, days)
-    asked = history.filter((F.col("role") == "user") & since)
+    asked = history.filter((F.col("role") == "user") & since).withColumn(
+        "content", _query_key(F.col("content"), question_chars)
+    )
     # a reply is younger than its question, so the same bound prunes this side too
     replies = history.filter((F.col("role") == "assistant") & since)
     if phrases is not None:
@@ -72,10 +82,6 @@ def question_reply_pairs(
     return reply_join(asked, replies, seconds)
 
 
-def _query_key(c: Column, query_chars: int | None) -> Column:
-    return c if query_chars is None else F.substring(c, 1, query_chars)
-
-
 def subject_or_unknown(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(NO_SUBJECT))
 
@@ -117,13 +123,11 @@ def confusion_heatmap(
     counts each question once per subject. Both sides are counted per session and question text
     first, so the product is a sum of products and its rows are never written out.
     """
-    pairs = question_reply_pairs(history, as_of, days, phrases)
+    pairs = question_reply_pairs(history, as_of, days, phrases, question_chars=query_chars)
     if distinct_questions:
         pairs = pairs.select("session_id", "question_id", "question", "asked_at").distinct()
     asked = pairs.groupBy(
-        "session_id",
-        _query_key(F.col("question"), query_chars).alias("query"),
-        F.to_date("asked_at").alias("day"),
+        "session_id", F.col("question").alias("query"), F.to_date("asked_at").alias("day")
     ).agg(F.count("*").alias("asked"))
     logged = log.groupBy(
         "session_id", "query", subject_or_unknown(F.col("subject")).alias("subject")
@@ -261,7 +265,7 @@ def confusion_rate(
 def last_n_turns(history: DataFrame, turns: int = DEFAULTS.history_turns) -> DataFrame:
     """The newest 2 x `turns` messages of every session; `position` counts from the oldest."""
     newest = [F.col("created_at").desc(), F.col("id").desc()]
-    kept = top_k(history, ["session_id"], newest, 2 * turns, "_age", spread_by="id")
+    kept = top_k(history, ["session_id"], newest, 2 * turns, "_age")
     # the k newest rows per session are few, so turning the order round is cheap
     oldest = [F.col("created_at").asc(), F.col("id").asc()]
     return top_k(kept, ["session_id"], oldest, 2 * turns, "position").drop("_age")

@@ -13,12 +13,13 @@ from lectern.operators.blocks import best_per_query
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of a list column as unit vectors."""
+    """Rows of a list column as unit vectors; a zero vector becomes NaN, which is never found."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(column), -1)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms == 0, np.nan, norms)
 
 
 class CosineScorer:
@@ -47,5 +48,5 @@ def vector_top_k(
     Zero vectors stand for failed embeddings; they are neither searched for nor found.
     """
     asked = queries.filter(has_length(F.col(vector))).select(query_id, vector)
-    items = corpus.filter(has_length(F.col(vector))).select(item_id, vector)
+    items = corpus.filter(F.col(vector).isNotNull()).select(item_id, vector)
     return best_per_query(asked, items, CosineScorer, k, broadcast_rows, rank=rank)
