@@ -187,40 +187,44 @@ def metric_means(spark, sf_dir):
     return ops.metric_means(scores, ["seq"], ["faithfulness", "answer_relevancy"])
 
 
-# The sources of a session are its turns; a score can be read where the text is long enough.
+# The sources of a document are its sentences; a score can be read where one is long enough.
 @query(
     "top_score",
-    """
-SELECT conv_id, max(CASE WHEN length(text) >= 50 THEN CAST(length(text) AS DOUBLE) / 100 END) AS top_score,
-       count(*) AS sources FROM conversations GROUP BY conv_id""",
+    f"""
+WITH s AS (SELECT doc_id, {sentences_sql('text')} AS s FROM documents)
+SELECT doc_id, list_max(list_transform(s, lambda x: CASE WHEN length(x) >= 50 THEN CAST(length(x) AS DOUBLE) / 100 END)) AS top_score,
+       len(s) AS sources FROM s""",
 )
 def top_score(spark, sf_dir):
-    score = F.when(F.length("text") >= 50, (F.length("text") / 100).cast("string")).otherwise("n/a")
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.collect_list(F.struct(score.alias("score"))).alias("s")
+    def source(sentence):
+        chars = F.length(sentence)
+        return F.struct(F.when(chars >= 50, (chars / 100).cast("string")).otherwise("n/a").alias("score"))
+
+    rows = documents(spark, sf_dir).select(
+        "doc_id", F.transform(split_sentences(F.col("text")), source).alias("s")
     )
-    return rows.select("conv_id", ops.top_score(F.col("s")).alias("top_score"), F.size("s").alias("sources"))
+    return rows.select("doc_id", ops.top_score(F.col("s")).alias("top_score"), F.size("s").alias("sources"))
 
 
 @query(
     "zip_judge_dataset",
-    """
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role AS question,
-       md5(text) AS answer, CAST(turn AS VARCHAR) AS contexts FROM conversations""",
+    f"""
+WITH s AS (SELECT doc_id, {sentences_sql('text')} AS s FROM documents)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, s[i] AS question, md5(s[i]) AS answer, concat(length(s[i]), ',', i - 1) AS contexts
+FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)""",
 )
 def zip_judge_dataset(spark, sf_dir):
-    item = F.struct("turn", "role", "text")
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(item)).alias("s")
-    )
-    lists = rows.select(
-        "conv_id",
-        F.transform("s", lambda x: x["role"]).alias("questions"),
-        F.transform("s", lambda x: x["text"]).alias("answers"),
-        F.transform("s", lambda x: F.array(x["turn"].cast("string"))).alias("contexts"),
+    cut = documents(spark, sf_dir).select("doc_id", split_sentences(F.col("text")).alias("questions"))
+    lists = cut.select(
+        "doc_id",
+        "questions",
+        F.transform("questions", lambda x: F.md5(x)).alias("answers"),
+        F.transform(
+            "questions", lambda x, i: F.array(F.length(x).cast("string"), i.cast("string"))
+        ).alias("contexts"),
     )
     return ops.zip_judge_dataset(lists).select(
-        "conv_id", F.col("pos").cast("bigint").alias("pos"), "question", F.md5("answer").alias("answer"),
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), "question", "answer",
         F.array_join("contexts", ",").alias("contexts"),
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lectern.config import DEFAULTS
 from lectern.functions.text import is_fallback
-from lectern.operators.conversation import NO_SUBJECT, subject_or_unknown
+from lectern.operators.conversation import NO_SUBJECT, reply_join, subject_or_unknown
 from lectern.sources.logs import append_retrievals, append_turns
 
 
@@ -24,32 +24,17 @@ def streaming_reply_join(
     phrases: Sequence[str] | None = None,
     seconds: int = DEFAULTS.reply_window_seconds,
 ) -> DataFrame:
-    """Question and reply pairs as they happen. The window bounds what each side keeps."""
-    asked = (
-        turns.filter(F.col("role") == "user")
-        .select(
-            F.col("session_id"),
-            F.col("id").alias("question_id"),
-            F.col("content").alias("question"),
-            F.col("created_at").alias("asked_at"),
-        )
-        .withWatermark("asked_at", delay)
-    )
+    """Question and reply pairs as they happen.
+
+    The window bounds how long either side is kept, and the time bucket in the join key spreads
+    the state of a busy session over the partitions.
+    """
+    turns = turns.withWatermark("created_at", delay)
+    asked = turns.filter(F.col("role") == "user")
     replies = turns.filter(F.col("role") == "assistant")
     if phrases is not None:
         replies = replies.filter(is_fallback(F.col("content"), phrases))
-    replies = replies.select(
-        F.col("session_id").alias("_session"),
-        F.col("id").alias("reply_id"),
-        F.col("content").alias("reply"),
-        F.col("created_at").alias("replied_at"),
-    ).withWatermark("replied_at", delay)
-    return asked.join(
-        replies,
-        (F.col("session_id") == F.col("_session"))
-        & (F.col("replied_at") > F.col("asked_at"))
-        & (F.col("replied_at") < F.col("asked_at") + F.expr(f"INTERVAL {seconds} SECONDS")),
-    ).drop("_session")
+    return reply_join(asked, replies, seconds)
 
 
 def streaming_heatmap(
