@@ -317,6 +317,28 @@ def evaluation_run(spark, sf_dir):
     )
 
 
+# A judge answers by the length of the question.
+@query(
+    "judged_grades",
+    search_sql(
+        "SELECT g.question_id, g.num_docs, g.max_score, CASE WHEN g.num_docs = 0 THEN 'incorrect' "
+        "WHEN length(b.text) % 4 = 0 THEN 'correct' WHEN length(b.text) % 4 = 1 THEN 'incorrect' ELSE 'ambiguous' END AS grade, "
+        "md5(p.passages) AS passages FROM grades g JOIN benchmark b ON b.item_id = g.question_id JOIN (SELECT question_id, "
+        f"string_agg(concat('[', rank, '] ', substring(text, 1, 400)), {RULE} ORDER BY rank) AS passages FROM ranked GROUP BY question_id) p "
+        "ON p.question_id = g.question_id"
+    ),
+)
+def judged_grades(spark, sf_dir):
+    asked, searched = questions(spark, sf_dir), corpus(spark, sf_dir)
+    candidates = retrieval.multi_query_candidates(retrieval.query_variants(asked), searched)
+    ranked = cut_lineage(retrieval.rerank(candidates, retrieval.term_overlap_scorer(asked, searched.bm25)))
+    kind = F.length("question") % 4
+    reply = F.when(kind == 0, "Yes, they do.").when(kind == 1, " no").when(kind == 2, "Partial")
+    verdicts = asked.select("question_id", reply.alias("verdict"))
+    shown = retrieval.judge_requests(ranked).withColumn("passages", F.md5("passages"))
+    return retrieval.grade_by_verdict(asked, ranked, verdicts).join(shown, "question_id")
+
+
 PLAIN_SQL = (
     "SELECT b.item_id AS question_id, 'correct' AS grade, md5(coalesce(c.context, '')) AS context, coalesce(c.sources, '') AS sources "
     "FROM benchmark b LEFT JOIN (SELECT question_id, string_agg(text, {rule} ORDER BY rank) AS context, "

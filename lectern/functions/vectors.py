@@ -130,3 +130,24 @@ def sentence_similarity(
             )
 
     return similarity(question, sentences)
+
+
+class PairModel(Protocol):
+    def predict(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
+def pair_score(question: Column, text: Column, model: PairModel) -> Column:
+    """Score of each (question, text) pair; null for a batch in which the model fails."""
+
+    @F.pandas_udf(T.DoubleType())
+    def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for asked, texts in batches:
+            pairs = list(zip(asked.fillna(""), texts.fillna("")))
+            try:
+                scores = [float(s) for s in model.predict(pairs)]
+            except Exception:  # a missing score is graded ambiguous, it does not end the job
+                scores = [None] * len(pairs)
+            yield pd.Series(scores, index=asked.index, dtype="float64")
+
+    # a model gives NaN for a pair it cannot score
+    return F.nanvl(predict(question, text), F.lit(None).cast("double"))

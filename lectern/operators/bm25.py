@@ -195,5 +195,7 @@ def bm25_top_k(
         lambda block: Bm25Scorer(block, avg_len, k1, b, with_zero),
         k,
         rows,
+        # a row holds a whole text, so a cell of the shuffled form takes fewer of them
+        shard_rows=settings.shard_rows // 5,
         rank=rank,
     )

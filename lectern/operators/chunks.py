@@ -11,13 +11,20 @@ from lectern.functions.vectors import Embedder, embed, has_length
 
 
 def explode_chunks(
-    documents: DataFrame, text: str = "raw_text", settings: Settings = DEFAULTS
+    documents: DataFrame,
+    text: str = "raw_text",
+    settings: Settings = DEFAULTS,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """One row per chunk with its place `chunk_pos`; a document without chunks has no row."""
+    """One row per chunk with its place `chunk_pos`; a document without chunks has no row.
+
+    The other columns are repeated; the whole text only with `keep_text`.
+    """
+    repeated = [c for c in documents.columns if keep_text or c != text]
     cut = add_overlap(recursive_chunk(F.col(text), settings.chunk_size), settings.chunk_overlap)
     chunks = drop_short(cut, settings.min_chunk_chars)
     return documents.select(
-        *documents.columns, F.posexplode(chunks).alias("chunk_pos", "chunk_text")
+        *repeated, F.posexplode(chunks).alias("chunk_pos", "chunk_text")
     ).filter(F.length(F.trim("chunk_text")) > settings.min_chunk_chars)
 
 

@@ -271,6 +271,15 @@ def last_n_turns(history: DataFrame, turns: int = DEFAULTS.history_turns) -> Dat
     return top_k(kept, ["session_id"], oldest, 2 * turns, "position").drop("_age")
 
 
+def load_history(
+    history: DataFrame, session_id: str, turns: int = DEFAULTS.history_turns
+) -> DataFrame:
+    """Role and text of one session's newest 2 x `turns` messages, oldest first."""
+    newest = [F.col("created_at").desc(), F.col("id").desc()]
+    kept = latest(history.filter(F.col("session_id") == session_id), newest, 2 * turns)
+    return kept.orderBy("created_at", "id").select("role", "content")
+
+
 def clear_history(history: DataFrame, cleared: DataFrame) -> DataFrame:
     """The history without the sessions in `cleared` (session_id, cleared_at).
 

@@ -19,8 +19,20 @@ from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS, PASSAGE_RULE, Settings
 from lectern.functions.jsonops import parse_rewrites
-from lectern.functions.text import bind, split_sentences, tokens
-from lectern.functions.vectors import Embedder, embed, sentence_similarity
+from lectern.functions.text import (
+    bind,
+    judge_passages,
+    parse_verdict,
+    split_sentences,
+    tokens,
+)
+from lectern.functions.vectors import (
+    Embedder,
+    PairModel,
+    embed,
+    pair_score,
+    sentence_similarity,
+)
 from lectern.operators.bm25 import Bm25Index, bm25_top_k, weights_of
 from lectern.operators.ranking import dedupe_by_prefix, ordered_union, top_k
 from lectern.operators.vector_search import vector_top_k
@@ -203,6 +215,18 @@ def term_overlap_scorer(
     return score
 
 
+def model_scorer(questions: DataFrame, model: PairModel, question: str = "question") -> PairScorer:
+    """Pair score of a model that reads question and text together."""
+    asked = questions.select("question_id", F.col(question).alias("_asked"))
+
+    def score(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(asked, "question_id")
+        scored = pair_score(F.col("_asked"), F.col("chunk_text"), model)
+        return joined.withColumn("score", scored).drop("_asked")
+
+    return score
+
+
 def no_model_scorer(pairs: DataFrame) -> DataFrame:
     """Stands in for a missing model: no score, retrieval order kept."""
     return pairs.withColumn("score", F.lit(None).cast("double"))
@@ -246,6 +270,26 @@ def grade_by_score(
     )
 
 
+def judge_requests(ranked: DataFrame) -> DataFrame:
+    """(question, passages): what a judge model is shown of each question's ranked passages."""
+    listed = F.array_sort(F.collect_list(F.struct("rank", "chunk_text")))
+    texts = F.transform(listed, lambda x: x["chunk_text"])
+    return ranked.groupBy("question_id").agg(judge_passages(texts).alias("passages"))
+
+
+def grade_by_verdict(questions: DataFrame, ranked: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """`grade_by_score` with a judge's replies (question_id, verdict) in place of thresholds.
+
+    A question without passages is incorrect, one without a readable reply ambiguous.
+    """
+    said = verdicts.select("question_id", parse_verdict(F.col("verdict")).alias("_said"))
+    graded = grade_by_score(questions, ranked).join(said, "question_id", "left")
+    judged = F.when(F.col("num_docs") == 0, "incorrect").otherwise(
+        F.coalesce("_said", F.lit("ambiguous"))
+    )
+    return graded.withColumn("grade", judged).drop("_said")
+
+
 # ---- compression and assembly ------------------------------------------------------------
 
 

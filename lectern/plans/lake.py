@@ -13,7 +13,15 @@ from lectern.functions.language import detect_language, keyword_subject, subject
 from lectern.functions.text import doc_type, parse_filename, word_count
 from lectern.functions.vectors import Embedder
 from lectern.operators.chunks import explode_chunks, with_chunk_id, with_embedding
-from lectern.schemas import BRONZE, CHUNK_INDEX, GOLD, METADATA, SILVER, conform
+from lectern.schemas import (
+    BRONZE,
+    CHUNK_INDEX,
+    GOLD,
+    GOLD_WITH_TEXT,
+    METADATA,
+    SILVER,
+    conform,
+)
 from lectern.sources.landing import EXTRACTORS, Extractor, extract_documents, read_landing
 from lectern.sources.layers import (
     current,
@@ -47,11 +55,14 @@ def build_silver(bronze: DataFrame, classifier=keyword_subject) -> DataFrame:
 
 
 def build_gold(
-    silver: DataFrame, embedder: Embedder | None = None, settings: Settings = DEFAULTS
+    silver: DataFrame,
+    embedder: Embedder | None = None,
+    settings: Settings = DEFAULTS,
+    keep_text: bool = False,
 ) -> DataFrame:
     """One row per chunk with id and vector. Files that could not be read are left out."""
     readable = silver.filter(F.col("error").isNull()) if "error" in silver.columns else silver
-    chunks = with_chunk_id(explode_chunks(readable, "raw_text", settings))
+    chunks = with_chunk_id(explode_chunks(readable, "raw_text", settings, keep_text))
     return with_embedding(chunks, embedder)
 
 
@@ -73,6 +84,7 @@ def run_layers(
     classifier=keyword_subject,
     embedder: Embedder | None = None,
     settings: Settings = DEFAULTS,
+    keep_text: bool = False,
 ) -> dict[str, int]:
     """Write the three layers, each from the stored one before it, and return the counts.
 
@@ -90,10 +102,10 @@ def run_layers(
         build_silver(bronze, classifier).observe(seen["silver"], rows), paths.silver, SILVER
     )
     write_layer(
-        build_gold(silver, embedder, settings).observe(
+        build_gold(silver, embedder, settings, keep_text).observe(
             seen["gold"], rows, F.count_if("embed_ok").alias("embedded")
         ),
-        paths.gold, GOLD,
+        paths.gold, GOLD_WITH_TEXT if keep_text else GOLD,
     )
     return {
         "documents": seen["bronze"].get["rows"],

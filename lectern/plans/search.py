@@ -18,6 +18,7 @@ from lectern.operators.retrieval import (
     compress,
     compression_stats,
     grade_by_score,
+    grade_by_verdict,
     hybrid_candidates,
     merge_candidates,
     multi_query_candidates,
@@ -67,19 +68,24 @@ def retrieve_multistage(
     corpus: SearchCorpus,
     scorer: PairScorer | None = None,
     variants: DataFrame | None = None,
+    verdicts: DataFrame | None = None,
 ) -> DataFrame:
     """question_id, question, num_docs, top_score, grade, context, sources.
 
     `questions` has question_id, question and, unless `variants` is given, raw_rewrites and
     pseudo_answer. Only reranked rows of questions that pass the grade reach compression, the
-    costly stage. `top_score` is kept for refused questions too.
+    costly stage. `top_score` is kept for refused questions too. With `verdicts`, a judge's replies
+    to `judge_requests`, those grade the questions instead of the score thresholds.
     """
     variants = variants if variants is not None else query_variants(questions)
     candidates = multi_query_candidates(variants, corpus)
     ranked = rerank(candidates, _scorer(questions, corpus, scorer), corpus.settings.rerank_k)
     # both the grades and the passages read these few rows; the corpus is scanned once for them
     ranked = cut_lineage(ranked)
-    graded = grade_by_score(questions, ranked, settings=corpus.settings)
+    if verdicts is not None:
+        graded = grade_by_verdict(questions, ranked, verdicts)
+    else:
+        graded = grade_by_score(questions, ranked, settings=corpus.settings)
     passed = graded.filter(F.col("grade") != "incorrect").select("question_id")
     relevant = _with_question(ranked.join(passed, "question_id"), questions)
     compressed = compress(relevant, "question", corpus.embedder, corpus.settings)

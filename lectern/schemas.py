@@ -33,14 +33,18 @@ SILVER = extend(
     doc_type=_STRING,
 )
 
-GOLD = extend(
-    SILVER,
-    chunk_text=_STRING,
-    chunk_pos=_INT,
-    chunk_id=_LONG,
-    embedding=_VECTOR,
-    embed_ok=_BOOL,
-)
+_CHUNK = {
+    "chunk_text": _STRING,
+    "chunk_pos": _INT,
+    "chunk_id": _LONG,
+    "embedding": _VECTOR,
+    "embed_ok": _BOOL,
+}
+
+# The whole text stays in silver: repeated for every chunk it would grow with the square of a
+# document's length. GOLD_WITH_TEXT is the shape that does repeat it.
+GOLD_WITH_TEXT = extend(SILVER, **_CHUNK)
+GOLD = T.StructType([f for f in GOLD_WITH_TEXT.fields if f.name != "raw_text"])
 
 METADATA = table(
     filename=_STRING,

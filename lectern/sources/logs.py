@@ -17,14 +17,16 @@ ROLES = ("user", "assistant")
 
 
 def _store(df: DataFrame, ts: str, path: str, batch: int | None) -> None:
-    """One directory per day, so that time windows read few of them.
+    """One directory per day, so that time windows read few of them, and sorted by session.
 
     Rows of a micro-batch go to a directory of their own that a repeated batch replaces, so a
     batch that is run again after a failure leaves no row twice.
     """
     mode, target = ("append", path) if batch is None else ("overwrite", f"{path}/batch={batch}")
-    rows = df.withColumn("day", F.to_date(ts))
-    rows.write.mode(mode).partitionBy("day").parquet(target)
+    # rebalancing gathers a day's rows into few files and still splits a day that is too large
+    rows = df.withColumn("day", F.to_date(ts)).hint("rebalance", F.col("day"))
+    ordered = rows.sortWithinPartitions("day", "session_id", ts)
+    ordered.write.mode(mode).partitionBy("day").parquet(target)
 
 
 def turns(df: DataFrame) -> DataFrame:

@@ -107,6 +107,7 @@ def test_last_turns(spark):
     rows = ops.last_n_turns(h).filter("session_id = 's'").orderBy("position").collect()
     assert [r["content"] for r in rows] == [str(i) for i in range(10, 30)]
     assert [r["position"] for r in rows] == list(range(1, 21))
+    assert [r["content"] for r in ops.load_history(h, "s", 2).collect()] == ["26", "27", "28", "29"]
 
 
 def test_top_chunks_by_text_and_by_id(spark):

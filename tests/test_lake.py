@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.ingest import presentation
 from lectern.config import Settings
 from lectern.plans import lake
-from lectern.schemas import CHUNK_INDEX, GOLD, conform
+from lectern.schemas import CHUNK_INDEX, GOLD, GOLD_WITH_TEXT, conform
 from lectern.sources import landing, layers
 from lectern.sources.upsert import replace_documents, upsert
 from lectern.streaming.landing import watch_landing
@@ -77,6 +77,12 @@ def test_pipeline_and_index(spark, landing_dir, tmp_path):
     assert first.select("metadata.subject").distinct().count() == 2
 
 
+def test_gold_can_repeat_the_text(spark, landing_dir, tmp_path):
+    lake.run_pipeline(spark, landing_dir, str(tmp_path), keep_text=True)
+    gold = layers.read_layer(spark, f"{tmp_path}/gold", GOLD_WITH_TEXT)
+    assert gold.filter(F.col("raw_text").contains(LINE)).count() == gold.count() > 0
+
+
 def test_empty_landing_is_a_no_op(spark, tmp_path):
     (tmp_path / "landing").mkdir()
     counts = lake.run_pipeline(spark, str(tmp_path / "landing"), str(tmp_path / "lake"))

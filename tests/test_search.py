@@ -224,3 +224,32 @@ def test_simple_always_answers(spark, chunks, index):
     got = {r["question_id"]: r for r in search.retrieve_simple(asked, corpus).collect()}
     assert len(got[1]["sources"]) == 5 and got[1]["context"].count("\n\n---\n\n") == 4
     assert got[2]["grade"] == "correct" and got[2]["context"] == ""
+
+
+class Overlap:
+    def predict(self, pairs):
+        return [len(set(q.split()) & set(t.split())) / 10 for q, t in pairs]
+
+
+class Broken:
+    def predict(self, pairs):
+        raise RuntimeError("no model")
+
+
+def test_pair_models(spark, chunks, index):
+    corpus = retrieval.SearchCorpus(chunks, index)
+    asked = spark.createDataFrame([(1, "a loop repeats", None, None)], "question_id long, question string, raw_rewrites string, pseudo_answer string")
+    good = search.retrieve_multistage(asked, corpus, retrieval.model_scorer(asked, Overlap())).first()
+    assert good["top_score"] == 0.3 and good["sources"][0]["chunk_id"] == 0
+    broken = search.retrieve_multistage(asked, corpus, retrieval.model_scorer(asked, Broken())).first()
+    assert broken["grade"] == "ambiguous" and broken["top_score"] is None and broken["num_docs"] == 5
+
+
+def test_verdicts_replace_thresholds(spark, chunks, index):
+    corpus = retrieval.SearchCorpus(chunks, index)
+    rows = [(i, "a loop", None, None) for i in range(4)] + [(4, "", None, None)]
+    asked = spark.createDataFrame(rows, "question_id long, question string, raw_rewrites string, pseudo_answer string")
+    said = spark.createDataFrame([(0, "Yes"), (1, "no."), (2, "hm"), (4, "yes")], "question_id long, verdict string")
+    got = {r["question_id"]: r for r in search.retrieve_multistage(asked, corpus, verdicts=said).collect()}
+    assert [got[i]["grade"] for i in range(5)] == ["correct", "incorrect", "ambiguous", "ambiguous", "incorrect"]
+    assert got[1]["context"] == "" and got[0]["context"]
