@@ -25,8 +25,8 @@ from lectern.streaming import tokens
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = table(spark, sf_dir, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(sf_dir)
+    # as a pattern, the path may stand for one file or for a folder of files
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def run(spark: SparkSession, rows: DataFrame) -> DataFrame:

@@ -89,37 +89,42 @@ WHERE h.role = 'user' AND length(h.content) >= 60
 """
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per question: session_id, query, retrieved_at and the array of its sources."""
+def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per question and source: id, session_id, query, retrieved_at, source."""
     docs = table(spark, sf_dir, "documents")
     n_docs = docs.count()
     asked = history(spark, sf_dir).filter((F.col("role") == "user") & (F.length("content") >= 60))
-    hits = asked.select("*", F.posexplode(F.array(*[F.lit(13 * k) for k in range(5)])).alias("k", "step"))
-    described = docs.select(
-        F.col("doc_id"), F.col("text"),
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
-        F.col("source"), F.col("lang"),
+    steps = F.array(*[F.lit(13 * k) for k in range(5)])
+    hits = asked.select("*", F.posexplode(steps).alias("k", "step")).withColumn(
+        "doc_id", F.pmod(F.col("id") * 31 + F.col("step"), F.lit(n_docs))
     )
-    keyed = hits.withColumn("doc_id", F.pmod(F.col("id") * 31 + F.col("step"), F.lit(n_docs)))
     source = F.struct(
         "k",
         F.col("doc_id").cast("string").alias("chunk_id"),
         F.col("text").alias("chunk_text"),
-        "filename",
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
         F.col("source").alias("subject"),
         F.col("lang").alias("chapter"),
         ((100 - F.col("k") * 15).cast("double") / 100).alias("score"),
     )
-    return (
-        keyed.join(described, "doc_id")
-        .groupBy("id", "session_id", F.col("content").alias("query"),
-                 F.col("created_at").alias("retrieved_at"))
-        .agg(F.array_sort(F.collect_list(source)).alias("sources"))
+    return hits.join(docs, "doc_id").select(
+        "id", "session_id", F.col("content").alias("query"), F.col("created_at").alias("retrieved_at"),
+        source.alias("source"),
     )
 
 
 def retrieval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval_rows(requests(spark, sf_dir))
+    """The log of all requests, each noted source by source."""
+    return retrieval_rows(retrieved(spark, sf_dir).withColumn("sources", F.array("source")))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per question with the array of its five sources."""
+    return (
+        retrieved(spark, sf_dir)
+        .groupBy("id", "session_id", "query", "retrieved_at")
+        .agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    )
 
 
 FALLBACK_SQL = """(a.content ILIKE '%not covered%' OR a.content ILIKE '%haven%t covered%'
