@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from checks import query
 from checks.scalars import most_hits_sql, strip_sql
-from checks.tables import FILES_SQL, documents, files, shared_folder, table, with_ctes
+from checks.tables import FILES_SQL, documents, files, table, with_ctes
 from lectern.config import DEFAULTS, Settings
 from lectern.functions import language, text
 from lectern.functions.vectors import embed, has_length
 from lectern.operators.chunks import explode_chunks, with_chunk_id
 from lectern.plans import lake
 from lectern.schemas import CHUNK_INDEX, GOLD, conform
+from lectern.session import shared_folder
 from lectern.sources.landing import extract_documents
 from lectern.sources.layers import read_layer, scan_corpus, write_increment
 from lectern.sources.upsert import replace_documents, upsert

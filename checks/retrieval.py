@@ -13,7 +13,7 @@ from lectern.operators.chunks import with_embedding
 from lectern.operators.vector_search import vector_top_k
 from lectern.plans import search
 from lectern.plans.evaluate import evaluate
-from lectern.session import cut_lineage
+from lectern.session import cut_lineage, stored_table
 
 # ---- SQL ---------------------------------------------------------------------------------
 
@@ -104,7 +104,7 @@ def chunk_table(spark, sf_dir):
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), "source", "lang"
     )
     # stands for the stored gold table: vectors are made once, not once per scan
-    return cut_lineage(with_embedding(rows))
+    return stored_table(with_embedding(rows))
 
 
 def corpus(spark, sf_dir):

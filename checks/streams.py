@@ -14,10 +14,10 @@ from checks.tables import (
     conversation_sql,
     requests,
     retrieval_log,
-    shared_folder,
     table,
     with_ctes,
 )
+from lectern.session import shared_folder
 from lectern.sources.logs import read_history, read_retrievals
 from lectern.streaming import conversation as live
 from lectern.streaming import tokens

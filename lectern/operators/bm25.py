@@ -1,29 +1,31 @@
 """BM25 ranking over white-space tokens.
 
-The index is three tables: the tokens of every document (one row per document, so a document is
-scored where it lies), the document frequency of every term, and one row of corpus numbers.
-`write` and `read_index` keep them beside the corpus; `stored` keeps them for one job.
+The index is the document frequency of every term and one row of corpus numbers; both are small
+beside the corpus and are kept as tables. The documents themselves are not copied: they are
+tokenised where they lie, one row per document, while they are scored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS, Settings
 from lectern.functions.text import tokens
 from lectern.operators.blocks import best_per_query
-from lectern.session import at_most, cut_lineage
+from lectern.session import at_most, stored_table
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    docs: DataFrame  # item id, tokens
+    docs: DataFrame  # item id, tokens; made from the corpus on every read
     frequencies: DataFrame  # term, df
     stats: DataFrame  # n_docs, avg_len, floor_idf
     item_id: str = "chunk_id"
@@ -39,29 +41,61 @@ class Bm25Index:
         )
 
     def write(self, path: str) -> Bm25Index:
-        """Store the tables under `path`, each made from the stored ones before it."""
+        """Store the two tables under `path` and return the index that reads them."""
         spark = self.docs.sparkSession
 
         def keep(df: DataFrame, name: str) -> DataFrame:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
             return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-        return self._rebuilt(keep)
+        return self._kept(keep)
 
     def stored(self) -> Bm25Index:
-        """The same index with its tables made once and kept in shared storage."""
-        return self._rebuilt(lambda df, _: cut_lineage(df))
+        """The same index with its tables made once, in the shared folder."""
+        return self._kept(lambda df, _: stored_table(df))
 
-    def _rebuilt(self, keep) -> Bm25Index:
-        docs = keep(self.docs, "docs")
-        frequencies = keep(_document_frequencies(docs), "frequencies")
-        stats = keep(_corpus_numbers(docs, frequencies, self.epsilon), "stats")
-        return Bm25Index(docs, frequencies, stats, self.item_id, self.epsilon)
+    def _kept(self, keep: Callable[[DataFrame, str], DataFrame]) -> Bm25Index:
+        # each table is derived from the stored ones before it, so the corpus is read twice in all
+        frequencies = keep(self.frequencies, "frequencies")
+        sizes = keep(_sizes(self.docs), "sizes")
+        stats = keep(_with_floor(sizes, frequencies, self.epsilon), "stats")
+        return replace(self, frequencies=frequencies, stats=stats)
 
 
-def read_index(spark: SparkSession, path: str, item_id: str = "chunk_id") -> Bm25Index:
-    names = ("docs", "frequencies", "stats")
-    return Bm25Index(*[spark.read.parquet(f"{path}/{n}") for n in names], item_id)
+def cached_index(
+    corpus: DataFrame,
+    path: str,
+    item_id: str = "chunk_id",
+    text: str = "chunk_text",
+    settings: Settings = DEFAULTS,
+) -> Bm25Index:
+    """The index stored under `path`, or a new one where the corpus has changed since.
+
+    The corpus is known by its count and a hash over ids and texts, so a change is also noticed
+    when the number of chunks stays the same.
+    """
+    spark = corpus.sparkSession
+    fresh = bm25_index(corpus, item_id, text, settings)
+    kept = corpus.filter(F.length(text) > 0)
+    mark = kept.agg(
+        F.count("*").alias("rows"), F.expr(f"bit_xor(xxhash64(`{item_id}`, `{text}`))").alias("hash")
+    )
+    now = tuple(mark.first())
+    try:
+        seen = spark.read.schema(mark.schema).parquet(f"{path}/corpus").collect()
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        seen = []
+    if [tuple(r) for r in seen] == [now]:
+        names = ("frequencies", "stats")
+        stored = {n: spark.read.schema(getattr(fresh, n).schema).parquet(f"{path}/{n}") for n in names}
+        return replace(fresh, **stored)
+    index = fresh.write(path)
+    spark.createDataFrame([now], mark.schema).coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/corpus"
+    )
+    return index
 
 
 def _raw_idf(n_docs):
@@ -74,11 +108,13 @@ def _document_frequencies(docs: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _corpus_numbers(docs: DataFrame, frequencies: DataFrame, epsilon: float) -> DataFrame:
-    sizes = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    n_docs = docs.agg(F.count("*")).scalar()
-    floor = frequencies.agg(F.lit(epsilon) * F.avg(_raw_idf(n_docs))).scalar()
-    return sizes.withColumn("floor_idf", floor)
+def _sizes(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
+
+
+def _with_floor(sizes: DataFrame, frequencies: DataFrame, epsilon: float) -> DataFrame:
+    raw = _raw_idf(sizes.select("n_docs").scalar())
+    return sizes.withColumn("floor_idf", frequencies.agg(F.lit(epsilon) * F.avg(raw)).scalar())
 
 
 def bm25_index(
@@ -90,7 +126,7 @@ def bm25_index(
     """Index the rows of `corpus` whose text is not empty. Nothing is computed yet."""
     docs = corpus.filter(F.length(text) > 0).select(item_id, tokens(F.col(text)).alias("tokens"))
     frequencies = _document_frequencies(docs)
-    stats = _corpus_numbers(docs, frequencies, settings.bm25_epsilon)
+    stats = _with_floor(_sizes(docs), frequencies, settings.bm25_epsilon)
     return Bm25Index(docs, frequencies, stats, item_id, settings.bm25_epsilon)
 
 

@@ -76,11 +76,17 @@ def test_bm25_brute_force(spark, index, broadcast_rows, with_zero):
     assert set(got) == {1, 2, 3}
 
 
-def test_bm25_write_and_read(spark, index, tmp_path):
-    stored = index.write(str(tmp_path / "index"))
+def test_cached_index_follows_the_corpus(spark, chunks, index, tmp_path):
+    path = str(tmp_path / "index")
     asked = spark.createDataFrame(QUERIES, "query_id long, text string")
-    a, b = (ranked(bm25.bm25_top_k(asked, i, 3).collect()) for i in (index, stored))
-    assert a == b
+    want = ranked(bm25.bm25_top_k(asked, index, 3).collect())
+    for _ in range(2):
+        assert ranked(bm25.bm25_top_k(asked, bm25.cached_index(chunks, path), 3).collect()) == want
+    assert ranked(bm25.bm25_top_k(asked, index.stored(), 3).collect()) == want
+    changed = chunks.withColumn("chunk_text", F.replace("chunk_text", F.lit("loop"), F.lit("cycle")))
+    again = bm25.cached_index(changed, path)
+    assert again.frequencies.filter("term = 'loop'").isEmpty()
+    assert not again.frequencies.filter("term = 'cycle'").isEmpty()
 
 
 def test_empty_queries(spark, index, chunks):
