@@ -58,7 +58,9 @@ class Settings:
     bm25_k: int = 5
     candidates_per_query: int = 10
     rerank_k: int = 5
-    dedupe_prefix_chars: int = 100
+    # Candidates whose texts start alike count as one; "chunk_id" compares chunks instead.
+    dedupe_on: str = "chunk_text"
+    dedupe_prefix_chars: int | None = 100
 
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
@@ -69,6 +71,8 @@ class Settings:
 
     compress_threshold: float = 0.55
     compress_min_sentences: int = 2
+    # Where too few sentences pass, the best are given best first, or in the order of the text.
+    compress_document_order: bool = False
 
     history_turns: int = 10
     reply_window_seconds: int = 120

@@ -78,17 +78,27 @@ class HashedWords:
         return flat.reshape(len(texts), self.dim).astype(np.float32)
 
 
+def encode_all(model: Embedder, texts: list[str]) -> np.ndarray:
+    """Vectors of all texts. Where a batch fails its texts are tried one by one, and a text that
+    fails on its own gets the zero vector: one bad text costs neither the job nor its batch."""
+    if not texts:
+        return np.zeros((0, model.dim))
+    try:
+        return np.asarray(model.encode(texts), dtype=np.float64).reshape(len(texts), model.dim)
+    except Exception:
+        if len(texts) == 1:
+            return np.zeros((1, model.dim))
+        return np.concatenate([encode_all(model, [t]) for t in texts])
+
+
 def embed(text: Column, embedder: Embedder | None = None) -> Column:
-    """Vector of a text. A failing batch yields zero vectors, which `has_length` reports."""
+    """Vector of a text. A text the model fails on has the zero vector; see `has_length`."""
     model = embedder or HashedWords()
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            try:
-                vectors = np.asarray(model.encode(texts.tolist()), dtype=np.float32)
-            except Exception:  # a model failure must not end the job
-                vectors = np.zeros((len(texts), model.dim), dtype=np.float32)
+            vectors = encode_all(model, texts.fillna("").tolist()).astype(np.float32)
             yield pd.Series(list(vectors), index=texts.index)
 
     return encode(text)
@@ -112,12 +122,8 @@ def sentence_similarity(
             counts = [0 if s is None else len(s) for s in listed]
             flat = [s for row in listed if row is not None for s in row]
             distinct, codes = np.unique(asked.fillna("").to_numpy(dtype=object), return_inverse=True)
-            try:
-                q = np.asarray(model.encode(distinct.tolist()), dtype=np.float64)[codes]
-                s = np.asarray(model.encode(flat), dtype=np.float64).reshape(len(flat), model.dim)
-            except Exception:  # as in embed: zero vectors stand for a failure
-                q = np.zeros((len(asked), model.dim))
-                s = np.zeros((len(flat), model.dim))
+            q = encode_all(model, distinct.tolist())[codes]
+            s = encode_all(model, flat)
             owner = np.repeat(np.arange(len(asked)), counts)
             dots = np.einsum("ij,ij->i", q[owner], s)
             norms = np.linalg.norm(q, axis=1)[owner] * np.linalg.norm(s, axis=1)
@@ -136,18 +142,26 @@ class PairModel(Protocol):
     def predict(self, pairs: list[tuple[str, str]]) -> list[float]: ...
 
 
+def predict_all(model: PairModel, pairs: list[tuple[str, str]]) -> list[float]:
+    """Scores of all pairs; a pair the model fails on gets NaN, as in `encode_all`."""
+    if not pairs:
+        return []
+    try:
+        return [float(s) for s in model.predict(pairs)]
+    except Exception:
+        if len(pairs) == 1:
+            return [float("nan")]
+        return [s for pair in pairs for s in predict_all(model, [pair])]
+
+
 def pair_score(question: Column, text: Column, model: PairModel) -> Column:
-    """Score of each (question, text) pair; null for a batch in which the model fails."""
+    """Score of each (question, text) pair; null for a pair the model fails on."""
 
     @F.pandas_udf(T.DoubleType())
     def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for asked, texts in batches:
             pairs = list(zip(asked.fillna(""), texts.fillna("")))
-            try:
-                scores = [float(s) for s in model.predict(pairs)]
-            except Exception:  # a missing score is graded ambiguous, it does not end the job
-                scores = [None] * len(pairs)
-            yield pd.Series(scores, index=asked.index, dtype="float64")
+            yield pd.Series(predict_all(model, pairs), index=asked.index, dtype="float64")
 
-    # a model gives NaN for a pair it cannot score
+    # a missing score is graded ambiguous
     return F.nanvl(predict(question, text), F.lit(None).cast("double"))

@@ -123,20 +123,19 @@ def _in_order() -> list[Column]:
 
 def hybrid_candidates(variants: DataFrame, corpus: SearchCorpus, k: int) -> DataFrame:
     """The hits of each variant, without those whose text starts like an earlier one."""
-    return dedupe_by_prefix(
-        hybrid_hits(variants, corpus, k),
-        ["question_id", "rewrite_idx"],
-        "chunk_text",
-        _in_order(),
-        corpus.settings.dedupe_prefix_chars,
-    )
+    hits = hybrid_hits(variants, corpus, k)
+    return _first_seen_texts(hits, ["question_id", "rewrite_idx"], corpus.settings)
 
 
-def merge_candidates(
-    per_variant: DataFrame, chars: int | None = DEFAULTS.dedupe_prefix_chars
-) -> DataFrame:
+def _first_seen_texts(hits: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
+    on = settings.dedupe_on
+    chars = settings.dedupe_prefix_chars if on == "chunk_text" else None
+    return dedupe_by_prefix(hits, keys, on, _in_order(), chars)
+
+
+def merge_candidates(per_variant: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """First-seen merge over the variants of a question, numbered from 0 in retrieval order."""
-    merged = dedupe_by_prefix(per_variant, ["question_id"], "chunk_text", _in_order(), chars)
+    merged = _first_seen_texts(per_variant, ["question_id"], settings)
     index = F.row_number().over(W.partitionBy("question_id").orderBy(*_in_order())) - 1
     return merged.withColumn("cand_index", index)
 
@@ -148,7 +147,7 @@ def multi_query_candidates(variants: DataFrame, corpus: SearchCorpus, k: int | N
     over the hits does the work of deduplicating each variant and then their union.
     """
     k = k or corpus.settings.candidates_per_query
-    return merge_candidates(hybrid_hits(variants, corpus, k), corpus.settings.dedupe_prefix_chars)
+    return merge_candidates(hybrid_hits(variants, corpus, k), corpus.settings)
 
 
 def retrieval_stats(variants: DataFrame, per_variant: DataFrame, merged: DataFrame) -> DataFrame:
@@ -332,7 +331,6 @@ def compress(
     question: str = "question",
     embedder: Embedder | None = None,
     settings: Settings = DEFAULTS,
-    document_order: bool = False,
 ) -> DataFrame:
     """Add `compressed`: each passage cut to its relevant sentences, without leaving its row."""
     split = ranked.withColumn("_sentences", split_sentences(F.col("chunk_text")))
@@ -341,7 +339,8 @@ def compress(
     )
     kept = keep_sentences(
         F.col("chunk_text"), F.col("_sentences"), F.col("_scores"),
-        settings.compress_threshold, settings.compress_min_sentences, document_order,
+        settings.compress_threshold, settings.compress_min_sentences,
+        settings.compress_document_order,
     )
     return scored.withColumn("compressed", kept).drop("_sentences", "_scores")
 

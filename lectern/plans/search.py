@@ -96,8 +96,7 @@ def retrieve_simple(questions: DataFrame, corpus: SearchCorpus) -> DataFrame:
     """One hybrid round, the first vector_k candidates, no grading (always correct)."""
     k = corpus.settings.vector_k
     candidates = merge_candidates(
-        hybrid_candidates(single_variant(questions), corpus, k),
-        corpus.settings.dedupe_prefix_chars,
+        hybrid_candidates(single_variant(questions), corpus, k), corpus.settings
     )
     return _plain_rows(questions, best_of_simple(candidates, k), corpus)
 
@@ -149,7 +148,7 @@ def trace(
     variants = cut_lineage(variants if variants is not None else query_variants(questions))
     settings = corpus.settings
     per_variant = cut_lineage(hybrid_candidates(variants, corpus, settings.candidates_per_query))
-    candidates = merge_candidates(per_variant, settings.dedupe_prefix_chars)
+    candidates = merge_candidates(per_variant, settings)
     ranked = cut_lineage(
         rerank(candidates, _scorer(questions, corpus, scorer), settings.rerank_k)
     )

@@ -44,10 +44,12 @@ def append_turns(df: DataFrame, path: str, batch: int | None = None) -> None:
     _store(turns(df), "created_at", path, batch)
 
 
-def retrieval_rows(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def retrieval_rows(
+    requests: DataFrame, settings: Settings = DEFAULTS, keep_empty: bool = False
+) -> DataFrame:
     """One log row per source of a request (session_id, query, sources, retrieved_at).
 
-    A request without sources gives no row. The question and the text are cut to the stored
+    A request without sources gives no row, or an empty one with `keep_empty`. The question and the text are cut to the stored
     length; what a source lacks is '' or 0.
     """
     fields = {f.name for f in requests.schema["sources"].dataType.elementType.fields}
@@ -55,7 +57,8 @@ def retrieval_rows(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFr
     def source(name: str):
         return F.col(f"s.{name}") if name in fields else F.lit(None).cast("string")
 
-    exploded = requests.select("session_id", "query", "retrieved_at", F.explode("sources").alias("s"))
+    each = F.explode_outer if keep_empty else F.explode
+    exploded = requests.select("session_id", "query", "retrieved_at", each("sources").alias("s"))
     text = F.coalesce(source("chunk_text"), source("page_content"))
     rows = exploded.select(
         "session_id",

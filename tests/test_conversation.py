@@ -149,4 +149,5 @@ def test_retrieval_rows(spark):
     got = sorted(logs.retrieval_rows(df).collect(), key=lambda r: r["chunk_id"])
     assert len(got) == 2
     assert (got[0]["chunk_id"], got[0]["chunk_text"], got[0]["subject"], got[0]["score"]) == ("", "page", "", 0.0)
+    assert logs.retrieval_rows(df, keep_empty=True).filter("session_id = 't'").first()["subject"] == ""
     assert (len(got[1]["query"]), len(got[1]["chunk_text"]), got[1]["filename"]) == (500, 300, "")

@@ -138,6 +138,16 @@ class Failing:
         raise RuntimeError("no model")
 
 
+def test_dedupe_by_chunk_id(spark, chunks, index):
+    same = chunks.withColumn("chunk_text", F.concat(F.lit("x" * 100), "chunk_text"))
+    asked = spark.createDataFrame([(1, 0, "question", "a loop")], "question_id long, rewrite_idx int, kind string, text string")
+    found = {}
+    for on in ("chunk_text", "chunk_id"):
+        corpus = retrieval.SearchCorpus(same, index, settings=Settings(dedupe_on=on))
+        found[on] = retrieval.multi_query_candidates(asked, corpus, 3).count()
+    assert found["chunk_text"] == 1 and 3 <= found["chunk_id"] <= 6
+
+
 def test_failed_embedding_is_marked(spark):
     df = spark.createDataFrame([(1, "x")], "chunk_id long, chunk_text string")
     row = with_embedding(df, Failing()).first()
@@ -181,6 +191,20 @@ class Fixed:
         return np.array([self.table[t[0]] for t in texts], dtype=float).reshape(len(texts), 2)
 
 
+class Picky(Fixed):
+    def encode(self, texts):
+        if any(t.startswith("bad") for t in texts):
+            raise RuntimeError("cannot read this")
+        return super().encode(texts)
+
+
+def test_one_bad_text_does_not_cost_its_batch(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["high", "bad", "low"])], "chunk_id long, chunk_text string")
+    rows = with_embedding(df.coalesce(1), Picky()).orderBy("chunk_id").collect()
+    assert [r["embedding"] for r in rows] == [[1, 0], [0, 0], [0, 1]]
+    assert [r["embed_ok"] for r in rows] == [True, False, True]
+
+
 HIGH, MID, LOW = "high sentence is here.", "middle sentence is here.", "low sentence is here."
 
 
@@ -202,7 +226,7 @@ def test_compress(spark, question, body, want):
 
 def test_compress_document_order(spark):
     df = spark.createDataFrame([(1, "q", f"{LOW} {LOW} {HIGH}")], "question_id int, question string, chunk_text string")
-    got = retrieval.compress(df, "question", Fixed(), document_order=True).first()["compressed"]
+    got = retrieval.compress(df, "question", Fixed(), Settings(compress_document_order=True)).first()["compressed"]
     assert got == f"{LOW} {HIGH}"
 
 
