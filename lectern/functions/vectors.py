@@ -79,8 +79,8 @@ class HashedWords:
 
 
 def encode_all(model: Embedder, texts: list[str]) -> np.ndarray:
-    """Vectors of all texts. Where a batch fails its texts are tried one by one, and a text that
-    fails on its own gets the zero vector: one bad text costs neither the job nor its batch."""
+    """Vectors of all texts. A batch that fails is halved until the text at fault is alone and
+    gets the zero vector: one bad text costs neither the job nor its batch."""
     if not texts:
         return np.zeros((0, model.dim))
     try:
@@ -88,7 +88,8 @@ def encode_all(model: Embedder, texts: list[str]) -> np.ndarray:
     except Exception:
         if len(texts) == 1:
             return np.zeros((1, model.dim))
-        return np.concatenate([encode_all(model, [t]) for t in texts])
+        half = len(texts) // 2
+        return np.concatenate([encode_all(model, texts[:half]), encode_all(model, texts[half:])])
 
 
 def embed(text: Column, embedder: Embedder | None = None) -> Column:
@@ -151,7 +152,8 @@ def predict_all(model: PairModel, pairs: list[tuple[str, str]]) -> list[float]:
     except Exception:
         if len(pairs) == 1:
             return [float("nan")]
-        return [s for pair in pairs for s in predict_all(model, [pair])]
+        half = len(pairs) // 2
+        return predict_all(model, pairs[:half]) + predict_all(model, pairs[half:])
 
 
 def pair_score(question: Column, text: Column, model: PairModel) -> Column:

@@ -33,9 +33,9 @@ def watch_landing(
     """Ingest every file once. `every` ("5 minutes") keeps polling; without it, what is there
     is ingested and the query ends.
 
-    The checkpoint remembers the files, so nothing new is no work. Each micro-batch is stored
-    under its number in every layer and in the index, read back from there for the next step,
-    and replaced when the batch has to run again.
+    The checkpoint belongs to `root`: it remembers the files and numbers the batches, so nothing
+    new is no work. Each micro-batch is stored under its number in every layer and in the index,
+    read back from there for the next step, and replaced when the batch has to run again.
     """
 
     def store(rows: DataFrame, layer: str, schema, batch: int) -> DataFrame:

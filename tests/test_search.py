@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import Settings
 from lectern.functions import vectors
-from lectern.operators import bm25, ranking, retrieval
+from lectern.operators import blocks, bm25, ranking, retrieval
 from lectern.operators.chunks import with_embedding
 from lectern.operators.vector_search import vector_top_k
 from lectern.plans import search
@@ -114,6 +114,16 @@ def test_vectors_brute_force(spark, broadcast_rows):
         assert [i for i, _ in found] == [i for _, i in order]
 
 
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(50)]
+    items = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    asked = items.withColumnRenamed("chunk_id", "query_id")
+    want = ranked(vector_top_k(asked, items, 3).collect())
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 300)
+    found = vector_top_k(asked, items, 3)
+    assert ranked(found.collect()) == want
+
+
 def test_string_ids(spark):
     rows = [("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])]
     items = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
