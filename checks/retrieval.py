@@ -6,12 +6,24 @@ from pyspark.sql import functions as F
 
 from checks import query
 from checks.ingest import word_place_sql
-from checks.scalars import REWRITES_SQL, questions, sentences_sql
-from checks.tables import documents, table, with_ctes
+from checks.scalars import (
+    REWRITES_SQL,
+    most_hits_sql,
+    questions,
+    sentences_sql,
+    sql_text,
+    strip_sql,
+)
+from checks.tables import HISTORY_SQL, documents, history, table, with_ctes
+from lectern.config import REPLY_LANGUAGES
+from lectern.functions.language import STOP_WORDS
+from lectern.functions.text import HEDGE_NOTE, REFUSE_NOTE
 from lectern.operators import bm25, ranking, retrieval
 from lectern.operators.chunks import with_embedding
+from lectern.operators.conversation import history_before
 from lectern.operators.vector_search import vector_top_k
 from lectern.plans import search
+from lectern.plans.chat import prepare_replies
 from lectern.plans.evaluate import evaluate
 from lectern.session import cut_lineage, stored_table
 
@@ -63,15 +75,15 @@ def hits_ctes(k: int) -> dict[str, str]:
 
 RANK_CTES = {
     "qterms": f"SELECT question_id, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS w FROM "
-    f"(SELECT DISTINCT item_id AS question_id, unnest({tokens_sql('text')}) AS term FROM benchmark) LEFT JOIN df USING (term), sizes",
+    f"(SELECT DISTINCT question_id, unnest({tokens_sql('text')}) AS term FROM asked) LEFT JOIN df USING (term), sizes",
     "scored": "SELECT c.*, coalesce(round(f.found / t.total, 6), 0) AS score FROM cand c "
     "JOIN (SELECT question_id, sum(w) AS total FROM qterms GROUP BY question_id) t USING (question_id) "
     "LEFT JOIN (SELECT c.question_id, c.doc_id, sum(q.w) AS found FROM cand c JOIN qterms q USING (question_id) "
     "JOIN tf ON tf.doc_id = c.doc_id AND tf.term = q.term GROUP BY ALL) f ON f.question_id = c.question_id AND f.doc_id = c.doc_id",
     "ranked": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, cand_index) AS rank FROM scored) WHERE rank <= 5",
-    "grades": "SELECT b.item_id AS question_id, count(r.doc_id) AS num_docs, max(r.score) AS max_score, "
+    "grades": "SELECT b.question_id, count(r.doc_id) AS num_docs, max(r.score) AS max_score, "
     "CASE WHEN count(r.doc_id) = 0 THEN 'incorrect' WHEN max(r.score) > 0.25 THEN 'correct' WHEN max(r.score) < 0.01 THEN 'incorrect' ELSE 'ambiguous' END AS grade "
-    "FROM benchmark b LEFT JOIN ranked r ON r.question_id = b.item_id GROUP BY b.item_id",
+    "FROM asked b LEFT JOIN ranked r ON r.question_id = b.question_id GROUP BY b.question_id",
     "relevant": "SELECT r.* FROM ranked r JOIN grades g USING (question_id) WHERE g.grade <> 'incorrect'",
     "sent": f"SELECT question_id, rank, n, s[i] AS s, i FROM (SELECT question_id, rank, len(s) AS n, s, unnest(range(1, len(s) + 1)) AS i FROM "
     f"(SELECT question_id, rank, {sentences_sql('text')} AS s FROM relevant))",
@@ -92,8 +104,13 @@ RANK_CTES = {
 ONE_VARIANT = "SELECT item_id AS question_id, 0 AS rewrite_idx, text FROM benchmark"
 
 
-def search_sql(body: str, k: int = 10, variants: str = REWRITES_SQL) -> str:
-    return with_ctes(body, variants=variants, **INDEX_CTES, **LEG_CTES, **hits_ctes(k), **RANK_CTES)
+ASKED = "SELECT item_id AS question_id, text FROM benchmark"
+
+
+def search_sql(body: str, k: int = 10, variants: str = REWRITES_SQL, asked: str = ASKED, **first: str) -> str:
+    return with_ctes(
+        body, **first, asked=asked, variants=variants, **INDEX_CTES, **LEG_CTES, **hits_ctes(k), **RANK_CTES
+    )
 
 
 # ---- Spark -------------------------------------------------------------------------------
@@ -453,3 +470,73 @@ def grade_by_score(spark, sf_dir):
 def latest_events(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     return ranking.latest(rows, [F.col("ts").desc(), F.col("event_id").asc()], 20).drop("ts")
+
+
+# ---- conversations -----------------------------------------------------------------------
+
+# Every question of the conversations is a message that is answered from the documents.
+MESSAGES_SQL = "SELECT id AS question_id, content AS text FROM history WHERE role = 'user' AND length(content) > 0"
+LANGUAGE_SQL = (
+    f"CASE WHEN length({strip_sql('m.text')}) < 3 THEN 'French' ELSE CASE "
+    f"{most_hits_sql(strip_sql('m.text'), STOP_WORDS, 'unknown')} "
+    + " ".join(f"WHEN '{code}' THEN '{name}'" for code, (name, _) in REPLY_LANGUAGES.items())
+    + " ELSE 'French' END END"
+)
+
+
+@query(
+    "prepare_replies",
+    search_sql(
+        f""", rows AS (SELECT m.question_id, g.grade, m.text, {LANGUAGE_SQL} AS lang_name, c.context FROM asked m JOIN grades g USING (question_id)
+  LEFT JOIN (SELECT question_id, string_agg(compressed, {RULE} ORDER BY rank) AS context FROM compressed GROUP BY question_id) c USING (question_id)),
+asking AS (SELECT *, concat('Student question: ', text, chr(10), chr(10), 'Reply in ', lang_name, '.') AS ask FROM rows),
+past AS (SELECT u.id AS question_id, t.role, t.content, row_number() OVER (PARTITION BY u.id ORDER BY t.created_at DESC, t.id DESC) AS age,
+  row_number() OVER (PARTITION BY u.id ORDER BY t.created_at, t.id) AS nr
+  FROM history u JOIN history t ON t.session_id = u.session_id AND t.created_at < u.created_at WHERE u.role = 'user'),
+told AS (SELECT question_id, count(*) AS turns, md5(string_agg(concat(role, ':', content), '|' ORDER BY nr)) AS digest FROM past WHERE age <= 20 GROUP BY question_id)
+SELECT a.question_id AS message_id, a.lang_name, a.grade, coalesce(t.turns, 0) AS turns, coalesce(t.digest, md5('')) AS past,
+  md5(CASE WHEN grade = 'incorrect' THEN concat(ask, {sql_text(REFUSE_NOTE)})
+   WHEN coalesce(context, '') <> '' THEN concat('Answer from this course material.', chr(10), chr(10), '<<<', chr(10), context, chr(10), '>>>',
+        chr(10), chr(10), ask, CASE WHEN grade = 'ambiguous' THEN {sql_text(HEDGE_NOTE)} ELSE '' END)
+   ELSE concat(text, chr(10), chr(10), 'Reply in ', lang_name, '.') END) AS prompt
+FROM asking a LEFT JOIN told t USING (question_id)""",
+        variants="SELECT question_id, 0 AS rewrite_idx, text FROM asked", asked=MESSAGES_SQL, history=HISTORY_SQL,
+    ),
+)
+def replies(spark, sf_dir):
+    turns = history(spark, sf_dir)
+    messages = turns.filter(F.col("role") == "user").select(
+        F.col("id").alias("message_id"), "session_id", F.col("content").alias("text"),
+        F.col("created_at").alias("asked_at"),
+    )
+    prepared = prepare_replies(messages, turns, corpus(spark, sf_dir))
+    told = F.array_join(F.transform("history", lambda t: F.concat_ws(":", t["role"], t["content"])), "|")
+    return prepared.select(
+        "message_id", "lang_name", "grade", F.size("history").cast("bigint").alias("turns"),
+        F.md5(told).alias("past"), F.md5("prompt").alias("prompt"),
+    )
+
+
+@query(
+    "history_before",
+    with_ctes(
+        """
+SELECT u.id AS message_id, count(t.id) AS turns, coalesce(md5(string_agg(CAST(t.id AS VARCHAR), ',' ORDER BY t.created_at, t.id)), '') AS past
+FROM history u LEFT JOIN (SELECT u.id AS message_id, t.id, t.created_at, row_number() OVER (PARTITION BY u.id ORDER BY t.created_at DESC, t.id DESC) AS age
+  FROM history u JOIN history t ON t.session_id = u.session_id AND t.created_at < u.created_at) t ON t.message_id = u.id AND t.age <= 4
+GROUP BY u.id""",
+        history=HISTORY_SQL,
+    ),
+)
+def turns_before(spark, sf_dir):
+    """Here every turn is a message, the contents are ids, and only four turns are kept."""
+    turns = history(spark, sf_dir).withColumn("content", F.col("id").cast("string"))
+    messages = turns.select(
+        F.col("id").alias("message_id"), "session_id", F.col("created_at").alias("asked_at")
+    )
+    past = history_before(messages, turns, turns=2)
+    listed = F.array_join(F.transform("history", lambda t: t["content"]), ",")
+    return past.select(
+        "message_id", F.size("history").cast("bigint").alias("turns"),
+        F.when(F.size("history") > 0, F.md5(listed)).otherwise("").alias("past"),
+    )

@@ -186,6 +186,64 @@ def evaluation_prompt(question: Column, context: Column) -> Column:
     )
 
 
+def rewrite_prompt(question: Column, rewrites: int = 3) -> Column:
+    """Asks a model for rewrites of a question; the reply goes to `parse_rewrites`."""
+    return F.concat(
+        F.lit(f"Write {rewrites} other full questions that ask the same as the one below, with "
+              "other words and the terms a textbook would use. Reply with a JSON array of "
+              "strings and nothing else.\n\nQuestion: "),
+        question,
+    )
+
+
+def pseudo_answer_prompt(question: Column) -> Column:
+    """Asks a model for the textbook passage that would answer a question."""
+    return F.concat(
+        F.lit("Write the three or four sentences of a textbook that would answer this question. "
+              "The wording matters more than the facts.\n\nQuestion: "),
+        question,
+    )
+
+
+def judge_prompt(question: Column, passages: Column) -> Column:
+    """Asks a model whether passages answer a question; the reply goes to `parse_verdict`."""
+    return F.concat(
+        F.lit("Do these passages answer the question? Reply with one word: yes, partial or no."
+              "\n\nQuestion: "),
+        question,
+        F.lit("\n\nPassages:\n"),
+        passages,
+    )
+
+
+def quiz_prompt(topic: Column, context: Column, count: Column, language: Column) -> Column:
+    """Asks a model for a quiz on course material; the reply goes to `parse_quiz`."""
+    return F.concat(
+        F.lit("Write "), count.cast("string"), F.lit(" multiple choice questions in "), language,
+        F.lit(" on the topic \""), strip(topic), F.lit("\", from this material only:\n<<<\n"),
+        strip(context),
+        F.lit("\n>>>\nEach has four options, one of them right, and a sentence that explains why. "
+              "Reply with JSON and nothing else: {\"questions\": [{\"question\": \"\", "
+              "\"options\": [\"\"], \"correct_index\": 0, \"explanation\": \"\"}]}"),
+    )
+
+
+def chat_messages(history: Column, prompt: Column, language: Column) -> Column:
+    """What a chat model is sent: its role, the past turns (role, content) and the prompt."""
+
+    def message(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+    rules = F.concat(
+        F.lit("You teach this course. Use the course material and what was said before. Say that "
+              "a topic was not covered only when neither holds it. Write all of your reply in "),
+        language,
+        F.lit(", whatever the language of the material."),
+    )
+    past = F.transform(history, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return F.concat(F.array(message("system", rules)), past, F.array(message("user", prompt)))
+
+
 def judge_passages(texts: Column, passages: int = 5, chars: int = 400) -> Column:
     """The numbered passage block a judge model is shown."""
     numbered = F.transform(

@@ -10,6 +10,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS, HEADER_FALLBACK_PHRASES
@@ -280,6 +281,75 @@ def load_history(
     return kept.orderBy("created_at", "id").select("role", "content")
 
 
+def history_before(
+    messages: DataFrame, history: DataFrame, turns: int = DEFAULTS.history_turns
+) -> DataFrame:
+    """(message_id, history): the session's newest 2 x `turns` turns before each message.
+
+    `messages` is (message_id, session_id, asked_at); `history` comes oldest first, as an array of
+    (role, content). Messages and turns are numbered together, day by day with the counts of the
+    days before added, and a message then meets the one or two blocks of positions that hold its
+    turns. So the work of a session of any length is spread, and no message meets all its turns.
+    """
+    span = 2 * turns
+    columns = ("session_id", "at", "is_turn", "id", "role", "content", "message_id")
+    said = history.select(
+        "session_id", F.col("created_at").alias("at"), F.lit(1).alias("is_turn"), "id", "role",
+        "content", F.lit(None).cast(messages.schema["message_id"].dataType).alias("message_id"),
+    )
+    asked = messages.select(
+        "session_id", F.col("asked_at").alias("at"), F.lit(0).alias("is_turn"),
+        F.lit(None).cast(history.schema["id"].dataType).alias("id"),
+        F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("content"),
+        "message_id",
+    )
+    rows = said.unionByName(asked).select(*columns, F.to_date("at").alias("day"))
+    # a turn of the same instant is not before the message
+    in_day = W.partitionBy("session_id", "day").orderBy("at", "is_turn", "id")
+    local = rows.withColumn(
+        "_seen", F.sum("is_turn").over(in_day.rowsBetween(W.unboundedPreceding, W.currentRow))
+    )
+    by_day = W.partitionBy("session_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    earlier = (
+        rows.groupBy("session_id", "day")
+        .agg(F.sum("is_turn").alias("_n"))
+        .select("session_id", "day", F.coalesce(F.sum("_n").over(by_day), F.lit(0)).alias("_earlier"))
+    )
+    # turns before the row: a turn does not count itself
+    numbered = local.join(earlier, ["session_id", "day"]).withColumn(
+        "pos", F.col("_earlier") + F.col("_seen") - F.col("is_turn")
+    )
+
+    def block(position: Column) -> Column:
+        return F.floor(position / F.lit(span))
+
+    first = F.greatest(F.col("pos") - span, F.lit(0))
+    wanted = (
+        numbered.filter((F.col("is_turn") == 0) & (F.col("pos") > 0))
+        .select(
+            "message_id", "session_id", first.alias("_from"), F.col("pos").alias("_to"),
+            F.explode(F.array_distinct(F.array(block(first), block(F.col("pos") - 1)))).alias("_block"),
+        )
+    )
+    placed = numbered.filter(F.col("is_turn") == 1).select(
+        "session_id", block(F.col("pos")).alias("_block"), "pos", "role", "content"
+    )
+    found = wanted.join(placed, ["session_id", "_block"]).filter(
+        (F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to"))
+    )
+    # no more than 2 x turns rows per message
+    listed = found.groupBy("message_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "role", "content"))).alias("_rows")
+    )
+    past = F.transform(
+        F.coalesce("_rows", F.array().cast("array<struct<pos:bigint,role:string,content:string>>")),
+        lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")),
+    )
+    return messages.select("message_id").join(listed, "message_id", "left").select(
+        "message_id", past.alias("history")
+    )
+
+
 def clear_history(history: DataFrame, cleared: DataFrame) -> DataFrame:
     """The history without the sessions in `cleared` (session_id, cleared_at).
 

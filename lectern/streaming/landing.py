@@ -39,7 +39,7 @@ def watch_landing(
     """
 
     def store(rows: DataFrame, layer: str, schema, batch: int) -> DataFrame:
-        path = f"{root}/{layer}"
+        path = f"{root}/live/{layer}"  # beside the layers that whole runs overwrite
         write_increment(conform(rows, schema), path, batch)
         return read_layer(rows.sparkSession, f"{path}/increments/batch={batch}", schema)
 

@@ -151,3 +151,16 @@ def test_retrieval_rows(spark):
     assert (got[0]["chunk_id"], got[0]["chunk_text"], got[0]["subject"], got[0]["score"]) == ("", "page", "", 0.0)
     assert logs.retrieval_rows(df, keep_empty=True).filter("session_id = 't'").first()["subject"] == ""
     assert (len(got[1]["query"]), len(got[1]["chunk_text"]), got[1]["filename"]) == (500, 300, "")
+
+
+@pytest.mark.parametrize("turns", [1, 2, 10])
+def test_history_before_equals_brute_force(spark, turns):
+    said = [(i, "s" if i % 4 else "t", "user", f"c{i}", T0 + dt.timedelta(hours=(i * 7) % 97)) for i in range(60)]
+    asked = [(i, "s" if i % 3 else "t", T0 + dt.timedelta(hours=i * 5 - 10)) for i in range(25)] + [(99, "new", T0)]
+    h = spark.createDataFrame(said, "id long, session_id string, role string, content string, created_at timestamp")
+    m = spark.createDataFrame(asked, "message_id long, session_id string, asked_at timestamp")
+    got = {r["message_id"]: [t["content"] for t in r["history"]] for r in ops.history_before(m, h, turns).collect()}
+    for message, session, when in asked:
+        before = sorted((t[4], t[0], t[3]) for t in said if t[1] == session and t[4] < when)
+        assert got[message] == [c for _, _, c in before][-2 * turns:]
+    assert len(got) == 26

@@ -108,6 +108,20 @@ def test_prompts(spark):
     assert built[3] == "Q\n\nReply in French."
 
 
+def test_model_prompts(spark):
+    df = spark.createDataFrame([("Why?", "ctx", [("user", "hi"), ("assistant", "yes")])], "q string, c string, h array<struct<role: string, content: string>>")
+    row = df.select(
+        text.rewrite_prompt(F.col("q")).alias("r"), text.pseudo_answer_prompt(F.col("q")).alias("p"),
+        text.judge_prompt(F.col("q"), F.col("c")).alias("j"),
+        text.quiz_prompt(F.col("q"), F.col("c"), F.lit(3), F.lit("French")).alias("z"),
+        text.chat_messages(F.col("h"), F.lit("ask"), F.lit("French")).alias("m"),
+    ).first()
+    assert "Why?" in row["r"] and "Why?" in row["p"] and "Why?" in row["j"] and "ctx" in row["j"]
+    assert "Write 3 multiple choice questions in French" in row["z"] and "ctx" in row["z"]
+    assert [m["role"] for m in row["m"]] == ["system", "user", "assistant", "user"]
+    assert "French" in row["m"][0]["content"] and row["m"][-1]["content"] == "ask"
+
+
 def test_session_ids(spark):
     got = many(spark, ["s1", "", None], text.session_id_or_new)
     assert got[0] == "s1" and len(got[1]) == 36 and got[1] != got[2]
