@@ -27,10 +27,13 @@ def quiz_envelopes(requests: DataFrame, retrieved: DataFrame, replies: DataFrame
     model wrote for the grounded requests.
     """
     none = F.array().cast(checked_type())
+    # parsing is the costly part: it is done on the replies as they are read, before any shuffle
+    parsed = replies.select("request_id", parse_quiz(F.col("raw")).alias("_parsed"))
+    found = retrieved.select("request_id", "grade", "context", "sources")
     joined = (
-        requests.join(retrieved.select("request_id", "grade", "context", "sources"), "request_id", "left")
-        .join(replies.select("request_id", "raw"), "request_id", "left")
-        .withColumn("_questions", parse_quiz(F.col("raw")))
+        requests.join(found, "request_id", "left")
+        .join(parsed, "request_id", "left")
+        .withColumn("_questions", F.coalesce("_parsed", none))
     )
     covered = (F.coalesce("grade", F.lit("incorrect")) != "incorrect") & (
         F.length(strip(F.coalesce("context", F.lit("")))) > 0
