@@ -33,7 +33,8 @@ def search_corpus(spark: SparkSession, lake_path: str) -> SearchCorpus:
         "chunk_id", F.col("document").alias("chunk_text"), "embedding",
         *[F.col(f"metadata.{c}").alias(c) for c in SOURCE_COLUMNS],
     )
-    return SearchCorpus(chunks, cached_index(chunks, f"{lake_path}/bm25"), SOURCE_COLUMNS)
+    mark = lake.index_mark(spark, f"{lake_path}/index")
+    return SearchCorpus(chunks, cached_index(chunks, f"{lake_path}/bm25", mark=mark), SOURCE_COLUMNS)
 
 
 def ingest(spark: SparkSession, args) -> None:

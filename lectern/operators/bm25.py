@@ -62,39 +62,43 @@ class Bm25Index:
         return replace(self, frequencies=frequencies, stats=stats)
 
 
+def corpus_mark(corpus: DataFrame, item_id: str, text: str) -> str:
+    """Count and hash over ids and texts: it also changes when texts change and the count stays."""
+    row = corpus.filter(F.length(text) > 0).agg(
+        F.count("*"), F.expr(f"bit_xor(xxhash64(`{item_id}`, `{text}`))")
+    ).first()
+    return f"{row[0]}:{row[1]}"
+
+
 def cached_index(
     corpus: DataFrame,
     path: str,
     item_id: str = "chunk_id",
     text: str = "chunk_text",
     settings: Settings = DEFAULTS,
+    mark: str | None = None,
 ) -> Bm25Index:
     """The index stored under `path`, or a new one where the corpus has changed since.
 
-    The corpus is known by its count and a hash over ids and texts, so a change is also noticed
-    when the number of chunks stays the same.
+    A corpus is known by `mark`, for instance the name of its stored version. Without one, the
+    texts are read once to make a mark.
     """
     spark = corpus.sparkSession
     fresh = bm25_index(corpus, item_id, text, settings)
-    kept = corpus.filter(F.length(text) > 0)
-    mark = kept.agg(
-        F.count("*").alias("rows"), F.expr(f"bit_xor(xxhash64(`{item_id}`, `{text}`))").alias("hash")
-    )
-    now = tuple(mark.first())
+    mark = mark or corpus_mark(corpus, item_id, text)
     try:
-        seen = spark.read.schema(mark.schema).parquet(f"{path}/corpus").collect()
+        seen = spark.read.schema("mark string").parquet(f"{path}/corpus").collect()
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         seen = []
-    if [tuple(r) for r in seen] == [now]:
+    if [r["mark"] for r in seen] == [mark]:
         names = ("frequencies", "stats")
-        stored = {n: spark.read.schema(getattr(fresh, n).schema).parquet(f"{path}/{n}") for n in names}
-        return replace(fresh, **stored)
+        kept = {n: spark.read.schema(getattr(fresh, n).schema).parquet(f"{path}/{n}") for n in names}
+        return replace(fresh, **kept)
     index = fresh.write(path)
-    spark.createDataFrame([now], mark.schema).coalesce(1).write.mode("overwrite").parquet(
-        f"{path}/corpus"
-    )
+    marked = spark.createDataFrame([(mark,)], "mark string")
+    marked.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
     return index
 
 

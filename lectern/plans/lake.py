@@ -169,6 +169,14 @@ def read_index(spark: SparkSession, index_path: str) -> DataFrame:
     return replace_documents(base, rows)
 
 
+def index_mark(spark: SparkSession, index_path: str) -> str:
+    """A name for what `read_index` returns, which changes with every load."""
+    last = newest_version(spark, index_path)
+    fresh = read_increments(spark, index_path, CHUNK_INDEX)
+    batch = fresh.agg(F.max("batch")).first()[0] if fresh is not None else None
+    return f"{last.name if last else None}:{batch}"
+
+
 def compact_index(spark: SparkSession, index_path: str) -> DataFrame:
     """Publish what `read_index` returns, so the micro-batches need not be merged again."""
     fresh = read_increments(spark, index_path, CHUNK_INDEX)

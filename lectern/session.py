@@ -19,6 +19,9 @@ def build_session(app_name: str = "lectern", master: str | None = None, **conf)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # the state of a stream may outgrow the memory of an executor
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # checkpoint files go when nothing refers to them any more
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }

@@ -111,6 +111,7 @@ def test_upsert(spark):
 def test_increments_are_merged_on_read_and_compacted(spark, tmp_path):
     path, t = str(tmp_path / "index"), dt.datetime(2024, 1, 1)
     assert lake.read_index(spark, path).count() == 0
+    marks = [lake.index_mark(spark, path)]
     layers.publish(index_rows(spark, [(1, "a", "old", t), (2, "a", "gone", t), (3, "b", "kept", t)]), path)
     layers.write_increment(index_rows(spark, [(1, "a", "one", t)]), path, 0)
     layers.write_increment(index_rows(spark, [(1, "a", "two", t), (9, "c", "new", t)]), path, 1)
@@ -120,6 +121,10 @@ def test_increments_are_merged_on_read_and_compacted(spark, tmp_path):
     assert plain(lake.read_index(spark, path)) == want
     layers.write_increment(index_rows(spark, [(3, "b", "newer", t)]), path, 2)
     assert plain(lake.read_index(spark, path)) == [(1, "two"), (3, "newer"), (9, "new")]
+    marks.append(lake.index_mark(spark, path))
+    lake.compact_index(spark, path)
+    marks.append(lake.index_mark(spark, path))
+    assert len(set(marks)) == 3
 
 
 def test_watch_landing(spark, landing_dir, tmp_path):

@@ -87,6 +87,10 @@ def test_cached_index_follows_the_corpus(spark, chunks, index, tmp_path):
     again = bm25.cached_index(changed, path)
     assert again.frequencies.filter("term = 'loop'").isEmpty()
     assert not again.frequencies.filter("term = 'cycle'").isEmpty()
+    named = bm25.cached_index(chunks, path, mark="v1")
+    kept = bm25.cached_index(changed, path, mark="v1")  # the same name: what is stored is used
+    assert not kept.frequencies.filter("term = 'loop'").isEmpty()
+    assert named.frequencies.count() == kept.frequencies.count()
 
 
 def test_empty_queries(spark, index, chunks):
