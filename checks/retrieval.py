@@ -21,11 +21,12 @@ from lectern.functions.text import HEDGE_NOTE, REFUSE_NOTE
 from lectern.operators import bm25, ranking, retrieval
 from lectern.operators.chunks import with_embedding
 from lectern.operators.conversation import history_before
+from lectern.operators.vector_index import build_vector_index, probe_top_k, recall
 from lectern.operators.vector_search import vector_top_k
 from lectern.plans import search
 from lectern.plans.chat import prepare_replies
 from lectern.plans.evaluate import evaluate
-from lectern.session import cut_lineage, stored_table
+from lectern.session import cut_lineage, shared_folder, stored_table
 
 # ---- SQL ---------------------------------------------------------------------------------
 
@@ -151,6 +152,31 @@ def vector_neighbors(spark, sf_dir):
     return vector_top_k(asked, vectors, 5, item_id="vec_id")
 
 
+@query("vector_neighbors_probed")
+def vector_neighbors_probed(spark, sf_dir):
+    """The approximate form, with the share of the exact neighbours that it finds."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.withColumnRenamed("vec_id", "query_id")
+    index = build_vector_index(vectors, shared_folder(spark), 16, "vec_id")
+    found = cut_lineage(probe_top_k(asked, index, 5, probes=8))
+    exact = vector_top_k(asked, vectors, 5, item_id="vec_id")
+    share = recall(found, exact, "query_id", "vec_id").scalar()
+    return found.withColumn("recall", share)
+
+
+@query(
+    "vector_neighbors_all_cells",
+    """
+SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings a, embeddings b)) WHERE rank <= 5""",
+)
+def vector_neighbors_all_cells(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = build_vector_index(vectors, shared_folder(spark), 8, "vec_id")
+    return probe_top_k(vectors.withColumnRenamed("vec_id", "query_id"), index, 5, probes=8)
+
+
 @query("bm25_terms", with_ctes("SELECT term, df, round(idf, 6) AS idf FROM idf", **INDEX_CTES))
 def bm25_terms(spark, sf_dir):
     return plain_index(spark, sf_dir).terms.withColumn("idf", F.round("idf", 6))

@@ -57,6 +57,7 @@ class Settings:
     vector_k: int = 5
     bm25_k: int = 5
     candidates_per_query: int = 10
+    probes: int = 8  # cells a query reads when an approximate vector index is given
     rerank_k: int = 5
     # Candidates whose texts start alike count as one; "chunk_id" compares chunks instead.
     dedupe_on: str = "chunk_text"

@@ -35,6 +35,7 @@ from lectern.functions.vectors import (
 )
 from lectern.operators.bm25 import Bm25Index, bm25_top_k, weights_of
 from lectern.operators.ranking import dedupe_by_prefix, ordered_union, top_k
+from lectern.operators.vector_index import VectorIndex, probe_top_k
 from lectern.operators.vector_search import vector_top_k
 from lectern.session import at_most
 
@@ -44,13 +45,17 @@ BROADCAST_VARIANTS = 20_000
 
 @dataclass(frozen=True)
 class SearchCorpus:
-    """Chunks with vectors, and their BM25 index. `bm25=None` switches that leg off."""
+    """Chunks with vectors, and their BM25 index. `bm25=None` switches that leg off.
+
+    With `vectors`, the vector leg probes the cells of that index instead of reading all chunks.
+    """
 
     chunks: DataFrame  # chunk_id, chunk_text, embedding and any source columns
     bm25: Bm25Index | None
     source_columns: tuple[str, ...] = ()
     embedder: Embedder | None = None
     settings: Settings = field(default=DEFAULTS)
+    vectors: VectorIndex | None = None
 
 
 PairScorer = Callable[[DataFrame], DataFrame]
@@ -97,13 +102,15 @@ def hybrid_hits(variants: DataFrame, corpus: SearchCorpus, k: int) -> DataFrame:
     """Vector hits then BM25 hits of every variant, with text; repeats within a leg pair kept."""
     key = F.concat_ws(":", F.col("question_id").cast("string"), F.col("rewrite_idx").cast("string"))
     keyed = variants.withColumn("variant_id", key)
-    legs = []
     with_vector = keyed.withColumn("embedding", embed(F.col("text"), corpus.embedder))
-    legs.append(vector_top_k(with_vector, corpus.chunks, k, query_id="variant_id", rank="leg_rank"))
+    to_variant = {"query_id": "variant_id", "rank": "leg_rank"}
+    if corpus.vectors is not None:
+        legs = [probe_top_k(with_vector, corpus.vectors, k, corpus.settings.probes, **to_variant)]
+    else:
+        legs = [vector_top_k(with_vector, corpus.chunks, k, **to_variant)]
     if corpus.bm25 is not None:
         legs.append(
-            bm25_top_k(keyed, corpus.bm25, k, query_id="variant_id", settings=corpus.settings,
-                       rank="leg_rank")
+            bm25_top_k(keyed, corpus.bm25, k, settings=corpus.settings, **to_variant)
         )
     hits = ordered_union(*legs).withColumnRenamed("score", "leg_score")
     hits = hits.join(keyed.select("variant_id", "question_id", "rewrite_idx"), "variant_id")

@@ -12,7 +12,7 @@ from lectern.functions.vectors import has_length
 from lectern.operators.blocks import best_per_query
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of a list column as unit vectors; a zero vector becomes NaN, which is never found."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -25,12 +25,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 class CosineScorer:
     def __init__(self, queries: pa.Table):
         self.query_ids = queries.column(0).to_pylist()
-        self.queries = _matrix(queries.column(1)) if self.query_ids else np.empty((0, 0))
+        self.queries = unit_rows(queries.column(1)) if self.query_ids else np.empty((0, 0))
 
     def score(self, corpus: pa.Table) -> np.ndarray:
         if not self.query_ids:
             return np.empty((corpus.num_rows, 0))
-        return _matrix(corpus.column(1)) @ self.queries.T
+        return unit_rows(corpus.column(1)) @ self.queries.T
 
 
 def vector_top_k(

@@ -1,4 +1,7 @@
+import contextlib
+import io
 import math
+import re
 import sys
 from collections import Counter
 
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import Settings
 from lectern.functions import vectors
-from lectern.operators import blocks, bm25, ranking, retrieval
+from lectern.operators import blocks, bm25, ranking, retrieval, vector_index
 from lectern.operators.chunks import with_embedding
 from lectern.operators.vector_search import vector_top_k
 from lectern.plans import search
@@ -128,6 +131,38 @@ def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
     assert ranked(found.collect()) == want
 
 
+def test_vector_index(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(6, 8))
+    rows = [(i, [float(x) for x in middles[i % 6] + 0.1 * rng.normal(size=8)]) for i in range(300)]
+    items = spark.createDataFrame([*rows, (999, [0.0] * 8)], "chunk_id long, embedding array<float>")
+    index = vector_index.build_vector_index(items, str(tmp_path / "ix"), 6)
+    assert index.cells.count() == 300
+    asked = items.withColumnRenamed("chunk_id", "query_id")
+    exact = vector_top_k(asked, items, 5)
+    every = vector_index.probe_top_k(asked, index, 5, probes=6)
+    assert ranked(every.collect()) == ranked(exact.collect())
+    near = vector_index.probe_top_k(asked, index, 5, probes=1)
+    assert vector_index.recall(near, exact, "query_id", "chunk_id").first()["recall"] > 0.95
+    in_cells = vector_index.probe_top_k(asked, index, 5, probes=1, broadcast_rows=40)
+    assert ranked(in_cells.collect()) == ranked(near.collect())
+    one = asked.filter("query_id = 1")
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        vector_index.probe_top_k(one, index, 5, probes=1).explain("formatted")
+    assert re.search(r"PartitionFilters: \[.*cell#\d+ = \d", out.getvalue())
+    corpus = retrieval.SearchCorpus(items.withColumn("chunk_text", F.lit("x")), None, embedder=Flat(), vectors=index)
+    text = spark.createDataFrame([(1, 0, "question", "any")], "question_id long, rewrite_idx int, kind string, text string")
+    assert retrieval.hybrid_hits(text, corpus, 3).count() == 3
+
+
+class Flat:
+    dim = 8
+
+    def encode(self, texts):
+        return np.ones((len(texts), 8))
+
+
 def test_string_ids(spark):
     rows = [("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])]
     items = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
