@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.config import PASSAGE_RULE
+from lectern.config import PASSAGE_RULE, Settings
 from lectern.functions.text import preview
 from lectern.functions.vectors import embed
 from lectern.operators.retrieval import (
@@ -136,6 +138,8 @@ class Trace:
     grades: DataFrame
     compressed: DataFrame
     answers: DataFrame
+    timings: dict[str, int]  # milliseconds per stage, as run
+    settings: Settings
 
 
 def trace(
@@ -145,17 +149,31 @@ def trace(
     variants: DataFrame | None = None,
 ) -> Trace:
     """`retrieve_multistage` with its intermediate tables, each computed once."""
-    variants = cut_lineage(variants if variants is not None else query_variants(questions))
     settings = corpus.settings
-    per_variant = cut_lineage(hybrid_candidates(variants, corpus, settings.candidates_per_query))
+    timings: dict[str, int] = {}
+
+    def timed(stage: str, make: Callable[[], DataFrame]) -> DataFrame:
+        started = time.perf_counter()
+        table = cut_lineage(make())
+        timings[stage] = int((time.perf_counter() - started) * 1000)
+        return table
+
+    given = variants if variants is not None else query_variants(questions)
+    variants = timed("rewrite_ms", lambda: given)
+    per_variant = timed(
+        "retrieval_ms", lambda: hybrid_candidates(variants, corpus, settings.candidates_per_query)
+    )
     candidates = merge_candidates(per_variant, settings)
-    ranked = cut_lineage(
-        rerank(candidates, _scorer(questions, corpus, scorer), settings.rerank_k)
+    ranked = timed(
+        "rerank_ms", lambda: rerank(candidates, _scorer(questions, corpus, scorer), settings.rerank_k)
     )
     graded = grade_by_score(questions, ranked, settings=settings)
     passed = graded.filter(F.col("grade") != "incorrect").select("question_id")
     relevant = _with_question(ranked.join(passed, "question_id"), questions)
-    compressed = cut_lineage(compress(relevant, "question", corpus.embedder, settings))
+    compressed = timed(
+        "compress_ms", lambda: compress(relevant, "question", corpus.embedder, settings)
+    )
+    timings["total_ms"] = sum(timings.values())
     stats = retrieval_stats(variants, per_variant, candidates)
     shown = preview(F.col("chunk_text"), 200)
     return Trace(
@@ -173,4 +191,6 @@ def trace(
         grades=graded,
         compressed=compression_stats(compressed),
         answers=_answer_rows(questions, graded, compressed, corpus.source_columns),
+        timings=timings,
+        settings=settings,
     )

@@ -46,7 +46,9 @@ def streaming_heatmap(
 ) -> DataFrame:
     """Unanswered questions per day and subject, a day at a time once it is closed.
 
-    `log` is the stored retrieval log, counted per question before it meets the stream.
+    `log` is the stored retrieval log, counted per question before it meets the stream. It is
+    read again for every micro-batch, so give the days the stream covers (`read_retrievals` with
+    `since`), not the whole past.
     """
     pairs = streaming_reply_join(turns, delay, phrases)
     logged = log.groupBy(

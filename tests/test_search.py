@@ -290,6 +290,24 @@ def test_multistage_keeps_every_question(spark, chunks, index):
     assert got[3]["grade"] == "incorrect" and got[3]["num_docs"] == 0
 
 
+def test_trace_stages(spark, chunks, index):
+    corpus = retrieval.SearchCorpus(chunks, index)
+    rows = [(1, "a loop repeats", '["the body of a loop", "a list"]', "loops repeat"), (2, "", None, None)]
+    asked = spark.createDataFrame(rows, "question_id long, question string, raw_rewrites string, pseudo_answer string")
+    traced = search.trace(asked, corpus)
+    kinds = [r["kind"] for r in traced.rewrites.filter("question_id = 1").orderBy("rewrite_idx").collect()]
+    assert kinds == ["question", "rewrite", "rewrite", "pseudo_answer"]
+    total = traced.totals.filter("question_id = 1").first()
+    assert total["unique_candidates"] == traced.candidates.filter("question_id = 1").count()
+    assert total["total_with_dupes"] >= total["unique_candidates"]
+    indexes = [r["cand_index"] for r in traced.candidates.filter("question_id = 1").orderBy("cand_index").collect()]
+    assert indexes == list(range(len(indexes)))
+    assert traced.reranked.filter("question_id = 1").count() == 5
+    assert set(traced.timings) == {"rewrite_ms", "retrieval_ms", "rerank_ms", "compress_ms", "total_ms"}
+    plain = search.retrieve_multistage(asked, corpus)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, traced.answers.collect()))
+
+
 def test_missing_model_is_ambiguous(spark, chunks, index):
     corpus = retrieval.SearchCorpus(chunks, index)
     asked = spark.createDataFrame([(1, "a loop", None, None)], "question_id long, question string, raw_rewrites string, pseudo_answer string")
