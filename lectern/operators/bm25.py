@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lectern.config import DEFAULTS, Settings
 from lectern.functions.text import tokens
 from lectern.operators.blocks import best_per_query
-from lectern.session import at_most, stored_table
+from lectern.session import checked_broadcast, stored_table
 
 
 @dataclass(frozen=True)
@@ -149,9 +149,7 @@ def weights_of(asked: DataFrame, index: Bm25Index, broadcast_rows: int) -> DataF
     A vocabulary grows with the corpus. Where the asked terms are few, which is checked, they go
     to the vocabulary and it is read in place; otherwise both sides are shuffled by term.
     """
-    wanted = asked.select("term").distinct()
-    if at_most(wanted, broadcast_rows):
-        wanted = F.broadcast(wanted)
+    wanted = checked_broadcast(asked.select("term").distinct(), broadcast_rows)
     return index.terms.join(wanted, "term", "left_semi")
 
 

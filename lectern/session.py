@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "lectern", master: str | None = None, **conf) -> SparkSession:
@@ -70,3 +71,11 @@ def stored_table(df: DataFrame) -> DataFrame:
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when `df` has no more than `rows` rows; looks at no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows
+
+
+def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """`df` marked for broadcast when it has no more than `rows` rows, and as it is otherwise.
+
+    The other side of a join is then read in place instead of being shuffled.
+    """
+    return F.broadcast(df) if at_most(df, rows) else df

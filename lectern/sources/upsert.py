@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.config import DEFAULTS
 from lectern.operators.ranking import first_seen
+from lectern.session import checked_broadcast
 
 
 def newest_per_key(rows: DataFrame, keys: Sequence[str], order: str = "load_ts") -> DataFrame:
@@ -17,20 +19,31 @@ def newest_per_key(rows: DataFrame, keys: Sequence[str], order: str = "load_ts")
     return first_seen(rows, keys, [F.col(order).desc(), tie])
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str = "load_ts") -> DataFrame:
+def upsert(
+    old: DataFrame,
+    new: DataFrame,
+    keys: Sequence[str],
+    order: str = "load_ts",
+    broadcast_rows: int = DEFAULTS.broadcast_rows,
+) -> DataFrame:
     """Rows of `old` whose key is not in `new`, and the newest row of every key in `new`.
 
     Only the increment is deduplicated and sorted. The stored side meets nothing but the keys of
-    the increment, which Spark broadcasts when they are small, so it is then not shuffled.
+    the increment; while they are few it is read in place, without a shuffle.
     """
-    newest = newest_per_key(new, keys, order)
-    kept = old.join(new.select(*keys).distinct(), list(keys), "left_anti")
-    return kept.unionByName(newest)
+    written = checked_broadcast(new.select(*keys).distinct(), broadcast_rows)
+    kept = old.join(written, list(keys), "left_anti")
+    return kept.unionByName(newest_per_key(new, keys, order))
 
 
 def replace_documents(
-    old: DataFrame, new: DataFrame, document: str = "path", keys: Sequence[str] = ("chunk_id",)
+    old: DataFrame,
+    new: DataFrame,
+    document: str = "path",
+    keys: Sequence[str] = ("chunk_id",),
+    broadcast_rows: int = DEFAULTS.broadcast_rows,
 ) -> DataFrame:
     """Upsert whole documents: chunks a new version of a document no longer has disappear."""
-    kept = old.join(new.select(document).distinct(), document, "left_anti")
+    written = checked_broadcast(new.select(document).distinct(), broadcast_rows)
+    kept = old.join(written, document, "left_anti")
     return kept.unionByName(newest_per_key(new, keys))

@@ -105,6 +105,8 @@ def test_upsert(spark):
     merged = upsert(old, new, ["chunk_id"])
     assert plain(merged) == [(1, "x3"), (2, "y"), (3, "z"), (4, "n")]
     assert plain(upsert(merged, new, ["chunk_id"])) == plain(merged)
+    assert plain(upsert(old, new, ["chunk_id"], broadcast_rows=0)) == plain(merged)
+    assert plain(replace_documents(old, new, broadcast_rows=0)) == plain(replace_documents(old, new))
     assert plain(replace_documents(old, new)) == [(1, "x3"), (3, "z"), (4, "n")]
 
 
