@@ -107,9 +107,14 @@ def preview(c: Column, chars: int = 200) -> Column:
     ).otherwise(c)
 
 
+def instant(at: dt.datetime) -> Column:
+    """A point in time; one without a zone is in UTC, whatever the zone of the driver."""
+    return F.lit(at if at.tzinfo else at.replace(tzinfo=dt.timezone.utc))
+
+
 def time_ago(ts: Column, as_of: dt.datetime | Column) -> Column:
     """`5s ago`, `3m ago`, `2h ago`, `9d ago`; a dash when there is no time."""
-    now = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    now = as_of if isinstance(as_of, Column) else instant(as_of)
     micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))
     secs = F.floor(micros / F.lit(1_000_000))
 
@@ -283,7 +288,7 @@ def session_id_or_new(session_id: Column) -> Column:
 
 def recent(ts: Column, as_of: dt.datetime, days: int) -> Column:
     """`ts` lies within `days` before `as_of`; the bound is a constant, so scans can prune."""
-    return ts > F.lit(as_of - dt.timedelta(days=days))
+    return ts > instant(as_of - dt.timedelta(days=days))
 
 
 def is_fallback(c: Column, phrases: Sequence[str] = DEFAULTS.fallback_phrases) -> Column:

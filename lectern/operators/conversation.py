@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS, HEADER_FALLBACK_PHRASES
-from lectern.functions.text import is_fallback, recent
+from lectern.functions.text import instant, is_fallback, recent
 from lectern.operators.ranking import latest, top_k
 
 # Fixed value: shown where no subject is known.
@@ -211,7 +211,7 @@ def top_chunks(
 def activity_counts(history: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
     """One row: questions, sessions and the questions of the last 24 hours."""
     asked = F.col("role") == "user"
-    today = F.col("created_at") > F.lit(as_of - dt.timedelta(hours=24))
+    today = F.col("created_at") > instant(as_of - dt.timedelta(hours=24))
     return history.filter(recent(F.col("created_at"), as_of, days)).agg(
         F.count_if(asked).alias("total_questions"),
         F.count_distinct("session_id").alias("total_sessions"),
@@ -356,7 +356,7 @@ def clear_history(history: DataFrame, cleared: DataFrame) -> DataFrame:
     A message sent after its session was cleared stays; a null `cleared_at` clears everything.
     """
     gone = cleared.groupBy("session_id").agg(
-        F.max(F.coalesce("cleared_at", F.lit(dt.datetime(9999, 1, 1)))).alias("cleared_at")
+        F.max(F.coalesce("cleared_at", instant(dt.datetime(9999, 1, 1)))).alias("cleared_at")
     )
     gone = gone.withColumnsRenamed({"session_id": "_session", "cleared_at": "_cleared"})
     return history.join(

@@ -49,9 +49,9 @@ def build_vector_index(
     """Learn the cells on a sample, put every vector into its nearest cell, store by cell."""
     spark = corpus.sparkSession
     rows = corpus.select(item_id, vector).filter(has_length(F.col(vector)))
-    share = min(1.0, train_rows / max(1, rows.count()))
+    in_million = max(1, min(1_000_000, 1_000_000 * train_rows // max(1, rows.count())))
     # a hash decides who is in the sample, so that a lost task picks the same rows again
-    picked = rows.filter(F.pmod(F.xxhash64(item_id), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = rows.filter(F.pmod(F.xxhash64(item_id), F.lit(1_000_000)) < in_million)
     features = picked.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=15).fit(features)
     centres = np.asarray(model.clusterCenters(), dtype=np.float64)
