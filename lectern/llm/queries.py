@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lectern.llm import bpe, token_files
 from lectern.llm.jaccard_join import near_duplicates
+from lectern.session import shared_folder
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +30,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op4_bpe_encode_decode")
+def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), WORD_BPE), WORD_BPE)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+@_query("op10_token_files")
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=1)
+    return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 JACCARD_SQL = r"""
 WITH RECURSIVE
 words AS (
@@ -32,7 +56,7 @@ words AS (
     FROM documents WHERE doc_id IS NOT NULL),
 shingles AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
     FROM words),
 sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 links AS MATERIALIZED (
