@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, token_files
+from lectern.llm import bpe, line_dedup, token_files
 from lectern.llm.jaccard_join import near_duplicates
 from lectern.session import shared_folder
 
@@ -30,6 +30,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A line of a later copy: it matches an earlier line, and the matching lines around it on the same diagonal have 50 words.
+LINES_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+counted AS (SELECT *, len(regexp_extract_all(line, '\S+')) AS words FROM cut),
+numbered AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS pos FROM counted WHERE words > 0),
+matches AS (
+    SELECT x.doc_id, x.no, x.pos, x.words, y.doc_id AS other, x.pos - y.pos AS diagonal
+    FROM numbered x JOIN numbered y ON x.line = y.line AND (y.doc_id < x.doc_id OR (y.doc_id = x.doc_id AND y.pos < x.pos))),
+stretches AS (
+    SELECT *, pos - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY pos) AS stretch FROM matches),
+runs AS (
+    SELECT *, sum(words) OVER (PARTITION BY doc_id, other, diagonal, stretch) AS total FROM stretches),
+gone AS (SELECT DISTINCT doc_id, no FROM runs WHERE total >= 50)
+SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,
+    (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_deleted,
+    CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(
+        (SELECT string_agg(c.line, chr(10) ORDER BY c.no) FROM cut c
+         WHERE c.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = c.doc_id AND g.no = c.no)), '') END AS text
+FROM documents d
+"""
+
+
+@_query("op3_line_dedup", LINES_SQL)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_words=50).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 @_query("op4_bpe_encode_decode")
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), WORD_BPE), WORD_BPE)
