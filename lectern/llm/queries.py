@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, line_dedup, token_files
+from lectern.llm import bpe, language_id, line_dedup, token_files
 from lectern.llm.jaccard_join import near_duplicates
 from lectern.session import shared_folder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +31,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(column: str, n: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+@_query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = docs.filter(_remainder("doc_id", 5) != 0)
+    found = language_id.identify(docs.select("doc_id", "text"), PIECES, labelled)
+    return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 #: A line of a later copy: it matches an earlier line, and the matching lines around it on the same diagonal have 50 words.
 LINES_SQL = r"""
 WITH cut AS (
