@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, language_id, line_dedup, token_files
+from lectern.llm import bpe, language_id, line_dedup, neighbours, token_files
 from lectern.llm.jaccard_join import near_duplicates
 from lectern.session import shared_folder
 
@@ -43,6 +43,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+NEAREST_SQL = """
+WITH v AS (
+    SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_reduce(list_transform(
+        CAST(embedding AS DOUBLE[]), lambda x: x * x), lambda s, x: s + x)) AS norm FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(
+        range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda s, x: s + x) / (q.norm * c.norm) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@_query("op2_nearest_vectors")
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 #: A line of a later copy: it matches an earlier line, and the matching lines around it on the same diagonal have 50 words.
 LINES_SQL = r"""
 WITH cut AS (
