@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, language_id, line_dedup, neighbours, token_files
+from lectern.llm import bpe, decontaminate, language_id, line_dedup, neighbours, token_files
 from lectern.llm.jaccard_join import near_duplicates
 from lectern.session import shared_folder
 
@@ -112,6 +112,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@_query("op5_decontaminate")
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 JACCARD_SQL = r"""
 WITH RECURSIVE
 words AS (
