@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.textblocks import mix, process_cache, runs, slices, span_hashes, text_bytes
+from lectern.llm.textblocks import mix, plain_words, process_cache, slices
 
 WALKS, SAMPLED = 2, 5
 STRIDE, WIDEST = 4, 32
@@ -46,15 +46,6 @@ def repetitions(recall: float, alike: float) -> int:
     return max(WALKS, math.ceil(math.log(1 - recall) / math.log(1 - alike**SAMPLED)))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and the offsets of the texts."""
-    inside = np.zeros(256, bool)
-    inside[48:58] = inside[97:123] = inside[128:] = True
-    data, offsets = text_bytes(texts, lower=True)
-    starts, ends = runs(inside[data], offsets)
-    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
-
-
 class Samples:
     """The sampled hashes of windows; the same steps and bits for items and documents."""
 
@@ -91,7 +82,7 @@ class ItemIndex:
     """Sampled hashes of the windows of a block of items."""
 
     def __init__(self, ids: list, texts: list[str], recall: float, alike: float, errors: float):
-        words, at = word_hashes(pa.array(texts, pa.string()))
+        words, at = plain_words(pa.array(texts, pa.string()))
         sizes = np.diff(at)
         self.ids, self.errors = ids, errors
         self.items = [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -203,7 +194,7 @@ def matches(docs: DataFrame, items: DataFrame, errors: float = 0.2, recall: floa
             for batch in batches:
                 for piece in slices(batch):
                     index = _index(block)
-                    words, at = word_hashes(piece.column("text"))
+                    words, at = plain_words(piece.column("text"))
                     found = index.verified(words, at) if len(words) else {}
                     ids = piece.column("doc_id").to_pylist()
                     rows = [(ids[d], index.ids[i], x, len(index.items[i]), a, b) for (d, i), (x, a, b) in found.items()]
@@ -231,7 +222,7 @@ def clean(docs: DataFrame, items: DataFrame, errors: float = 0.2, recall: float
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in slices(batch):
-                    words, at = word_hashes(piece.column("text"))
+                    words, at = plain_words(piece.column("text"))
                     hit = {d for d, _ in _index(block).verified(words, at)} if len(words) else set()
                     yield piece.filter(pa.array([d not in hit for d in range(piece.num_rows)], pa.bool_()))
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language_id, line_dedup, neighbours, token_files
+from lectern.llm import bpe, decontaminate, language_id, line_dedup, neighbours, token_files, toxicity
 from lectern.llm.jaccard_join import near_duplicates
 from lectern.session import shared_folder
 
@@ -117,6 +117,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), _remainder("doc_id", 3) == 1
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 JACCARD_SQL = r"""
 WITH RECURSIVE
 words AS (

@@ -119,6 +119,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
     return mix(spans + (ends - starts).astype(np.uint64) * np.uint64(BASE))
 
 
+def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of letters and numbers, ASCII in lower case, and the offsets of the texts in that list."""
+    inside = np.zeros(256, bool)
+    inside[48:58] = inside[97:123] = inside[128:] = True
+    data, offsets = text_bytes(texts, lower=True)
+    starts, ends = runs(inside[data], offsets)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of whole numbers as compressed bytes; ascending ones are stored as differences."""
     out = [np.array([len(arrays)], np.int64).tobytes()]
