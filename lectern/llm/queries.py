@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language_id, line_dedup, neighbours, token_files, toxicity
+from lectern.llm import bpe, decontaminate, language_id, line_dedup, neighbours, token_counts, token_files, toxicity
 from lectern.llm.jaccard_join import near_duplicates
 from lectern.session import shared_folder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict = {}
@@ -125,6 +126,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@_query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.line_tokens(_table(spark, sf_dir, "documents"), BYTE_BPE, rule="most")
+
+
 JACCARD_SQL = r"""
 WITH RECURSIVE
 words AS (
