@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language_id, line_dedup, neighbours, token_counts, token_files, toxicity
+from lectern.llm import bpe, decontaminate, language_id, licences, line_dedup, neighbours, token_counts, token_files, toxicity
 from lectern.llm.jaccard_join import near_duplicates
 from lectern.session import shared_folder
 
@@ -131,6 +131,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.line_tokens(_table(spark, sf_dir, "documents"), BYTE_BPE, rule="most")
 
 
+@_query("op7_licence_scan")
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
 JACCARD_SQL = r"""
 WITH RECURSIVE
 words AS (
