@@ -95,10 +95,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_words=50).select("doc_id", "n_lines", "n_deleted", "text")
 
 
-@_query("op4_bpe_encode_decode")
-def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), WORD_BPE), WORD_BPE)
-    return decoded.select(
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """Number of ids, and digests of the ids and of the text that they decode to."""
+    return bpe.decode(bpe.encode(docs, WORD_BPE), WORD_BPE).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -106,6 +105,11 @@ def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op4_bpe_encode_decode")
+def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(_table(spark, sf_dir, "documents"))
+
+
 @_query("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
