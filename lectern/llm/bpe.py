@@ -29,7 +29,7 @@ from lectern.llm.pieces import gather, vocabulary
 from lectern.llm.textblocks import pack, slices, unpack
 
 #: A block holds about so many words.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 IDS_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -79,7 +79,7 @@ def _split(vocab_text, parts: int):
         vocab = vocabulary(vocab_text.value)
         number, block = TaskContext.get().partitionId() << 24, _Block()
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=2 << 20):
                 block.add(piece.column("doc_id").to_pylist(), vocab.split(piece.column("text").to_pylist()))
                 if block.size >= BLOCK or len(block.ids) >= BLOCK // 10:
                     yield messages(block.rows(number, parts))
@@ -162,10 +162,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     An id that the vocabulary lacks is left out, as the library does.
     """
-    vocab = vocabulary_file(encoded, path)
+    with open(path, encoding="utf-8") as f:
+        table = encoded.sparkSession.sparkContext.broadcast(vocabulary(f.read()).pieces.tolist())
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(vocab.value)
+        pieces = np.array(table.value, dtype=object)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
@@ -175,8 +176,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts = []
                 for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), lists.is_valid().to_pylist(), strict=True):
                     some = ids[a:b] if ok else ids[:0]
-                    some = some[(some >= 0) & (some < len(words.pieces))].astype(np.int64)
-                    texts.append(" ".join(words.pieces[some].tolist()))
+                    some = some[(some >= 0) & (some < len(pieces))].astype(np.int64)
+                    texts.append(" ".join(pieces[some].tolist()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, ids array<int>, text string")
