@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.llm import decontaminate, language_id, line_dedup
 from lectern.llm.jaccard_join import distinct_documents
 from lectern.llm.queries import PIECES, encoded_digests
+from lectern.llm.textblocks import unused
 from lectern.session import shared_folder
 
 #: No SQL: languages, edit distances and encodings are beyond it; the tests hold brute-force versions.
@@ -21,15 +22,17 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; null texts and texts without a letter go."""
-    found = language_id.identify(docs.drop("lang_pred", "score"), PIECES, docs)
-    return found.filter(F.col("lang_pred") != language_id.UNSURE).select(*docs.columns)
+    names = (unused(docs.columns, "lang_pred"), unused(docs.columns, "score"))
+    found = language_id.identify(docs, PIECES, docs, names=names)
+    return found.filter(F.col(names[0]) != language_id.UNSURE).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later copies of runs of lines of 50 words or more; a document of which nothing is left goes."""
-    done = line_dedup.dedup_lines(docs, min_words=50).filter((F.col("n_deleted") == 0) | (F.trim("text") != ""))
+    names = (unused(docs.columns, "n_lines"), unused(docs.columns, "n_deleted"))
+    done = line_dedup.dedup_lines(docs, 50, names).filter((F.col(names[1]) == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("n_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed = F.when(F.col(names[1]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         done = done.withColumn("n_chars", changed)
     return done.select(*docs.columns)
 

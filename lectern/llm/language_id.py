@@ -160,6 +160,8 @@ def log_chances(lattice: Lattice, words: list[str], chance: np.ndarray) -> np.nd
 def fit(pieces: list[str], counts: dict[str, dict[str, int]], rounds: int = 3, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
     """Languages and P(piece | language) from word counts by language; smoothed expected counts of each round."""
     langs = sorted(counts)
+    if not langs:
+        return [], np.zeros((len(pieces) + 1, 0))
     lattice = Lattice(pieces)
     chance = np.full((lattice.count, len(langs)), 1 / lattice.count)
     prepared = []
@@ -273,13 +275,15 @@ class _Scorer:
         return sums[at[1:]] - sums[at[:-1]]
 
 
-def predict(docs: DataFrame, pieces: list[str], langs: list[str], chance: np.ndarray) -> DataFrame:
-    """All columns of `docs`, and lang_pred and score, which take the place of columns so named."""
-    docs = docs.drop("lang_pred", "score")
+def predict(
+    docs: DataFrame, pieces: list[str], langs: list[str], chance: np.ndarray, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """All columns of `docs`, and the language and its score under `names`, which take the place of columns so named."""
+    docs = docs.drop(*names)
     sc = docs.sparkSession.sparkContext
     model = sc.broadcast((pieces, chance))
     key = ("language_scorer", hash((tuple(langs), chance.tobytes())))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = process_cache()
@@ -287,24 +291,26 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], chance: np.nda
             for piece in slices(batch):
                 texts = piece.column("text")
                 some = np.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
-                names, scores = np.full(len(some), UNSURE, object), np.zeros(len(some))
+                found, scores = np.full(len(some), UNSURE, object), np.zeros(len(some))
                 if langs and some.any():
                     if key not in cache:
                         cache[key] = _Scorer(*model.value)
                     logs = cache[key].score(texts)
                     best = logs.argmax(axis=1)
                     posterior = 1 / np.exp(np.minimum(logs - logs.max(axis=1, keepdims=True), 0)).sum(axis=1)
-                    names[some] = np.array(langs, object)[best[some]]
+                    found[some] = np.array(langs, object)[best[some]]
                     scores[some] = posterior[some]
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, pa.array(names, pa.string()), pa.array(scores)], [*piece.schema.names, "lang_pred", "score"]
+                    [*piece.columns, pa.array(found, pa.string()), pa.array(scores)], [*piece.schema.names, *names]
                 )
 
     return docs.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, path: str, labelled: DataFrame | None = None, sample_docs: int = 300) -> DataFrame:
+def identify(
+    docs: DataFrame, path: str, labelled: DataFrame | None = None, sample_docs: int = 300, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
     """Trains on `labelled` (the documents themselves if none are given) and predicts every document."""
     pieces = pieces_of(path)
     langs, chance = train(docs if labelled is None else labelled, pieces, sample_docs)
-    return predict(docs, pieces, langs, chance)
+    return predict(docs, pieces, langs, chance, names)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.llm.textblocks import unused
 from lectern.session import stored_table
 
 DOC = ["_doc", "_hash"]
@@ -120,23 +121,25 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     return covered.filter("covered > pos").select(*DOC, "line")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """The documents, without the lines of later copies, with two more columns: n_lines and n_deleted.
+def dedup_lines(docs: DataFrame, min_words: int = 50, names: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """The documents, without the lines of later copies, with two more columns: lines of the given text and deleted lines.
 
-    n_lines counts all lines of the given text; both are 0 for a null text.
+    Both are 0 for a null text. They take the place of columns so named.
     """
+    docs = docs.drop(*names)
+    key, cut, gone_doc, gone_key, gone_lines = (unused(docs.columns, n) for n in ("key", "lines", "gone_doc", "gone_key", "gone"))
     gone = (
-        later_copies(docs, min_words).groupBy(*DOC).agg(F.collect_set("line").alias("_gone"))
-        .select(F.col("_doc").alias("_gone_doc"), F.col("_hash").alias("_gone_hash"), "_gone")
+        later_copies(docs, min_words).groupBy(*DOC).agg(F.collect_set("line").alias(gone_lines))
+        .select(F.col("_doc").alias(gone_doc), F.col("_hash").alias(gone_key), gone_lines)
     )
     # the lines go through the join in place of the text, so that they are cut once for each document
-    given = docs.withColumns({"_key": F.xxhash64("text"), "_lines": F.split("text", "\n")}).drop("text")
-    joined = given.join(gone, (F.col("doc_id") == F.col("_gone_doc")) & (F.col("_key") == F.col("_gone_hash")), "left")
-    size = F.coalesce(F.size("_lines"), F.lit(0))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), size - 1), F.col("_gone")), lambda i: F.col("_lines")[i])
-    text = F.when(F.col("_gone").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(kept, "\n"))
+    given = docs.withColumns({key: F.xxhash64("text"), cut: F.split("text", "\n")}).drop("text")
+    joined = given.join(gone, (F.col("doc_id") == F.col(gone_doc)) & (F.col(key) == F.col(gone_key)), "left")
+    size = F.coalesce(F.size(cut), F.lit(0))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), size - 1), F.col(gone_lines)), lambda i: F.col(cut)[i])
+    text = F.when(F.col(gone_lines).isNull(), F.array_join(cut, "\n")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("_lines").isNull(), 0).otherwise(size).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_deleted"),
+        F.when(F.col(cut).isNull(), 0).otherwise(size).cast("long").alias(names[0]),
+        F.when(F.col(gone_lines).isNull(), 0).otherwise(F.size(gone_lines)).cast("long").alias(names[1]),
     )

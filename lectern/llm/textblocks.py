@@ -20,6 +20,14 @@ BASE = 0x9E3779B97F4A7C15
 SLICE_BYTES = 4 << 20
 
 
+def unused(columns: list[str], name: str) -> str:
+    """`name`, with underscores before it until no column is so named."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def process_cache() -> dict:
     """A dictionary that lives as long as the Python worker; code that travels with a plan has no other."""
     name = "_lectern_llm_cache"
