@@ -4,10 +4,11 @@ Method: token-combination prefixes. The shingles of a document are put into one
 rarest in the corpus first. Two sets that reach the threshold share a shingle among their first
 a + 1, where a is the number of elements that a set may lack. If the first shared one is rare, it
 alone is the signature. If it is frequent, all shared ones are, and the prefix is extended until
-it must hold two shared elements with no unshared one between them: pairs of neighbouring
-frequent shingles are then the signatures. Documents of one signature are compared with the one
+it must hold two shared elements with no unshared one between them, which is after as many as both
+sets together may lack: pairs of neighbouring frequent shingles are then the signatures. Documents of one signature are compared with the one
 that has the fewest shingles of its own, and what that does not connect is compared with the rest
-of the signature. Every candidate is verified on the sets, so the result is that of a comparison of
+of the signature, where the shingles that cannot be shared (those of one document, and for pairs
+all rare ones) still allow the threshold. Every candidate is verified on the sets, so the result is that of a comparison of
 all documents.
 
 How it scales: the scan sends each distinct shingle of a block of documents once
@@ -29,23 +30,24 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.llm.components import components
 from lectern.llm.exchange import ASKED, OWN, buckets, exchange, messages
-from lectern.llm.textblocks import mix, pack, slices, span_hashes, text_bytes, unpack, words
+from lectern.llm.textblocks import mix, pack, slices, span_hashes, text_bytes, unpack, unused, words
 from lectern.session import cut_lineage, stored_table
 
 #: A shingle in no more documents (or groups of copies in a block) than this is rare.
-RARE = 16
+RARE = 64
 #: A block of documents holds about so many shingles.
 BLOCK = 3_000_000
 ODD = 0xD6E8FEB86659FD93
 
-SETS = "doc_id long, n int, fp long, rep long, alone int, tokens array<long>, signatures array<long>"
+SETS = "doc_id long, n int, fp long, rep long, alone int, rare int, tokens array<long>, singles array<long>, joint array<long>"
 SETS_ARROW = pa.schema(
     [
         ("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("rep", pa.int64()), ("alone", pa.int32()),
-        ("tokens", pa.list_(pa.int64())), ("signatures", pa.list_(pa.int64())),
+        ("rare", pa.int32()), ("tokens", pa.list_(pa.int64())), ("singles", pa.list_(pa.int64())), ("joint", pa.list_(pa.int64())),
     ]
 )
 
@@ -201,14 +203,13 @@ def _finish(rows: list[tuple]) -> pa.Table:
             continue
         t, f = token[first:last], df[first:last]
         rare = int(np.searchsorted(f, RARE, side="right"))
-        signs = mix(t[: min(rare, spare + 1 - alone)])
-        if total == 1:
-            signs = mix(t[:1])
-        elif alone + rare <= spare:
+        singles = mix(t[: min(rare, spare + 1 - alone)] if total > 1 else t[:1])
+        joint = none
+        if total > 1 and alone + rare <= spare:
             lacking = spare - alone - rare
-            run = t[rare : rare + 2 * lacking + (5 * total // 4) // 5 + 2]
-            signs = np.concatenate((signs, mix(run[:-1] * np.uint64(ODD) + mix(run[1:]))))
-        kept[s] = (alone, t.view(np.int64), signs.view(np.int64))
+            run = t[rare : rare + lacking + total // 4 - alone - rare + 2]
+            joint = mix(run[:-1] * np.uint64(ODD) + mix(run[1:]))
+        kept[s] = (alone, alone + rare, *(x.view(np.int64) for x in (t, singles, joint)))
     chosen: dict[int, int] = {}
     for i, s in enumerate(set_of.tolist()):
         if s not in chosen and ids[i] == reps[s]:
@@ -216,10 +217,8 @@ def _finish(rows: list[tuple]) -> pa.Table:
     lead = {i: kept[s] for s, i in chosen.items() if s in kept}
     return pa.Table.from_arrays(
         [
-            pa.array(ids), pa.array(n), pa.array(fp), pa.array(reps[set_of] if sets else ids),
-            pa.array([lead[i][0] if i in lead else None for i in range(len(ids))], pa.int32()),
-            pa.array([lead[i][1] if i in lead else None for i in range(len(ids))], pa.list_(pa.int64())),
-            pa.array([lead[i][2] if i in lead else None for i in range(len(ids))], pa.list_(pa.int64())),
+            pa.array(ids), pa.array(n), pa.array(fp), pa.array(np.where(n > 0, reps[set_of], ids) if sets else ids),
+            *(pa.array([lead[i][k] if i in lead else None for i in range(len(ids))], SETS_ARROW.field(4 + k).type) for k in range(5)),
         ],
         schema=SETS_ARROW,
     )
@@ -248,13 +247,17 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all documents; the component is its smallest id."""
     stored = stored_table(sets(docs, width))
     candidates = stored.filter("tokens is not null")
-    signed = candidates.select("doc_id", "fp", "n", "alone", F.explode("signatures").alias("signature"))
+    ends = ["doc_id", "fp", "n"]
+    signed = candidates.select(*ends, F.col("alone").alias("own"), F.explode("singles").alias("signature")).unionByName(
+        candidates.select(*ends, F.col("rare").alias("own"), F.explode("joint").alias("signature"))
+    )
     leads = (
-        signed.groupBy("signature").agg(F.count("*").alias("members"), F.min(F.struct("alone", "doc_id", "fp", "n")).alias("lead"))
+        signed.groupBy("signature").agg(F.count("*").alias("members"), F.min(F.struct("own", "doc_id", "fp", "n")).alias("lead"))
         .filter("members > 1")
-        .select("signature", F.col("lead.doc_id").alias("b"), F.col("lead.fp").alias("fb"), F.col("lead.n").alias("nb"))
+        .select("signature", *(F.col(f"lead.{c}").alias(to) for c, to in (("doc_id", "b"), ("fp", "fb"), ("n", "nb"), ("own", "ownb"))))
     )
-    close = "100 * least(n, nb) >= 80 * greatest(n, nb)"
+    # as much as the two can share at most is enough; shared >= 4/9 of both sizes is 80 of 100 of the union
+    close = "9 * least(n - own, nb - ownb) >= 4 * (n + nb)"
     starred = cut_lineage(
         signed.join(leads, "signature").filter("(doc_id <> b or fp <> fb) and " + close)
         .groupBy(F.col("doc_id").alias("a"), F.col("fp").alias("fa"), "b", "fb").agg(F.count("*").alias("common"))
@@ -272,16 +275,15 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
     # what the leads have not connected is compared with all others of its signatures
     named = signed.join(labels, signed.doc_id == labels.node, "left").select(
-        "signature", "doc_id", "fp", "n", F.coalesce("label", "doc_id").alias("label")
+        "signature", *ends, "own", F.coalesce("label", "doc_id").alias("label")
     )
     mixed = named.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("signature")
     open_ = cut_lineage(named.join(mixed, "signature"))
-    x = open_.select("signature", F.col("doc_id").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = open_.select("signature", F.col("doc_id").alias("b"), F.col("fp").alias("fb"), "n", F.col("label").alias("lb"))
-    rest = (
-        x.join(y, "signature").filter("la < lb and 100 * least(n, na) >= 80 * greatest(n, na)")
-        .select("a", "fa", "b", "fb").distinct()
+    x = open_.select("signature", F.col("doc_id").alias("a"), F.col("fp").alias("fa"), "n", "own", F.col("label").alias("la"))
+    y = open_.select(
+        "signature", F.col("doc_id").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"), F.col("own").alias("ownb"), F.col("label").alias("lb")
     )
+    rest = x.join(y, "signature").filter("la < lb and " + close).select("a", "fa", "b", "fb").distinct()
     tested = starred.select("a", "fa", "b", "fb")
     rest = rest.join(tested, ["a", "fa", "b", "fb"], "left_anti").join(
         tested.select(F.col("b").alias("a"), F.col("fb").alias("fa"), F.col("a").alias("b"), F.col("fa").alias("fb")),
@@ -309,7 +311,15 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def distinct_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest id stays, as it is.
 
-    Rows with a null id stay as well, since nothing can be said of them.
+    Of rows that share this id, the first by text stays. Rows with a null id stay as well, since nothing can be said of them.
     """
-    gone = near_duplicates(docs, width).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    found = stored_table(near_duplicates(docs, width))
+    gone, twice, no = (unused(docs.columns, n) for n in ("gone", "twice", "no"))
+    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
+    again = stored_table(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(twice)))
+    if again.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy("text")
+    one = kept.join(again, F.col("doc_id") == F.col(twice), "left_semi").withColumn(no, F.row_number().over(first)).filter(F.col(no) == 1).drop(no)
+    return kept.join(again, F.col("doc_id") == F.col(twice), "left_anti").unionByName(one)
