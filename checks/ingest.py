@@ -21,7 +21,7 @@ from lectern.plans import lake
 from lectern.schemas import CHUNK_INDEX, GOLD, conform
 from lectern.session import shared_folder
 from lectern.sources.landing import extract_documents
-from lectern.sources.layers import read_layer, scan_corpus, write_increment
+from lectern.sources.layers import publish, read_layer, scan_corpus, write_increment
 from lectern.sources.upsert import replace_documents, upsert
 
 SMALL = Settings(chunk_size=300, chunk_overlap=50)
@@ -107,11 +107,19 @@ def exploded(spark, sf_dir):
     return rows.select("doc_id", "chunk_pos", "chunk_text")
 
 
-@query("chunk_ids", f"WITH {chunks_sql('documents', 'doc_id', 'text', SMALL)} SELECT count(*) AS chunks, count(*) AS ids FROM chunks")
+@query(
+    "chunk_ids",
+    f"WITH {chunks_sql('documents', 'doc_id', 'text', SMALL)} "
+    "SELECT doc_id, chunk_pos, md5(chunk_text) AS digest, 1::BIGINT AS holders, TRUE AS again FROM chunks",
+)
 def chunk_ids(spark, sf_dir):
+    """Every chunk with the number of chunks of its id, and whether a second run gives the same id."""
     rows = explode_chunks(documents(spark, sf_dir).select("doc_id", "text"), "text", SMALL)
-    return with_chunk_id(rows, "doc_id").agg(
-        F.count("*").alias("chunks"), F.count_distinct("chunk_id").alias("ids")
+    first = with_chunk_id(rows, "doc_id")
+    second = with_chunk_id(rows.repartition(3), "doc_id").select("doc_id", "chunk_pos", F.col("chunk_id").alias("second"))
+    holders = first.groupBy("chunk_id").agg(F.count("*").alias("holders"))
+    return first.join(second, ["doc_id", "chunk_pos"]).join(holders, "chunk_id").select(
+        "doc_id", "chunk_pos", F.md5("chunk_text").alias("digest"), "holders", (F.col("chunk_id") == F.col("second")).alias("again")
     )
 
 
@@ -309,6 +317,7 @@ INDEX_CTES = {
     "new": "SELECT doc_id AS chunk_id, concat(source, '_', lang) AS path, concat('v1 ', text) AS document, 1 AS h FROM documents WHERE lang = 'fr' "
     "UNION ALL SELECT doc_id, concat(source, '_', lang), concat('v2 ', text), 2 FROM documents WHERE lang = 'fr' AND n_chars < 2000",
     "newest": "SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY h DESC) = 1",
+    "newest_load": "SELECT * FROM new QUALIFY h = max(h) OVER (PARTITION BY path)",
 }
 
 
@@ -338,7 +347,7 @@ def upsert_chunks(spark, sf_dir):
 @query(
     "replace_documents",
     with_ctes(
-        "SELECT chunk_id, path, md5(document) AS digest FROM (SELECT * FROM newest UNION ALL "
+        "SELECT chunk_id, path, md5(document) AS digest FROM (SELECT * FROM newest_load UNION ALL "
         "SELECT * FROM old WHERE path NOT IN (SELECT path FROM new))",
         **INDEX_CTES,
     ),
@@ -368,7 +377,10 @@ def index_load(spark, sf_dir):
     french = table(spark, sf_dir, "documents").filter("lang = 'fr'").select(
         F.concat(F.lit("landing/"), F.col("doc_id").cast("string")).alias("path")
     )
-    emptied = conform(french.withColumn("chunk_id", F.xxhash64("path")).withColumn("document", F.lit("")), CHUNK_INDEX)
+    emptied = french.withColumns(
+        {"chunk_id": F.xxhash64("path"), "document": F.lit(""), "load_ts": F.current_timestamp() + F.expr("INTERVAL 1 HOUR")}
+    )
+    emptied = conform(emptied, CHUNK_INDEX)
     write_increment(emptied, index, 0)
     rows = lake.read_index(spark, index).filter(F.length("document") > 0).join(
         gold.select("chunk_id", "chunk_pos"), "chunk_id"
@@ -378,3 +390,44 @@ def index_load(spark, sf_dir):
         F.md5(F.array_join(F.transform(ordered, lambda x: x["document"]), "|")).alias("digest"),
         F.count("*").alias("chunks"),
     )
+
+
+LOADED_SQL = (
+    "SELECT path, md5(string_agg(document, '|' ORDER BY chunk_id)) AS digest, count(*) AS chunks FROM "
+    "({}) GROUP BY path"
+)
+
+
+def _index_digest(rows):
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_id", "document")))
+    return rows.groupBy("path").agg(
+        F.md5(F.array_join(F.transform(ordered, lambda x: x["document"]), "|")).alias("digest"), F.count("*").alias("chunks")
+    )
+
+
+@query(
+    "index_newer_batch_load",
+    with_ctes(LOADED_SQL.format("SELECT * FROM newest_load UNION ALL SELECT * FROM old WHERE path NOT IN (SELECT path FROM new)"), **INDEX_CTES),
+)
+def index_newer_batch_load(spark, sf_dir):
+    """A version, a streamed increment, then newer loads as a batch: the newest load of a document wins."""
+    index = f"{shared_folder(spark)}/index"
+    old, new = loads(spark, sf_dir)
+    publish(old, index)
+    write_increment(new.filter("load_ts = timestamp_seconds(1704070800)"), index, 0)
+    write_increment(new.filter("load_ts > timestamp_seconds(1704070800)"), index, 0, source="load-later")
+    return _index_digest(lake.read_index(spark, index))
+
+
+@query(
+    "index_load_again",
+    with_ctes(LOADED_SQL.format("SELECT * FROM newest_load UNION ALL SELECT * FROM old WHERE path NOT IN (SELECT path FROM new)"), **INDEX_CTES),
+)
+def index_load_again(spark, sf_dir):
+    """Two loads of a document in one increment, run twice, between an older load; then all are folded."""
+    index = f"{shared_folder(spark)}/index"
+    old, new = loads(spark, sf_dir)
+    write_increment(new, index, 0)
+    write_increment(old, index, 0, source="load-older")
+    write_increment(new, index, 0)
+    return _index_digest(lake.compact_index(spark, index))

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.sources.layers import spread
 from lectern.sources.logs import retrieval_rows
 
 AS_OF = dt.datetime(2024, 1, 5)
@@ -19,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def text_ts(column: str) -> F.Column:
@@ -62,8 +61,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_history(table(spark, sf_dir, "conversations"))
 
 
-# A question is answered from five documents spread over the whole table. Short questions found
-# nothing and left no row.
+# A question is answered from five documents spread over the whole table.
 LOG_SQL = """
 SELECT h.session_id,
        substring(h.content, 1, 500) AS query,
@@ -77,7 +75,7 @@ SELECT h.session_id,
 FROM history h
 CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS k) k
 JOIN documents d ON d.doc_id = (h.id * 31 + k.k * 13) % (SELECT count(*) FROM documents)
-WHERE h.role = 'user' AND length(h.content) >= 60
+WHERE h.role = 'user'
 """
 
 
@@ -85,7 +83,7 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per question and source: id, session_id, query, retrieved_at, source."""
     docs = table(spark, sf_dir, "documents")
     n_docs = docs.count()
-    asked = history(spark, sf_dir).filter((F.col("role") == "user") & (F.length("content") >= 60))
+    asked = history(spark, sf_dir).filter(F.col("role") == "user")
     steps = F.array(*[F.lit(13 * k) for k in range(5)])
     hits = asked.select("*", F.posexplode(steps).alias("k", "step")).withColumn(
         "doc_id", F.pmod(F.col("id") * 31 + F.col("step"), F.lit(n_docs))
@@ -130,8 +128,12 @@ PAIRS_FROM_SQL = """FROM history u JOIN history a
  AND a.created_at > u.created_at AND a.created_at < u.created_at + INTERVAL 2 MINUTE"""
 
 
+# Read more than once by later parts, so they are computed once.
+MATERIALIZED = ("tf", "df", "raw_idf", "sizes")
+
+
 def with_ctes(body: str, **ctes: str) -> str:
-    named = ",\n".join(f"{name} AS ({text})" for name, text in ctes.items())
+    named = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in MATERIALIZED else ''}({text})" for name, text in ctes.items())
     body = body.lstrip()
     return f"WITH {named}{body}" if body.startswith(",") else f"WITH {named}\n{body}"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -29,6 +31,7 @@ from lectern.sources.layers import (
     publish,
     read_increments,
     read_layer,
+    write_increment,
     write_layer,
 )
 from lectern.sources.upsert import replace_documents, upsert
@@ -144,43 +147,58 @@ def index_rows(gold: DataFrame, load_ts=None) -> DataFrame:
 def index_load(
     spark: SparkSession, gold: DataFrame | str, index_path: str, whole_documents: bool = True
 ) -> DataFrame:
-    """Merge gold rows into the index and publish the result as its new version.
+    """Add a load of gold rows to the index and return the index as of now.
 
-    `whole_documents` also removes the chunks that a re-ingested document no longer has.
+    The load is stored as an increment beside those of the stream, so it costs as much as its own
+    rows; `compact_index` folds increments into a version. Of each document the newest load counts.
+    `whole_documents=False` merges by chunk instead, which has to write a new version at once.
     """
     rows = index_rows(read_layer(spark, gold, GOLD) if isinstance(gold, str) else gold)
-    old = current(spark, index_path, CHUNK_INDEX)
-    merged = replace_documents(old, rows) if whole_documents else upsert(old, rows, ["chunk_id"])
-    last = newest_version(spark, index_path)
-    return publish(merged, index_path, last.through if last else -1)
+    if whole_documents:
+        write_increment(rows, index_path, 0, source=f"load-{uuid.uuid4().hex}")
+        return read_index(spark, index_path)
+    through = _through(spark, index_path)
+    return publish(upsert(read_index(spark, index_path), rows, ["chunk_id"]), index_path, through)
 
 
 def read_index(spark: SparkSession, index_path: str) -> DataFrame:
-    """The index as of now: its newest version with the micro-batches stored since.
+    """The index as of now: its newest version with the increments stored since.
 
-    Of a document only the last batch counts, and it hides the document's older chunks.
+    Of a document only the newest load counts, wherever it is stored.
     """
     base = current(spark, index_path, CHUNK_INDEX)
     fresh = read_increments(spark, index_path, CHUNK_INDEX)
     if fresh is None:
         return base
-    last = fresh.groupBy("path").agg(F.max("batch").alias("batch"))
-    rows = fresh.join(last, ["path", "batch"], "left_semi").drop("batch")
-    return replace_documents(base, rows)
+    # loads of one time are told apart by their number; what a version holds comes before them
+    folded = base.withColumns({"source": F.lit(""), "batch": F.lit(-1).cast("bigint")})
+    newest = replace_documents(folded, fresh, order=("load_ts", "batch", "source"))
+    return newest.drop("source", "batch")
+
+
+def _loads(spark: SparkSession, index_path: str) -> list[tuple[str, int]]:
+    """Increments that no version contains yet: one row for each, not for each chunk."""
+    fresh = read_increments(spark, index_path, CHUNK_INDEX)
+    if fresh is None:
+        return []
+    return sorted((r["source"], r["batch"]) for r in fresh.groupBy("source").agg(F.max("batch").alias("batch")).collect())
+
+
+def _through(spark: SparkSession, index_path: str) -> dict[str, int]:
+    last = newest_version(spark, index_path)
+    return (last.through if last else {}) | dict(_loads(spark, index_path))
 
 
 def index_mark(spark: SparkSession, index_path: str) -> str:
     """A name for what `read_index` returns, which changes with every load."""
     last = newest_version(spark, index_path)
-    fresh = read_increments(spark, index_path, CHUNK_INDEX)
-    batch = fresh.agg(F.max("batch")).first()[0] if fresh is not None else None
-    return f"{last.name if last else None}:{batch}"
+    digest = hashlib.sha256(repr(_loads(spark, index_path)).encode()).hexdigest()
+    return f"{last.name if last else None}:{digest}"
 
 
 def compact_index(spark: SparkSession, index_path: str) -> DataFrame:
-    """Publish what `read_index` returns, so the micro-batches need not be merged again."""
-    fresh = read_increments(spark, index_path, CHUNK_INDEX)
-    through = fresh.agg(F.max("batch")).first()[0] if fresh is not None else None
-    if through is None:
+    """Publish what `read_index` returns, so the increments need not be merged again."""
+    if not _loads(spark, index_path):
         return current(spark, index_path, CHUNK_INDEX)
+    through = _through(spark, index_path)
     return publish(read_index(spark, index_path), index_path, through)

@@ -36,15 +36,6 @@ def read_layer(
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Deal rows out evenly when a small input has fewer partitions than the cluster has cores.
-
-    A table of the size this is built for has far more, and is left as it is.
-    """
-    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
 def scan_corpus(chunks: DataFrame, item_id: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
     """Id and text of every stored chunk that has text."""
     return chunks.filter(F.length(text) > 0).select(item_id, text)
@@ -52,14 +43,14 @@ def scan_corpus(chunks: DataFrame, item_id: str = "chunk_id", text: str = "chunk
 
 # ---- versioned layers --------------------------------------------------------------------
 
-_POINTER = "seq bigint, version string, through bigint, published_at timestamp"
+_POINTER = "seq bigint, version string, through map<string, bigint>, published_at timestamp"
 
 
 @dataclass(frozen=True)
 class Version:
     seq: int
     name: str
-    through: int  # the last incremental batch this version contains
+    through: dict[str, int]  # the last increment of each source that this version contains
 
 
 def _if_present(read):
@@ -77,10 +68,10 @@ def newest_version(spark: SparkSession, path: str) -> Version | None:
     if published is None:
         return None
     last = published.orderBy(F.col("seq").desc(), F.col("version").desc()).first()
-    return Version(last["seq"], last["version"], last["through"]) if last else None
+    return Version(last["seq"], last["version"], dict(last["through"] or {})) if last else None
 
 
-def publish(df: DataFrame, path: str, through: int = -1, fmt: str = FORMAT) -> DataFrame:
+def publish(df: DataFrame, path: str, through: dict[str, int] | None = None, fmt: str = FORMAT) -> DataFrame:
     """Write a new version and point readers at it by appending one row.
 
     Readers keep the version they started with, and a failed write is never seen.
@@ -89,7 +80,7 @@ def publish(df: DataFrame, path: str, through: int = -1, fmt: str = FORMAT) -> D
     last = newest_version(spark, path)
     name = uuid.uuid4().hex
     df.write.format(fmt).save(f"{path}/versions/{name}")
-    row = [(last.seq + 1 if last else 0, name, through, dt.datetime.now(dt.timezone.utc))]
+    row = [(last.seq + 1 if last else 0, name, through or {}, dt.datetime.now(dt.timezone.utc))]
     spark.createDataFrame(row, _POINTER).coalesce(1).write.mode("append").parquet(
         f"{path}/published"
     )
@@ -106,20 +97,31 @@ def current(
     return read_layer(spark, f"{path}/versions/{last.name}", schema, fmt)
 
 
-def write_increment(df: DataFrame, path: str, batch: int, fmt: str = FORMAT) -> None:
-    """Store one micro-batch; running the batch again replaces it."""
-    df.write.format(fmt).mode("overwrite").save(f"{path}/increments/batch={batch}")
+def increment_path(path: str, batch: int, source: str = "stream") -> str:
+    return f"{path}/increments/source={source}/batch={batch}"
+
+
+def write_increment(
+    df: DataFrame, path: str, batch: int, fmt: str = FORMAT, source: str = "stream"
+) -> None:
+    """Store one increment: a micro-batch under its number, or a load under a source of its own.
+
+    Running the batch again replaces it.
+    """
+    df.write.format(fmt).mode("overwrite").save(increment_path(path, batch, source))
 
 
 def read_increments(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = FORMAT
 ) -> DataFrame | None:
-    """Stored micro-batches that the newest version does not contain yet, with their `batch`."""
-    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    """Stored increments that the newest version does not contain yet, with `source` and `batch`."""
+    marks = [T.StructField("source", T.StringType()), T.StructField("batch", T.LongType())]
     rows = _if_present(
-        lambda: spark.read.format(fmt).schema(with_batch).load(f"{path}/increments")
+        lambda: spark.read.format(fmt).schema(T.StructType([*schema.fields, *marks])).load(f"{path}/increments")
     )
     if rows is None:
         return None
     last = newest_version(spark, path)
-    return rows.filter(F.col("batch") > (last.through if last else -1))
+    for source, batch in (last.through if last else {}).items():
+        rows = rows.filter((F.col("source") != source) | (F.col("batch") > batch))
+    return rows

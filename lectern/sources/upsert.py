@@ -41,9 +41,20 @@ def replace_documents(
     new: DataFrame,
     document: str = "path",
     keys: Sequence[str] = ("chunk_id",),
+    order: Sequence[str] = ("load_ts",),
     broadcast_rows: int = DEFAULTS.broadcast_rows,
 ) -> DataFrame:
-    """Upsert whole documents: chunks a new version of a document no longer has disappear."""
-    written = checked_broadcast(new.select(document).distinct(), broadcast_rows)
-    kept = old.join(written, document, "left_anti")
-    return kept.unionByName(newest_per_key(new, keys))
+    """Upsert whole documents: of each document only the rows of its newest load stay.
+
+    Chunks that the newest load no longer has disappear, whether they are stored or come with an
+    older load in `new`; a stored document that is newer than all its loads in `new` stays as it
+    is. Loads are compared by the columns of `order`; a missing value is the oldest.
+    """
+    at = F.struct(*order)
+    loads = new.groupBy(document).agg(F.max(at).alias("_load"))
+    written = checked_broadcast(loads, broadcast_rows)
+    kept = old.join(written, document, "left").filter(F.col("_load").isNull() | (at > F.col("_load")))
+    ahead = old.join(written, document).filter(at > F.col("_load")).select(document).distinct()
+    fresh = new.join(loads, document).filter(at == F.col("_load")).drop("_load")
+    fresh = fresh.join(checked_broadcast(ahead, broadcast_rows), document, "left_anti")
+    return kept.select(*old.columns).unionByName(newest_per_key(fresh, keys, order[0]).select(*old.columns))

@@ -13,7 +13,7 @@ from lectern.functions.vectors import Embedder
 from lectern.plans.lake import build_bronze, build_gold, build_silver, index_rows
 from lectern.schemas import BRONZE, GOLD, SILVER, conform
 from lectern.sources.landing import EXTRACTORS, Extractor, landing_reader
-from lectern.sources.layers import read_layer, write_increment
+from lectern.sources.layers import increment_path, read_layer, write_increment
 
 _FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -41,7 +41,7 @@ def watch_landing(
     def store(rows: DataFrame, layer: str, schema, batch: int) -> DataFrame:
         path = f"{root}/live/{layer}"  # beside the layers that whole runs overwrite
         write_increment(conform(rows, schema), path, batch)
-        return read_layer(rows.sparkSession, f"{path}/increments/batch={batch}", schema)
+        return read_layer(rows.sparkSession, increment_path(path, batch), schema)
 
     def ingest(files: DataFrame, batch: int) -> None:
         bronze = store(build_bronze(files.select("path", "content"), extractors), "bronze", BRONZE, batch)

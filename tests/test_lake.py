@@ -73,7 +73,9 @@ def test_pipeline_and_index(spark, landing_dir, tmp_path):
     again = lake.index_load(spark, f"{root}/gold", index)
     ids = [sorted(r["chunk_id"] for r in t.select("chunk_id").collect()) for t in (first, again)]
     assert ids[0] == ids[1] and len(ids[0]) == counts["chunks"]
-    assert layers.newest_version(spark, index).seq == 1
+    assert layers.newest_version(spark, index) is None  # loads are increments until they are folded
+    assert sorted(r["chunk_id"] for r in lake.compact_index(spark, index).collect()) == ids[0]
+    assert layers.newest_version(spark, index).seq == 0 and lake.compact_index(spark, index).count() == len(ids[0])
     assert first.select("metadata.subject").distinct().count() == 2
 
 
@@ -129,6 +131,21 @@ def test_increments_are_merged_on_read_and_compacted(spark, tmp_path):
     assert len(set(marks)) == 3
 
 
+def test_newest_load_of_a_document_wins(spark, tmp_path):
+    path, t = str(tmp_path / "index"), dt.datetime(2024, 1, 1)
+    hour = dt.timedelta(hours=1)
+    layers.write_increment(index_rows(spark, [(1, "a", "streamed", t + hour), (2, "a", "streamed too", t + hour)]), path, 0)
+    layers.write_increment(index_rows(spark, [(1, "a", "later", t + 2 * hour)]), path, 0, source="load-x")
+    layers.write_increment(index_rows(spark, [(1, "a", "late arrival", t)]), path, 0, source="load-y")
+    assert plain(lake.read_index(spark, path)) == [(1, "later")]
+    assert plain(lake.compact_index(spark, path)) == [(1, "later")]
+    layers.write_increment(index_rows(spark, [(1, "a", "older", t)]), path, 1)
+    assert plain(lake.read_index(spark, path)) == [(1, "later")]
+    two = index_rows(spark, [(5, "b", "v1", t), (6, "b", "v1", t), (5, "b", "v2", t + hour)])
+    layers.write_increment(two, path, 2)
+    assert plain(lake.read_index(spark, path)) == [(1, "later"), (5, "v2")]
+
+
 def test_watch_landing(spark, landing_dir, tmp_path):
     root, state = str(tmp_path / "live"), str(tmp_path / "state")
 
@@ -152,12 +169,6 @@ def test_conform_defaults(spark):
     assert row["chunk_id"] == 1 and row["path"] == "" and row["document"] is None
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    wide = spark.range(0, 100, 1, 20)
-    assert layers.spread(wide).rdd.getNumPartitions() == 20
-    assert layers.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 8
-
-
 def test_scan_corpus(spark):
     df = spark.createDataFrame([(1, "x"), (2, ""), (3, None)], "chunk_id long, chunk_text string")
     rows = layers.scan_corpus(df.withColumn("more", F.lit(1)))
