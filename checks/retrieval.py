@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks import query
@@ -15,13 +17,13 @@ from checks.scalars import (
     strip_sql,
 )
 from checks.tables import HISTORY_SQL, documents, history, table, with_ctes
-from lectern.config import REPLY_LANGUAGES
+from lectern.config import REPLY_LANGUAGES, Settings
 from lectern.functions.language import STOP_WORDS
 from lectern.functions.text import HEDGE_NOTE, REFUSE_NOTE
 from lectern.operators import bm25, ranking, retrieval
 from lectern.operators.chunks import with_embedding
 from lectern.operators.conversation import history_before
-from lectern.operators.vector_index import build_vector_index, probe_top_k, recall
+from lectern.operators.vector_index import build_vector_index, probe_top_k
 from lectern.operators.vector_search import vector_top_k
 from lectern.plans import search
 from lectern.plans.chat import prepare_replies
@@ -63,9 +65,10 @@ LEG_CTES = {
 }
 
 
-def hits_ctes(k: int) -> dict[str, str]:
+def hits_ctes(k: int, same: str = "d.doc_id") -> dict[str, str]:
+    """`same`: what makes two hits one; parity with comparing texts by their beginning is an option."""
     return {
-        "hits": f"SELECT h.*, d.text, d.source, substring(d.text, 1, 100) AS start FROM ("
+        "hits": f"SELECT h.*, d.text, d.source, {same} AS start FROM ("
         f"SELECT question_id, rewrite_idx, 0 AS src_ord, leg_rank, doc_id FROM vec WHERE leg_rank <= {k} UNION ALL "
         f"SELECT question_id, rewrite_idx, 1, leg_rank, doc_id FROM bm WHERE leg_rank <= {k}) h JOIN docs d USING (doc_id)",
         "per_variant": "SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY question_id, rewrite_idx, start ORDER BY src_ord, leg_rank, doc_id) = 1",
@@ -108,9 +111,11 @@ ONE_VARIANT = "SELECT item_id AS question_id, 0 AS rewrite_idx, text FROM benchm
 ASKED = "SELECT item_id AS question_id, text FROM benchmark"
 
 
-def search_sql(body: str, k: int = 10, variants: str = REWRITES_SQL, asked: str = ASKED, **first: str) -> str:
+def search_sql(
+    body: str, k: int = 10, variants: str = REWRITES_SQL, asked: str = ASKED, same: str = "d.doc_id", **first: str
+) -> str:
     return with_ctes(
-        body, **first, asked=asked, variants=variants, **INDEX_CTES, **LEG_CTES, **hits_ctes(k), **RANK_CTES
+        body, **first, asked=asked, variants=variants, **INDEX_CTES, **LEG_CTES, **hits_ctes(k, same), **RANK_CTES
     )
 
 
@@ -152,16 +157,19 @@ def vector_neighbors(spark, sf_dir):
     return vector_top_k(asked, vectors, 5, item_id="vec_id")
 
 
-@query("vector_neighbors_probed")
+@query(
+    "vector_neighbors_probed",
+    """
+SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings a, embeddings b)) WHERE rank <= 5""",
+)
 def vector_neighbors_probed(spark, sf_dir):
-    """The approximate form, with the share of the exact neighbours that it finds."""
+    """Two cells are read first, and of the others those that can hold a nearer vector."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = vectors.withColumnRenamed("vec_id", "query_id")
     index = build_vector_index(vectors, shared_folder(spark), 16, "vec_id")
-    found = cut_lineage(probe_top_k(asked, index, 5, probes=8))
-    exact = vector_top_k(asked, vectors, 5, item_id="vec_id")
-    share = recall(found, exact, "query_id", "vec_id").scalar()
-    return found.withColumn("recall", share)
+    return probe_top_k(asked, index, 5, probes=2)
 
 
 @query(
@@ -211,6 +219,21 @@ def bm25_search(spark, sf_dir):
     return bm25.bm25_top_k(asked, plain_index(spark, sf_dir).stored(), 5)
 
 
+@query(
+    "bm25_search_with_zero",
+    with_ctes(
+        "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank "
+        "FROM (SELECT v.question_id AS query_id, d.doc_id, coalesce(b.score, 0) AS score FROM variants v CROSS JOIN docs d "
+        "LEFT JOIN bm_all b ON b.question_id = v.question_id AND b.doc_id = d.doc_id)) WHERE rank <= 5",
+        variants=ONE_VARIANT, **INDEX_CTES, vtok=LEG_CTES["vtok"], bm_all=LEG_CTES["bm_all"],
+    ),
+)
+def bm25_search_with_zero(spark, sf_dir):
+    """Always k rows: documents that share no term fill up with a score of 0."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return bm25.bm25_top_k(asked, plain_index(spark, sf_dir).stored(), 5, with_zero=True)
+
+
 def single(spark, sf_dir):
     return retrieval.single_variant(questions(spark, sf_dir))
 
@@ -224,6 +247,19 @@ def hybrid_candidates(spark, sf_dir):
     return rows.select("question_id", "src_ord", "leg_rank", "chunk_id")
 
 
+@query(
+    "hybrid_candidates_by_prefix",
+    search_sql(
+        "SELECT question_id, src_ord, leg_rank, doc_id AS chunk_id FROM per_variant", 5, ONE_VARIANT, same="substring(d.text, 1, 100)"
+    ),
+)
+def hybrid_candidates_by_prefix(spark, sf_dir):
+    """Texts that start alike count as one."""
+    by_prefix = replace(corpus(spark, sf_dir), settings=Settings(dedupe_on="chunk_text"))
+    rows = retrieval.hybrid_candidates(single(spark, sf_dir), by_prefix, 5)
+    return rows.select("question_id", "src_ord", "leg_rank", "chunk_id")
+
+
 @query(
     "multi_query_candidates",
     search_sql("SELECT question_id, rewrite_idx, src_ord, leg_rank, doc_id AS chunk_id, cand_index FROM cand"),

@@ -59,8 +59,9 @@ class Settings:
     candidates_per_query: int = 10
     probes: int = 8  # cells a query reads when an approximate vector index is given
     rerank_k: int = 5
-    # Candidates whose texts start alike count as one; "chunk_id" compares chunks instead.
-    dedupe_on: str = "chunk_text"
+    # A chunk that several variants find counts once. "chunk_text" compares texts by their first
+    # `dedupe_prefix_chars` characters instead, which loses chunks that start alike.
+    dedupe_on: str = "chunk_id"
     dedupe_prefix_chars: int | None = 100
 
     bm25_k1: float = 1.5
