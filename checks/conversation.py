@@ -19,6 +19,7 @@ from checks.tables import (
     retrieval_log,
     text_ts,
 )
+from lectern.config import HEADER_FALLBACK_PHRASES
 from lectern.functions.text import is_fallback, recent, severity_band, time_ago
 from lectern.operators import conversation as ops
 from lectern.sources.logs import retrieval_rows
@@ -143,13 +144,24 @@ RATE = "round(unanswered_questions / greatest(total_questions, 1) * 100, 1) AS c
 @query(
     "activity_summary",
     conversation_sql(
-        f"SELECT *, {RATE} FROM ({ACTIVITY_SQL}), ({unanswered_sql('count(*)', HEADER_FALLBACK_SQL)})"
+        f"SELECT *, {RATE} FROM ({ACTIVITY_SQL}), ({unanswered_sql('count(*)', FALLBACK_SQL)})"
     ),
 )
 def activity_summary(spark, sf_dir):
     return ops.activity_summary(history(spark, sf_dir), AS_OF)
 
 
+@query(
+    "activity_summary_header",
+    conversation_sql(
+        f"SELECT *, {RATE} FROM ({ACTIVITY_SQL}), ({unanswered_sql('count(*)', HEADER_FALLBACK_SQL)})"
+    ),
+)
+def activity_summary_header(spark, sf_dir):
+    """With the shorter list of phrases."""
+    return ops.activity_summary(history(spark, sf_dir), AS_OF, phrases=HEADER_FALLBACK_PHRASES)
+
+
 @query(
     "confusion_rate",
     conversation_sql(
@@ -158,9 +170,7 @@ def activity_summary(spark, sf_dir):
     ),
 )
 def confusion_rate(spark, sf_dir):
-    from lectern.config import FALLBACK_PHRASES
-
-    return ops.confusion_rate(history(spark, sf_dir), AS_OF, phrases=FALLBACK_PHRASES)
+    return ops.confusion_rate(history(spark, sf_dir), AS_OF)
 
 
 @query(
@@ -169,7 +179,7 @@ def confusion_rate(spark, sf_dir):
         "SELECT unanswered_questions, total_questions, confusion_rate, "
         "CASE WHEN confusion_rate > 30 THEN 'bad' WHEN confusion_rate > 15 THEN 'warn' ELSE 'good' END AS band "
         f"FROM (SELECT *, {RATE} FROM ({ACTIVITY_SQL}), "
-        f"({unanswered_sql('count(DISTINCT u.id)', HEADER_FALLBACK_SQL)}))"
+        f"({unanswered_sql('count(DISTINCT u.id)', FALLBACK_SQL)}))"
     ),
 )
 def confusion_rate_distinct(spark, sf_dir):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.config import DEFAULTS, HEADER_FALLBACK_PHRASES
+from lectern.config import DEFAULTS
 from lectern.functions.text import instant, is_fallback, recent
 from lectern.operators.ranking import latest, top_k
 
@@ -130,7 +130,9 @@ def confusion_heatmap(
     asked = pairs.groupBy(
         "session_id", F.col("question").alias("query"), F.to_date("asked_at").alias("day")
     ).agg(F.count("*").alias("asked"))
-    logged = log.groupBy(
+    # of the log only what was asked in these days, whenever it was logged
+    wanted = asked.select("session_id", "query").distinct()
+    logged = log.join(wanted, ["session_id", "query"], "left_semi").groupBy(
         "session_id", "query", subject_or_unknown(F.col("subject")).alias("subject")
     ).agg(F.count("*").alias("chunks"))
     times = F.lit(1) if distinct_questions else F.coalesce(F.col("chunks"), F.lit(1))
@@ -223,7 +225,7 @@ def unanswered_count(
     history: DataFrame,
     as_of: dt.datetime,
     days: int = 7,
-    phrases: Sequence[str] = HEADER_FALLBACK_PHRASES,
+    phrases: Sequence[str] = DEFAULTS.fallback_phrases,
     distinct_questions: bool = False,
 ) -> DataFrame:
     """One row: pairs of a question and a fallback reply, or the questions that have any."""
@@ -236,7 +238,7 @@ def activity_summary(
     history: DataFrame,
     as_of: dt.datetime,
     days: int = 7,
-    phrases: Sequence[str] = HEADER_FALLBACK_PHRASES,
+    phrases: Sequence[str] = DEFAULTS.fallback_phrases,
     distinct_questions: bool = False,
 ) -> DataFrame:
     """One row: the activity counts, unanswered questions and their share in percent."""
@@ -255,7 +257,7 @@ def confusion_rate(
     history: DataFrame,
     as_of: dt.datetime,
     days: int = 7,
-    phrases: Sequence[str] = HEADER_FALLBACK_PHRASES,
+    phrases: Sequence[str] = DEFAULTS.fallback_phrases,
     distinct_questions: bool = False,
 ) -> DataFrame:
     return activity_summary(history, as_of, days, phrases, distinct_questions).select(

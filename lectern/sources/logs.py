@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,14 @@ ROLES = ("user", "assistant")
 def _store(df: DataFrame, ts: str, path: str, batch: int | None) -> None:
     """One directory per day, so that time windows read few of them, and sorted by session.
 
-    Rows of a micro-batch go to a directory of their own that a repeated batch replaces, so a
-    batch that is run again after a failure leaves no row twice.
+    Every write has a directory of its own, so batch jobs and streams share a table. A micro-batch
+    goes by its number and replaces it when it has to run again; other writes go by their time.
     """
-    mode, target = ("append", path) if batch is None else ("overwrite", f"{path}/batch={batch}")
+    target = f"{path}/batch={time.time_ns() if batch is None else batch}"
     # rebalancing gathers a day's rows into few files and still splits a day that is too large
     rows = df.withColumn("day", F.to_date(ts)).hint("rebalance", F.col("day"))
     ordered = rows.sortWithinPartitions("day", "session_id", ts)
-    ordered.write.mode(mode).partitionBy("day").parquet(target)
+    ordered.write.mode("overwrite").partitionBy("day").parquet(target)
 
 
 def turns(df: DataFrame) -> DataFrame:
@@ -49,8 +50,8 @@ def retrieval_rows(
 ) -> DataFrame:
     """One log row per source of a request (session_id, query, sources, retrieved_at).
 
-    A request without sources gives no row, or an empty one with `keep_empty`. The question and the text are cut to the stored
-    length; what a source lacks is '' or 0.
+    A request without sources gives no row, or an empty one with `keep_empty`. The question and
+    the text are cut to the stored length; what a source lacks is '' or 0.
     """
     fields = {f.name for f in requests.schema["sources"].dataType.elementType.fields}
 
@@ -74,7 +75,8 @@ def retrieval_rows(
 
 
 def append_retrievals(requests: DataFrame, path: str, batch: int | None = None) -> None:
-    _store(retrieval_rows(requests), "retrieved_at", path, batch)
+    """A refused question, which has no sources, is logged as one row without a chunk."""
+    _store(retrieval_rows(requests, keep_empty=True), "retrieved_at", path, batch)
 
 
 def append_clears(cleared: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.config import HEADER_FALLBACK_PHRASES
 from lectern.operators import conversation as ops
 from lectern.sources import logs
 
@@ -92,11 +93,11 @@ def test_summary(spark):
         ("b", "user", "q", at(100)), ("b", "assistant", "je ne sais pas", at(110)),
         ("c", "user", "old", at(-40 * 86400)),
     ])
-    row = ops.activity_summary(h, AS_OF).first()
+    row = ops.activity_summary(h, AS_OF, phrases=HEADER_FALLBACK_PHRASES).first()
     assert tuple(row) == (2, 2, 2, 2, 100.0)
-    six = ops.confusion_rate(h, AS_OF, phrases=ops.DEFAULTS.fallback_phrases).first()
+    six = ops.confusion_rate(h, AS_OF).first()
     assert six["confusion_rate"] == 150.0
-    once = ops.confusion_rate(h, AS_OF, phrases=ops.DEFAULTS.fallback_phrases, distinct_questions=True).first()
+    once = ops.confusion_rate(h, AS_OF, distinct_questions=True).first()
     assert once["confusion_rate"] == 100.0
     empty = ops.activity_summary(h.limit(0), AS_OF).first()
     assert tuple(empty) == (0, 0, 0, 0, 0.0)
@@ -164,3 +165,24 @@ def test_history_before_equals_brute_force(spark, turns):
         before = sorted((t[4], t[0], t[3]) for t in said if t[1] == session and t[4] < when)
         assert got[message] == [c for _, _, c in before][-2 * turns:]
     assert len(got) == 26
+
+
+def test_batch_and_stream_share_a_log(spark, tmp_path):
+    when = dt.datetime(2024, 1, 2, 10)
+    schema = "id long, session_id string, role string, content string, created_at timestamp"
+    path = f"{tmp_path}/history"
+    logs.append_turns(spark.createDataFrame([(1, "s", "user", "by a job", when)], schema), path)
+    for _ in range(2):  # a micro-batch that runs again replaces itself
+        logs.append_turns(spark.createDataFrame([(2, "s", "assistant", "by a stream", when)], schema), path, batch=0)
+    logs.append_turns(spark.createDataFrame([(3, "s", "user", "by a job", when)], schema), path)
+    assert sorted(r["id"] for r in logs.read_history(spark, path).collect()) == [1, 2, 3]
+
+
+def test_a_refused_question_is_logged_without_a_chunk(spark, tmp_path):
+    asked = spark.createDataFrame(
+        [("s", "q", dt.datetime(2024, 1, 2), [])],
+        "session_id string, query string, retrieved_at timestamp, sources array<struct<chunk_id: string, chunk_text: string>>",
+    )
+    logs.append_retrievals(asked, f"{tmp_path}/log")
+    row = logs.read_retrievals(spark, f"{tmp_path}/log").first()
+    assert (row["query"], row["chunk_id"], row["subject"], row["score"]) == ("q", "", "", 0.0)
