@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):  # one process; local-cluster has several
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="lectern-checkpoint-")
     sc.setCheckpointDir(shared)

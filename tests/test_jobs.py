@@ -1,5 +1,8 @@
 import datetime as dt
 import json
+import os
+import subprocess
+import sys
 
 from checks.ingest import presentation
 from lectern import jobs
@@ -26,9 +29,22 @@ def test_files_to_answers_and_scores(spark, tmp_path, capsys):
     (tmp_path / "eval.json").write_text(json.dumps(asked))
     jobs.main(["evaluate", "--lake", lake, "--questions", str(tmp_path / "eval.json"), "--out", f"{out}-eval"])
     assert spark.read.json(f"{out}-eval/summary").first()["concordance_matches"] == 2
+    (tmp_path / "eval2.json").write_text(json.dumps([*asked, asked[0]]))
+    (tmp_path / "rewrites.json").write_text(json.dumps({"question": "A loop repeats", "raw_rewrites": "How does a loop repeat its body?"}) + "\n")
+    more = ["--rewrites", str(tmp_path / "rewrites.json")]
+    jobs.main(["evaluate", "--lake", lake, "--questions", str(tmp_path / "eval2.json"), "--out", f"{out}-eval2", *more])
+    assert spark.read.json(f"{out}-eval2/per_question").count() == 3
+    jobs.main(["compact", "--lake", lake])
     jobs.main(["watch", "--landing", str(landing), "--lake", lake])
 
 
+def test_jobs_start_as_a_file_and_as_a_module(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for command, folder in (([f"{root}/lectern/jobs.py"], tmp_path), (["-m", "lectern.jobs"], root)):
+        done = subprocess.run([sys.executable, *command, "--help"], cwd=folder, capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0 and "compact" in done.stdout, done.stderr
+
+
 def test_report(spark, tmp_path):
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     turns = [(1, "s", "user", "q", now - dt.timedelta(minutes=5)), (2, "s", "assistant", "pas couvert", now - dt.timedelta(minutes=4))]
