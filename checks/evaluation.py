@@ -11,7 +11,16 @@ from lectern.functions.jsonops import parse_quiz
 from lectern.functions.text import split_sentences
 from lectern.operators import evaluation as ops
 from lectern.plans.quiz import quiz_envelopes, quiz_requests
-from lectern.sources.results import eval_summary, invalid_questions
+from lectern.session import shared_folder
+from lectern.sources.results import (
+    append_eval_rows,
+    eval_progress,
+    eval_summary,
+    invalid_questions,
+    read_eval_questions,
+    read_eval_results,
+    write_eval_results,
+)
 
 # A labelled document is an evaluated question; its best score is a hash in [0, 1]. Documents
 # whose hash starts with 'f' had no source, those with 'e' failed.
@@ -73,6 +82,41 @@ def regrade(spark, sf_dir):
     return graded(spark, sf_dir).select("seq", "obtained_verdict", "match", F.round("top_score", 6).alias("top_score"))
 
 
+@query(
+    "eval_results_stored",
+    graded_sql(
+        "SELECT question, category, expected_verdict, obtained_verdict, match, round(top_score, 6) AS top_score, "
+        "md5(answer) AS answer, len(context_texts) AS contexts, error FROM graded"
+    ),
+)
+def eval_results_stored(spark, sf_dir):
+    """Written as result files and read again."""
+    folder = shared_folder(spark)
+    write_eval_results(graded(spark, sf_dir), folder)
+    return read_eval_results(spark, folder).select(
+        "question", "category", "expected_verdict", "obtained_verdict", "match", F.round("top_score", 6).alias("top_score"),
+        F.md5("answer").alias("answer"), F.size("context_texts").alias("contexts"), "error",
+    )
+
+
+@query("eval_progress", graded_sql(f"SELECT {RATE} FROM graded"))
+def progress(spark, sf_dir):
+    """Finished questions are added in two commits; the running totals are those of all."""
+    folder = shared_folder(spark)
+    rows = graded(spark, sf_dir)
+    for part in (0, 1):
+        append_eval_rows(rows.filter(F.pmod(F.xxhash64("question"), F.lit(2)) == part), folder)
+    return eval_progress(spark, folder)
+
+
+@query("eval_questions_stored", graded_sql("SELECT question, category, expected_verdict FROM graded"))
+def eval_questions_stored(spark, sf_dir):
+    """Written as JSON rows and read with their verdicts checked."""
+    folder = shared_folder(spark)
+    graded(spark, sf_dir).select("question", "category", "expected_verdict").write.json(folder)
+    return read_eval_questions(spark, folder, many_lines=False)
+
+
 @query("concordance", graded_sql(f"SELECT {RATE} FROM graded"))
 def concordance(spark, sf_dir):
     return ops.concordance(graded(spark, sf_dir))

@@ -8,6 +8,7 @@ from checks import query
 from checks.tables import FILES_SQL, documents, files, table, with_ctes
 from lectern.functions import jsonops, language, text, vectors
 from lectern.operators import retrieval
+from lectern.session import cut_lineage
 
 # ---- SQL building blocks -----------------------------------------------------------------
 
@@ -328,11 +329,22 @@ def clamp_count(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.clamp_count(wanted).alias("n"))
 
 
-@query("session_ids")
+@query(
+    "session_ids",
+    "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'new' ELSE CAST(conv_id AS VARCHAR) END AS session_id, 1::BIGINT AS holders "
+    "FROM conversations",
+)
 def session_ids(spark, sf_dir):
+    """A given id is kept; a missing one becomes an id of its own, of 36 characters, that no other row has."""
     turns = table(spark, sf_dir, "conversations")
-    given = F.when(F.col("role") == "system", "").otherwise(F.col("conv_id").cast("string"))
-    return turns.select("conv_id", "turn", text.session_id_or_new(given).alias("session_id"))
+    given = F.when(F.col("turn") % 2 == 0, F.when(F.col("turn") % 4 == 0, "")).otherwise(F.col("conv_id").cast("string"))
+    named = cut_lineage(turns.select("conv_id", "turn", given.alias("given"), text.session_id_or_new(given).alias("session_id")))
+    new = F.coalesce(F.length("given"), F.lit(0)) == 0
+    holders = named.filter(new).groupBy("session_id").agg(F.count("*").alias("holders"))
+    fresh = F.when(new & (F.length("session_id") == 36), "new").otherwise(F.col("session_id"))
+    return named.join(holders, "session_id", "left").select(
+        "conv_id", "turn", fresh.alias("session_id"), F.coalesce("holders", F.lit(1)).cast("bigint").alias("holders")
+    )
 
 
 # ---- rewrites ----------------------------------------------------------------------------

@@ -148,7 +148,20 @@ def token_segments(spark, sf_dir):
 
 @query("stream_token_segments", SEGMENTS_SQL)
 def stream_token_segments(spark, sf_dir):
-    lines = tokens.parse_token_lines(token_lines(stream(spark, sf_dir, "conversations")))
+    lines = tokens.parse_token_lines(token_lines(stream(spark, sf_dir, "conversations")), keep_gaps=True)
+    return run(spark, tokens.segment_stream(lines))
+
+
+@query("stream_token_segments_shuffled", SEGMENTS_SQL)
+def stream_token_segments_shuffled(spark, sf_dir):
+    """The lines come in three batches, in any order, each line twice."""
+    folder = shared_folder(spark)
+    rows = token_lines(table(spark, sf_dir, "conversations"))
+    for part in range(3):
+        some = rows.filter(F.pmod(F.xxhash64("reply_id", "seq"), F.lit(3)) == part)
+        some.unionByName(some).orderBy(F.xxhash64("seq")).write.parquet(f"{folder}/{part}")
+    source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2)
+    lines = tokens.parse_token_lines(source.parquet(folder), keep_gaps=True)
     return run(spark, tokens.segment_stream(lines))
 
 
@@ -158,10 +171,11 @@ def stream_token_segments(spark, sf_dir):
 @query(
     "stream_conversation_log",
     conversation_sql(
-        "SELECT kind, count(*) AS n, count(DISTINCT session_id) AS sessions, sum(chars)::BIGINT AS chars FROM ("
-        "SELECT 'user' AS kind, session_id, length(content) AS chars FROM history WHERE role = 'user' AND length(content) >= 60 "
-        "UNION ALL SELECT 'assistant', session_id, length(content) + 4 FROM history WHERE role = 'user' AND length(content) >= 60 "
-        "UNION ALL SELECT 'retrieval', session_id, length(chunk_text) FROM log) GROUP BY kind"
+        "SELECT kind, session_id, said_at, md5(content) AS digest FROM ("
+        "SELECT 'user' AS kind, session_id, content, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS said_at FROM history WHERE role = 'user' "
+        "UNION ALL SELECT 'assistant', session_id, 'Re: ' || content, strftime(created_at + INTERVAL 20 SECOND, '%Y-%m-%d %H:%M:%S') AS said_at "
+        "FROM history WHERE role = 'user' "
+        "UNION ALL SELECT 'retrieval', session_id, chunk_id || ':' || chunk_text, strftime(retrieved_at, '%Y-%m-%d %H:%M:%S') AS said_at FROM log)"
     ),
 )
 def stream_conversation_log(spark, sf_dir):
@@ -176,12 +190,10 @@ def stream_conversation_log(spark, sf_dir):
     live.log_conversations(
         messages, f"{folder}/history", f"{folder}/retrievals", f"{folder}/state"
     ).awaitTermination()
-    said = read_history(spark, f"{folder}/history").select(
-        F.col("role").alias("kind"), "session_id", F.length("content").alias("chars")
-    )
+    said = read_history(spark, f"{folder}/history").withColumnRenamed("role", "kind")
     found = read_retrievals(spark, f"{folder}/retrievals").select(
-        F.lit("retrieval").alias("kind"), "session_id", F.length("chunk_text").alias("chars")
-    )
-    return said.unionByName(found).groupBy("kind").agg(
-        F.count("*").alias("n"), F.count_distinct("session_id").alias("sessions"), F.sum("chars").alias("chars")
+        F.lit("retrieval").alias("kind"), "session_id", F.concat_ws(":", "chunk_id", "chunk_text").alias("content"),
+        F.col("retrieved_at").alias("created_at"),
     )
+    rows = said.select("kind", "session_id", "content", "created_at").unionByName(found)
+    return rows.select("kind", "session_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("said_at"), F.md5("content").alias("digest"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -63,33 +64,54 @@ class HashedWords:
         return place
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        rows, dims, signs = [], [], []
-        for i, text in enumerate(texts):
-            for word in (text or "").split():
-                dim, sign = self._place(word)
-                rows.append(i)
-                dims.append(dim)
-                signs.append(sign)
+        listed = [(text or "").split() for text in texts]
+        counts = np.fromiter(map(len, listed), np.int64, len(listed))
+        # each distinct word of the batch is looked up once
+        codes, distinct = pd.factorize(np.array(list(chain.from_iterable(listed)), dtype=object))
+        places = np.array([self._place(w) for w in distinct], dtype=np.float64).reshape(-1, 2)
+        rows = np.repeat(np.arange(len(texts)), counts)
         flat = np.bincount(
-            np.asarray(rows, dtype=np.int64) * self.dim + np.asarray(dims, dtype=np.int64),
-            weights=np.asarray(signs, dtype=np.float64),
+            rows * self.dim + places[codes, 0].astype(np.int64),
+            weights=places[codes, 1],
             minlength=len(texts) * self.dim,
         )
         return flat.reshape(len(texts), self.dim).astype(np.float32)
 
 
+#: A model that fails on so many texts one after the other is down, and the task fails with it.
+OUTAGE = 8
+
+
+def _piecewise(call, items: list, missing) -> list:
+    """The results of `call` on all items. A batch that fails is halved until the item at fault
+    is alone and gets `missing`: one bad text costs neither the job nor its batch. A model that
+    is down would cost a call for each item and leave nothing, so its error is passed on."""
+    out, streak, todo = [], 0, [items] if items else []
+    while todo:
+        part = todo.pop()
+        try:
+            out.extend(call(part))
+            streak = 0
+        except Exception:
+            if len(part) > 1:
+                half = len(part) // 2
+                todo += [part[half:], part[:half]]
+                continue
+            out.append(missing)
+            streak += 1
+            if streak >= OUTAGE:
+                raise
+    return out
+
+
 def encode_all(model: Embedder, texts: list[str]) -> np.ndarray:
-    """Vectors of all texts. A batch that fails is halved until the text at fault is alone and
-    gets the zero vector: one bad text costs neither the job nor its batch."""
-    if not texts:
-        return np.zeros((0, model.dim))
-    try:
-        return np.asarray(model.encode(texts), dtype=np.float64).reshape(len(texts), model.dim)
-    except Exception:
-        if len(texts) == 1:
-            return np.zeros((1, model.dim))
-        half = len(texts) // 2
-        return np.concatenate([encode_all(model, texts[:half]), encode_all(model, texts[half:])])
+    """Vectors of all texts; a text that the model fails on gets the zero vector."""
+
+    def call(part: list[str]) -> list[np.ndarray]:
+        return list(np.asarray(model.encode(part), dtype=np.float64).reshape(len(part), model.dim))
+
+    found = _piecewise(call, texts, np.zeros(model.dim))
+    return np.stack(found) if found else np.zeros((0, model.dim))
 
 
 def embed(text: Column, embedder: Embedder | None = None) -> Column:
@@ -145,15 +167,7 @@ class PairModel(Protocol):
 
 def predict_all(model: PairModel, pairs: list[tuple[str, str]]) -> list[float]:
     """Scores of all pairs; a pair the model fails on gets NaN, as in `encode_all`."""
-    if not pairs:
-        return []
-    try:
-        return [float(s) for s in model.predict(pairs)]
-    except Exception:
-        if len(pairs) == 1:
-            return [float("nan")]
-        half = len(pairs) // 2
-        return predict_all(model, pairs[:half]) + predict_all(model, pairs[half:])
+    return _piecewise(lambda part: [float(s) for s in model.predict(part)], pairs, float("nan"))
 
 
 def pair_score(question: Column, text: Column, model: PairModel) -> Column:

@@ -16,9 +16,9 @@ def invalid_questions(questions: DataFrame) -> DataFrame:
     return questions.filter(~known)
 
 
-def read_eval_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of questions; reading a row with an unknown verdict fails."""
-    raw = spark.read.schema(EVAL_QUESTION).option("multiLine", "true").json(path)
+def read_eval_questions(spark: SparkSession, path: str, many_lines: bool = True) -> DataFrame:
+    """A JSON array of questions, or a question a line; reading a row with an unknown verdict fails."""
+    raw = spark.read.schema(EVAL_QUESTION).option("multiLine", str(many_lines).lower()).json(path)
     verdict = F.col("expected_verdict")
     problem = F.concat(
         F.lit("invalid expected_verdict for "), F.coalesce("question", F.lit("null")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -22,16 +23,18 @@ _ENDS = "[" + re.escape(SEGMENT_ENDS) + "]"
 REPLY = ("session_id", "reply_id")
 
 
-def parse_token_lines(lines: DataFrame) -> DataFrame:
+def parse_token_lines(lines: DataFrame, keep_gaps: bool = False) -> DataFrame:
     """`token` and `done` of JSON lines; blank and malformed lines are dropped.
 
-    Works on tables and on streams. `lines` has session_id, reply_id, seq and line.
+    Works on tables and on streams. `lines` has session_id, reply_id, seq and line. With
+    `keep_gaps` the dropped lines stay as empty tokens, so that `seq` has no holes.
     """
     parsed = F.from_json("line", TOKEN_LINE, {"mode": "PERMISSIVE"})
     kept = [c for c in lines.columns if c != "line"]
+    whole = F.lit(True) if keep_gaps else F.col("_p.message").isNotNull() | F.col("_p.done").isNotNull()
     return (
         lines.select(*kept, parsed.alias("_p"))
-        .filter(F.col("_p.message").isNotNull() | F.col("_p.done").isNotNull())
+        .filter(whole)
         .select(
             *kept,
             F.coalesce("_p.message.content", F.lit("")).alias("token"),
@@ -86,37 +89,87 @@ def segment_tokens(tokens: DataFrame) -> DataFrame:
 
 
 _OUT = "session_id string, reply_id bigint, segment_no int, segment string"
-_STATE = "buffer string, segments int, closed boolean"
+_STATE = "buffer string, segments int, closed boolean, next bigint, waiting string"
 
 
-def segment_stream(tokens: DataFrame) -> DataFrame:
+class _Reply:
+    """The open buffer of a reply, the next `seq`, and the tokens that came before their turn."""
+
+    def __init__(self, held: tuple | None):
+        buffer, count, closed, following, waiting = held or ("", 0, False, 0, "[]")
+        self.buffer, self.count, self.closed, self.next = buffer, count, closed, following
+        self.waiting = {seq: (token, done) for seq, token, done in json.loads(waiting)}
+        self.out: list[tuple[int, str]] = []
+
+    def state(self) -> tuple:
+        early = [] if self.closed else sorted((seq, *x) for seq, x in self.waiting.items())
+        return self.buffer, self.count, self.closed, self.next, json.dumps(early)
+
+    def cut(self) -> None:
+        text = self.buffer.strip()
+        if text:
+            self.out.append((self.count, text))
+            self.count += 1
+        self.buffer = ""
+
+    def take(self, token: str, done: bool) -> None:
+        if done:
+            self.closed = True
+            self.cut()
+        else:
+            self.buffer += token
+            if _ENDED.search(token) and len(self.buffer.strip()) >= MIN_SEGMENT_CHARS:
+                self.cut()
+
+    def advance(self, whatever_is_there: bool = False) -> None:
+        """Takes the tokens whose turn it is; at the end, all that have come."""
+        while not self.closed and self.waiting:
+            if self.next not in self.waiting:
+                if not whatever_is_there:
+                    return
+                self.next = min(self.waiting)
+            self.take(*self.waiting.pop(self.next))
+            self.next += 1
+
+
+_ENDED = re.compile(_ENDS)
+
+
+def segment_stream(tokens: DataFrame, idle_seconds: int = 600) -> DataFrame:
     """The streaming form of `segment_tokens`: segments come out as soon as they are whole.
 
-    `tokens` is a stream of session_id, reply_id, seq, token, done. Only the open buffer of a
-    reply is kept as state. `done` flushes it; what comes after `done` is ignored.
+    `tokens` is a stream of session_id, reply_id, seq, token, done, with `seq` counting from 0
+    without holes. A token that is ahead of its turn waits in the state, whatever batch brings
+    the missing one; one that comes twice counts once. `done` flushes the buffer, and what comes
+    after it is ignored. A reply that has had no token for `idle_seconds` is flushed, if it is
+    still open, and its state is removed, so the state holds the replies of that time only. Time
+    is that of arrival, the start of a micro-batch, and moves on with newer batches.
     """
-    ends = re.compile(_ENDS)
+    arriving = tokens.withColumn("_arrived", F.current_timestamp()).withColumn("_ms", F.unix_millis("_arrived"))
+    arriving = arriving.withWatermark("_arrived", "1 second")
 
     def advance(
         key: tuple, batches: Iterator[pd.DataFrame], held: GroupState
     ) -> Iterator[pd.DataFrame]:
-        buffer, count, closed = held.get if held.exists else ("", 0, False)
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        out = []
-        for token, done in zip(rows["token"], rows["done"]):
-            if closed:
-                break
-            closed = bool(done)
-            buffer = buffer if closed else buffer + (token or "")
-            text = buffer.strip()
-            if (closed and text) or (
-                not closed and ends.search(token or "") and len(text) >= MIN_SEGMENT_CHARS
-            ):
-                out.append((*key, count, text))
-                count, buffer = count + 1, ""
-        held.update((buffer, count, closed))
-        yield pd.DataFrame(out, columns=["session_id", "reply_id", "segment_no", "segment"])
-
-    return tokens.groupBy(*REPLY).applyInPandasWithState(
-        advance, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
+        reply = _Reply(held.get if held.exists else None)
+        if held.hasTimedOut:
+            reply.advance(whatever_is_there=True)
+            if not reply.closed:
+                reply.cut()
+            held.remove()
+        else:
+            latest = 0
+            for rows in batches:
+                latest = max(latest, int(rows["_ms"].max()))
+                for seq, token, done in zip(rows["seq"], rows["token"], rows["done"]):
+                    if not reply.closed and seq >= reply.next:
+                        reply.waiting[int(seq)] = (token or "", bool(done))
+            reply.advance()
+            held.update(reply.state())
+            held.setTimeoutTimestamp(latest + idle_seconds * 1000)
+        rows = [(*key, n, text) for n, text in reply.out]
+        yield pd.DataFrame(rows, columns=["session_id", "reply_id", "segment_no", "segment"])
+
+    return arriving.groupBy(*REPLY).applyInPandasWithState(
+        advance, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -112,9 +113,9 @@ def test_segments_in_batch(spark):
 def test_segments_in_a_stream_that_interleaves_sessions(spark, tmp_path):
     rows = [r for (s, i), w in REPLIES.items() for r in as_tokens(s, i, w)]
     after_done = [("a", 1, 99, "ignored after the end.", False)]
-    # rows of a reply must come in order, so each batch holds one stretch of the sequence
-    ordered = [[r for r in rows if r[2] < 2], [r for r in rows if 2 <= r[2] < 5], [r for r in rows if r[2] >= 5], after_done]
-    stream = stream_of(spark, new(tmp_path), TOKENS, *ordered)
+    # later stretches come first, and one comes twice
+    late = [[r for r in rows if r[2] >= 5], [r for r in rows if 2 <= r[2] < 5], [r for r in rows if r[2] < 5], after_done]
+    stream = stream_of(spark, new(tmp_path), TOKENS, *late)
     out = collect(spark, tokens.segment_stream(stream), new(tmp_path))
     got = {}
     for r in sorted(out, key=lambda r: r["segment_no"]):
@@ -122,6 +123,28 @@ def test_segments_in_a_stream_that_interleaves_sessions(spark, tmp_path):
     assert got == SEGMENTS
 
 
+def test_idle_replies_are_flushed_and_forgotten(spark, tmp_path):
+    folder, place = new(tmp_path), new(tmp_path)
+    first = [("a", 1, 0, "open and", False), ("a", 1, 1, " unfinished", False), ("b", 1, 0, "done", False), ("b", 1, 1, None, True), ("c", 1, 1, "the first is lost", False)]
+
+    def run():
+        rows = tokens.segment_stream(stream_of(spark, folder, TOKENS), idle_seconds=1)
+        query = (
+            rows.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        got = {(r["session_id"], r["segment"]) for r in spark.read.schema(rows.schema).parquet(f"{place}/out").collect()}
+        return got, query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    stream_of(spark, folder, TOKENS, first)
+    assert run() == ({("b", "done")}, 3)
+    time.sleep(4)
+    spark.createDataFrame([("z", 1, 0, "next", False)], TOKENS).coalesce(1).write.json(f"{folder}/900")
+    got, held = run()
+    assert got == {("b", "done"), ("a", "open and unfinished"), ("c", "the first is lost")} and held == 1
+
+
 def test_token_lines(spark):
     def message(text, done=False):
         return json.dumps({"message": {"content": text}, "done": done})
