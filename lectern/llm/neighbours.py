@@ -1,17 +1,18 @@
 """Nearest vectors by cosine: randomly rotated one-bit codes choose what is compared exactly.
 
-Method: every unit vector is turned by one random rotation and kept as the signs of its
+Method: every unit vector is turned by a random rotation and kept as the signs of its
 coordinates, packed to bits, and one correction scalar, its inner product with the unit vector of
 the signs. A query's inner product with that sign vector, divided by the scalar, is an unbiased
 estimate of the cosine, and the scalar bounds its error:
-`margin * sqrt((1 - s * s) / (s * s)) / sqrt(dimensions - 1)` holds for nearly every pair. A first
-pass over the codes takes the best estimates and compares them exactly, which gives every query a
+`margin * sqrt((1 - s * s) / (s * s)) / sqrt(dimensions - 1)` holds for nearly every pair. Vectors of
+few dimensions are turned several times, until they have `BITS` bits, and the mean of the estimates
+counts, whose error is smaller by the root of the number of turns. A first pass over the codes takes the best estimates and compares them exactly, which gives every query a
 score to beat; the second keeps each vector whose upper bound reaches it. Those are compared exactly,
 in double precision on the given vectors.
 
 How it scales: equal vectors are one class with the k + 1 smallest ids, found before the shuffle,
 so a vector that a third of all rows hold is one code and emits no pairs. Queries and codes meet in
-blocks of bounded size; only codes (a bit for each dimension) are sent to every block of queries. What
+blocks of bounded size; only codes (`BITS` bits, or one for each dimension) are sent to every block of queries. What
 passes a bound follows the data: no number of candidates is fixed.
 
 Edge cases: vectors that are null, zero or hold a null or non-finite component take no part,
@@ -31,30 +32,35 @@ from lectern.llm.textblocks import process_cache
 from lectern.session import stored_table
 
 #: Vectors in a block of codes, and queries in a block of queries.
-CODES, QUERIES = 16_384, 2_048
+CODES, QUERIES = 8_192, 2_048
 MARGIN = 2.5
+BITS = 512
 FOUND = "q long, c long, estimate double, upper double"
 
 
-def rotation(dim: int, seed: int) -> np.ndarray:
+def turns(dim: int) -> int:
+    return max(1, -(-BITS // dim))
+
+
+def rotations(dim: int, seed: int) -> np.ndarray:
+    """The rotations of a dimension below each other."""
     cache = process_cache()
-    key = ("rotation", dim, seed)
+    key = ("rotations", dim, seed)
     if key not in cache:
-        q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))
-        cache[key] = q * np.sign(np.diag(r))
+        found = []
+        for t in range(turns(dim)):
+            q, r = np.linalg.qr(np.random.default_rng([seed, dim, t]).standard_normal((dim, dim)))
+            found.append(q * np.sign(np.diag(r)))
+        cache[key] = np.concatenate(found)
     return cache[key]
 
 
-def _matrix(lists, dim: int) -> np.ndarray:
+def _turned(lists, dim: int, seed: int) -> np.ndarray:
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-
-
-def _turned(lists, dim: int, seed: int) -> np.ndarray:
-    v = _matrix(lists, dim)
+    v = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
-    return (v / np.linalg.norm(v, axis=1, keepdims=True)) @ rotation(dim, seed).T
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)) @ rotations(dim, seed).T
 
 
 def pack_codes(vectors: DataFrame, blocks: int, seed: int) -> DataFrame:
@@ -64,7 +70,7 @@ def pack_codes(vectors: DataFrame, blocks: int, seed: int) -> DataFrame:
         dim, shard = table.column("dim")[0].as_py(), table.column("shard")[0].as_py()
         turned = _turned(table.column("v"), dim, seed)
         bits = np.packbits(turned > 0, axis=1)
-        scalars = np.abs(turned).sum(axis=1) / np.sqrt(dim)
+        scalars = np.abs(turned).reshape(len(turned), -1, dim).sum(axis=2) / np.sqrt(dim)
         ids = table.column("c").to_numpy().astype(np.int64)
         row = ([dim], [shard], [ids.tobytes()], [bits.tobytes()], [scalars.tobytes()])
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -99,14 +105,17 @@ def _meet(codes: DataFrame, queries: DataFrame, blocks: int, best: int | None, m
                 dim = row["dim"]
                 ids, qids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["qids"], np.int64)
                 bits = np.frombuffer(row["bits"], np.uint8).reshape(len(ids), -1)
-                scalars = np.frombuffer(row["scalars"], np.float64)
-                turned = np.frombuffer(row["turned"], np.float32).reshape(len(qids), dim)
+                scalars = np.frombuffer(row["scalars"], np.float64).reshape(len(ids), -1)
+                turned = np.frombuffer(row["turned"], np.float32).reshape(len(qids), -1)
                 beat = np.frombuffer(row["beat"], np.float64)
-                signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
-                error = margin * np.sqrt(np.maximum(0, 1 / scalars**2 - 1)) / np.sqrt(max(dim - 1, 1))
+                signs = np.unpackbits(bits, axis=1, count=turned.shape[1]).astype(np.float32) * 2 - 1
+                # each turn counts by its own scalar, and the turns in equal parts
+                signs /= np.repeat(scalars * (np.sqrt(dim) * scalars.shape[1]), dim, axis=1).astype(np.float32)
+                spread = np.maximum(0, 1 / scalars**2 - 1).sum(axis=1)
+                error = margin * np.sqrt(spread / max(dim - 1, 1)) / scalars.shape[1] + 1e-5
                 for k in range(0, len(qids), 256):
-                    estimate = (turned[k : k + 256] @ signs.T).astype(np.float64) / (np.sqrt(dim) * scalars)
-                    upper = estimate + error + 1e-6
+                    estimate = (turned[k : k + 256] @ signs.T).astype(np.float64)
+                    upper = estimate + error
                     if best is None:
                         q, c = np.nonzero(upper >= beat[k : k + 256, None])
                     else:
