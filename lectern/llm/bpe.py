@@ -79,7 +79,7 @@ def _split(vocab_text, parts: int):
         vocab = vocabulary(vocab_text.value)
         number, block = TaskContext.get().partitionId() << 24, _Block()
         for batch in batches:
-            for piece in slices(batch, limit=2 << 20):
+            for piece in slices(batch, limit=1 << 19):
                 block.add(piece.column("doc_id").to_pylist(), vocab.split(piece.column("text").to_pylist()))
                 if block.size >= BLOCK or len(block.ids) >= BLOCK // 10:
                     yield messages(block.rows(number, parts))
@@ -157,13 +157,29 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     )
 
 
+def _piece_table(df: DataFrame, path: str):
+    with open(path, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(vocabulary(f.read()).pieces.tolist())
+
+
+def _joined(lists: pa.Array, pieces: np.ndarray) -> list[str]:
+    """The pieces of each list of ids, joined by spaces; an id that the vocabulary lacks is left out."""
+    at = lists.offsets.to_numpy()
+    ids = lists.values.to_numpy(zero_copy_only=False)
+    texts = []
+    for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), lists.is_valid().to_pylist(), strict=True):
+        some = ids[a:b] if ok else ids[:0]
+        some = some[(some >= 0) & (some < len(pieces))].astype(np.int64)
+        texts.append(" ".join(pieces[some].tolist()))
+    return texts
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text): the pieces of the ids joined by spaces; null and empty lists give the empty text.
 
     An id that the vocabulary lacks is left out, as the library does.
     """
-    with open(path, encoding="utf-8") as f:
-        table = encoded.sparkSession.sparkContext.broadcast(vocabulary(f.read()).pieces.tolist())
+    table = _piece_table(encoded, path)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = np.array(table.value, dtype=object)
@@ -171,13 +187,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 lists = part.column("ids")
-                at = lists.offsets.to_numpy()
-                ids = lists.values.to_numpy(zero_copy_only=False)
-                texts = []
-                for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), lists.is_valid().to_pylist(), strict=True):
-                    some = ids[a:b] if ok else ids[:0]
-                    some = some[(some >= 0) & (some < len(pieces))].astype(np.int64)
-                    texts.append(" ".join(pieces[some].tolist()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                texts = pa.array(_joined(lists, pieces), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, texts], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, ids array<int>, text string")
+
+
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """`decode(encode(docs))` in one pass: the worker that puts the ids in place looks their pieces up as well."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    vocab, table = vocabulary_file(docs, path), _piece_table(docs, path)
+
+    def finish(rows: list[tuple]) -> pa.Table:
+        encoded, pieces = _finish(rows), np.array(table.value, dtype=object)
+        texts = [pa.array(_joined(chunk, pieces), pa.string()) for chunk in encoded.column("ids").chunks]
+        return encoded.append_column("text", pa.chunked_array(texts, pa.string()))
+
+    schema = "doc_id long, ids array<int>, text string"
+    return exchange(given.filter("doc_id is not null"), _split(vocab, buckets(docs)), _merge(vocab), finish, schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.textblocks import mix, plain_words, process_cache, slices
+from lectern.llm.textblocks import kept, mix, plain_words, slices
 
 WALKS, SAMPLED = 2, 5
 STRIDE, WIDEST = 4, 32
@@ -180,10 +180,7 @@ def _blocks(items: DataFrame, recall: float, alike: float, errors: float) -> Ite
 
 
 def _index(block) -> ItemIndex:
-    cache = process_cache()
-    if cache.get("item_block") != block.value[:2]:
-        cache["item_block"], cache["item_index"] = block.value[:2], ItemIndex(*block.value)
-    return cache["item_index"]
+    return kept(("item_index", block.value), lambda: ItemIndex(*block.value))
 
 
 def matches(docs: DataFrame, items: DataFrame, errors: float = 0.2, recall: float = 0.95, alike: float = 0.65) -> DataFrame:

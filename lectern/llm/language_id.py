@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lectern.llm.textblocks import process_cache, runs, slices, span_hashes, text_bytes
+from lectern.llm.textblocks import kept, runs, slices, span_hashes, text_bytes
 
 START = "▁"
 STRETCH = 32
@@ -240,7 +240,7 @@ def train(labelled: DataFrame, pieces: list[str], sample_docs: int = 300, max_wo
 class _Scorer:
     """Scores of words by hash, bounded; kept for the life of the worker."""
 
-    def __init__(self, pieces: list[str], chance: np.ndarray, limit: int = 1_000_000):
+    def __init__(self, pieces: list[str], chance: np.ndarray, limit: int = 400_000):
         self.lattice, self.chance, self.limit = Lattice(pieces), chance, limit
         self.letters = _letters()
         self._clear()
@@ -286,16 +286,13 @@ def predict(
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = process_cache()
         for batch in batches:
             for piece in slices(batch):
                 texts = piece.column("text")
                 some = np.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
                 found, scores = np.full(len(some), UNSURE, object), np.zeros(len(some))
                 if langs and some.any():
-                    if key not in cache:
-                        cache[key] = _Scorer(*model.value)
-                    logs = cache[key].score(texts)
+                    logs = kept(key, lambda: _Scorer(*model.value)).score(texts)
                     best = logs.argmax(axis=1)
                     posterior = 1 / np.exp(np.minimum(logs - logs.max(axis=1, keepdims=True), 0)).sum(axis=1)
                     found[some] = np.array(langs, object)[best[some]]

@@ -15,7 +15,7 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-from lectern.llm.textblocks import mix, process_cache, span_hashes
+from lectern.llm.textblocks import kept, mix, span_hashes
 
 UNKNOWN, SEVERAL = 0xFFFFFFFF, 0xFFFFFFFE
 LETTER, NUMBER, OTHER, SPACE, WHOLE = 1, 2, 3, 0, 4
@@ -147,11 +147,7 @@ class WordVocabulary:
 
 def vocabulary(text: str) -> WordVocabulary:
     """One for each Python worker and file."""
-    cache = process_cache()
-    key = ("word_vocabulary", hash(text))
-    if key not in cache:
-        cache[key] = WordVocabulary(text)
-    return cache[key]
+    return kept(("word_vocabulary", hash(text)), lambda: WordVocabulary(text))
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -163,7 +159,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarr
 class WordCache:
     """Ids of words by hash, bounded; it starts afresh when it is full."""
 
-    def __init__(self, vocab: WordVocabulary, limit: int = 1_000_000):
+    def __init__(self, vocab: WordVocabulary, limit: int = 400_000):
         self.vocab, self.limit = vocab, limit
         self._clear()
 
@@ -205,8 +201,4 @@ class WordCache:
 
 
 def word_cache(text: str) -> WordCache:
-    cache = process_cache()
-    key = ("word_cache", hash(text))
-    if key not in cache:
-        cache[key] = WordCache(vocabulary(text))
-    return cache[key]
+    return kept(("word_cache", hash(text)), lambda: WordCache(WordVocabulary(text)))

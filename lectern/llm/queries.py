@@ -97,7 +97,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """Number of ids, and digests of the ids and of the text that they decode to."""
-    return bpe.decode(bpe.encode(docs, WORD_BPE), WORD_BPE).select(
+    return bpe.encode_and_decode(docs, WORD_BPE).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15
 #: A slice of a batch that is worked on at once holds about so many bytes of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def unused(columns: list[str], name: str) -> str:
@@ -34,6 +34,19 @@ def process_cache() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def kept(key: tuple, make: Callable[[], object]):
+    """What `make` returns, kept for the next task of this worker; another key takes its place.
+
+    A worker serves all steps of a job one after the other, so it holds one model at a time.
+    """
+    cache = process_cache()
+    if cache.get("kept_key") != key:
+        cache["kept_key"] = cache["kept"] = None
+        cache["kept"] = make()
+        cache["kept_key"] = key
+    return cache["kept"]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers in which each input bit reaches all output bits."""
     x = x.astype(np.uint64, copy=True)

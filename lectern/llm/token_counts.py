@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.textblocks import process_cache, slices, text_bytes
+from lectern.llm.textblocks import kept, slices, text_bytes
 
 RULES = ("most", "first", "last")
 COUNTS = "doc_id long, section int, n_tokens long, n_crossing long, n_chars long"
@@ -45,11 +45,7 @@ class ByteVocabulary:
 
 
 def _vocabulary(sent) -> ByteVocabulary:
-    cache = process_cache()
-    key = ("byte_vocabulary", hash(sent.value))
-    if key not in cache:
-        cache[key] = ByteVocabulary(sent.value)
-    return cache[key]
+    return kept(("byte_vocabulary", hash(sent.value)), lambda: ByteVocabulary(sent.value))
 
 
 def allocate(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +120,7 @@ def line_tokens(docs: DataFrame, path: str, rule: str = "most") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, limit=2 << 20):
+            for piece in slices(batch):
                 yield from _rows(piece.column("doc_id"), count_sections(piece.column("text"), None, _vocabulary(ranks), rule))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COUNTS)
@@ -142,7 +138,7 @@ def field_tokens(docs: DataFrame, path: str, fields: list[str], rule: str = "mos
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, limit=2 << 20):
+            for piece in slices(batch):
                 inner = [np.cumsum(x)[:-1] for x in piece.column("sizes").to_pylist()]
                 yield from _rows(piece.column("doc_id"), count_sections(piece.column("text"), inner, _vocabulary(ranks), rule))
 

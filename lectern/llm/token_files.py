@@ -131,7 +131,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], ["part", "before", "n_docs", "n_ids", "body"])
 
         for batch in batches:
-            for piece in slices(batch, limit=min(shard_ids, 2 << 20)):
+            for piece in slices(batch, limit=min(shard_ids, 1 << 20)):
                 got, at = cache.encode(piece.column("text").to_pylist())
                 n = np.diff(at)
                 if extra:

@@ -171,6 +171,8 @@ def test_ids_and_texts_are_those_of_the_library(spark):
             ids = library.encode(t or "", add_special_tokens=False).ids
             want.append((i, tuple(ids), library.decode(ids, skip_special_tokens=False)))
     assert sorted((r.doc_id, tuple(r.ids), r.text) for r in got) == sorted(want)
+    once = bpe.encode_and_decode(given, queries.WORD_BPE).collect()
+    assert sorted((r.doc_id, tuple(r.ids), r.text) for r in once) == sorted(want)
     assert bpe.encode(frame(spark, []), queries.WORD_BPE).collect() == []
 
 
