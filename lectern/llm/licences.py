@@ -1,19 +1,24 @@
 """Licence notices in documents: a paragraph classifier over word n-grams, confirmed against templates.
 
-Method: a paragraph (a line) is a bag of word n-grams, of one to three words, over the words of the licence
+Method: a paragraph is a block of neighbouring lines, up to a line without a word, so that a notice may
+be wrapped at any width. Its stretches are scored: each of its lines, and every stretch of at most 1.5 times a template's words that holds `CONFIRM` of the
+template's word pairs. A stretch is a bag of word n-grams, of one to three words, over the words of the licence
 templates; a multinomial logistic regression in numpy gives the probabilities of each licence family,
 of `unknown` (words about rights that name no family) and of `none`. It is fitted on varied copies
-of the templates, on made-up notices without a family, and on paragraphs of the documents that
-are not like any template. A temperature is fitted on copies held back, and a family is only accepted
-from the probability on that 99 of 100 of the held-back paragraphs of other classes do not reach;
+of the templates, on made-up notices without a family, and on lines of the documents
+that are not like any template. A temperature is fitted on copies held back, and a family is only accepted
+from the probability on that 99 of 100 of the held-back stretches of other classes do not reach;
 below it a notice is `unknown`. Every accepted family is then compared with its templates: `similarity`
-is the largest share of a template's word pairs that the paragraph holds, and `confirmed` says whether
+is the largest share of a template's word pairs that the stretch holds, and `confirmed` says whether
 it is at least `CONFIRM`. A family that is not confirmed is reported as `unknown`, with the guess beside
-it, if the paragraph holds at least `LIKE` of a template; otherwise it is no notice.
+it, if the stretch holds at least `LIKE` of a template; otherwise it is no notice.
 
-Fitting: at most `negatives` paragraphs of `sample_docs` documents, those with the smallest hash of their id. Scoring covers
-every paragraph of every text; its size does not matter, since a score divides by the square
-root of the words.
+Result: of stretches that overlap, one counts: confirmed ones first, then those found by a template, lines. Each has a row, whose `paragraph` is the number of the line in which it begins; notices of one family
+that begin in one line are one row, notices of several families there are several.
+
+Fitting: at most `negatives` lines of `sample_docs` documents, those with the smallest hash of their id; longer
+lines in pieces of 64 words. Scoring covers every word of every text; the size of a line or paragraph does not
+matter for templates, which are looked for at their own length.
 
 Edge cases: null and empty texts and blank lines give no rows; rows with a null id are scanned; repeated
 rows each have their rows; texts and lines of any length are whole; without any paragraph of
@@ -22,6 +27,7 @@ documents to fit on, made-up ones stand alone; further columns are not looked at
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -100,8 +106,14 @@ OTHERS = (
     "This work is released under its own license; see the license file.",
     "Distributed under the terms of the publisher's public license.",
 )
+#: All of them, in the order of the families.
+TEXTS = [t for k in TEMPLATES for t in TEMPLATES[k]] + list(OTHERS)
 NONE, UNKNOWN = "none", "unknown"
 CONFIRM, LIKE = 0.6, 0.2
+#: Longer lines are fitted in pieces of so many words.
+PIECE = 64
+#: Words of stretches that are scored at once.
+PART_WORDS = 1 << 19
 FOUND = "doc_id long, paragraph int, family string, guess string, probability double, similarity double, confirmed boolean"
 
 
@@ -115,6 +127,26 @@ def _hash(words: list[str]) -> np.ndarray:
     return plain_words(pa.array([" ".join(words)], pa.string()))[0]
 
 
+class _Taken:
+    """Stretches that do not overlap."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.ends, a + 1)
+        return i < len(self.starts) and self.starts[i] < b
+
+    def add(self, a: int, b: int) -> bool:
+        """Adds the stretch and says so, unless it overlaps one that is there."""
+        if self.meets(a, b):
+            return False
+        i = bisect.bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+        return True
+
+
 class Features:
     """Numbers of the n-grams over the template words; a paragraph is looked up as word numbers."""
 
@@ -132,6 +164,13 @@ class Features:
             for k in (1, 2, 3):
                 grams.update(self._key(n[i : i + k], base) for i in range(len(n) - k + 1))
         self.base, self.grams = base, np.array(sorted(grams), np.int64)
+        #: Pairs of neighbouring words of each text, as keys; the texts of each pair, flat.
+        self.pairs = [{self._key(p, base) for p in zip(n, n[1:], strict=False)} for n in ([place[w] for w in x] for x in lists)]
+        self.reach = np.array([len(x) * 3 // 2 + 2 for x in lists])
+        self.pair_keys = np.array(sorted(set().union(*self.pairs)), np.int64)
+        holders = [[t for t, have in enumerate(self.pairs) if k in have] for k in self.pair_keys.tolist()]
+        self.held_at = np.cumsum([0] + [len(h) for h in holders])
+        self.held_by = np.array([t for h in holders for t in h], np.int64)
 
     @staticmethod
     def _key(numbers: list[int], base: int) -> int:
@@ -140,10 +179,61 @@ class Features:
             key = key * base + n + 1
         return key
 
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the words from 1 on; 0 for words that no template has."""
+        spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[spot] == hashes, self.order[spot] + 1, 0).astype(np.int64)
+
+    def near(self, number: np.ndarray, at: np.ndarray, least: float) -> list[tuple[int, int]]:
+        """Stretches of words inside a paragraph that hold at least `least` of the word pairs of a template.
+
+        A stretch begins and ends with a pair of the template and has at most `reach` words; for each
+        template the stretches do not overlap, those with the most pairs and the fewest other words first.
+        """
+        if len(number) < 2:
+            return []
+        key = np.where((number[:-1] > 0) & (number[1:] > 0), number[:-1] * self.base + number[1:], 0)
+        ends = at[1:-1] - 1
+        key[ends[(ends >= 0) & (ends < len(key))]] = 0
+        spot = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        where = np.flatnonzero(self.pair_keys[spot] == key)
+        held = self.held_at[spot[where] + 1] - self.held_at[spot[where]]
+        first = np.cumsum(held) - held
+        text = self.held_by[np.arange(held.sum()) - np.repeat(first - self.held_at[spot[where]], held)]
+        place = np.repeat(where, held)
+        order = np.lexsort((place, text))
+        text, place = text[order], place[order]
+        sizes = np.array([len(p) for p in self.pairs])
+        need = np.maximum(np.ceil(least * sizes - 1e-9).astype(int), 1)
+        # pairs from each place on, within reach and inside the paragraph; repeated ones count here, so this is a bound
+        far = len(number) + 1
+        joint = text * far + place
+        end_of = at[np.searchsorted(at, place, side="right")]
+        stop = np.searchsorted(joint, text * far + np.minimum(place + self.reach[text] - 1, end_of - 1))
+        found: dict[int, list] = {}
+        keys, places = key.tolist(), place.tolist()
+        for i in np.flatnonzero(stop - np.arange(len(joint)) >= need[text]).tolist():
+            seen, best, t = set(), None, int(text[i])
+            for j in range(i, int(stop[i])):
+                if keys[places[j]] in seen:
+                    continue
+                seen.add(keys[places[j]])
+                size = places[j] + 2 - places[i]
+                if len(seen) >= need[t]:
+                    best = max(best or (-1e9, 0), (len(seen) - 0.2 * (size - 1 - len(seen)), size))
+            if best:
+                found.setdefault(t, []).append((-best[0], places[i], places[i] + best[1]))
+        out = set()
+        for stretches in found.values():
+            taken = _Taken()
+            out.update((a, b) for _, a, b in sorted(stretches) if taken.add(a, b))
+        return sorted(out)
+
     def rows(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(paragraph, feature) of every known n-gram inside a paragraph, in the order of the paragraphs."""
-        spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        number = np.where(self.hashes[spot] == hashes, self.order[spot] + 1, 0).astype(np.int64)
+        return self.numbered_rows(self.numbers(hashes), at)
+
+    def numbered_rows(self, number: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known = np.flatnonzero(number)
         of = np.searchsorted(at, known, side="right") - 1
         out_p, out_f = [], []
@@ -174,7 +264,9 @@ class Classifier:
 
     def logits(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Sparse sums of the weights, over the square root of the words of a paragraph."""
-        p, f = self.features.rows(hashes, at)
+        return self._sums(*self.features.rows(hashes, at), at)
+
+    def _sums(self, p: np.ndarray, f: np.ndarray, at: np.ndarray) -> np.ndarray:
         total = np.zeros((len(at) - 1, len(self.classes)))
         if len(p):
             first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
@@ -182,10 +274,27 @@ class Classifier:
         return total / np.sqrt(np.maximum(np.diff(at), 1))[:, None] + self.b
 
     def probabilities(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z = self.logits(hashes, at) / self.temperature
+        return self._shares(self.logits(hashes, at))
+
+    def _shares(self, z: np.ndarray) -> np.ndarray:
+        z = z / self.temperature
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def of_stretches(self, number: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Probabilities of stretches of numbered words, which may overlap; some `PART_WORDS` are laid out at once."""
+        out = np.zeros((len(starts), len(self.classes)))
+        upto = np.cumsum(ends - starts)
+        i = 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PART_WORDS, side="right")))
+            size = ends[i:j] - starts[i:j]
+            at = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+            laid = number[np.arange(at[-1]) - np.repeat(at[:-1] - starts[i:j], size)]
+            out[i:j] = self._shares(self._sums(*self.features.numbered_rows(laid, at), at))
+            i = j
+        return out
+
     def fit(self, texts: list[str], labels: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> None:
         hashes, at = plain_words(pa.array(texts, pa.string()))
         p, f = self.features.rows(hashes, at)
@@ -226,10 +335,11 @@ def _pairs(words: list[str]) -> set:
     return set(zip(words, words[1:], strict=False)) or {tuple(words)}
 
 
-def similarity(words: list[str], family: str) -> float:
-    """The largest share of the word pairs of a template of the family that the paragraph holds."""
-    mine = _pairs(words)
-    return max(len(mine & _pairs(words_of(t))) / len(_pairs(words_of(t))) for t in TEMPLATES[family])
+def similarity(features: Features, number: np.ndarray, family: str) -> float:
+    """The largest share of the word pairs of a template of the family that the numbered words hold."""
+    mine = set((number[:-1] * features.base + number[1:])[(number[:-1] > 0) & (number[1:] > 0)].tolist())
+    texts = [t for t, k in enumerate(k for k in TEMPLATES for _ in TEMPLATES[k]) if k == family]
+    return max(len(mine & features.pairs[t]) / len(features.pairs[t]) for t in texts)
 
 
 def _varied(text: str, rng: np.random.Generator, filler: list[str]) -> str:
@@ -241,15 +351,37 @@ def _varied(text: str, rng: np.random.Generator, filler: list[str]) -> str:
     return " ".join(words + around if rng.random() < 0.5 else around + words)
 
 
+def _plain(texts: pa.Array, features: Features) -> list[str]:
+    """The words of all lines, at most `PIECE` in one text, that are not in a stretch like a template."""
+    lines, of, number = paragraphs(texts)
+    hashes, words_at = plain_words(lines)
+    near = _Taken()
+    for a, b in features.near(features.numbers(hashes), blocks(of, number, words_at), 0.3):
+        near.add(a, b)
+    out = []
+    for i, line in enumerate(lines.to_pylist()):
+        words = words_of(line)
+        for k in range(0, len(words), PIECE):
+            some = words[k : k + PIECE]
+            if not near.meets(int(words_at[i]) + k, int(words_at[i]) + k + len(some)):
+                out.append(" ".join(some))
+    return out
+
+
 def train(docs: DataFrame, sample_docs: int = 1_000, negatives: int = 3_000, copies: int = 60, seed: int = 3) -> Classifier:
     """Fits and calibrates; `sample_docs` and `negatives` bound what is taken from the documents."""
     some = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     texts_ = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    lines = texts_.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line").between(20, 400))
-    taken = [r.line for r in lines.distinct().orderBy(F.xxhash64("line"), "line").limit(negatives).collect()]
+    features = Features(TEXTS)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(_plain(piece.column("text"), features), pa.string())], ["piece"])
+
+    plain_ = texts_.select(F.col("text").cast("string").alias("text")).mapInArrow(pieces, "piece string").filter(F.length("piece") >= 20)
+    plain = [r.piece for r in plain_.distinct().orderBy(F.xxhash64("piece"), "piece").limit(negatives).collect()]
     families = list(TEMPLATES)
-    known = [_pairs(words_of(t)) for k in families for t in TEMPLATES[k]] + [_pairs(words_of(t)) for t in OTHERS]
-    plain = [t for t in taken if (w := words_of(t)) and max(len(_pairs(w) & k) / len(k) for k in known) < 0.3]
     made = ["Chapter %d has the notes of the meeting and of the work that the group has to do." % i for i in range(50)]
     rng = np.random.default_rng(seed)
     filler = [w for t in (plain or made)[:500] for w in t.split()]
@@ -265,7 +397,7 @@ def train(docs: DataFrame, sample_docs: int = 1_000, negatives: int = 3_000, cop
     labels += [0] * (len(plain) + len(made))
     labels = np.array(labels)
     held = rng.random(len(texts)) < 0.2
-    model = Classifier(Features([t for k in families for t in TEMPLATES[k]] + list(OTHERS)), families)
+    model = Classifier(features, families)
     model.fit([t for t, h in zip(texts, held, strict=True) if not h], labels[~held])
     model.calibrate([t for t, h in zip(texts, held, strict=True) if h], labels[held])
     return model
@@ -284,6 +416,14 @@ def paragraphs(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), kept]), of, number
 
 
+def blocks(of: np.ndarray, number: np.ndarray, words_at: np.ndarray) -> np.ndarray:
+    """Offsets, in words, of the paragraphs: neighbouring lines of a text up to one without a word."""
+    some = np.flatnonzero(np.diff(words_at) > 0)
+    new = np.ones(len(some), bool)
+    new[1:] = (of[some[1:]] != of[some[:-1]]) | (number[some[1:]] != number[some[:-1]] + 1)
+    return np.append(words_at[some[new]], words_at[-1])
+
+
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """(doc_id, paragraph, family, guess, probability, similarity, confirmed) of every paragraph that is a notice."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -299,18 +439,35 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
 def _found(piece: pa.RecordBatch, model: Classifier) -> Iterator[pa.RecordBatch]:
     lines, of, number = paragraphs(piece.column("text"))
     hashes, words_at = plain_words(lines)
-    chance = model.probabilities(hashes, words_at)
-    notice = np.flatnonzero((chance[:, 0] < 0.5) & (np.diff(words_at) > 0))
-    rows = []
-    ids = piece.column("doc_id")
-    for i in notice.tolist():
-        best = int(chance[i, 2:].argmax())
+    at = blocks(of, number, words_at)
+    named = model.features.numbers(hashes)
+    near = np.array(model.features.near(named, at, CONFIRM), np.int64).reshape(-1, 2)
+    some = np.flatnonzero(np.diff(words_at) > 0)
+    starts = np.concatenate((near[:, 0], words_at[some]))
+    ends = np.concatenate((near[:, 1], words_at[some + 1]))
+    kind = np.repeat([0, 1], [len(near), len(some)])
+    chance = model.of_stretches(named, starts, ends)
+    told = []
+    for i in np.flatnonzero(chance[:, 0] < 0.5).tolist():
+        a, b, best = int(starts[i]), int(ends[i]), int(chance[i, 2:].argmax())
         guess, sure = model.families[best], float(chance[i, 2 + best])
-        alike = similarity(words_of(lines[i].as_py()), guess)
+        alike = similarity(model.features, named[a:b], guess)
         good = sure >= model.least and alike >= CONFIRM
         if alike < LIKE and chance[i, 1] < 0.5:
             continue
-        rows.append((ids[int(of[i])].as_py(), int(number[i]), guess if good else UNKNOWN, guess, sure, alike, good))
+        told.append((not good, int(kind[i]), -alike, a - b, a, b, guess, sure))
+    # the stretch of a notice keeps others from it; of what overlaps, confirmed and closest ones count
+    rows, taken, seen = [], _Taken(), set()
+    ids = piece.column("doc_id")
+    for bad, _, alike, _, a, b, guess, sure in sorted(told):
+        if not taken.add(a, b):
+            continue
+        i = int(np.searchsorted(words_at, a, side="right")) - 1
+        family = UNKNOWN if bad else guess
+        if (i, family) not in seen:
+            seen.add((i, family))
+            rows.append((i, a, (ids[int(of[i])].as_py(), int(number[i]), family, guess, sure, -alike, not bad)))
+    rows = [r for _, _, r in sorted(rows, key=lambda r: r[:2])]
     columns = list(zip(*rows, strict=True)) or [[]] * 7
     kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
     names = ["doc_id", "paragraph", "family", "guess", "probability", "similarity", "confirmed"]

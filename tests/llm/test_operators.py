@@ -482,6 +482,63 @@ def test_licences(spark):
     assert licences.scan(frame(spark, []), model).collect() == []
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD_TEXT = """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are
+// met:
+//
+//    * Neither the name of the copyright holder nor the names of its
+//      contributors may be used to endorse or promote products derived from
+//      this software without specific prior written permission."""
+GPL_TEXT = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+
+
+def test_hard_wrapped_licences(spark):
+    rng = random.Random(30)
+    wrapped = {0: (MIT_TEXT, [(4, "MIT")]), 1: (BSD_TEXT, [(0, "BSD-3-Clause"), (4, "BSD-3-Clause")]), 2: (GPL_TEXT, [(0, "GPL-3.0")])}
+    docs = [(i, t + "\n\n" + prose(rng, 30)) for i, (t, _) in wrapped.items()]
+    # between lines of a paragraph, and two notices that follow each other in one
+    docs += [(10 + i, f"{prose(rng, 12)}\n{t}\n{prose(rng, 12)}") for i, (t, _) in wrapped.items()]
+    docs += [(20, f"{GPL_TEXT}\n{MIT_TEXT}"), (21, "Licensed under the MIT\nLicense. Licensed under the\nApache License, Version\n2.0.")]
+    docs += [(100 + i, prose(rng, 200)) for i in range(40)]
+    got = licences.scan(frame(spark, docs), licences.train(frame(spark, docs))).collect()
+    found = sorted((r.doc_id, r.paragraph, r.family) for r in got if r.confirmed)
+    want = [(i, k, f) for i, (_, at) in wrapped.items() for k, f in at] + [(10 + i, 1 + k, f) for i, (_, at) in wrapped.items() for k, f in at]
+    assert found == sorted(want + [(20, 0, "GPL-3.0"), (20, 8, "MIT"), (21, 0, "MIT"), (21, 1, "Apache-2.0")])
+    assert all(r.doc_id < 100 for r in got)
+
+
+def test_licence_stretches_are_those_of_a_search():
+    f = licences.Features(licences.TEXTS)
+    rng = random.Random(32)
+    pool = [w for t in licences.TEXTS[:8] for w in licences.words_of(t)]
+    lists = [[rng.choice(pool) if rng.random() < 0.8 else "zz" for _ in range(rng.randrange(1, 60))] for _ in range(60)]
+    lists += [licences.words_of(t) for t in licences.TEXTS]
+    number = f.numbers(plain_words(pa.array([" ".join(x) for x in lists]))[0])
+    at = np.cumsum([0] + [len(x) for x in lists])
+    got = f.near(number, at, 0.6)
+    for x, a, b in zip(lists, at[:-1], at[1:], strict=True):
+        like = False
+        for t, pairs, reach in zip(licences.TEXTS, f.pairs, f.reach, strict=True):
+            w = licences.words_of(t)
+            own = set(zip(w, w[1:]))
+            like |= any(len(own & set(zip(x[i : i + reach], x[i + 1 : i + reach]))) >= 0.6 * len(own) - 1e-9 for i in range(len(x)))
+        assert like == any(a <= c and d <= b for c, d in got)
+    assert not any(c < e < d for c, d in got for e in at)
+
+
 def test_licence_logits_are_the_sums_of_the_ngrams():
     texts = ["Licensed under the MIT License.", "the the License of", "", "nothing here", "MIT License MIT License"]
     model = licences.Classifier(licences.Features([t for ts in licences.TEMPLATES.values() for t in ts]), list(licences.TEMPLATES))
