@@ -1,11 +1,12 @@
 """Licence notices in documents: a paragraph classifier over word n-grams, confirmed against templates.
 
 Method: a paragraph is a block of neighbouring lines, up to a line without a word, so that a notice may
-be wrapped at any width. Its stretches are scored: each of its lines, and every stretch of at most 1.5 times a template's words that holds `CONFIRM` of the
+be wrapped at any width. Its stretches are scored: each of its lines, windows of 8 to 64 words that half
+overlap, and every stretch of at most 1.5 times a template's words that holds `CONFIRM` of the
 template's word pairs. A stretch is a bag of word n-grams, of one to three words, over the words of the licence
 templates; a multinomial logistic regression in numpy gives the probabilities of each licence family,
 of `unknown` (words about rights that name no family) and of `none`. It is fitted on varied copies
-of the templates, on made-up notices without a family, and on lines of the documents
+of the templates, on made-up notices without a family, and on lines of the documents, and cuts of them,
 that are not like any template. A temperature is fitted on copies held back, and a family is only accepted
 from the probability on that 99 of 100 of the held-back stretches of other classes do not reach;
 below it a notice is `unknown`. Every accepted family is then compared with its templates: `similarity`
@@ -13,12 +14,14 @@ is the largest share of a template's word pairs that the stretch holds, and `con
 it is at least `CONFIRM`. A family that is not confirmed is reported as `unknown`, with the guess beside
 it, if the stretch holds at least `LIKE` of a template; otherwise it is no notice.
 
-Result: of stretches that overlap, one counts: confirmed ones first, then those found by a template, lines. Each has a row, whose `paragraph` is the number of the line in which it begins; notices of one family
+Result: of stretches that overlap, one counts: confirmed ones first, then those found by a template, lines,
+windows. Each has a row, whose `paragraph` is the number of the line in which it begins; notices of one family
 that begin in one line are one row, notices of several families there are several.
 
 Fitting: at most `negatives` lines of `sample_docs` documents, those with the smallest hash of their id; longer
 lines in pieces of 64 words. Scoring covers every word of every text; the size of a line or paragraph does not
-matter for templates, which are looked for at their own length.
+matter, since a notice of up to 33 words lies whole in a window of less than four times its words (of eight words for
+shorter ones), and templates are looked for at their own length.
 
 Edge cases: null and empty texts and blank lines give no rows; rows with a null id are scanned; repeated
 rows each have their rows; texts and lines of any length are whole; without any paragraph of
@@ -110,8 +113,8 @@ OTHERS = (
 TEXTS = [t for k in TEMPLATES for t in TEMPLATES[k]] + list(OTHERS)
 NONE, UNKNOWN = "none", "unknown"
 CONFIRM, LIKE = 0.6, 0.2
-#: Longer lines are fitted in pieces of so many words.
-PIECE = 64
+#: Words of the windows in which paragraphs are scored besides their lines; the next window begins after half of one.
+WINDOWS = (8, 16, 32, 64)
 #: Words of stretches that are scored at once.
 PART_WORDS = 1 << 19
 FOUND = "doc_id long, paragraph int, family string, guess string, probability double, similarity double, confirmed boolean"
@@ -351,8 +354,15 @@ def _varied(text: str, rng: np.random.Generator, filler: list[str]) -> str:
     return " ".join(words + around if rng.random() < 0.5 else around + words)
 
 
+def _cut(words: list[str], rng: np.random.Generator) -> list[str]:
+    """Some neighbouring words, as a window has them."""
+    size = int(rng.integers(min(3, len(words)), len(words) + 1))
+    first = int(rng.integers(0, len(words) - size + 1))
+    return words[first : first + size]
+
+
 def _plain(texts: pa.Array, features: Features) -> list[str]:
-    """The words of all lines, at most `PIECE` in one text, that are not in a stretch like a template."""
+    """The words of all lines, at most as many as in the longest window, that are not in a stretch like a template."""
     lines, of, number = paragraphs(texts)
     hashes, words_at = plain_words(lines)
     near = _Taken()
@@ -361,8 +371,8 @@ def _plain(texts: pa.Array, features: Features) -> list[str]:
     out = []
     for i, line in enumerate(lines.to_pylist()):
         words = words_of(line)
-        for k in range(0, len(words), PIECE):
-            some = words[k : k + PIECE]
+        for k in range(0, len(words), WINDOWS[-1]):
+            some = words[k : k + WINDOWS[-1]]
             if not near.meets(int(words_at[i]) + k, int(words_at[i]) + k + len(some)):
                 out.append(" ".join(some))
     return out
@@ -393,8 +403,9 @@ def train(docs: DataFrame, sample_docs: int = 1_000, negatives: int = 3_000, cop
     for t in OTHERS:
         texts += [t] * 4 + [_varied(t, rng, filler) for _ in range(copies)]
         labels += [1] * (copies + 4)
-    texts += plain + made
-    labels += [0] * (len(plain) + len(made))
+    cuts = [" ".join(_cut(t.split(), rng)) for t in plain]
+    texts += plain + cuts + made
+    labels += [0] * (len(plain) + len(cuts) + len(made))
     labels = np.array(labels)
     held = rng.random(len(texts)) < 0.2
     model = Classifier(features, families)
@@ -424,6 +435,21 @@ def blocks(of: np.ndarray, number: np.ndarray, words_at: np.ndarray) -> np.ndarr
     return np.append(words_at[some[new]], words_at[-1])
 
 
+def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the windows of all paragraphs; a shorter paragraph is one window."""
+    size = np.diff(at)
+    starts, ends = [], []
+    for n, width in enumerate(WINDOWS):
+        step = width // 2
+        some = np.flatnonzero(size > (WINDOWS[n - 1] if n else 0))
+        count = np.maximum(-(-(size[some] - step) // step), 1)
+        first = np.cumsum(count) - count
+        start = np.repeat(at[:-1][some], count) + step * (np.arange(count.sum()) - np.repeat(first, count))
+        starts.append(start)
+        ends.append(np.minimum(start + width, np.repeat(at[1:][some], count)))
+    return np.concatenate(starts), np.concatenate(ends)
+
+
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """(doc_id, paragraph, family, guess, probability, similarity, confirmed) of every paragraph that is a notice."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -443,9 +469,10 @@ def _found(piece: pa.RecordBatch, model: Classifier) -> Iterator[pa.RecordBatch]
     named = model.features.numbers(hashes)
     near = np.array(model.features.near(named, at, CONFIRM), np.int64).reshape(-1, 2)
     some = np.flatnonzero(np.diff(words_at) > 0)
-    starts = np.concatenate((near[:, 0], words_at[some]))
-    ends = np.concatenate((near[:, 1], words_at[some + 1]))
-    kind = np.repeat([0, 1], [len(near), len(some)])
+    wide = windows(at)
+    starts = np.concatenate((near[:, 0], words_at[some], wide[0]))
+    ends = np.concatenate((near[:, 1], words_at[some + 1], wide[1]))
+    kind = np.repeat([0, 1, 2], [len(near), len(some), len(wide[0])])
     chance = model.of_stretches(named, starts, ends)
     told = []
     for i in np.flatnonzero(chance[:, 0] < 0.5).tolist():

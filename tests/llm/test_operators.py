@@ -520,6 +520,25 @@ def test_hard_wrapped_licences(spark):
     assert all(r.doc_id < 100 for r in got)
 
 
+def test_licences_in_long_lines(spark):
+    rng = random.Random(31)
+    docs, want = [(1_000 + i, prose(rng, 300)) for i in range(40)], set()
+    sentences = [(k, t) for k, ts in licences.TEMPLATES.items() for t in ts] + [("unknown", "All rights reserved.")]
+    for size in (100, 1_000, 20_000):
+        for family, text in sentences:
+            i, before = len(docs), rng.randrange(size)
+            docs.append((i, f"{prose(rng, before)} {text} {prose(rng, size - before)}"))
+            want.add((i, 0, family))
+    docs.append((len(docs), " ".join(f"{t} {prose(rng, 90)}" for _, t in sentences)))
+    want |= {(docs[-1][0], 0, k) for k, _ in sentences}
+    # words about rights that are no template, far from the start
+    docs.append((len(docs), f"{prose(rng, 700)} subject to the terms of the license agreement of the publisher {prose(rng, 700)}"))
+    want.add((docs[-1][0], 0, "unknown"))
+    model = licences.train(frame(spark, docs[:60]))
+    got = licences.scan(frame(spark, docs), model).collect()
+    assert {(r.doc_id, r.paragraph, r.family) for r in got} == want and len(got) == len(want)
+
+
 def test_licence_stretches_are_those_of_a_search():
     f = licences.Features(licences.TEXTS)
     rng = random.Random(32)
