@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, language_id, line_dedup
-from lectern.llm.jaccard_join import distinct_documents
+from lectern.llm.jaccard_join import distinct_rows
 from lectern.llm.queries import PIECES, encoded_digests
 from lectern.llm.textblocks import unused
 from lectern.session import shared_folder
@@ -38,8 +38,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    return distinct_documents(docs)
+    """One document of each group of near copies, the one with the smallest id; rows that share an id are told apart by text."""
+    return distinct_rows(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

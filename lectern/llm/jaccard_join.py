@@ -314,12 +314,35 @@ def distinct_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     Of rows that share this id, the first by text stays. Rows with a null id stay as well, since nothing can be said of them.
     """
     found = stored_table(near_duplicates(docs, width))
+    return _one_each(docs, "doc_id", found, found.filter("doc_id <> component_id").select("doc_id"))
+
+
+def distinct_rows(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The same where ids are unique; otherwise a row is known by its id and text, and goes only if it is a near copy itself.
+
+    Of each component the row with the smallest id stays, of rows that share this id the one with the smallest hash, and
+    one of rows with the same id and text. Rows are told apart by 64-bit hashes of both.
+    """
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return distinct_documents(docs, width)
+    row = unused(docs.columns, "row")
+    named = docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = stored_table(near_duplicates(named.select(F.col(row).alias("doc_id"), "text"), width))
+    ids = named.select(F.col(row).alias("row"), F.col("doc_id").alias("id")).filter("id is not null").distinct()
+    parts = found.select(F.col("doc_id").alias("row"), "component_id").distinct().join(ids, "row")
+    first = parts.groupBy("component_id").agg(F.min(F.struct("id", "row"))["row"].alias("row"))
+    dropped = parts.join(first, "row", "left_anti").select(F.col("row").alias("doc_id"))
+    return _one_each(named, row, found, dropped).drop(row)
+
+
+def _one_each(docs: DataFrame, key: str, found: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose key is not dropped; of several rows with one key the first by text."""
     gone, twice, no = (unused(docs.columns, n) for n in ("gone", "twice", "no"))
-    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    kept = docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
+    dropped = dropped.select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(dropped, F.col(key) == F.col(gone), "left_anti")
     again = stored_table(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(twice)))
     if again.isEmpty():
         return kept
-    first = Window.partitionBy("doc_id").orderBy("text")
-    one = kept.join(again, F.col("doc_id") == F.col(twice), "left_semi").withColumn(no, F.row_number().over(first)).filter(F.col(no) == 1).drop(no)
-    return kept.join(again, F.col("doc_id") == F.col(twice), "left_anti").unionByName(one)
+    first = Window.partitionBy(key).orderBy("text")
+    one = kept.join(again, F.col(key) == F.col(twice), "left_semi").withColumn(no, F.row_number().over(first)).filter(F.col(no) == 1).drop(no)
+    return kept.join(again, F.col(key) == F.col(twice), "left_anti").unionByName(one)

@@ -154,6 +154,19 @@ def test_near_duplicates_edges(spark):
     ] or sorted((r.doc_id or 0) for r in kept) == [0, 1, 6, 7]
 
 
+def test_rows_that_share_an_id_go_only_as_near_copies(spark):
+    rng = random.Random(33)
+    one, two, three, four = (prose(rng, 60) for _ in range(4))
+    rows = [(2, one), (2, two), (1, one + " x"), (3, two + " y"), (3, three), (3, three), (4, four), (None, one), (None, one), (5, None), (5, "")]
+    given = frame(spark, rows).withColumns({"row": F.lit(1), "id": F.lit(2)})
+    got = corpus_pipeline.near_copies(spark, given, "")
+    assert got.columns == given.columns
+    want = [(2, two), (1, one + " x"), (3, three), (4, four), (None, one), (None, one), (5, None), (5, "")]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+    unique = [(i, t) for i, t in enumerate([one, one + " x", two, three])]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, frame(spark, unique), "").collect()) == [0, 2, 3]
+
+
 # ---- 4, 10 --------------------------------------------------------------------------------
 
 
