@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language_id, licences, line_dedup, neighbours, token_counts, token_files, toxicity
+from lectern.llm import bpe, decontaminate, language_id, licences, line_dedup, neighbours, token_counts, token_files, toxicity, whitening
 from lectern.llm.jaccard_join import near_duplicates
 from lectern.session import shared_folder
 
@@ -171,3 +171,10 @@ JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = w.doc_i
 @_query("op8_ngram_jaccard_join", JACCARD_SQL)
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    models = whitening.fit(vectors)
+    return whitening.component_rows(whitening.whiten(vectors, models), models, "vec_id")
