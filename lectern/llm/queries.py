@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language_id, licences, line_dedup, neighbours, token_counts, token_files, toxicity, whitening
+from lectern.llm import bpe, conversation_repair, decontaminate, language_id, licences, line_dedup, neighbours, token_counts, token_files, toxicity, whitening
 from lectern.llm.jaccard_join import near_duplicates
 from lectern.session import shared_folder
 
@@ -178,3 +178,75 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     models = whitening.fit(vectors)
     return whitening.component_rows(whitening.whiten(vectors, models), models, "vec_id")
+
+
+#: The checksum by a table of 256 entries; then the best edits from each place (start, system, user, assistant), last row first.
+REPAIR_SQL = r"""
+WITH RECURSIVE
+checksum AS (
+    SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t),
+keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+drawn AS (
+    SELECT k.*, xor(4294967295, list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) % 20 AS h FROM keyed k, checksum),
+rows_ AS (
+    SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+        CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM drawn WHERE h <> 0),
+numbered AS (
+    SELECT *, left(role, 1) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM rows_),
+faulty AS MATERIALIZED (
+    SELECT *, CASE WHEN body = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f,
+        lag(i) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM numbered),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank,
+        count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+        count(*) FILTER (n > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS last
+    FROM faulty GROUP BY conv_id),
+walk AS (
+    SELECT conv_id, last + 1 AS n, {'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])} AS v1, {'c': 6, 'a': 'II', 'r': ['user:', 'assistant:']} AS v2,
+        {'c': 3, 'a': 'I', 'r': ['assistant:']} AS v3, {'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])} AS v4 FROM counts
+    UNION ALL
+    SELECT conv_id, n, least(b1, {'c': v3.c + 3, 'a': 'I' || v3.a, 'r': list_prepend('user:', v3.r)}), least(b2, {'c': v3.c + 3, 'a': 'I' || v3.a, 'r': list_prepend('user:', v3.r)}), v3,
+        least(b4, {'c': b3.c + 3, 'a': 'I' || b3.a, 'r': list_prepend('user:', b3.r)})
+    FROM (SELECT *, least(b3, {'c': b4.c + 3, 'a': 'I' || b4.a, 'r': list_prepend('assistant:', b4.r)}) AS v3 FROM (
+        SELECT w.conv_id, w.n - 1 AS n, CASE WHEN f = 't' THEN 3 ELSE 0 END AS extra,
+            least({'c': v1.c + 4, 'a': 'D' || v1.a, 'r': v1.r},
+            CASE WHEN f IN ('', 't') THEN {'c': v3.c + 3 + extra, 'a': 'R' || v3.a, 'r': list_prepend('user:' || text, v3.r)} END,
+            CASE WHEN f IN ('', 't') AND i = 's' THEN {'c': v2.c + extra, 'a': 'K' || v2.a, 'r': list_prepend(role || ':' || text, v2.r)} END,
+            CASE WHEN f IN ('', 't') AND i = 'u' THEN {'c': v3.c + extra, 'a': 'K' || v3.a, 'r': list_prepend(role || ':' || text, v3.r)} END) AS b1,
+            least({'c': v2.c + 4, 'a': 'D' || v2.a, 'r': v2.r},
+            CASE WHEN f IN ('', 't') THEN {'c': v3.c + 3 + extra, 'a': 'R' || v3.a, 'r': list_prepend('user:' || text, v3.r)} END,
+            CASE WHEN f IN ('', 't') AND i = 'u' THEN {'c': v3.c + extra, 'a': 'K' || v3.a, 'r': list_prepend(role || ':' || text, v3.r)} END) AS b2,
+            least({'c': v3.c + 4, 'a': 'D' || v3.a, 'r': v3.r},
+            CASE WHEN f IN ('', 't') THEN {'c': v4.c + 3 + extra, 'a': 'R' || v4.a, 'r': list_prepend('assistant:' || text, v4.r)} END,
+            CASE WHEN f IN ('', 't') AND i = 'a' THEN {'c': v4.c + extra, 'a': 'K' || v4.a, 'r': list_prepend(role || ':' || text, v4.r)} END) AS b3,
+            least({'c': v4.c + 4, 'a': 'D' || v4.a, 'r': v4.r},
+            CASE WHEN f IN ('', 't') THEN {'c': v3.c + 3 + extra, 'a': 'R' || v3.a, 'r': list_prepend('user:' || text, v3.r)} END,
+            CASE WHEN f IN ('', 't') AND i = 'u' THEN {'c': v3.c + extra, 'a': 'K' || v3.a, 'r': list_prepend(role || ':' || text, v3.r)} END) AS b4
+        FROM walk w JOIN faulty x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.n = w.n - 1)))
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+    coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, CAST(coalesce(w.v1.c, 0) AS BIGINT) AS cost,
+    coalesce(w.v1.a, '') AS audit, sha256(coalesce(array_to_string(w.v1.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.n = 1
+"""
+
+
+@_query("op11_conversation_repair", REPAIR_SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.summaries(conversation_repair.damaged(rows)).withColumnRenamed("conv_id", "found_id")
+    every = rows.select("conv_id").distinct()
+    none = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    lost = F.col("audit").isNull()  # no row of the conversation is left
+    columns = [n for n in found.columns if n != "found_id"]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select(
+        "conv_id", *(F.when(lost, none.get(n, F.lit(0))).otherwise(F.col(n)).alias(n) for n in columns)
+    )
