@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, conversation_repair, decontaminate, language_id, licences, line_dedup, neighbours, token_counts, token_files, toxicity, whitening
+from lectern.llm import bpe, conversation_repair, decontaminate, language_id, licences, line_dedup, lm_scoring, neighbours, token_counts, token_files, toxicity, whitening
 from lectern.llm.jaccard_join import near_duplicates
 from lectern.session import shared_folder
 
@@ -250,3 +250,9 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select(
         "conv_id", *(F.when(lost, none.get(n, F.lit(0))).otherwise(F.col(n)).alias(n) for n in columns)
     )
+
+
+@_query("op12_lm_scoring")
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learned = _table(spark, sf_dir, "documents").select("doc_id", "text"), _remainder("doc_id", 10) != 0
+    return lm_scoring.score(docs, learned, WORD_BPE, lm_scoring.train(docs, learned, WORD_BPE))
