@@ -2,7 +2,8 @@
 
 An embedder is any picklable object with `dim` and `encode(texts) -> float array [n, dim]`.
 The default hashes words into signed counts: deterministic, model-free and the same in every
-engine. Real models are loaded once per task by giving an embedder whose `encode` loads lazily.
+engine. Real models are loaded once per task by giving an embedder whose `encode` loads lazily. A
+model that is out of reach raises `ModelDown`; any other error costs the text it is raised for.
 """
 
 from __future__ import annotations
@@ -78,29 +79,27 @@ class HashedWords:
         return flat.reshape(len(texts), self.dim).astype(np.float32)
 
 
-#: A model that fails on so many texts one after the other is down, and the task fails with it.
-OUTAGE = 8
+class ModelDown(Exception):
+    """Raised by a model that cannot work at all: the task fails instead of losing its rows one by one."""
 
 
 def _piecewise(call, items: list, missing) -> list:
     """The results of `call` on all items. A batch that fails is halved until the item at fault
-    is alone and gets `missing`: one bad text costs neither the job nor its batch. A model that
-    is down would cost a call for each item and leave nothing, so its error is passed on."""
-    out, streak, todo = [], 0, [items] if items else []
+    is alone and gets `missing`: one bad text costs neither the job nor its batch. `ModelDown` is passed on,
+    whatever the batch, so the outcome does not depend on how rows are dealt out."""
+    out, todo = [], [items] if items else []
     while todo:
         part = todo.pop()
         try:
             out.extend(call(part))
-            streak = 0
+        except ModelDown:
+            raise
         except Exception:
             if len(part) > 1:
                 half = len(part) // 2
                 todo += [part[half:], part[:half]]
-                continue
-            out.append(missing)
-            streak += 1
-            if streak >= OUTAGE:
-                raise
+            else:
+                out.append(missing)
     return out
 
 
