@@ -22,7 +22,8 @@ from checks.tables import (
 from lectern.config import HEADER_FALLBACK_PHRASES
 from lectern.functions.text import is_fallback, recent, severity_band, time_ago
 from lectern.operators import conversation as ops
-from lectern.sources.logs import retrieval_rows
+from lectern.session import shared_folder
+from lectern.sources.logs import append_turns, compact_history, delete_cleared, read_history, retrieval_rows
 
 SINCE = f"u.role = 'user' AND u.created_at > {AS_OF_SQL} - INTERVAL 7 DAY"
 SUBJECT = "coalesce(nullif(r.subject, ''), 'Unknown')"
@@ -201,20 +202,34 @@ def last_turns(spark, sf_dir):
 
 
 # A session is cleared when one of its questions says less than 30 characters.
-@query(
-    "cleared_history",
-    conversation_sql(
-        "SELECT h.id, h.session_id, h.role FROM history h WHERE NOT EXISTS (SELECT 1 FROM history c "
-        "WHERE c.role = 'user' AND length(c.content) < 30 AND c.session_id = h.session_id "
-        "AND h.created_at <= c.created_at)"
-    ),
+CLEARED_SQL = conversation_sql(
+    "SELECT h.id, h.session_id, h.role FROM history h WHERE NOT EXISTS (SELECT 1 FROM history c "
+    "WHERE c.role = 'user' AND length(c.content) < 30 AND c.session_id = h.session_id "
+    "AND h.created_at <= c.created_at)"
 )
-def cleared_history(spark, sf_dir):
-    turns = history(spark, sf_dir)
-    cleared = turns.filter((F.col("role") == "user") & (F.length("content") < 30)).select(
+
+
+def clears_of(turns):
+    return turns.filter((F.col("role") == "user") & (F.length("content") < 30)).select(
         "session_id", F.col("created_at").alias("cleared_at")
     )
-    return ops.clear_history(turns, cleared).select("id", "session_id", "role")
+
+
+@query("cleared_history", CLEARED_SQL)
+def cleared_history(spark, sf_dir):
+    turns = history(spark, sf_dir)
+    return ops.clear_history(turns, clears_of(turns)).select("id", "session_id", "role")
+
+
+@query("cleared_history_stored", CLEARED_SQL)
+def cleared_history_stored(spark, sf_dir):
+    """Turns come in two loads; after each, the sessions cleared by then are deleted; then the files are compacted."""
+    turns, path = history(spark, sf_dir), f"{shared_folder(spark)}/history"
+    for part in (turns.filter("id % 2 = 0"), turns.filter("id % 2 = 1")):
+        append_turns(part, path)
+        delete_cleared(spark, path, clears_of(turns))
+    compact_history(spark, path)
+    return read_history(spark, path).select("id", "session_id", "role")
 
 
 @query(

@@ -352,17 +352,23 @@ def history_before(
     )
 
 
+def _by_clearing(history: DataFrame, cleared: DataFrame, how: str) -> DataFrame:
+    gone = cleared.groupBy("session_id").agg(
+        F.max(F.coalesce("cleared_at", instant(dt.datetime(9999, 1, 1)))).alias("cleared_at")
+    )
+    gone = gone.withColumnsRenamed({"session_id": "_session", "cleared_at": "_cleared"})
+    on = (F.col("session_id") == F.col("_session")) & (F.col("created_at") <= F.col("_cleared"))
+    return history.join(gone, on, how)
+
+
 def clear_history(history: DataFrame, cleared: DataFrame) -> DataFrame:
     """The history without the sessions in `cleared` (session_id, cleared_at).
 
     A message sent after its session was cleared stays; a null `cleared_at` clears everything.
     """
-    gone = cleared.groupBy("session_id").agg(
-        F.max(F.coalesce("cleared_at", instant(dt.datetime(9999, 1, 1)))).alias("cleared_at")
-    )
-    gone = gone.withColumnsRenamed({"session_id": "_session", "cleared_at": "_cleared"})
-    return history.join(
-        gone,
-        (F.col("session_id") == F.col("_session")) & (F.col("created_at") <= F.col("_cleared")),
-        "left_anti",
-    )
+    return _by_clearing(history, cleared, "left_anti")
+
+
+def cleared_rows(history: DataFrame, cleared: DataFrame) -> DataFrame:
+    """The rows that `clear_history` leaves out."""
+    return _by_clearing(history, cleared, "left_semi")

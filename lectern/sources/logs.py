@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from lectern.config import DEFAULTS, Settings
-from lectern.operators.conversation import clear_history
+from lectern.operators.conversation import clear_history, cleared_rows
 from lectern.schemas import CHAT_HISTORY, RETRIEVAL_LOG, conform
+from lectern.sources.deletions import compact_deletions, delete_rows, live_rows, vacuum
 
 # The roles a stored turn may have.
 ROLES = ("user", "assistant")
@@ -23,7 +24,10 @@ def _store(df: DataFrame, ts: str, path: str, batch: int | None) -> None:
     Every write has a directory of its own, so batch jobs and streams share a table. A micro-batch
     goes by its number and replaces it when it has to run again; other writes go by their time.
     """
-    target = f"{path}/batch={time.time_ns() if batch is None else batch}"
+    _store_in(df, ts, f"{path}/batch={time.time_ns() if batch is None else batch}")
+
+
+def _store_in(df: DataFrame, ts: str, target: str) -> None:
     # rebalancing gathers a day's rows into few files and still splits a day that is too large
     rows = df.withColumn("day", F.to_date(ts)).hint("rebalance", F.col("day"))
     ordered = rows.sortWithinPartitions("day", "session_id", ts)
@@ -84,11 +88,24 @@ def append_clears(cleared: DataFrame, path: str) -> None:
     cleared.select("session_id", "cleared_at").write.mode("append").parquet(path)
 
 
+def delete_cleared(spark: SparkSession, path: str, cleared: DataFrame) -> None:
+    """Mark the stored turns of cleared sessions (session_id, cleared_at) as deleted in the files that hold them."""
+    delete_rows(spark, path, lambda rows: cleared_rows(rows, cleared))
+
+
+def compact_history(spark: SparkSession, path: str, least: int = 1, remove: bool = True) -> list[str]:
+    """Write what is left of files with deleted turns anew, and remove the files unless readers may still need them."""
+    replaced = compact_deletions(spark, path, lambda rows, folder: _store_in(rows, "created_at", folder), least)
+    if remove:
+        vacuum(spark, path)
+    return replaced
+
+
 def read_history(
     spark: SparkSession, path: str, clears: str | None = None, since: dt.date | None = None
 ) -> DataFrame:
-    """The stored history without what has been cleared since; `since` skips older days."""
-    stored = spark.read.parquet(path)
+    """The stored history without deleted turns and what has been cleared since; `since` skips older days."""
+    stored = live_rows(spark, path)
     if since is not None:
         stored = stored.filter(F.col("day") >= F.lit(since))
     history = conform(stored, CHAT_HISTORY)
