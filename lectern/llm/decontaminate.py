@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.textblocks import kept, mix, plain_words, slices
+from lectern.llm.textblocks import kept, mix, plain_words, slices, tidy
 
 WALKS, SAMPLED = 2, 5
 STRIDE, WIDEST = 4, 32
@@ -103,9 +103,11 @@ class ItemIndex:
                     if width == w:
                         order = np.argsort(hashed, kind="stable")
                         hashed = hashed[order]
-                        there = np.zeros(1 << 20, bool)
-                        there[hashed >> np.uint64(44)] = True
-                        tables[w, number] = (there, hashed, of[order], shift[order])
+                        # about one window in 16 passes this table by chance, whatever the number of items
+                        bits = max(10, math.ceil(math.log2(16 * len(hashed))))
+                        there = np.zeros(1 << bits, bool)
+                        there[hashed >> np.uint64(64 - bits)] = True
+                        tables[w, number] = (np.uint64(64 - bits), there, hashed, of[order], shift[order])
             self.groups.append((stride, samples, tables))
 
     @staticmethod
@@ -126,8 +128,8 @@ class ItemIndex:
                 some, of_doc = starts[k : k + 200_000], doc[k : k + 200_000]
                 room = at[of_doc + 1] - some
                 for w, number, hashed in samples.hashes(words, some):
-                    there, known, of, shift = tables[w, number]
-                    hit = np.flatnonzero(there[hashed >> np.uint64(44)] & (room >= w))
+                    down, there, known, of, shift = tables[w, number]
+                    hit = np.flatnonzero(there[hashed >> down] & (room >= w))
                     first, last = np.searchsorted(known, hashed[hit]), np.searchsorted(known, hashed[hit], side="right")
                     for h, a, b in zip(hit[first < last].tolist(), first[first < last].tolist(), last[first < last].tolist(), strict=True):
                         for e in range(a, b):
@@ -203,7 +205,7 @@ def matches(docs: DataFrame, items: DataFrame, errors: float = 0.2, recall: floa
         return run
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [given.mapInArrow(search(block), FOUND) for block in _blocks(items, recall, alike, errors)]
+    parts = [given.mapInArrow(tidy(search(block)), FOUND) for block in _blocks(items, recall, alike, errors)]
     if not parts:
         return docs.sparkSession.createDataFrame([], FOUND)
     out = parts[0]
@@ -227,5 +229,5 @@ def clean(docs: DataFrame, items: DataFrame, errors: float = 0.2, recall: float
 
     out = docs
     for block in _blocks(items, recall, alike, errors):
-        out = out.mapInArrow(keep(block), docs.schema)
+        out = out.mapInArrow(tidy(keep(block)), docs.schema)
     return out

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.textblocks import give_back, tidy
+
 MESSAGE = "bucket int, block long, kind int, body binary"
 ARROW_MESSAGE = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
 #: Kinds of rows: what a block keeps for itself, and what it asks a bucket.
@@ -60,12 +62,15 @@ def exchange(
         bucket = table.column("bucket")[0].as_py()
         answers = merge(list(zip(asked.column("block").to_pylist(), bodies(asked), strict=True)))
         replies = pa.Table.from_batches([messages([(bucket, block, ASKED, body) for block, body in answers])])
+        give_back()
         return pa.concat_tables([own.cast(ARROW_MESSAGE), replies])
 
     def finished(table: pa.Table) -> pa.Table:
         rows = zip(*(table.column(n).to_pylist() for n in ("kind", "bucket")), bodies(table), strict=True)
-        return finish(sorted(rows, key=lambda r: r[:2]))
+        done = finish(sorted(rows, key=lambda r: r[:2]))
+        give_back()
+        return done
 
-    sent = docs.mapInArrow(split, MESSAGE)
+    sent = docs.mapInArrow(tidy(split), MESSAGE)
     answered = sent.groupBy("bucket").applyInArrow(merged, MESSAGE)
     return answered.groupBy(F.col("block")).applyInArrow(finished, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lectern.llm.textblocks import kept, runs, slices, span_hashes, text_bytes
+from lectern.llm.textblocks import kept, runs, slices, span_hashes, text_bytes, tidy
 
 START = "▁"
 STRETCH = 32
@@ -301,7 +301,7 @@ def predict(
                     [*piece.columns, pa.array(found, pa.string()), pa.array(scores)], [*piece.schema.names, *names]
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def identify(

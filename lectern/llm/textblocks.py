@@ -7,6 +7,8 @@ and mixed. Two words of a corpus share a hash with a probability of about 2**-64
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -47,6 +49,29 @@ def kept(key: tuple, make: Callable[[], object]):
     return cache["kept"]
 
 
+def give_back() -> None:
+    """Hand memory that is free inside this worker to the system: workers outlive their tasks and share an executor with its JVM."""
+    pa.default_memory_pool().release_unused()
+    cache = process_cache()
+    if "trim" not in cache:
+        cache["trim"] = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if cache["trim"] is not None:
+        cache["trim"](0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for all batches of a task, after which its memory is given back."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers in which each input bit reaches all output bits."""
     x = x.astype(np.uint64, copy=True)
