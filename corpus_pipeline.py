@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later copies of runs of lines of 50 words or more; a document of which nothing is left goes."""
     names = (unused(docs.columns, "n_lines"), unused(docs.columns, "n_deleted"))
-    done = line_dedup.dedup_lines(docs, 50, names).filter((F.col(names[1]) == 0) | (F.trim("text") != ""))
+    done = line_dedup.dedup_lines(docs, 50, names).filter((F.col(names[1]) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         changed = F.when(F.col(names[1]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         done = done.withColumn("n_chars", changed)
