@@ -12,6 +12,7 @@ from lectern.config import DEFAULTS, Settings
 from lectern.functions.text import first_castable
 from lectern.operators.ranking import latest
 from lectern.operators.retrieval import grade
+from lectern.session import cut_lineage, stored_table
 
 
 def top_score(sources: Column, fields: Sequence[str] = ("score",)) -> Column:
@@ -176,6 +177,59 @@ def best_thresholds(recalibrated: DataFrame) -> DataFrame:
     )
 
 
+def best_thresholds_exact(results: DataFrame) -> DataFrame:
+    """The best pair of thresholds of all: correct_above, incorrect_below, matches, total, rate.
+
+    Grades change only where a threshold passes a stored score, so the pairs of those scores, and of one value below
+    and one above them all, cover every outcome. Matches of a pair are a part that depends on the upper threshold (expected
+    correct above it, expected ambiguous up to it) and one that depends on the lower (expected incorrect below it, less expected
+    ambiguous below it). One sweep over the sorted scores therefore finds the best lower threshold for each upper one as a
+    running maximum. The sweep is distributed: sorted stretches are summed side by side, and the few stretch totals are
+    accumulated and added. Equal matches go to the smaller thresholds; a row without a score counts as nothing found; without
+    any score there is no row.
+    """
+    expected = F.col("expected_verdict")
+    counted = results.groupBy(F.col("top_score").alias("at")).agg(
+        *(F.count_if(expected == g).alias(g) for g in ("correct", "ambiguous", "incorrect")), F.count("*").alias("rows")
+    )
+    counted = cut_lineage(counted)
+    scored = counted.filter("at is not null")
+    facts = counted.agg(
+        F.min("at").alias("least"), F.max("at").alias("most"), F.sum("rows").alias("total"),
+        F.sum(F.when(F.col("at").isNull(), F.col("incorrect")).otherwise(0)).alias("unscored"),
+        F.sum(F.when(F.col("at").isNotNull(), F.col("correct")).otherwise(0)).alias("correct"),
+    ).first()
+    nothing = [F.lit(0).cast("bigint").alias(n) for n in ("correct", "ambiguous", "incorrect", "rows")]
+    ends = scored.select(F.explode(F.array(*(F.lit(facts[n]).cast("double") + d for n, d in (("least", -1), ("most", 1))))).alias("at"), *nothing).distinct()
+    points = scored.select("at", "correct", "ambiguous", "incorrect", "rows").unionByName(ends)
+    stretches = points.repartitionByRange("at").sortWithinPartitions("at").withColumn("_stretch", F.spark_partition_id())
+    points = stored_table(stretches)
+
+    # sums up to and including each value; stretches follow each other in order
+    names = ("correct", "ambiguous", "incorrect")
+    inside = W.partitionBy("_stretch").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = W.orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)  # one row for each stretch
+    offsets = points.groupBy("_stretch").agg(*(F.sum(n).alias(n) for n in names)).select(
+        "_stretch", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in names)
+    )
+    upto = points.join(F.broadcast(offsets), "_stretch").withColumns(
+        {f"_{n}": F.col(f"_before_{n}") + F.sum(n).over(inside) for n in names}
+    )
+    lower = F.struct(
+        (F.col("_incorrect") - F.col("incorrect") - F.col("_ambiguous") + F.col("ambiguous")).alias("gain"), (-F.col("at")).alias("minus")
+    )
+    upto = upto.withColumn("_lower", lower).withColumn("_best", F.max("_lower").over(inside))
+    tops = upto.groupBy("_stretch").agg(F.max("_lower").alias("_top")).select("_stretch", F.max("_top").over(earlier).alias("_ahead"))
+    best = F.greatest("_best", "_ahead")
+    swept = upto.join(F.broadcast(tops), "_stretch").withColumn("_chosen", best)
+    matches = F.lit(facts["correct"]) - F.col("_correct") + F.col("_ambiguous") + F.col("_chosen.gain") + F.lit(facts["unscored"])
+    pairs = swept.select(
+        F.col("at").alias("correct_above"), (-F.col("_chosen.minus")).alias("incorrect_below"), matches.cast("bigint").alias("matches"),
+        F.lit(facts["total"]).cast("bigint").alias("total"),
+    ).withColumn("rate", F.round(F.col("matches") / F.col("total"), 6))
+    return latest(pairs, [F.col("matches").desc(), F.col("correct_above"), F.col("incorrect_below")], 1)
+
+
 def regrade(results: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """`obtained_verdict` and `match` anew from the stored best score."""
     obtained = F.when(F.col("top_score").isNull(), "incorrect").otherwise(

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,23 @@ def test_quiz_envelopes(spark):
     assert got[1]["grounded"] and got[1]["topic"] == "Loops" and len(got[1]["questions"]) == 1
     assert [got[i]["grounded"] for i in (2, 3, 4)] == [False] * 3
     assert len({got[i]["error"] for i in (2, 3, 4)}) == 3 and not got[4]["questions"]
+
+
+def test_best_of_all_thresholds(spark):
+    rng = random.Random(5)
+    for n in (1, 7, 60):
+        rows = [(rng.choice([None, *(k / 8 for k in range(-3, 9))]), rng.choice(["correct", "ambiguous", "incorrect"])) for _ in range(n)]
+        rows.append((0.5, "correct"))
+        scores = [s for s, _ in rows if s is not None]
+        values = sorted({*scores, min(scores) - 1, max(scores) + 1})
+
+        def matches(hi, lo):
+            graded = ["incorrect" if s is None else "correct" if s > hi else "incorrect" if s < lo else "ambiguous" for s, _ in rows]
+            return sum(g == e for g, (_, e) in zip(graded, rows))
+
+        want = min(((-matches(hi, lo), hi, lo) for hi in values for lo in values if lo <= hi))
+        df = spark.createDataFrame(rows, "top_score double, expected_verdict string")
+        got = ops.best_thresholds_exact(df.repartition(5)).first()
+        assert (-got["matches"], got["correct_above"], got["incorrect_below"]) == want and got["total"] == len(rows)
+    none = spark.createDataFrame([(None, "correct")], "top_score double, expected_verdict string")
+    assert ops.best_thresholds_exact(none).collect() == []
