@@ -8,11 +8,15 @@ templates; a multinomial logistic regression in numpy gives the probabilities of
 of `unknown` (words about rights that name no family) and of `none`. It is fitted on varied copies
 of the templates, on made-up notices without a family, and on lines of the documents, and cuts of them,
 that are not like any template. A temperature is fitted on copies held back, and a family is only accepted
-from the probability on that 99 of 100 of the held-back stretches of other classes do not reach;
+from the joint probability of all families on that 99 of 100 of the held-back stretches of other classes do not reach;
 below it a notice is `unknown`. Every accepted family is then compared with its templates: `similarity`
-is the largest share of a template's word pairs that the stretch holds, and `confirmed` says whether
-it is at least `CONFIRM`. A family that is not confirmed is reported as `unknown`, with the guess beside
-it, if the stretch holds at least `LIKE` of a template; otherwise it is no notice.
+is the largest share of a template's word pairs that the stretch holds. It is `confirmed` by a template of which the
+stretch holds at least `CONFIRM`, every pair with a number (so versions agree), and for each other
+family a pair that no template of that one has (so what families share confirms neither). If the classifier's guess is not
+confirmed, but one other family alone is, by a larger share, that family is the answer. What is not confirmed is reported as
+`unknown`, with the guess beside it, if the stretch holds at least `LIKE` of a template; otherwise it is no notice. Where
+families are as similar, as with a sentence that two of them have, the guess names them all, joined by `|`, and it
+is the one of them that another stretch of the same paragraph confirms, if there is one.
 
 Result: of stretches that overlap, one counts: confirmed ones first, then those found by a template, lines,
 windows. Each has a row, whose `paragraph` is the number of the line in which it begins; notices of one family
@@ -67,25 +71,55 @@ TEMPLATES = {
     ),
     "LGPL-3.0": (
         "This library is licensed under the GNU Lesser General Public License, version 3.",
-        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ),
+    "LGPL-2.1": (
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
     ),
     "AGPL-3.0": (
         "This work is licensed under the GNU Affero General Public License, version 3.",
-        "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
+    "ISC": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "SPDX-License-Identifier: ISC",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ),
+    "MPL-1.1": (
+        "The contents of this file are subject to the Mozilla Public License Version 1.1.",
+        "Licensed under the Mozilla Public License, version 1.1.",
+    ),
+    "Apache-1.1": (
+        "Licensed under the Apache Software License, Version 1.1.",
     ),
     "CC-BY-4.0": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
+    "CC-BY-3.0": (
+        "Licensed under CC BY 3.0.",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    ),
     "CC-BY-SA-4.0": (
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -155,7 +189,8 @@ class Features:
 
     def __init__(self, texts: list[str]):
         lists = [words_of(t) for t in texts]
-        self.words = sorted({w for x in lists for w in x})
+        # whole numbers are words, whether a template has them or not, so that another version breaks a pair
+        self.words = sorted({w for x in lists for w in x} | {str(i) for i in range(10)})
         place = {w: i for i, w in enumerate(self.words)}
         hashes = _hash(self.words)
         self.order = np.argsort(hashes, kind="stable")
@@ -264,6 +299,7 @@ class Classifier:
         self.w = np.zeros((len(features.grams) + 1, len(self.classes)))
         self.b = np.zeros(len(self.classes))
         self.temperature, self.least = 1.0, 0.5
+        self.evidence = Evidence(features)
 
     def logits(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Sparse sums of the weights, over the square root of the words of a paragraph."""
@@ -329,7 +365,7 @@ class Classifier:
             return -np.log(self.probabilities(hashes, at)[np.arange(len(labels)), labels] + 1e-12).mean()
 
         self.temperature = min(np.geomspace(0.2, 5, 25), key=loss)
-        best = self.probabilities(hashes, at)[:, 2:].max(axis=1)
+        best = self.probabilities(hashes, at)[:, 2:].sum(axis=1)
         rest = best[labels < 2]
         self.least = float(np.clip(np.quantile(rest, 0.99) if len(rest) else 0.5, 0.5, 0.95))
 
@@ -338,11 +374,53 @@ def _pairs(words: list[str]) -> set:
     return set(zip(words, words[1:], strict=False)) or {tuple(words)}
 
 
-def similarity(features: Features, number: np.ndarray, family: str) -> float:
-    """The largest share of the word pairs of a template of the family that the numbered words hold."""
-    mine = set((number[:-1] * features.base + number[1:])[(number[:-1] > 0) & (number[1:] > 0)].tolist())
-    texts = [t for t, k in enumerate(k for k in TEMPLATES for _ in TEMPLATES[k]) if k == family]
-    return max(len(mine & features.pairs[t]) / len(features.pairs[t]) for t in texts)
+class Evidence:
+    """What of the templates a stretch has to hold so that a family is confirmed; made once for the features."""
+
+    def __init__(self, features: Features):
+        self.family = [k for k in TEMPLATES for _ in TEMPLATES[k]]
+        self.pairs = features.pairs[: len(self.family)]
+        numbers = {i + 1 for i, w in enumerate(features.words) if w.isdigit()}
+        base = features.base
+        self.versions = [{p for p in pairs if p // base in numbers or p % base in numbers} for pairs in self.pairs]
+        # a further number after one of the template's is another version, but for a zero
+        zero = features.words.index("0") + 1
+        self.others = [
+            {p % base * base + n for p in versions if p % base in numbers for n in numbers - {zero}} - pairs
+            for versions, pairs in zip(self.versions, self.pairs, strict=True)
+        ]
+        everything = {k: set().union(*(p for p, f in zip(self.pairs, self.family, strict=True) if f == k)) for k in TEMPLATES}
+        #: For each template, what every other family lacks of it.
+        self.apart = [[pairs - everything[k] for k in TEMPLATES if k != f] for pairs, f in zip(self.pairs, self.family, strict=True)]
+
+    def shares(self, mine: set) -> tuple[dict[str, float], dict[str, float]]:
+        """Largest share of a template of each family that the pairs `mine` hold: of any template, and of one that confirms."""
+        any_, sure = dict.fromkeys(TEMPLATES, 0.0), {}
+        for family, pairs, versions, others, apart in zip(self.family, self.pairs, self.versions, self.others, self.apart, strict=True):
+            share = len(mine & pairs) / len(pairs)
+            any_[family] = max(any_[family], share)
+            if share >= CONFIRM and versions <= mine and not mine & others and all(mine & own for own in apart):
+                sure[family] = max(sure.get(family, 0.0), share)
+        return any_, sure
+
+
+def judged(evidence: Evidence, mine: set, guess: str, accepted: bool) -> tuple[str, float, bool]:
+    """(family or guesses, similarity, confirmed) of a stretch that holds the word pairs `mine`."""
+    shares, sure = evidence.shares(mine)
+    best = max(sure.values(), default=0.0)
+    first = [f for f, s in sure.items() if s == best]
+    if accepted and guess in sure:
+        return guess, sure[guess], True
+    if accepted and len(first) == 1 and best > shares[guess] - 1e-9:
+        return first[0], best, True
+    alike = shares[guess]
+    ties = [f for f in TEMPLATES if shares[f] == alike] if alike >= CONFIRM else [guess]
+    return "|".join(ties if guess in ties else [guess]), alike, False
+
+
+def pairs_of(features: Features, number: np.ndarray) -> set:
+    """Keys of the neighbouring template words of a stretch."""
+    return set((number[:-1] * features.base + number[1:])[(number[:-1] > 0) & (number[1:] > 0)].tolist())
 
 
 def _varied(text: str, rng: np.random.Generator, filler: list[str]) -> str:
@@ -477,12 +555,22 @@ def _found(piece: pa.RecordBatch, model: Classifier) -> Iterator[pa.RecordBatch]
     told = []
     for i in np.flatnonzero(chance[:, 0] < 0.5).tolist():
         a, b, best = int(starts[i]), int(ends[i]), int(chance[i, 2:].argmax())
-        guess, sure = model.families[best], float(chance[i, 2 + best])
-        alike = similarity(model.features, named[a:b], guess)
-        good = sure >= model.least and alike >= CONFIRM
+        accepted = float(chance[i, 2:].sum()) >= model.least
+        guess, alike, good = judged(model.evidence, pairs_of(model.features, named[a:b]), model.families[best], accepted)
+        sure = float(max(chance[i, 2 + model.families.index(f)] for f in guess.split("|")))
         if alike < LIKE and chance[i, 1] < 0.5:
             continue
         told.append((not good, int(kind[i]), -alike, a - b, a, b, guess, sure))
+    # what several families share belongs to the one of them that the same paragraph confirms
+    block_of = lambda a: int(np.searchsorted(at, a, side="right"))
+    named_in: dict[int, set] = {}
+    for bad, *_, a, _, guess, _ in told:
+        if not bad:
+            named_in.setdefault(block_of(a), set()).add(guess)
+    for n, (bad, by, alike, size, a, b, guess, sure) in enumerate(told):
+        owner = named_in.get(block_of(a), set()) & set(guess.split("|")) if bad and "|" in guess else ()
+        if len(owner) == 1:
+            told[n] = (False, by, alike, size, a, b, *owner, sure)
     # the stretch of a notice keeps others from it; of what overlaps, confirmed and closest ones count
     rows, taken, seen = [], _Taken(), set()
     ids = piece.column("doc_id")

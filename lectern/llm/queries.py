@@ -12,6 +12,7 @@ from lectern.session import shared_folder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict = {}
@@ -127,7 +128,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _table(spark, sf_dir, "documents"), _remainder("doc_id", 3) == 1
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
-    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    # the language chooses the threshold of the further column `flagged` only
+    scored = toxicity.flag_by_language(toxicity.score(docs.select("doc_id", "text", "lang"), model), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "flagged")
 
 
 @_query("op9_token_counts")
@@ -255,4 +258,4 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_lm_scoring")
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, learned = _table(spark, sf_dir, "documents").select("doc_id", "text"), _remainder("doc_id", 10) != 0
-    return lm_scoring.score(docs, learned, WORD_BPE, lm_scoring.train(docs, learned, WORD_BPE))
+    return lm_scoring.score(docs, learned, BYTE_BPE_MULTI, lm_scoring.train(docs, learned, BYTE_BPE_MULTI))
