@@ -22,7 +22,8 @@ from checks.tables import (
 from lectern.config import HEADER_FALLBACK_PHRASES
 from lectern.functions.text import is_fallback, recent, severity_band, time_ago
 from lectern.operators import conversation as ops
-from lectern.session import shared_folder
+from lectern.operators import summaries
+from lectern.session import shared_folder, stored_table
 from lectern.sources.logs import append_turns, compact_history, delete_cleared, read_history, retrieval_rows
 
 SINCE = f"u.role = 'user' AND u.created_at > {AS_OF_SQL} - INTERVAL 7 DAY"
@@ -128,6 +129,14 @@ def top_chunks_by_id(spark, sf_dir):
     return rows.withColumn("last_retrieved", text_ts("last_retrieved"))
 
 
+@query("top_chunks_from_summaries", conversation_sql(TOP_SQL.format(cols=BY_ROW, group="chunk_id, " + BY_ROW, as_of=AS_OF_SQL)))
+def top_chunks_from_summaries(spark, sf_dir):
+    """Days are summed up by their 50 most retrieved chunks; those that can be among the best are counted again."""
+    log = retrieval_log(spark, sf_dir)
+    daily = stored_table(summaries.daily_chunks(log, 50))
+    return summaries.top_chunks_from_summaries(daily, log, AS_OF).withColumn("last_retrieved", text_ts("last_retrieved"))
+
+
 ACTIVITY_SQL = f"""
 SELECT count(*) FILTER (WHERE role = 'user') AS total_questions,
        count(DISTINCT session_id) AS total_sessions,
@@ -152,6 +161,16 @@ def activity_summary(spark, sf_dir):
     return ops.activity_summary(history(spark, sf_dir), AS_OF)
 
 
+@query("activity_from_sketches", conversation_sql(f"SELECT *, true AS near FROM ({ACTIVITY_SQL})"))
+def activity_from_sketches(spark, sf_dir):
+    """Exact counts, and whether the sessions estimated from sketches are within three standard errors of them."""
+    turns = history(spark, sf_dir)
+    found = summaries.activity_from_sketches(stored_table(summaries.hourly_activity(turns)), turns, AS_OF)
+    exact = ops.activity_counts(turns, AS_OF).select("total_sessions")
+    near = summaries.within_error(F.col("sessions_estimate"), F.col("total_sessions")).alias("near")
+    return found.crossJoin(exact).select("total_questions", "total_sessions", "questions_today", near)
+
+
 @query(
     "activity_summary_header",
     conversation_sql(

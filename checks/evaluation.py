@@ -8,6 +8,7 @@ from checks import query
 from checks.scalars import GRADE_SQL, sentences_sql, strip_sql
 from checks.tables import documents, table, with_ctes
 from lectern.functions.jsonops import parse_quiz
+from lectern.functions.variants import parse_quiz_variant
 from lectern.functions.text import split_sentences
 from lectern.operators import evaluation as ops
 from lectern.plans.quiz import quiz_envelopes, quiz_requests
@@ -358,14 +359,23 @@ def quiz_replies(spark, sf_dir):
 OPTIONS = f"list_filter(list_transform(string_split(text, '. '), lambda o: {strip_sql('o')}), lambda o: o <> '')"
 
 
-@query(
-    "parse_quiz",
-    f"""
+PARSED_SQL = f"""
 SELECT doc_id, concat(source, '?') AS question, len(o) AS options, o[2] AS answer, 'why' AS explanation
-FROM (SELECT doc_id, source, {OPTIONS} AS o, string_split(text, '. ') AS raw FROM documents) WHERE len(o) >= 2 AND len(raw) >= 2""",
-)
+FROM (SELECT doc_id, source, {OPTIONS} AS o, string_split(text, '. ') AS raw FROM documents) WHERE len(o) >= 2 AND len(raw) >= 2"""
+
+
+@query("parse_quiz", PARSED_SQL)
 def quiz_questions(spark, sf_dir):
-    rows = quiz_replies(spark, sf_dir).select("doc_id", F.explode(parse_quiz(F.col("raw"))).alias("q"))
+    return parsed_questions(spark, sf_dir, parse_quiz)
+
+
+@query("parse_quiz_variant", PARSED_SQL)
+def quiz_questions_by_variant(spark, sf_dir):
+    return parsed_questions(spark, sf_dir, parse_quiz_variant)
+
+
+def parsed_questions(spark, sf_dir, parse):
+    rows = quiz_replies(spark, sf_dir).select("doc_id", F.explode(parse(F.col("raw"))).alias("q"))
     return rows.select(
         "doc_id", "q.question", F.size("q.options").alias("options"),
         F.get("q.options", F.col("q.correct_index")).alias("answer"), "q.explanation",

@@ -19,7 +19,8 @@ from lectern.functions.vectors import embed, has_length
 from lectern.operators.chunks import explode_chunks, with_chunk_id
 from lectern.plans import lake
 from lectern.schemas import CHUNK_INDEX, GOLD, conform
-from lectern.session import shared_folder
+from lectern.session import shared_folder, stored_table
+from lectern.sources import changes
 from lectern.sources.landing import extract_documents
 from lectern.sources.layers import publish, read_layer, scan_corpus, write_increment
 from lectern.sources.upsert import replace_documents, upsert
@@ -298,6 +299,46 @@ def run_layers(spark, sf_dir):
     )
 
 
+CHANGES_SQL = """
+WITH old AS (SELECT concat('landing/', doc_id) AS path, sha256(text) AS sha FROM documents),
+now AS (
+  SELECT concat(CASE WHEN doc_id % 7 = 1 THEN 'moved/' ELSE 'landing/' END, doc_id) AS path,
+    sha256(CASE WHEN doc_id % 7 = 2 THEN text || '!' ELSE text END) AS sha FROM documents WHERE doc_id % 7 <> 0
+  UNION ALL SELECT concat('copies/', doc_id), sha256(text) FROM documents WHERE doc_id % 7 = 3),
+come AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY path) AS no FROM now WHERE path NOT IN (SELECT path FROM old)),
+gone AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY path) AS no FROM old WHERE path NOT IN (SELECT path FROM now))
+SELECT n.path, 'changed' AS kind, n.sha AS sha256, NULL AS was FROM now n JOIN old o ON o.path = n.path WHERE o.sha <> n.sha
+UNION ALL
+SELECT coalesce(c.path, g.path), CASE WHEN c.path IS NULL THEN 'vanished' WHEN g.path IS NULL THEN 'added' ELSE 'renamed' END,
+  coalesce(c.sha, g.sha), CASE WHEN c.path IS NOT NULL THEN g.path END
+FROM come c FULL JOIN gone g ON g.sha = c.sha AND g.no = c.no"""
+
+
+def landed(rows, folder, hour: int):
+    """Documents as a listing of files."""
+    return rows.select(
+        F.concat(folder, F.col("doc_id").cast("string")).alias("path"),
+        F.timestamp_seconds(F.lit(1704067200 + 3600 * hour)).alias("modificationTime"),
+        F.octet_length("text").cast("long").alias("length"),
+        F.col("text").cast("binary").alias("content"),
+    )
+
+
+@query("scan_changes", CHANGES_SQL)
+def scan_landing_changes(spark, sf_dir):
+    """All files are taken in; then some vanish, some move, some have other content, and some are copied."""
+    docs = documents(spark, sf_dir)
+    nothing = spark.createDataFrame([], changes.MANIFEST)
+    manifest = stored_table(changes.current_files(landed(docs, F.lit("landing/"), 0), nothing))
+    rest = F.pmod("doc_id", F.lit(7))
+    text = F.when(rest == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    folder = F.when(rest == 1, "moved/").otherwise("landing/")
+    later = landed(docs.filter(rest != 0).withColumn("text", text), folder, 1)
+    later = later.unionByName(landed(docs.filter(rest == 3), F.lit("copies/"), 1))
+    now = stored_table(changes.current_files(later, manifest))
+    return changes.scan_changes(now, manifest)
+
+
 # ---- index -------------------------------------------------------------------------------
 
 
@@ -358,22 +399,33 @@ def replaced(spark, sf_dir):
     return merged.select("chunk_id", "path", F.md5("document").alias("digest"))
 
 
-@query(
-    "index_load",
-    with_ctes(
-        f""", {chunks_sql('files', 'doc_id', 'raw_text', SMALL)},
+INDEX_LOAD_SQL = with_ctes(
+    f""", {chunks_sql('files', 'doc_id', 'raw_text', SMALL)},
 again AS (SELECT doc_id, chunk_pos, chunk_text FROM chunks JOIN files USING (doc_id) WHERE lang <> 'fr')
 SELECT concat('landing/', doc_id) AS path, md5(string_agg(chunk_text, '|' ORDER BY chunk_pos)) AS digest, count(*) AS chunks
 FROM again GROUP BY doc_id""",
-        files=FILES_SQL,
-    ),
+    files=FILES_SQL,
 )
+
+
+@query("index_load", INDEX_LOAD_SQL)
 def index_load(spark, sf_dir):
     """All documents are loaded; then the French ones come again, emptied, and lose their chunks."""
+    return load_twice(spark, sf_dir, lake.read_index)
+
+
+@query("index_load_filtered", INDEX_LOAD_SQL)
+def index_load_filtered(spark, sf_dir):
+    """Both loads are folded into versions; the second reads the files whose filters know one of its documents."""
+    return load_twice(spark, sf_dir, lake.compact_index)
+
+
+def load_twice(spark, sf_dir, read):
     index = f"{shared_folder(spark)}/index"
     silver = lake.build_silver(files(spark, sf_dir))
     gold = lake.build_gold(silver, settings=SMALL)
     lake.index_load(spark, gold, index)
+    read(spark, index)
     french = table(spark, sf_dir, "documents").filter("lang = 'fr'").select(
         F.concat(F.lit("landing/"), F.col("doc_id").cast("string")).alias("path")
     )
@@ -382,7 +434,7 @@ def index_load(spark, sf_dir):
     )
     emptied = conform(emptied, CHUNK_INDEX)
     write_increment(emptied, index, 0)
-    rows = lake.read_index(spark, index).filter(F.length("document") > 0).join(
+    rows = read(spark, index).filter(F.length("document") > 0).join(
         gold.select("chunk_id", "chunk_pos"), "chunk_id"
     )
     ordered = F.array_sort(F.collect_list(F.struct("chunk_pos", "document")))

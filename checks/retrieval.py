@@ -20,7 +20,7 @@ from checks.tables import HISTORY_SQL, documents, history, table, with_ctes
 from lectern.config import REPLY_LANGUAGES, Settings
 from lectern.functions.language import STOP_WORDS
 from lectern.functions.text import HEDGE_NOTE, REFUSE_NOTE
-from lectern.operators import bm25, ranking, retrieval
+from lectern.operators import bm25, postings, ranking, retrieval
 from lectern.operators.chunks import with_embedding
 from lectern.operators.conversation import history_before
 from lectern.operators.vector_index import build_vector_index, probe_top_k
@@ -45,7 +45,8 @@ INDEX_CTES = {
     "df": "SELECT term, count(*) AS df FROM tf GROUP BY term",
     "sizes": "SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM docs",
     "raw_idf": "SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS r FROM df, sizes",
-    "idf": "SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw_idf) ELSE r END AS idf FROM raw_idf",
+    "mean_idf": "SELECT avg(r) AS mean FROM raw_idf",
+    "idf": "SELECT term, df, CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM raw_idf, mean_idf",
 }
 
 # variants: question_id, rewrite_idx, text
@@ -136,7 +137,7 @@ def corpus(spark, sf_dir):
 
 
 def search_corpus(chunks):
-    return retrieval.SearchCorpus(chunks, bm25.bm25_index(chunks).stored(), ("source",))
+    return retrieval.SearchCorpus(chunks, postings.stored_postings(chunks), ("source",))
 
 
 def plain_index(spark, sf_dir):
@@ -185,7 +186,10 @@ def vector_neighbors_all_cells(spark, sf_dir):
     return probe_top_k(vectors.withColumnRenamed("vec_id", "query_id"), index, 5, probes=8)
 
 
-@query("bm25_terms", with_ctes("SELECT term, df, round(idf, 6) AS idf FROM idf", **INDEX_CTES))
+TERM_CTES = INDEX_CTES | {"docs": f"SELECT doc_id, {tokens_sql('text')} AS toks FROM documents WHERE length(text) > 0"}
+
+
+@query("bm25_terms", with_ctes("SELECT term, df, round(idf, 6) AS idf FROM idf", **TERM_CTES))
 def bm25_terms(spark, sf_dir):
     return plain_index(spark, sf_dir).terms.withColumn("idf", F.round("idf", 6))
 
@@ -207,31 +211,44 @@ def bm25_postings(spark, sf_dir):
     return bm25.postings(plain_index(spark, sf_dir))
 
 
-@query(
-    "bm25_search",
-    with_ctes(
-        "SELECT question_id AS query_id, doc_id, score, leg_rank AS rank FROM bm WHERE leg_rank <= 5",
-        variants=ONE_VARIANT, **INDEX_CTES, vtok=LEG_CTES["vtok"], bm_all=LEG_CTES["bm_all"], bm=LEG_CTES["bm"],
-    ),
+BEST_SQL = with_ctes(
+    "SELECT question_id AS query_id, doc_id, score, leg_rank AS rank FROM bm WHERE leg_rank <= 5",
+    variants=ONE_VARIANT, **INDEX_CTES, vtok=LEG_CTES["vtok"], bm_all=LEG_CTES["bm_all"], bm=LEG_CTES["bm"],
 )
+BEST_WITH_ZERO_SQL = with_ctes(
+    "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank "
+    "FROM (SELECT v.question_id AS query_id, d.doc_id, coalesce(b.score, 0) AS score FROM variants v CROSS JOIN docs d "
+    "LEFT JOIN bm_all b ON b.question_id = v.question_id AND b.doc_id = d.doc_id)) WHERE rank <= 5",
+    variants=ONE_VARIANT, **INDEX_CTES, vtok=LEG_CTES["vtok"], bm_all=LEG_CTES["bm_all"],
+)
+
+
+def asked_items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query("bm25_search", BEST_SQL)
 def bm25_search(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return bm25.bm25_top_k(asked, plain_index(spark, sf_dir).stored(), 5)
+    index = postings.stored_postings(documents(spark, sf_dir), "doc_id", "text")
+    return postings.postings_top_k(asked_items(spark, sf_dir), index, 5)
 
 
-@query(
-    "bm25_search_with_zero",
-    with_ctes(
-        "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank "
-        "FROM (SELECT v.question_id AS query_id, d.doc_id, coalesce(b.score, 0) AS score FROM variants v CROSS JOIN docs d "
-        "LEFT JOIN bm_all b ON b.question_id = v.question_id AND b.doc_id = d.doc_id)) WHERE rank <= 5",
-        variants=ONE_VARIANT, **INDEX_CTES, vtok=LEG_CTES["vtok"], bm_all=LEG_CTES["bm_all"],
-    ),
-)
+@query("bm25_search_with_zero", BEST_WITH_ZERO_SQL)
 def bm25_search_with_zero(spark, sf_dir):
     """Always k rows: documents that share no term fill up with a score of 0."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return bm25.bm25_top_k(asked, plain_index(spark, sf_dir).stored(), 5, with_zero=True)
+    index = postings.stored_postings(documents(spark, sf_dir), "doc_id", "text")
+    return postings.postings_top_k(asked_items(spark, sf_dir), index, 5, with_zero=True)
+
+
+@query("bm25_scan", BEST_SQL)
+def bm25_scan(spark, sf_dir):
+    """The same by scoring every text where it lies."""
+    return bm25.bm25_top_k(asked_items(spark, sf_dir), plain_index(spark, sf_dir).stored(), 5)
+
+
+@query("bm25_scan_with_zero", BEST_WITH_ZERO_SQL)
+def bm25_scan_with_zero(spark, sf_dir):
+    return bm25.bm25_top_k(asked_items(spark, sf_dir), plain_index(spark, sf_dir).stored(), 5, with_zero=True)
 
 
 def single(spark, sf_dir):
@@ -368,15 +385,14 @@ def trace_answers(spark, sf_dir):
     return shown_answers(search.trace(questions(spark, sf_dir), corpus(spark, sf_dir)).answers)
 
 
-# The passages themselves are the questions, so every verdict expected is "correct"; answers are
-# known for the questions of more than 150 characters.
+# The passages themselves are the questions, so every verdict expected is "correct"; every question has an answer.
 @query(
     "evaluate",
     search_sql(
         "SELECT b.text AS question, 'in_scope' AS category, g.grade AS obtained_verdict, g.max_score AS top_score, "
         "g.grade = 'correct' AS match, CAST(coalesce(c.n, 0) AS BIGINT) AS num_sources, "
-        "CASE WHEN g.grade <> 'incorrect' AND length(b.text) > 150 THEN concat('So: ', b.text) END AS answer, coalesce(c.contexts, '') AS contexts, "
-        "CASE WHEN g.grade <> 'incorrect' AND length(b.text) <= 150 THEN 'no answer or no context, so not judged' END AS error "
+        "CASE WHEN g.grade <> 'incorrect' THEN concat('So: ', b.text) END AS answer, coalesce(c.contexts, '') AS contexts, "
+        "CASE WHEN g.grade <> 'incorrect' AND coalesce(c.n, 0) = 0 THEN 'no answer or no context, so not judged' END AS error "
         "FROM benchmark b JOIN grades g ON g.question_id = b.item_id LEFT JOIN (SELECT question_id, count(*) AS n, "
         "md5(string_agg(compressed, '|' ORDER BY rank)) AS contexts FROM compressed GROUP BY question_id) c ON c.question_id = b.item_id"
     ),
@@ -385,9 +401,7 @@ def evaluation_run(spark, sf_dir):
     asked = questions(spark, sf_dir).withColumns(
         {"category": F.lit("in_scope"), "expected_verdict": F.lit("correct")}
     )
-    answers = asked.filter(F.length("question") > 150).select(
-        "question_id", F.concat(F.lit("So: "), "question").alias("answer")
-    )
+    answers = asked.select("question_id", F.concat(F.lit("So: "), "question").alias("answer"))
     rows = evaluate(asked, corpus(spark, sf_dir), answers)
     texts = F.when(F.size("context_texts") > 0, F.md5(F.array_join("context_texts", "|"))).otherwise("")
     return rows.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import query
 from checks.tables import FILES_SQL, documents, files, table, with_ctes
 from lectern.functions import jsonops, language, text, vectors
+from lectern.functions.variants import parse_rewrites_variant
 from lectern.operators import retrieval
 from lectern.session import cut_lineage
 
@@ -372,13 +373,20 @@ def questions(spark, sf_dir):
     )
 
 
-@query(
-    "query_variants",
-    f"""
+VARIANTS_SQL = f"""
 WITH v AS ({REWRITES_SQL})
 SELECT question_id, rewrite_idx, kind, text, rewrite_idx = 0 AS is_origin,
        rewrite_idx > 0 AND rewrite_idx = max(rewrite_idx) OVER (PARTITION BY question_id) AS is_last,
-       kind = 'pseudo_answer' AS is_pseudo_answer FROM v""",
-)
+       kind = 'pseudo_answer' AS is_pseudo_answer FROM v"""
+
+
+@query("query_variants_variant", VARIANTS_SQL)
+def query_variants_by_variant(spark, sf_dir):
+    listed = parse_rewrites_variant(F.col("question"), F.col("raw_rewrites"), F.col("pseudo_answer"))
+    rows = questions(spark, sf_dir).select("question_id", F.posexplode(listed).alias("rewrite_idx", "v"))
+    return retrieval.tag_rewrites(rows.select("question_id", "rewrite_idx", "v.kind", "v.text"))
+
+
+@query("query_variants", VARIANTS_SQL)
 def query_variants(spark, sf_dir):
     return retrieval.tag_rewrites(retrieval.query_variants(questions(spark, sf_dir)))

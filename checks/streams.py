@@ -20,7 +20,7 @@ from checks.tables import (
 from lectern.session import shared_folder
 from lectern.sources.logs import read_history, read_retrievals
 from lectern.streaming import conversation as live
-from lectern.streaming import tokens
+from lectern.streaming import heatmap, token_state, tokens
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,29 @@ def stream_heatmap(spark, sf_dir):
     return run(spark, days.withColumn("day", F.col("day").cast("string")))
 
 
+@query(
+    "stream_heatmap_open",
+    conversation_sql(
+        "SELECT strftime(CAST(u.created_at AS DATE), '%Y-%m-%d') AS day, coalesce(nullif(r.subject, ''), 'Unknown') AS subject, "
+        f"count(*) AS confusion_count {PAIRS_FROM_SQL} "
+        "LEFT JOIN log r ON r.session_id = u.session_id AND r.query = substring(u.content, 1, 500) "
+        f"WHERE u.role = 'user' AND {FALLBACK_SQL} GROUP BY 1, 2"
+    ),
+)
+def stream_heatmap_open(spark, sf_dir):
+    """The log comes in two parts after the turns, the first with wrong rows, which the second takes back; open days count."""
+    folder = shared_folder(spark)
+    log = retrieval_log(spark, sf_dir).select("session_id", "query", "subject").withColumn("change", F.lit(1))
+    late = F.pmod(F.xxhash64("session_id", "query"), F.lit(2)) == 1
+    wrong = log.filter(~late).withColumn("subject", F.lit("Wrong"))
+    log.filter(~late).unionByName(wrong).coalesce(1).write.parquet(f"{folder}/log/0")
+    log.filter(late).unionByName(wrong.withColumn("change", F.lit(-1))).coalesce(1).write.parquet(f"{folder}/log/1")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    changes = heatmap.heatmap_changes(live_turns(spark, sf_dir), source.parquet(f"{folder}/log"))
+    heatmap.maintain_heatmap(changes, f"{folder}/heatmap", f"{folder}/state").awaitTermination()
+    return heatmap.read_heatmap(spark, f"{folder}/heatmap").withColumn("day", F.col("day").cast("string"))
+
+
 # ---- tokens ------------------------------------------------------------------------------
 
 
@@ -155,14 +178,23 @@ def stream_token_segments(spark, sf_dir):
 @query("stream_token_segments_shuffled", SEGMENTS_SQL)
 def stream_token_segments_shuffled(spark, sf_dir):
     """The lines come in three batches, in any order, each line twice."""
+    return run(spark, tokens.segment_stream(shuffled_lines(spark, sf_dir)))
+
+
+@query("stream_token_segments_timers", SEGMENTS_SQL)
+def stream_token_segments_timers(spark, sf_dir):
+    """The same on named state and timers."""
+    return run(spark, token_state.segment_stream_timers(shuffled_lines(spark, sf_dir)))
+
+
+def shuffled_lines(spark, sf_dir):
     folder = shared_folder(spark)
     rows = token_lines(table(spark, sf_dir, "conversations"))
     for part in range(3):
         some = rows.filter(F.pmod(F.xxhash64("reply_id", "seq"), F.lit(3)) == part)
         some.unionByName(some).orderBy(F.xxhash64("seq")).write.parquet(f"{folder}/{part}")
     source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2)
-    lines = tokens.parse_token_lines(source.parquet(folder), keep_gaps=True)
-    return run(spark, tokens.segment_stream(lines))
+    return tokens.parse_token_lines(source.parquet(folder), keep_gaps=True)
 
 
 # ---- storing conversations as they happen ------------------------------------------------

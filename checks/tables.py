@@ -129,7 +129,7 @@ PAIRS_FROM_SQL = """FROM history u JOIN history a
 
 
 # Read more than once by later parts, so they are computed once.
-MATERIALIZED = ("tf", "df", "raw_idf", "sizes")
+MATERIALIZED = ("tf", "df", "raw_idf", "mean_idf", "sizes")
 
 
 def with_ctes(body: str, **ctes: str) -> str:

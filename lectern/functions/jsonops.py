@@ -38,7 +38,11 @@ def parse_rewrites(question: Column, raw: Column, pseudo_answer: Column) -> Colu
     rewrite. A reply that holds no readable JSON list adds no rewrites.
     """
     listed = F.regexp_extract(without_fences(F.coalesce(raw, F.lit(""))), r"(?s)\[.*\]", 0)
-    items = F.from_json(listed, T.ArrayType(T.StringType()), STRICT)
+    return variants_in_order(question, F.from_json(listed, T.ArrayType(T.StringType()), STRICT), pseudo_answer)
+
+
+def variants_in_order(question: Column, items: Column, pseudo_answer: Column) -> Column:
+    """The question, the rewrites that are not empty, and the pseudo answer if there is one, each with its kind."""
     rewrites = F.filter(
         F.coalesce(items, F.array().cast("array<string>")),
         lambda r: r.isNotNull() & (r != ""),

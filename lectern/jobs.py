@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lectern.operators import conversation, evaluation
-from lectern.operators.bm25 import cached_index
+from lectern.operators.postings import cached_postings
 from lectern.operators.retrieval import SearchCorpus, single_variant
 from lectern.plans import lake
 from lectern.plans.evaluate import evaluate
@@ -34,14 +34,14 @@ QUESTION = "question_id bigint, question string, raw_rewrites string, pseudo_ans
 
 
 def search_corpus(spark: SparkSession, lake_path: str) -> SearchCorpus:
-    """The published index with what has come in since, and its BM25 tables."""
+    """The published index with what has come in since, and its posting blocks."""
     index = lake.read_index(spark, f"{lake_path}/index")
     chunks = index.select(
         "chunk_id", F.col("document").alias("chunk_text"), "embedding",
         *[F.col(f"metadata.{c}").alias(c) for c in SOURCE_COLUMNS],
     )
     mark = lake.index_mark(spark, f"{lake_path}/index")
-    return SearchCorpus(chunks, cached_index(chunks, f"{lake_path}/bm25", mark=mark), SOURCE_COLUMNS)
+    return SearchCorpus(chunks, cached_postings(chunks, f"{lake_path}/postings", mark=mark), SOURCE_COLUMNS)
 
 
 def ingest(spark: SparkSession, args) -> None:

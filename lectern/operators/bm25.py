@@ -34,11 +34,7 @@ class Bm25Index:
     @property
     def terms(self) -> DataFrame:
         """(term, df, idf); a negative weight is replaced by the floor."""
-        n_docs, floor = (self.stats.select(c).scalar() for c in ("n_docs", "floor_idf"))
-        raw = _raw_idf(n_docs)
-        return self.frequencies.select(
-            "term", "df", F.when(raw < 0, floor).otherwise(raw).alias("idf")
-        )
+        return with_idf(self.frequencies, self.stats).select("term", "df", "idf")
 
     def write(self, path: str) -> Bm25Index:
         """Store the two tables under `path` and return the index that reads them."""
@@ -106,6 +102,12 @@ def _raw_idf(n_docs):
     return F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
+def with_idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
+    """Document frequencies with the weight `idf`; a negative one is replaced by the floor."""
+    raw = _raw_idf(stats.select("n_docs").scalar())
+    return frequencies.withColumn("idf", F.when(raw < 0, stats.select("floor_idf").scalar()).otherwise(raw))
+
+
 def _document_frequencies(docs: DataFrame) -> DataFrame:
     """Counting is combined before the shuffle: a term costs one row per partition."""
     each = docs.select(F.explode(F.array_distinct("tokens")).alias("term"))

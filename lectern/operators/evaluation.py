@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.config import DEFAULTS, Settings
+from lectern.config import DEFAULTS, SOURCE_SCORE_FIELDS, Settings
 from lectern.functions.text import first_castable
 from lectern.operators.ranking import latest
 from lectern.operators.retrieval import grade
 from lectern.session import cut_lineage, stored_table
 
 
-def top_score(sources: Column, fields: Sequence[str] = ("score",)) -> Column:
+def top_score(sources: Column, fields: Sequence[str] = SOURCE_SCORE_FIELDS) -> Column:
     """The best readable score of an array of source structs; null without any."""
     scores = F.transform(sources, lambda s: first_castable(*[s[f] for f in fields]))
     return F.array_max(scores)

@@ -34,6 +34,7 @@ from lectern.functions.vectors import (
     sentence_similarity,
 )
 from lectern.operators.bm25 import Bm25Index, bm25_top_k, weights_of
+from lectern.operators.postings import PostingIndex, postings_top_k
 from lectern.operators.ranking import dedupe_by_prefix, ordered_union, top_k
 from lectern.operators.vector_index import VectorIndex, probe_top_k
 from lectern.operators.vector_search import vector_top_k
@@ -47,11 +48,12 @@ BROADCAST_VARIANTS = 20_000
 class SearchCorpus:
     """Chunks with vectors, and their BM25 index. `bm25=None` switches that leg off.
 
-    With `vectors`, the vector leg probes the cells of that index instead of reading all chunks.
+    With `vectors`, the vector leg probes the cells of that index instead of reading all chunks; with posting blocks
+    as `bm25`, that leg reads blocks of the asked terms instead of all texts.
     """
 
     chunks: DataFrame  # chunk_id, chunk_text, embedding and any source columns
-    bm25: Bm25Index | None
+    bm25: Bm25Index | PostingIndex | None
     source_columns: tuple[str, ...] = ()
     embedder: Embedder | None = None
     settings: Settings = field(default=DEFAULTS)
@@ -109,9 +111,8 @@ def hybrid_hits(variants: DataFrame, corpus: SearchCorpus, k: int) -> DataFrame:
     else:
         legs = [vector_top_k(with_vector, corpus.chunks, k, **to_variant)]
     if corpus.bm25 is not None:
-        legs.append(
-            bm25_top_k(keyed, corpus.bm25, k, settings=corpus.settings, **to_variant)
-        )
+        search = postings_top_k if isinstance(corpus.bm25, PostingIndex) else bm25_top_k
+        legs.append(search(keyed, corpus.bm25, k, settings=corpus.settings, **to_variant))
     hits = ordered_union(*legs).withColumnRenamed("score", "leg_score")
     hits = hits.join(keyed.select("variant_id", "question_id", "rewrite_idx"), "variant_id")
     if at_most(variants, BROADCAST_VARIANTS):
@@ -183,7 +184,7 @@ def retrieval_totals(stats: DataFrame) -> DataFrame:
 
 def term_overlap_scorer(
     questions: DataFrame,
-    index: Bm25Index,
+    index: Bm25Index | PostingIndex,
     question: str = "question",
     broadcast_rows: int = DEFAULTS.broadcast_rows,
 ) -> PairScorer:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.config import SOURCE_TEXT_FIELDS
+from lectern.functions.text import first_non_empty
 from lectern.operators.evaluation import with_match
 from lectern.operators.retrieval import PairScorer, SearchCorpus
 from lectern.plans.search import retrieve_multistage
@@ -31,7 +33,9 @@ def evaluate(
         rows = rows.join(answers.select("question_id", "answer"), "question_id", "left")
     else:
         rows = rows.withColumn("answer", F.lit(None).cast("string"))
-    texts = F.transform("sources", lambda s: s["chunk_text"])
+    fields = rows.schema["sources"].dataType.elementType.names
+    named = [f for f in SOURCE_TEXT_FIELDS if f in fields]
+    texts = F.transform("sources", lambda s: first_non_empty(*[s[f] for f in named]))
     answered = (F.col("grade") != "incorrect") & (F.col("context") != "")
     contexts = F.when(answered, F.filter(texts, lambda t: F.length(t) > 0)).otherwise(
         F.array().cast("array<string>")

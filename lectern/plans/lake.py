@@ -24,9 +24,11 @@ from lectern.schemas import (
     SILVER,
     conform,
 )
-from lectern.sources.landing import EXTRACTORS, Extractor, extract_documents, read_landing
+from lectern.session import stored_table
+from lectern.sources.landing import EXTRACTORS, Extractor, extract_documents, file_name, read_landing
 from lectern.sources.layers import (
     current,
+    if_present,
     newest_version,
     publish,
     read_increments,
@@ -34,6 +36,8 @@ from lectern.sources.layers import (
     write_increment,
     write_layer,
 )
+from lectern.sources.changes import ADDED, CHANGED, MANIFEST, RENAMED, contents_to_extract, current_files, scan_changes
+from lectern.sources.manifests import Fold, fold, read_version
 from lectern.sources.upsert import replace_documents, upsert
 
 
@@ -166,10 +170,12 @@ def read_index(spark: SparkSession, index_path: str) -> DataFrame:
 
     Of a document only the newest load counts, wherever it is stored.
     """
-    base = current(spark, index_path, CHUNK_INDEX)
+    base = read_version(spark, index_path, CHUNK_INDEX)
     fresh = read_increments(spark, index_path, CHUNK_INDEX)
-    if fresh is None:
-        return base
+    return base if fresh is None else _with_loads(base, fresh)
+
+
+def _with_loads(base: DataFrame, fresh: DataFrame) -> DataFrame:
     # loads of one time are told apart by their number; what a version holds comes before them
     folded = base.withColumns({"source": F.lit(""), "batch": F.lit(-1).cast("bigint")})
     newest = replace_documents(folded, fresh, order=("load_ts", "batch", "source"))
@@ -199,6 +205,64 @@ def index_mark(spark: SparkSession, index_path: str) -> str:
 def compact_index(spark: SparkSession, index_path: str) -> DataFrame:
     """Publish what `read_index` returns, so the increments need not be merged again."""
     if not _loads(spark, index_path):
-        return current(spark, index_path, CHUNK_INDEX)
+        return read_version(spark, index_path, CHUNK_INDEX)
+    return fold_index(spark, index_path).rows
+
+
+def fold_index(spark: SparkSession, index_path: str) -> Fold:
+    """The same, with the number of stored files that were read: those that may hold a document of the increments."""
     through = _through(spark, index_path)
-    return publish(read_index(spark, index_path), index_path, through)
+    fresh = read_increments(spark, index_path, CHUNK_INDEX)
+    if fresh is None:
+        fresh = spark.createDataFrame([], CHUNK_INDEX).withColumns({"source": F.lit(""), "batch": F.lit(0).cast("bigint")})
+    return fold(spark, index_path, fresh, _with_loads, CHUNK_INDEX, "path", through)
+
+
+_TEXTS = "sha256 string, raw_text string, error string"
+
+
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    """Extracted text of each content; a load that ran twice may have stored one twice."""
+    stored = if_present(lambda: spark.read.schema(_TEXTS).parquet(f"{root}/texts"))
+    return (spark.createDataFrame([], _TEXTS) if stored is None else stored).dropDuplicates(["sha256"])
+
+
+def ingest_changes(
+    spark: SparkSession,
+    files: DataFrame,
+    root: str,
+    extractors: Mapping[str, Extractor] = EXTRACTORS,
+    classifier=keyword_subject,
+    embedder: Embedder | None = None,
+    settings: Settings = DEFAULTS,
+) -> dict[str, int]:
+    """Bring the index under `root` in line with the files that are there; returns the number of changes of each kind.
+
+    `files` has path, modificationTime, length and content of everything in the landing folder. A content that was extracted
+    before is not extracted again, whatever its name; files that are gone leave the index. The manifest is published last, so a
+    run that fails is done again, and a run without changes is no work.
+    """
+    manifest_path = f"{root}/manifest"
+    manifest = current(spark, manifest_path, spark.createDataFrame([], MANIFEST).schema)
+    now = stored_table(current_files(files, manifest))
+    changes = stored_table(scan_changes(now, manifest))
+    counts = {r["kind"]: r["count"] for r in changes.groupBy("kind").count().collect()}
+    if not counts:
+        return counts
+    wanted = stored_table(contents_to_extract(changes, _texts(spark, root)))
+    read = extract_documents(files.join(wanted.select("path"), "path", "left_semi").select("path", "content"), extractors)
+    read.join(wanted, "path").select("sha256", "raw_text", "error").write.mode("append").parquet(f"{root}/texts")
+    present = changes.filter(F.col("kind").isin(ADDED, CHANGED, RENAMED))
+    bronze = present.join(_texts(spark, root), "sha256").select(file_name(F.col("path")).alias("filename"), "path", "raw_text", "error")
+    gold = build_gold(build_silver(conform(bronze, BRONZE), classifier), embedder, settings)
+    stamp = F.current_timestamp()
+    # a row without text stands for a document of which nothing is left
+    gone = changes.select(F.when(F.col("kind") == RENAMED, F.col("was")).otherwise(F.col("path")).alias("path")).distinct()
+    chunks = stored_table(index_rows(gold, stamp))
+    emptied = gone.join(chunks.select("path").distinct(), "path", "left_anti").select(
+        F.xxhash64("path").alias("chunk_id"), "path", F.lit("").alias("document"), F.lit(False).alias("embed_ok"), stamp.alias("load_ts")
+    )
+    rows = chunks.unionByName(conform(emptied, CHUNK_INDEX))
+    write_increment(rows, f"{root}/index", 0, source=f"changes-{uuid.uuid4().hex}")
+    publish(now, manifest_path)
+    return counts

@@ -43,7 +43,7 @@ def scan_corpus(chunks: DataFrame, item_id: str = "chunk_id", text: str = "chunk
 
 # ---- versioned layers --------------------------------------------------------------------
 
-_POINTER = "seq bigint, version string, through map<string, bigint>, published_at timestamp"
+POINTER = "seq bigint, version string, through map<string, bigint>, published_at timestamp"
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ class Version:
     through: dict[str, int]  # the last increment of each source that this version contains
 
 
-def _if_present(read):
+def if_present(read):
     try:
         return read()
     except AnalysisException as missing:
@@ -64,7 +64,7 @@ def _if_present(read):
 
 def newest_version(spark: SparkSession, path: str) -> Version | None:
     """The last published version; the pointer table has one row per publication."""
-    published = _if_present(lambda: spark.read.schema(_POINTER).parquet(f"{path}/published"))
+    published = if_present(lambda: spark.read.schema(POINTER).parquet(f"{path}/published"))
     if published is None:
         return None
     last = published.orderBy(F.col("seq").desc(), F.col("version").desc()).first()
@@ -81,7 +81,7 @@ def publish(df: DataFrame, path: str, through: dict[str, int] | None = None, fmt
     name = uuid.uuid4().hex
     df.write.format(fmt).save(f"{path}/versions/{name}")
     row = [(last.seq + 1 if last else 0, name, through or {}, dt.datetime.now(dt.timezone.utc))]
-    spark.createDataFrame(row, _POINTER).coalesce(1).write.mode("append").parquet(
+    spark.createDataFrame(row, POINTER).coalesce(1).write.mode("append").parquet(
         f"{path}/published"
     )
     return read_layer(spark, f"{path}/versions/{name}", df.schema, fmt)
@@ -116,7 +116,7 @@ def read_increments(
 ) -> DataFrame | None:
     """Stored increments that the newest version does not contain yet, with `source` and `batch`."""
     marks = [T.StructField("source", T.StringType()), T.StructField("batch", T.LongType())]
-    rows = _if_present(
+    rows = if_present(
         lambda: spark.read.format(fmt).schema(T.StructType([*schema.fields, *marks])).load(f"{path}/increments")
     )
     if rows is None:

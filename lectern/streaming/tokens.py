@@ -118,7 +118,7 @@ class _Reply:
             self.cut()
         else:
             self.buffer += token
-            if _ENDED.search(token) and len(self.buffer.strip()) >= MIN_SEGMENT_CHARS:
+            if ends_segment(token) and len(self.buffer.strip()) >= MIN_SEGMENT_CHARS:
                 self.cut()
 
     def advance(self, whatever_is_there: bool = False) -> None:
@@ -135,6 +135,11 @@ class _Reply:
 _ENDED = re.compile(_ENDS)
 
 
+def ends_segment(token: str) -> bool:
+    """Whether a segment may end with this token."""
+    return _ENDED.search(token) is not None
+
+
 def segment_stream(tokens: DataFrame, idle_seconds: int = 600) -> DataFrame:
     """The streaming form of `segment_tokens`: segments come out as soon as they are whole.
 
