@@ -431,6 +431,25 @@ def test_planted_items_are_found_and_nothing_else(spark):
 # ---- 6 ------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("size, edits", [(5, 1), (6, 1), (7, 1), (8, 1), (10, 2), (12, 2), (15, 3), (20, 4), (30, 6), (60, 12)])
+def test_recall_by_length_and_errors(size, edits):
+    """Passages with as many errors as are allowed, none of them an exact copy."""
+    rng = random.Random(size)
+    pool = [f"w{i}" for i in range(5_000)]
+    items = [[rng.choice(pool) for _ in range(size)] for _ in range(200)]
+    index = decontaminate.ItemIndex(list(range(200)), [" ".join(x) for x in items], 0.95, 0.65, 0.2)
+    texts = []
+    for item in items:
+        x = list(item)
+        for _ in range(edits):
+            k, kind = rng.randrange(len(x)), rng.random()
+            x[k : k + (kind < 0.75)] = [] if 0.5 <= kind < 0.75 else ["z"]
+        around = [[rng.choice(pool) for _ in range(rng.randrange(5, 40))] for _ in range(2)]
+        texts.append(" ".join([*around[0], *x, *around[1]]))
+    found = index.verified(*plain_words(pa.array(texts)))
+    assert sum((k, k) in found for k in range(200)) >= 0.95 * 200
+
+
 def test_toxicity_of_held_out_texts(spark):
     rng = random.Random(9)
     bad = ["scumbo", "vilox", "gruntz"]
@@ -754,3 +773,23 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     text = dict(left)
     want = {i: len(library.encode(text[i], add_special_tokens=False).ids) for i in ids["benchmark_decontamination"]}
     assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, folder).collect()} == want
+
+
+def test_pipeline_on_odd_and_empty_tables(spark):
+    rng = random.Random(13)
+    passage = prose(rng, 60)
+    rows = [(1, f"first line\n{passage}"), (2, f"{passage}\n\n \t\n"), (None, "a null id stays until ids are needed"), (3, LONG)]
+    full = [(i, t, "en", "s", len(t)) for i, t in rows]
+    folder = spark.conf.get("spark.checkpoint.dir") + "/pipeline_edges"
+    frame(spark, full, DOCS).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    frame(spark, [], "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folder).write.mode("overwrite").parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        seen[name] = {r.doc_id for r in docs.collect()}
+    # of the second document only blank lines are left
+    assert seen["line_dedup"] == seen["ngram_jaccard_join"] == seen["benchmark_decontamination"] == {1, 3, None}
+    assert seen["bpe_encode_decode"] == {1, 3}
+    frame(spark, [], DOCS).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).collect() == []
