@@ -38,17 +38,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; rows that share an id are told apart by text."""
+    """One document of each group of near copies, the one with the smallest id; rows that share an id are told apart by text.
+
+    Documents without words are near copies of nothing and stay, as do rows with a null id.
+    """
     return distinct_rows(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of the benchmark."""
+    """Documents that contain no item of the benchmark; items that are null or have no word are in none."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document with an id."""
     return encoded_digests(docs)
 
 
