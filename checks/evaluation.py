@@ -216,18 +216,18 @@ def best_thresholds(spark, sf_dir):
 # Every pair of stored scores, and of a value below and one above them all, counted one by one.
 EXACT_THRESHOLDS_SQL = """
 SELECT correct_above, incorrect_below, matches, total, round(matches / total, 6) AS rate FROM (
-  SELECT u.at AS correct_above, l.at AS incorrect_below, (SELECT count(*) FROM results) AS total,
+  SELECT u.cut AS correct_above, l.cut AS incorrect_below, (SELECT count(*) FROM results) AS total,
     (SELECT count(*) FROM results WHERE top_score IS NULL AND expected_verdict = 'incorrect')
     + (SELECT count(*) FROM results WHERE expected_verdict = 'correct' AND top_score IS NOT NULL) - u.correct
     + u.ambiguous - l.ambiguous_below + l.incorrect_below_ AS matches
-  FROM cands u JOIN cands l ON l.at <= u.at)
+  FROM cands u JOIN cands l ON l.cut <= u.cut)
 ORDER BY matches DESC, correct_above, incorrect_below LIMIT 1"""
 CANDS_SQL = """
-SELECT at, (SELECT count(*) FROM results WHERE expected_verdict = 'correct' AND top_score <= at) AS correct,
-  (SELECT count(*) FROM results WHERE expected_verdict = 'ambiguous' AND top_score <= at) AS ambiguous,
-  (SELECT count(*) FROM results WHERE expected_verdict = 'ambiguous' AND top_score < at) AS ambiguous_below,
-  (SELECT count(*) FROM results WHERE expected_verdict = 'incorrect' AND top_score < at) AS incorrect_below_
-FROM (SELECT DISTINCT top_score AS at FROM results WHERE top_score IS NOT NULL
+SELECT cut, (SELECT count(*) FROM results WHERE expected_verdict = 'correct' AND top_score <= cut) AS correct,
+  (SELECT count(*) FROM results WHERE expected_verdict = 'ambiguous' AND top_score <= cut) AS ambiguous,
+  (SELECT count(*) FROM results WHERE expected_verdict = 'ambiguous' AND top_score < cut) AS ambiguous_below,
+  (SELECT count(*) FROM results WHERE expected_verdict = 'incorrect' AND top_score < cut) AS incorrect_below_
+FROM (SELECT DISTINCT top_score AS cut FROM results WHERE top_score IS NOT NULL
   UNION ALL SELECT min(top_score) - 1 FROM results UNION ALL SELECT max(top_score) + 1 FROM results)"""
 
 

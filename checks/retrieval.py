@@ -137,6 +137,12 @@ def corpus(spark, sf_dir):
 
 
 def search_corpus(chunks):
+    return retrieval.SearchCorpus(chunks, bm25.bm25_index(chunks).stored(), ("source",))
+
+
+def indexed_corpus(spark, sf_dir):
+    """The same with posting blocks, as the jobs have it; they pay off where one index serves many batches."""
+    chunks = chunk_table(spark, sf_dir)
     return retrieval.SearchCorpus(chunks, postings.stored_postings(chunks), ("source",))
 
 
@@ -255,15 +261,21 @@ def single(spark, sf_dir):
     return retrieval.single_variant(questions(spark, sf_dir))
 
 
-@query(
-    "hybrid_candidates",
-    search_sql("SELECT question_id, src_ord, leg_rank, doc_id AS chunk_id FROM per_variant", 5, ONE_VARIANT),
-)
+HYBRID_SQL = search_sql("SELECT question_id, src_ord, leg_rank, doc_id AS chunk_id FROM per_variant", 5, ONE_VARIANT)
+
+
+@query("hybrid_candidates", HYBRID_SQL)
 def hybrid_candidates(spark, sf_dir):
     rows = retrieval.hybrid_candidates(single(spark, sf_dir), corpus(spark, sf_dir), 5)
     return rows.select("question_id", "src_ord", "leg_rank", "chunk_id")
 
 
+@query("hybrid_candidates_by_postings", HYBRID_SQL)
+def hybrid_candidates_by_postings(spark, sf_dir):
+    rows = retrieval.hybrid_candidates(single(spark, sf_dir), indexed_corpus(spark, sf_dir), 5)
+    return rows.select("question_id", "src_ord", "leg_rank", "chunk_id")
+
+
 @query(
     "hybrid_candidates_by_prefix",
     search_sql(
@@ -380,6 +392,11 @@ def retrieve_multistage(spark, sf_dir):
     return shown_answers(search.retrieve_multistage(questions(spark, sf_dir), corpus(spark, sf_dir)))
 
 
+@query("retrieve_multistage_by_postings", search_sql(ANSWER_SQL))
+def retrieve_multistage_by_postings(spark, sf_dir):
+    return shown_answers(search.retrieve_multistage(questions(spark, sf_dir), indexed_corpus(spark, sf_dir)))
+
+
 @query("trace_answers", search_sql(ANSWER_SQL))
 def trace_answers(spark, sf_dir):
     return shown_answers(search.trace(questions(spark, sf_dir), corpus(spark, sf_dir)).answers)
