@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from checks import query
 from checks.tables import (
@@ -29,12 +30,12 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def run(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def run(spark: SparkSession, rows: DataFrame, wait=StreamingQuery.awaitTermination) -> DataFrame:
     """Process all that is there, and return what the stream has written."""
     folder = shared_folder(spark)
     writer = rows.writeStream.format("parquet").option("path", f"{folder}/out")
     done = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    done.awaitTermination()
+    wait(done)
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
@@ -183,17 +184,19 @@ def stream_token_segments_shuffled(spark, sf_dir):
 
 @query("stream_token_segments_timers", SEGMENTS_SQL)
 def stream_token_segments_timers(spark, sf_dir):
-    """The same on named state and timers."""
-    return run(spark, token_state.segment_stream_timers(shuffled_lines(spark, sf_dir)))
+    """The same on named state and timers, in three micro-batches."""
+    return run(spark, token_state.segment_stream_timers(shuffled_lines(spark, sf_dir, batches=3)), token_state.drain)
 
 
-def shuffled_lines(spark, sf_dir):
+def shuffled_lines(spark, sf_dir, batches=None):
     folder = shared_folder(spark)
     rows = token_lines(table(spark, sf_dir, "conversations"))
     for part in range(3):
         some = rows.filter(F.pmod(F.xxhash64("reply_id", "seq"), F.lit(3)) == part)
         some.unionByName(some).orderBy(F.xxhash64("seq")).write.parquet(f"{folder}/{part}")
-    source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2)
+    files = len(spark.read.option("recursiveFileLookup", "true").parquet(folder).inputFiles()) if batches else 0
+    source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true")
+    source = source.option("maxFilesPerTrigger", -(-files // batches) if batches else 2)
     return tokens.parse_token_lines(source.parquet(folder), keep_gaps=True)
 
 

@@ -116,7 +116,7 @@ def heatmap_changes(
 ) -> DataFrame:
     """Signed changes (day, subject, n) of the heatmap from streams of turns and of log rows, each with an optional `change`.
 
-    `keep` is the number of days for which turns are held.
+    `keep` is the number of days for which turns are held; with it a query goes on until it is stopped (`token_state.drain`).
     """
     micros = seconds * 1_000_000
     at = F.unix_micros("created_at")

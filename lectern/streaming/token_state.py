@@ -1,18 +1,20 @@
 """Segments of token streams on named state, timers and time to live.
 
 The same segments as `tokens.segment_stream`, held by Spark as separate variables of each reply: `front` (the open buffer,
-the number of segments, the next place), `early` (tokens ahead of their turn, a list) and `closed` (that the reply has ended).
-A timer flushes and forgets a reply that is idle; `closed` goes by itself after `remember_seconds`, so lines
-that come again for an ended reply are ignored as long, without a timer. The variables can be looked at with Spark's state reader.
+the number of segments, the next place, the time of the last token), `early` (tokens ahead of their turn, a list) and `closed` (that
+the reply has ended). A reply has one timer: when it fires, a reply that was idle since is flushed and forgotten, and another
+gets a timer for the rest of its time. `closed` goes by itself after `remember_seconds`, so lines that come again for an
+ended reply are ignored as long, without a timer. The variables can be looked at with Spark's state reader.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lectern.streaming.tokens import MIN_SEGMENT_CHARS, REPLY, ends_segment
 
@@ -25,12 +27,12 @@ class _Segments(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.front = handle.getValueState("front", "buffer string, segments int, next long")
+        self.front = handle.getValueState("front", "buffer string, segments int, next long, last long")
         self.early = handle.getListState("early", "seq long, token string, done boolean")
         self.closed = handle.getValueState("closed", "segments int", self.remember_ms)
 
     def _load(self) -> tuple[list, dict]:
-        front = self.front.get() if self.front.exists() else ("", 0, 0)
+        front = self.front.get() if self.front.exists() else ("", 0, 0, -1)
         held = {r[0]: (r[1], r[2]) for r in self.early.get()} if self.early.exists() else {}
         return list(front), held
 
@@ -59,10 +61,6 @@ class _Segments(StatefulProcessor):
         self.front.clear()
         self.early.clear()
 
-    def _no_timer(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-
     @staticmethod
     def _frame(key, out: list) -> pd.DataFrame:
         return pd.DataFrame([(*key, n, text) for n, text in out], columns=["session_id", "reply_id", "segment_no", "segment"])
@@ -76,22 +74,29 @@ class _Segments(StatefulProcessor):
                 for seq, token, done in zip(frame["seq"], frame["token"], frame["done"], strict=True):
                     if seq >= front[2]:
                         early[int(seq)] = (token or "", bool(done))
-            ended = self._advance(front, early, out)
-            self._no_timer()
-            if ended:
+            if self._advance(front, early, out):
                 self._forget()
                 self.closed.update((front[1],))
             else:
-                self.front.update(tuple(front))
-                if set(early) != waiting:
-                    self.early.put([(seq, *x) for seq, x in sorted(early.items())]) if early else self.early.clear()
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+                now = timerValues.getCurrentProcessingTimeInMs()
+                if front[3] < 0:
+                    self.handle.registerTimer(now + self.idle_ms)
+                self.front.update((*front[:3], now))
+                if not early:
+                    self.early.clear()
+                elif set(early) != waiting:
+                    self.early.put([(seq, *x) for seq, x in sorted(early.items())])
         yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The reply is idle: what has come is taken in order, gaps or not, and nothing is kept."""
+        """Of an idle reply, what has come is taken in order, gaps or not, and nothing is kept."""
         out: list = []
         front, early = self._load()
+        due = front[3] + self.idle_ms
+        if front[3] >= 0 and due > timerValues.getCurrentProcessingTimeInMs():
+            self.handle.registerTimer(due)
+            yield self._frame(key, out)
+            return
         ended = False
         while early and not ended:
             front[2] = min(early)
@@ -113,3 +118,17 @@ def segment_stream_timers(tokens: DataFrame, idle_seconds: int = 600, remember_s
     return tokens.groupBy(*REPLY).transformWithStateInPandas(
         _Segments(idle_seconds * 1000, remember_seconds * 1000), _OUT, "Append", "ProcessingTime"
     )
+
+
+def drain(query: StreamingQuery) -> None:
+    """Wait until a micro-batch finds no new rows, and stop the query.
+
+    A query with processing-time timers does not end by itself, whatever its trigger: it goes on for their sake.
+    """
+    while query.isActive:
+        if any(p["numInputRows"] == 0 for p in query.recentProgress):
+            query.stop()
+            break
+        time.sleep(0.2)
+    if query.exception() is not None:
+        raise query.exception()

@@ -5,6 +5,7 @@ import uuid
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators import conversation as batch_ops
 from lectern.streaming import conversation as live
@@ -22,12 +23,12 @@ def stream_of(spark, folder, schema, *batches):
     return reader.json(folder)
 
 
-def collect(spark, rows, folder):
+def collect(spark, rows, folder, wait=StreamingQuery.awaitTermination):
     query = (
         rows.writeStream.format("parquet").option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    wait(query)
     return spark.read.schema(rows.schema).parquet(f"{folder}/out").collect()
 
 
@@ -111,14 +112,16 @@ def test_segments_in_batch(spark):
     assert got == SEGMENTS
 
 
-@pytest.mark.parametrize("segments", [tokens.segment_stream, token_state.segment_stream_timers])
-def test_segments_in_a_stream_that_interleaves_sessions(spark, tmp_path, segments):
+@pytest.mark.parametrize(
+    "segments, wait", [(tokens.segment_stream, StreamingQuery.awaitTermination), (token_state.segment_stream_timers, token_state.drain)]
+)
+def test_segments_in_a_stream_that_interleaves_sessions(spark, tmp_path, segments, wait):
     rows = [r for (s, i), w in REPLIES.items() for r in as_tokens(s, i, w)]
     after_done = [("a", 1, 99, "ignored after the end.", False)]
     # later stretches come first, and one comes twice
     late = [[r for r in rows if r[2] >= 5], [r for r in rows if 2 <= r[2] < 5], [r for r in rows if r[2] < 5], after_done]
     stream = stream_of(spark, new(tmp_path), TOKENS, *late)
-    out = collect(spark, segments(stream), new(tmp_path))
+    out = collect(spark, segments(stream), new(tmp_path), wait)
     got = {}
     for r in sorted(out, key=lambda r: r["segment_no"]):
         got.setdefault((r["session_id"], r["reply_id"]), []).append(r["segment"])
@@ -153,21 +156,22 @@ def test_idle_replies_leave_no_state_behind(spark, tmp_path):
     first = [("a", 1, 0, "open and", False), ("a", 1, 1, " unfinished", False), ("b", 1, 0, "done", False), ("b", 1, 1, None, True), ("c", 1, 1, "the first is lost", False)]
 
     def run():
-        rows = token_state.segment_stream_timers(stream_of(spark, folder, TOKENS), idle_seconds=1, remember_seconds=600)
+        rows = token_state.segment_stream_timers(stream_of(spark, folder, TOKENS), idle_seconds=25, remember_seconds=600)
         query = (
             rows.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state")
             .trigger(availableNow=True).start()
         )
-        query.awaitTermination()
+        token_state.drain(query)
         return {(r["session_id"], r["segment"]) for r in spark.read.schema(rows.schema).parquet(f"{place}/out").collect()}
 
     def held(name):
         return {r["key"]["session_id"] for r in spark.read.format("statestore").option("stateVarName", name).load(f"{place}/state").collect()}
 
     stream_of(spark, folder, TOKENS, first)
+    began = time.time()
     assert run() == {("b", "done")}
     assert (held("front"), held("early"), held("closed")) == ({"a", "c"}, {"c"}, {"b"})
-    time.sleep(4)
+    time.sleep(max(0, began + 45 - time.time()))
     again = [("z", 1, 0, "next", False), ("b", 1, 0, "done", False)]  # a line of an ended reply comes once more
     spark.createDataFrame(again, TOKENS).coalesce(1).write.json(f"{folder}/900")
     assert run() == {("b", "done"), ("a", "open and unfinished"), ("c", "the first is lost")}
