@@ -121,12 +121,14 @@ def segment_stream_timers(tokens: DataFrame, idle_seconds: int = 600, remember_s
 
 
 def drain(query: StreamingQuery) -> None:
-    """Wait until a micro-batch finds no new rows, and stop the query.
+    """Wait until two micro-batches in a row find no new rows, and stop the query.
 
-    A query with processing-time timers does not end by itself, whatever its trigger: it goes on for their sake.
+    A query with processing-time timers does not end by itself, whatever its trigger: it goes on for their sake. (The first
+    batch after a restart may be one without rows that is done again.)
     """
     while query.isActive:
-        if any(p["numInputRows"] == 0 for p in query.recentProgress):
+        last = query.recentProgress[-2:]
+        if len(last) == 2 and all(p["numInputRows"] == 0 for p in last):
             query.stop()
             break
         time.sleep(0.2)
