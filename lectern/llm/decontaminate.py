@@ -115,7 +115,7 @@ class ItemIndex:
     @staticmethod
     def _width(n: int) -> int:
         """Words of the windows of an item."""
-        return max(1, n // 2) if n < 7 else min(WIDEST, 1 << int(math.log2(n / 1.5)))
+        return max(1, n // 2) if n < 7 else 4 if n < 13 else min(WIDEST, 1 << int(math.log2(n / 1.5)))
 
     @staticmethod
     def _stride(width: int) -> int:
