@@ -11,12 +11,12 @@ that are not like any template. A temperature is fitted on copies held back, and
 from the joint probability of all families on that 99 of 100 of the held-back stretches of other classes do not reach;
 below it a notice is `unknown`. Every accepted family is then compared with its templates: `similarity`
 is the largest share of a template's word pairs that the stretch holds. It is `confirmed` by a template of which the
-stretch holds at least `CONFIRM`, every pair with a number (so versions agree), and for each other
+stretch holds at least `CONFIRM`, every pair that ends in a number (so versions agree), and for each other
 family a pair that no template of that one has (so what families share confirms neither). If the classifier's guess is not
 confirmed, but one other family alone is, by a larger share, that family is the answer. What is not confirmed is reported as
 `unknown`, with the guess beside it, if the stretch holds at least `LIKE` of a template; otherwise it is no notice. Where
 families are as similar, as with a sentence that two of them have, the guess names them all, joined by `|`, and it
-is the one of them that another stretch of the same paragraph confirms, if there is one.
+is the one of them that another stretch of the same text confirms, if there is just one.
 
 Result: of stretches that overlap, one counts: confirmed ones first, then those found by a template, lines,
 windows. Each has a row, whose `paragraph` is the number of the line in which it begins; notices of one family
@@ -382,7 +382,7 @@ class Evidence:
         self.pairs = features.pairs[: len(self.family)]
         numbers = {i + 1 for i, w in enumerate(features.words) if w.isdigit()}
         base = features.base
-        self.versions = [{p for p in pairs if p // base in numbers or p % base in numbers} for pairs in self.pairs]
+        self.versions = [{p for p in pairs if p % base in numbers} for pairs in self.pairs]
         # a further number after one of the template's is another version, but for a zero
         zero = features.words.index("0") + 1
         self.others = [
@@ -561,14 +561,14 @@ def _found(piece: pa.RecordBatch, model: Classifier) -> Iterator[pa.RecordBatch]
         if alike < LIKE and chance[i, 1] < 0.5:
             continue
         told.append((not good, int(kind[i]), -alike, a - b, a, b, guess, sure))
-    # what several families share belongs to the one of them that the same paragraph confirms
-    block_of = lambda a: int(np.searchsorted(at, a, side="right"))
+    # what several families share belongs to the one of them that the same text confirms
+    text_of = lambda a: int(of[np.searchsorted(words_at, a, side="right") - 1])
     named_in: dict[int, set] = {}
     for bad, *_, a, _, guess, _ in told:
         if not bad:
-            named_in.setdefault(block_of(a), set()).add(guess)
+            named_in.setdefault(text_of(a), set()).add(guess)
     for n, (bad, by, alike, size, a, b, guess, sure) in enumerate(told):
-        owner = named_in.get(block_of(a), set()) & set(guess.split("|")) if bad and "|" in guess else ()
+        owner = named_in.get(text_of(a), set()) & set(guess.split("|")) if bad and "|" in guess else ()
         if len(owner) == 1:
             told[n] = (False, by, alike, size, a, b, *owner, sure)
     # the stretch of a notice keeps others from it; of what overlaps, confirmed and closest ones count

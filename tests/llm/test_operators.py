@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -640,7 +641,7 @@ NAMES = {
     "Licensed under CC BY 2.5.": "unknown",
     "This work is licensed under a Creative Commons Attribution 3.0 International License.": "CC-BY-3.0",
     "Licensed under the Mozilla Public License, version 1.1.": "MPL-1.1",
-    "Licensed under the Apache License, Version 1.1.": "unknown",
+    "Licensed under the Apache License, Version 1.1.": "Apache-1.1",
     "Licensed under the Apache Software License, Version 1.1.": "Apache-1.1",
     "SPDX-License-Identifier: ISC": "ISC",
     "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1",
@@ -793,3 +794,12 @@ def test_pipeline_on_odd_and_empty_tables(spark):
     assert seen["bpe_encode_decode"] == {1, 3}
     frame(spark, [], DOCS).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_nearest_vectors_equal_the_sql_over_all_pairs(spark):
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in queries.op2_nearest_vectors(spark, SF).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    want = sorted(db.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.NEAREST_SQL})").fetchall())
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-12)
