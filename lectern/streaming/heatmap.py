@@ -27,6 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from lectern.config import DEFAULTS
 from lectern.functions.text import is_fallback
 from lectern.operators.conversation import NO_SUBJECT, subject_or_unknown
+from lectern.session import need_named_state
 
 QUESTION, REPLY = "question", "reply"
 PAIRS = "session_id string, query string, day date, n long"
@@ -118,6 +119,7 @@ def heatmap_changes(
 
     `keep` is the number of days for which turns are held; with it a query goes on until it is stopped (`token_state.drain`).
     """
+    need_named_state(turns.sparkSession)
     micros = seconds * 1_000_000
     at = F.unix_micros("created_at")
     bucket = F.floor(at / F.lit(micros))

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from lectern.session import need_named_state
 from lectern.streaming.tokens import MIN_SEGMENT_CHARS, REPLY, ends_segment
 
 _OUT = "session_id string, reply_id bigint, segment_no int, segment string"
@@ -115,6 +116,7 @@ def segment_stream_timers(tokens: DataFrame, idle_seconds: int = 600, remember_s
     `idle_seconds` without a token flush a reply and remove its state; an ended reply is known for `remember_seconds` more.
     Time is that of processing, and timers fire with the next micro-batch.
     """
+    need_named_state(tokens.sparkSession)
     return tokens.groupBy(*REPLY).transformWithStateInPandas(
         _Segments(idle_seconds * 1000, remember_seconds * 1000), _OUT, "Append", "ProcessingTime"
     )

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators import conversation as batch_ops
+from lectern.session import STATE_STORE
 from lectern.streaming import conversation as live
-from lectern.streaming import token_state, tokens
+from lectern.streaming import heatmap, token_state, tokens
 
 T0 = dt.datetime(2024, 1, 1, 12)
 TURNS = "id long, session_id string, role string, content string, created_at timestamp"
@@ -185,3 +186,22 @@ def test_token_lines(spark):
     df = spark.createDataFrame([("s", 1, i, t) for i, t in enumerate(lines)], "session_id string, reply_id long, seq int, line string")
     kept = tokens.until_done(tokens.parse_token_lines(df)).orderBy("seq").collect()
     assert [r["token"] for r in kept] == ["one", "two"]
+
+
+@pytest.mark.parametrize("kind", ["timers", "heatmap"])
+def test_named_state_in_a_session_with_the_default_store(spark, tmp_path, kind):
+    mine = spark.newSession()
+    mine.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    at = dt.datetime(2024, 1, 1)
+    if kind == "timers":
+        words = ["One whole sentence", " of some length.", " Rest"]
+        lines = stream_of(mine, str(tmp_path / "in"), TOKENS, as_tokens("s", 1, words))
+        out = collect(mine, token_state.segment_stream_timers(lines), new(tmp_path), token_state.drain)
+        assert sorted(r.segment for r in out) == ["One whole sentence of some length.", "Rest"]
+    else:
+        turns = [(1, "s", "user", "q", at), (2, "s", "assistant", "Sorry, not covered.", at + dt.timedelta(seconds=5))]
+        kinds = "id long, session_id string, role string, content string, created_at timestamp"
+        log = stream_of(mine, str(tmp_path / "log"), "session_id string, query string, subject string", [("s", "q", "law")])
+        changes = heatmap.heatmap_changes(stream_of(mine, str(tmp_path / "turns"), kinds, turns), log)
+        heatmap.maintain_heatmap(changes, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        assert [tuple(r)[1:] for r in heatmap.read_heatmap(mine, str(tmp_path / "out")).collect()] == [("law", 1)]
