@@ -185,18 +185,19 @@ def stream_token_segments_shuffled(spark, sf_dir):
 @query("stream_token_segments_timers", SEGMENTS_SQL)
 def stream_token_segments_timers(spark, sf_dir):
     """The same on named state and timers, in three micro-batches."""
-    return run(spark, token_state.segment_stream_timers(shuffled_lines(spark, sf_dir, batches=3)), token_state.drain)
+    return run(spark, token_state.segment_stream_timers(shuffled_lines(spark, sf_dir)), token_state.drain)
 
 
-def shuffled_lines(spark, sf_dir, batches=None):
+def shuffled_lines(spark, sf_dir, batches=3):
+    """The lines in so many batches, whatever the number of files: each batch meets the state of nearly all replies."""
     folder = shared_folder(spark)
     rows = token_lines(table(spark, sf_dir, "conversations"))
     for part in range(3):
         some = rows.filter(F.pmod(F.xxhash64("reply_id", "seq"), F.lit(3)) == part)
         some.unionByName(some).orderBy(F.xxhash64("seq")).write.parquet(f"{folder}/{part}")
-    files = len(spark.read.option("recursiveFileLookup", "true").parquet(folder).inputFiles()) if batches else 0
+    files = len(spark.read.option("recursiveFileLookup", "true").parquet(folder).inputFiles())
     source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true")
-    source = source.option("maxFilesPerTrigger", -(-files // batches) if batches else 2)
+    source = source.option("maxFilesPerTrigger", -(-files // batches))
     return tokens.parse_token_lines(source.parquet(folder), keep_gaps=True)
 
 

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from checks import streams
 from lectern.operators import conversation as batch_ops
-from lectern.session import STATE_STORE
+from lectern.session import STATE_STORE, shared_folder
 from lectern.streaming import conversation as live
 from lectern.streaming import heatmap, token_state, tokens
 
@@ -205,3 +206,22 @@ def test_named_state_in_a_session_with_the_default_store(spark, tmp_path, kind):
         changes = heatmap.heatmap_changes(stream_of(mine, str(tmp_path / "turns"), kinds, turns), log)
         heatmap.maintain_heatmap(changes, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
         assert [tuple(r)[1:] for r in heatmap.read_heatmap(mine, str(tmp_path / "out")).collect()] == [("law", 1)]
+
+
+def test_shuffled_lines_come_in_three_batches_however_many_files_hold_them(spark, monkeypatch):
+    rows = [("s", i, seq, "{}") for i in range(40) for seq in range(9)]
+    lines = spark.createDataFrame(rows, "session_id string, reply_id long, seq int, line string")
+    monkeypatch.setattr(streams, "token_lines", lambda turns: lines)
+    monkeypatch.setattr(streams, "table", lambda *args: lines)
+    coalesced = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = streams.shuffled_lines(spark, "")
+        folder = shared_folder(spark)
+        query = found.writeStream.format("parquet").option("path", f"{folder}/out")
+        query = query.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
+    assert spark.read.parquet(f"{folder}/out").count() == 2 * len(rows)
