@@ -3,6 +3,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -387,3 +388,46 @@ def test_verdicts_replace_thresholds(spark, chunks, index):
     got = {r["question_id"]: r for r in search.retrieve_multistage(asked, corpus, verdicts=said).collect()}
     assert [got[i]["grade"] for i in range(5)] == ["correct", "incorrect", "ambiguous", "ambiguous", "incorrect"]
     assert got[1]["context"] == "" and got[0]["context"]
+
+
+def test_a_batch_of_texts_is_encoded_in_pieces():
+    seen = []
+
+    class Counting(vectors.HashedWords):
+        def encode(self, texts):
+            seen.append(sum(map(len, texts)))
+            return super().encode(texts)
+
+    texts = ["some words of a text " * 500] * 300 + ["", "x" * (2 * vectors.PIECE_CHARS), "end"]
+    found = vectors.encode_all(Counting(), texts)
+    assert len(seen) > 3 and sorted(seen)[-2] <= vectors.PIECE_CHARS
+    assert (found == vectors.HashedWords().encode(texts)).all()
+
+
+def test_a_scorer_holds_a_bounded_number_of_scores():
+    terms = pa.table({"query_id": [1, 1, 2, 3], "term": ["a", "b", "a", "c"], "weight": [1.0, 2.0, 1.0, 0.5]})
+    corpus = pa.table({"id": list(range(50)), "tokens": [["a", "b", "z"], ["a"], [], ["c", "c"], ["z"]] * 10})
+    scorer = bm25.Bm25Scorer(terms, 2.0, 1.5, 0.75, False)
+    whole = np.concatenate([s for _, _, s in scorer.score(corpus, 1_000)])
+    parts = list(scorer.score(corpus, 12))
+    assert max(s.size for _, _, s in parts) <= 12 and len(parts) > 10
+    np.testing.assert_array_equal(np.concatenate([s for _, _, s in parts]), whole)
+    assert np.isnan(whole[2]).all() and whole[0, 0] > whole[0, 1] > 0
+
+
+def test_pairs_outside_the_cells_that_a_query_reads_are_not_scored():
+    centres, rows = np.array([[1.0, 0.0], [0.0, 1.0]]), [[1.0, 0.1], [0.1, 1.0], [0.9, 0.0]]
+    asked = pa.table({"query_id": [7, 8, 9], "embedding": [[1.0, 0.0], [0.0, 2.0], [3.0, 0.2]]})
+    corpus = pa.table({"id": [1, 2, 3], "embedding": rows, "cell": pa.array([0, 1, 0], pa.int32())})
+    scorer = vector_index.ProbedScorer(asked, centres, np.array([0.5, 0.5]), 1)
+    found = [(list(r), list(q), s.shape) for r, q, s in scorer.score(corpus, 100)]
+    assert found == [([0, 2], [0, 2], (2, 2)), ([1], [1], (1, 1))]
+
+
+def test_many_queries_do_not_copy_the_corpus(spark, index):
+    asked = spark.createDataFrame([(i, f"a loop {i}") for i in range(6)], "query_id long, text string")
+    got = bm25.bm25_top_k(asked, index, 4, broadcast_rows=9)
+    folder = got.inputFiles()[0].rsplit("/found/", 1)[0]
+    assert spark.read.parquet(f"{folder}/corpus").count() == index.docs.count()
+    assert spark.read.parquet(f"{folder}/queries").count() <= 6 * 3
+    assert ranked(got.collect()) == ranked(bm25.bm25_top_k(asked, index, 4).collect())
