@@ -35,6 +35,8 @@ from lectern.llm.textblocks import kept, runs, slices, span_hashes, text_bytes,
 
 START = "▁"
 STRETCH = 32
+#: Sums over positions and languages that are held at a time while words are scored.
+SUMS = 1_000_000
 LETTER = re.compile(r"[^\W\d_]")
 UNSURE = "und"
 
@@ -147,7 +149,7 @@ def log_chances(lattice: Lattice, words: list[str], chance: np.ndarray) -> np.nd
             parts.append(s)
             of.append(i)
     out = np.zeros((len(words), chance.shape[1]))
-    step = max(1000, 8_000_000 // ((STRETCH + 1) * chance.shape[1]))
+    step = max(1000, SUMS // ((STRETCH + 1) * chance.shape[1]))
     of = np.array(of, np.int64)
     for k in range(0, len(parts), step):
         some = parts[k : k + step]

@@ -803,3 +803,20 @@ def test_nearest_vectors_equal_the_sql_over_all_pairs(spark):
     want = sorted(db.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.NEAREST_SQL})").fetchall())
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-12)
+
+
+def test_words_are_scored_in_blocks_of_bounded_size(monkeypatch):
+    sizes, forward = [], language_id.forward
+
+    def measured(*args):
+        out = forward(*args)
+        sizes.append(out.size)
+        return out
+
+    monkeypatch.setattr(language_id, "forward", measured)
+    lattice = language_id.Lattice(["a", "b", "ab", "ba"])
+    chance = np.full((lattice.count, 4), 0.2)
+    words = [f"{i:b}".replace("0", "a").replace("1", "b").rjust(18, "a") for i in range(40_000)]
+    whole = language_id.log_chances(lattice, words, chance)
+    assert len(sizes) > 1 and max(sizes) <= language_id.SUMS
+    assert (whole[::5_000] == language_id.log_chances(lattice, words[::5_000], chance)).all()
