@@ -502,6 +502,54 @@ def test_forms_of_a_stem_are_learned_in_every_language(spark):
         assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.02 * len(clean), lang
 
 
+def test_toxicity_is_learned_from_every_labelled_text(spark):
+    """More rows of each class than a sample of some thousand would hold, so the fit goes over several blocks."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(15_000):
+        w = prose(rng, rng.randrange(3, 12)).split()
+        toxic = i % 3 == 0
+        if toxic:
+            w.insert(rng.randrange(len(w)), "scumbo" if i % 300 else f"vilox{'abc'[i % 9 // 3]}")
+        rows.append((i, " ".join(w), "en"))
+        labels.append((i, int(toxic)))
+    docs, marks = frame(spark, rows, "doc_id long, text string, lang string"), frame(spark, labels, "doc_id long, toxic int")
+    counted, sums = [], toxicity.task_sums
+
+    def counting(blocks, run):
+        counted.append(sum(len(toxicity._unpacked(r.body)[2]) for r in blocks.select("body").collect()))
+        return sums(blocks, run)
+
+    toxicity.task_sums = counting
+    try:
+        model = toxicity.train(docs, marks, epochs=2)
+    finally:
+        toxicity.task_sums = sums
+    clean = sum(1 for i, _ in labels if i % 3)
+    assert len(set(counted)) == 1 and counted[0] > 0.7 * len(rows) + 0.7 * clean / 4  # three quarters of the rows, and stretches
+    asked = frame(spark, [(0, "ba ko viloxa"), (1, "bara kora"), (2, "scumbo bara")])
+    assert [r.predicted for r in toxicity.score(asked, model).orderBy("doc_id").collect()] == [1, 0, 1]
+
+
+def test_thresholds_and_line_are_those_of_sorted_scores(spark):
+    rng = np.random.default_rng(8)
+    rows = [(("a", "b", "none")[i % 3], float(round(x, 2)), int(i % 3 < 2 and x + rng.normal() > 1)) for i, x in enumerate(rng.normal(size=900))]
+    got = {r.key: (r.total, r.threshold) for r in toxicity.best_thresholds(frame(spark, rows, "key string, score double, label int")).collect()}
+    for key in ("a", "b", "none"):
+        mine = [(s, t) for k, s, t in rows if k == key]
+        total, values = sum(t for _, t in mine), sorted({s for s, _ in mine}, reverse=True)
+        if not total:
+            assert got[key] == (0, values[0] + 1)
+            continue
+        f1 = [2 * sum(t for s, t in mine if s >= v) / (sum(s >= v for s, _ in mine) + total) for v in values]
+        k = f1.index(max(f1))
+        assert got[key] == (total, pytest.approx((values[k] + (values[k + 1] if k + 1 < len(values) else values[k] - 1)) / 2))
+    a, b = toxicity.platt(frame(spark, rows, "key string, score double, label int"))
+    z, t = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    off = 1 / (1 + np.exp(-(a * z + b))) - t
+    assert abs(off.sum()) < 1e-3 and abs((off * z).sum() + 1e-3 * a) < 1e-3
+
+
 def test_pooling_stays_inside_a_text():
     net = toxicity.Classifier()
     tables = net.tables()
