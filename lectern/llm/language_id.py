@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lectern.llm.textblocks import kept, runs, slices, span_hashes, text_bytes, tidy
+from lectern.llm.textblocks import give_back, kept, runs, slices, span_hashes, text_bytes, tidy
 
 START = "▁"
 STRETCH = 32
@@ -312,4 +312,5 @@ def identify(
     """Trains on `labelled` (the documents themselves if none are given) and predicts every document."""
     pieces = pieces_of(path)
     langs, chance = train(docs if labelled is None else labelled, pieces, sample_docs)
+    give_back()  # the driver lives on, and fitting takes many times what it leaves
     return predict(docs, pieces, langs, chance, names)

@@ -868,3 +868,12 @@ def test_words_are_scored_in_blocks_of_bounded_size(monkeypatch):
     whole = language_id.log_chances(lattice, words, chance)
     assert len(sizes) > 1 and max(sizes) <= language_id.SUMS
     assert (whole[::5_000] == language_id.log_chances(lattice, words[::5_000], chance)).all()
+
+
+def test_the_driver_gives_memory_back_after_fitting_languages(spark, monkeypatch):
+    done, train, give_back = [], language_id.train, language_id.give_back
+    monkeypatch.setattr(language_id, "train", lambda *x: (train(*x), done.append("fit"))[0])
+    monkeypatch.setattr(language_id, "give_back", lambda: (give_back(), done.append("back"))[0])
+    docs = frame(spark, [(i, ("the cat and the dog", "le chat et le chien")[i % 2], ("en", "fr")[i % 2]) for i in range(20)], "doc_id long, text string, lang string")
+    language_id.identify(docs, queries.PIECES)
+    assert done == ["fit", "back"]
