@@ -5,7 +5,7 @@ two ids before the one predicted; keys: the two ids before each earlier one; a b
 beside the window. What falls on the window is probability of seeing the same id again, what falls on the sentinel goes to the
 distributions of the whole corpus after the last two, the last and no id, mixed by a softmax gate over the attention's
 context vector and the logarithms of their counts. All parts are distributions over the vocabulary, so their sum is one.
-Attention, embeddings and gate are trained in numpy by mini-batches; the counts are those of every training text.
+Attention, embeddings and gate are trained in numpy by mini-batches over every id of every training text; so are the counts.
 
 Texts are lower-cased (A-Z) and cut into words; the ids of a word are those of a public BPE tokenizer, and every text ends with
 an end id. Whole texts are scored in windows of `WINDOW` ids that move by `STRIDE`, half of it: every id is scored once, in the
@@ -16,9 +16,9 @@ The base score is that of word unigrams with additive smoothing; its counts come
 
 How it scales: counts of words and id sequences are not collected anywhere. The exchange (see `exchange`) sends each block's
 distinct keys once to the bucket of the key, where the training counts of all blocks are added, and the totals come back to the
-block. Fitting the attention takes `fit_texts` training texts, those with the smallest hash of their id, and of each
-`fit_spans` spans of `WINDOW` ids, drawn from its whole length: a bound on what reaches the driver. In fitting, the counts
-that a span meets are those of the other texts in the sample, so the gate does not rely on a text's own counts.
+block. Fitting is one pass over all training texts where they lie: every task starts from the same model and goes through its
+blocks, and the models are averaged once, an embedding over the tasks that changed it. In fitting, the counts that a text meets are
+those of the other texts of its block, so the gate does not rely on a text's own counts.
 
 Edge cases: null and empty texts are one end token; texts of any length are whole; rows with a null id are scored and not
 learned from (held out); repeated rows each have their row and are each learned from; without training texts every id is
@@ -28,6 +28,7 @@ equally likely; an empty table gives no rows; further columns are not looked at.
 from __future__ import annotations
 
 import base64
+import copy
 import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bpe import vocabulary_file
 from lectern.llm.exchange import ASKED, OWN, buckets, exchange, messages
+from lectern.llm.mixing import batch_sums
 from lectern.llm.pieces import gather
 from lectern.llm.textblocks import kept, mix, pack, slices, span_hashes, text_bytes, unpack, words
 
@@ -52,8 +54,9 @@ PAD, FEATURES = 2, 3
 SHARED = 8
 #: A block holds about so many words and texts.
 BLOCK = 500_000
-#: Windows that are scored at once.
-BATCH = 512
+#: Windows that are scored at once, and those of a step of fitting.
+BATCH, FIT_BATCH = 512, 256
+RATE = 0.3
 SMOOTH = 0.1
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_pieces long"
 
@@ -213,31 +216,26 @@ class Attention:
         What `forward` computes, laid out for speed: texts are cut into stretches of a stride with an empty one before each, and the
         ids of a stretch look at their own, as far as it lies before them, and at the one before.
         """
-        s, size = self.stride, np.diff(at) - PAD
-        counts = -(-size // s) + 1
-        first = np.cumsum(counts) - counts
-        slot = np.repeat((first + 1) * s - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        position = np.arange(len(slot)) + np.repeat(PAD * np.arange(1, len(size) + 1), size)
-        slots = int(counts.sum()) * s
-        ids, share, bias = np.zeros((3, slots), np.int32), np.zeros((3, slots), np.float32), np.zeros((3, slots), np.float32)
+        s = self.stride
+        slot, position, _, empty = stretches(at, s)
+        slots = len(empty) * s
         given = features @ self.p["g"][:, self.p["v"].shape[1] :].T
+        ids, share, bias = np.zeros((3, slots), np.int32), np.zeros((3, slots), np.float32), np.zeros((3, slots), np.float32)
         for k in range(3):
             ids[k, slot] = z[position - k]
             share[k, slot] = np.maximum(parts[:, k], 0)
             bias[k, slot] = np.where(parts[:, k] >= 0, given[:, k], -np.inf)
         causal, rest, d = self.causal(), np.exp(self.p["rest"][0]), self.p["e"].shape[1]
         logs = np.zeros(slots)
-        empty = np.zeros(len(counts) and slots // s, bool)
-        empty[first] = True
         for k in range(1, slots // s, BATCH):
             here = slice((k - 1) * s, min((k + BATCH) * s, slots))
             x, p, q = (ids[n, here] for n in range(3))
             both = (t["both1"][p] + t["both2"][q]).reshape(-1, s, 2 * d)
-            key, query = both[:, :, :d], both[1:, :, d:]
+            key, query = np.ascontiguousarray(both[:, :, :d].transpose(0, 2, 1)), np.ascontiguousarray(both[1:, :, d:])
             value, own = t["gate"][x].reshape(-1, s, 4), x.astype(np.uint16).reshape(-1, s)
             summed, copied = 0, 0
             for n, which in enumerate((slice(None, -1), slice(1, None))):
-                a = query @ key[which].transpose(0, 2, 1)
+                a = query @ key[which]
                 a += causal[:, n * s : (n + 1) * s]
                 if t["steep"]:
                     np.minimum(a, 60, out=a)
@@ -292,22 +290,134 @@ class Attention:
         out["e"] = (flat[order][first], np.add.reduceat(np.concatenate([x for _, x in touched])[order], first))
         return loss, out
 
-    def fit(self, data: tuple, epochs: int = 3, batch: int = 48, rate: float = 0.3, seed: int = 5) -> list[float]:
-        """Adagrad over windows (ids, given, features, parts, weight); the mean loss of each epoch."""
-        rng, losses = np.random.default_rng(seed), []
-        squares = {k: np.full_like(v, 1e-8) for k, v in self.p.items()}
-        for _ in range(epochs):
-            order, total = rng.permutation(len(data[0])), 0.0
-            for k0 in range(0, len(order), batch):
-                some = order[k0 : k0 + batch]
-                loss, found = self.gradients(*(x[some] for x in data))
-                total += loss * len(some)
-                for name, gradient in found.items():
-                    at, gradient = gradient if name == "e" else (slice(None), gradient)
-                    squares[name][at] += gradient * gradient
-                    self.p[name][at] -= rate * gradient / np.sqrt(squares[name][at])
-            losses.append(total / max(1, len(order)))
-        return losses
+    def stretch_gradients(self, causal: np.ndarray, x: np.ndarray, empty: np.ndarray, features: np.ndarray, parts: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+        """What `gradients` gives, for neighbouring stretches: the ids x of their slots and of `PAD` slots before, with an `empty` stretch of
+        start ids before each text; features and parts (FEATURES or 3, slots), weight (slots). The first stretch is looked at only."""
+        s, f = self.stride, self.p["e"].dtype
+        e = self.p["e"].take(x, axis=0)
+        d, c = e.shape[1], self.p["v"].shape[1]
+        scale, n = f.type(1 / np.sqrt(d)), max(1.0, float(weight[s:].sum()))
+        ex, pair = e[PAD:], np.concatenate((e[1:-1], e[:-2]), axis=1)
+        both = lambda v: np.concatenate((v[:-1], v[1:]), axis=1)
+        turned = lambda v: np.ascontiguousarray(v.transpose(0, 2, 1))
+        key = both((pair @ self.p["k"]).reshape(-1, s, d))
+        value = both(np.concatenate((ex @ self.p["v"], np.ones((len(ex), 1), f)), axis=1).reshape(-1, s, c + 1))
+        query = (pair[s:] @ (self.p["q"] * scale)).reshape(-1, s, d)
+        # `a` is not divided by its sums; what it is multiplied with is
+        a = query @ turned(key)
+        a += causal
+        if a.max() > 60:
+            np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        a[empty[:-1], :, :s] = 0
+        summed = np.ascontiguousarray((a @ value).reshape(-1, c + 1).T)
+        rest = np.exp(self.p["rest"][0])
+        total = summed[c] + rest
+        rest = rest / total
+        h = np.concatenate((summed[:c] / total, features[:, s:]))
+        z = np.where(parts[:, s:] >= 0, self.p["g"] @ h, -np.inf)
+        g = np.exp(z - z.max(axis=0))
+        g /= g.sum(axis=0)
+        share = np.maximum(parts[:, s:], 0)
+        corpus = (g * share).sum(axis=0)
+        own = x[PAD:].astype(np.uint16).reshape(-1, s)
+        same = (own[1:, :, None] == both(own)[:, None, :]).astype(f)
+        probability = np.einsum("bqk,bqk->bq", a, same).reshape(-1) / total + rest * corpus
+        w = weight[s:]
+        loss = float(-(np.log(np.where(w > 0, probability, 1)) * w).sum() / n)
+        dp = (-w / np.maximum(probability, 1e-12) / n).astype(f)
+        dz = dp * rest * (g * (share - corpus))
+        out = {"g": dz @ h.T}
+        dh = self.p["g"][:, :c].T @ dz
+        mean = dp * probability + (dh * h[:c]).sum(axis=0)
+        out["rest"] = np.array([(rest * (dp * corpus - mean)).sum()], f)
+        down = np.ascontiguousarray((np.concatenate((dh, -mean[None])) / total).T, f).reshape(-1, s, c + 1)
+        dl = down @ turned(value)
+        same *= (dp / total).astype(f).reshape(-1, s, 1)
+        dl += same
+        dl *= a
+        back = np.arange(s)[:, None] + s - np.arange(2 * s)[None, :]
+        out["near"] = np.bincount(np.clip(back, 0, 2 * s - 1).ravel(), dl.sum(axis=0).ravel(), 2 * s).astype(f)
+
+        def apart(v: np.ndarray) -> np.ndarray:
+            """Adds up what each slot got as a slot of its own stretch and of the one before."""
+            total = np.zeros((len(v) + 1, s, v.shape[2]), v.dtype)
+            total[:-1] = v[:, :s]
+            total[1:] += v[:, s:]
+            return total.reshape(-1, v.shape[2])
+
+        dq, dk, dv = (dl @ key).reshape(-1, d) * scale, apart(dl.transpose(0, 2, 1) @ query), apart(a.transpose(0, 2, 1) @ down)[:, :c]
+        out["q"], out["k"], out["v"] = pair[s:].T @ dq, pair.T @ dk, ex.T @ dv
+        dpair = dk @ self.p["k"].T
+        dpair[s:] += dq @ self.p["q"].T
+        rows = np.zeros_like(e)  # an id is that of its slot, and one before those of the next two
+        rows[PAD:] = dv @ self.p["v"].T
+        rows[1:-1] += dpair[:, :d]
+        rows[:-2] += dpair[:, d:]
+        order = np.argsort(x.astype(np.uint16), kind="stable")
+        ids = x.take(order)
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        out["e"] = (ids.take(first), np.add.reduceat(rows.take(order, axis=0), first, axis=0))
+        return loss, out
+
+    def fit(self, z: np.ndarray, at: np.ndarray, squares: dict, rng: np.random.Generator, batch: int = FIT_BATCH) -> float:
+        """Adagrad over all ids of texts, in batches of neighbouring stretches in any order; returns the mean loss."""
+        s, (features, parts) = self.stride, other_counts(z, at, len(self.p["e"]))
+        slot, position, _, empty = stretches(at, s)
+        slots, f = len(empty) * s, self.p["e"].dtype
+        # start ids are where no text is, so that what stands before a slot is always what came before its id
+        x, weight = np.full(PAD + slots, z[0], np.int32), np.zeros(slots, f)
+        x[PAD + slot], weight[slot] = z[position], 1
+        given, share = np.zeros((FEATURES, slots), f), np.zeros((3, slots), f)
+        given[:, slot], share[:, slot] = features.T, parts.T
+        total = 0.0
+        for k in rng.permutation(np.arange(1, len(empty), batch)).tolist():
+            here = slice((k - 1) * s, min((k + batch) * s, slots))
+            w = weight[here]
+            loss, found = self.stretch_gradients(self.causal(), x[here.start : here.stop + PAD], empty[k - 1 : k + batch], given[:, here], share[:, here], w)
+            total += loss * float(w[s:].sum())
+            (ids, gradient), square = found.pop("e"), squares["e"]
+            sums = square.take(ids, axis=0)
+            sums += gradient * gradient
+            square[ids] = sums
+            gradient *= RATE
+            gradient /= np.sqrt(sums, out=sums)
+            self.p["e"][ids] = self.p["e"].take(ids, axis=0) - gradient
+            for name, gradient in found.items():
+                squares[name] += gradient * gradient
+                self.p[name] -= RATE * gradient / np.sqrt(squares[name])
+        return total / len(slot)
+
+    def numbers(self, weight: float, changed: np.ndarray) -> np.ndarray:
+        """All that is learned times `weight`, embeddings only where they were changed, and the weights."""
+        dense = [self.p[name].ravel() for name in self.p if name != "e"]
+        rows = self.p["e"].astype(np.float64) * (weight * changed)[:, None]
+        return np.concatenate((rows.ravel(), weight * changed, weight * np.concatenate(dense), [weight]))
+
+    def average(self, numbers: np.ndarray) -> None:
+        """Take the weighted means of summed `numbers`; embeddings that no task changed stay."""
+        e = self.p["e"]
+        rows, many, dense = np.split(numbers, [e.size, e.size + len(e)])
+        some = many > 0
+        e[some] = rows.reshape(e.shape)[some] / many[some][:, None]
+        dense, at = dense[:-1] / dense[-1], 0
+        for name, value in self.p.items():
+            if name != "e":
+                value[...] = dense[at : at + value.size].reshape(value.shape)
+                at += value.size
+
+
+def stretches(at: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts between offsets `at`, cut into stretches with an empty one before each: the slot and the position in the texts of each
+    predicted id, the first stretch of each text, and which stretches are empty."""
+    size = np.diff(at) - PAD
+    counts = -(-size // stride) + 1
+    first = np.cumsum(counts) - counts
+    slot = np.repeat((first + 1) * stride - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    position = np.arange(len(slot)) + np.repeat(PAD * np.arange(1, len(size) + 1), size)
+    empty = np.zeros(counts.sum(), bool)
+    empty[first] = True
+    return slot, position, first, empty
 
 
 def window_batches(ids: np.ndarray, at: np.ndarray, window: int, stride: int) -> Iterator[tuple]:
@@ -371,6 +481,13 @@ def corpus_parts(counts: np.ndarray, contexts: np.ndarray, total: int, size: int
     return features, parts
 
 
+def counted_before(counts: np.ndarray, at: np.ndarray, texts: int) -> np.ndarray:
+    """Counts of the contexts of two and one ids: what was counted at the position before, or the start of a text."""
+    contexts = np.concatenate((np.zeros((2, 1), np.int64), counts[1:, :-1]), axis=1)
+    contexts[:, at[:-1] - PAD * np.arange(len(at) - 1)] = texts
+    return contexts
+
+
 def bucket_order(keys: np.ndarray, parts: int, shared: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Order of distinct keys by bucket and key, and where each bucket begins in it; keys that agree but for the last
     `shared` bits are in one bucket."""
@@ -395,34 +512,48 @@ def asked_keys(z: np.ndarray, at: np.ndarray, learned: np.ndarray, parts: int) -
     return distinct[order], cuts, counts[order]
 
 
-def numbered(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """First position of each distinct code in their order, and the number of each position's code; codes have at most `bits` bits."""
+def in_order(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of their codes and of themselves, and which are the first of their code; codes have at most `bits` bits."""
     low = max(1, int(len(codes) - 1).bit_length())
+    new = np.ones(len(codes), bool)
     if bits + low > 64:
-        _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
-        return first, inverse
+        place = np.argsort(codes, kind="stable")
+        np.not_equal(codes[place[1:]], codes[place[:-1]], out=new[1:])
+        return place, new
     # one sort of codes with their positions is a third of the time of sorting positions by code
     both = np.sort(codes << np.uint64(low) | np.arange(len(codes), dtype=np.uint64))
     place = (both & np.uint64((1 << low) - 1)).astype(np.int64)
     both >>= np.uint64(low)
-    new = np.ones(len(both), bool)
     np.not_equal(both[1:], both[:-1], out=new[1:])
-    inverse = np.empty(len(both), np.int32)
+    return place, new
+
+
+def numbered(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """First position of each distinct code in their order, and the number of each position's code; codes have at most `bits` bits."""
+    place, new = in_order(codes, bits)
+    inverse = np.empty(len(codes), np.int32)
     inverse[place] = np.cumsum(new, dtype=np.int32) - 1
     return place[new], inverse
 
 
-def key_numbers(z: np.ndarray, at: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that are predicted, and the place of each of their keys among the distinct ones in bucket order."""
-    t, keys = sequence_keys(z, at)
+def sequence_numbers(z: np.ndarray, t: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For one, two and three ids that end at positions `t`: the first place of each distinct sequence in their order, and the number
+    of each place's."""
     ids = np.flatnonzero(np.bincount(z))
     number = np.zeros(len(ids) and ids[-1] + 1, np.uint64)
     number[ids] = np.arange(len(ids), dtype=np.uint64)
-    # the ids of a block are few, and their numbers are in the same order
+    # the ids of a block are few, and their numbers are in the same order; so are those of its pairs
     bits = int(len(ids)).bit_length()
     x, p, q = (number[z[t - k]] for k in (0, 1, 2))
-    two = p << np.uint64(bits) | x
-    found = [numbered(x, bits), numbered(two, 2 * bits), numbered(q << np.uint64(2 * bits) | two, 3 * bits)]
+    one, two = numbered(x, bits), numbered(p << np.uint64(bits) | x, 2 * bits)
+    more = int(len(two[0])).bit_length()
+    return [one, two, numbered(q << np.uint64(more) | two[1].astype(np.uint64), bits + more)]
+
+
+def key_numbers(z: np.ndarray, at: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that are predicted, and the place of each of their keys among the distinct ones in bucket order."""
+    t, keys = sequence_keys(z, at)
+    found = sequence_numbers(z, t)
     distinct = np.concatenate([keys[2 - k][first] for k, (first, _) in enumerate(found)])  # keys of fewer ids are smaller numbers
     order, _ = bucket_order(distinct, parts, SHARED)
     rank = np.empty(len(order), np.int32)
@@ -583,9 +714,7 @@ def block_scores(z, at, totals, parts, texts, single, marks: Marks, kept_model)
     model, tables = kept_model
     t, number = key_numbers(z, at, parts)
     counts = totals[number]
-    # the context of an id is what was counted at the position before it, or the start of a text
-    contexts = np.concatenate((np.zeros((2, 1), np.int64), counts[1:, :-1]), axis=1)
-    contexts[:, at[:-1] - PAD * np.arange(len(at) - 1)] = texts
+    contexts = counted_before(counts, at, texts)
     features, corpus = corpus_parts(counts, contexts, single, marks.size)
     logs = model.log_probabilities(tables, z, at, features, corpus)
     return _sums(logs, at - PAD * np.arange(len(at)))
@@ -594,26 +723,47 @@ def block_scores(z, at, totals, parts, texts, single, marks: Marks, kept_model)
 # ---- fitting ------------------------------------------------------------------------------
 
 
-def _spans(vocab_text, spans: int):
-    """Spans of up to `WINDOW` ids with those before them, from places all over a text, by a generator seeded with its hash."""
-    schema = pa.schema([("pick", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def other_counts(z: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, parts) of all predicted positions of texts, from the counts of the other ones."""
+    t, _ = sequence_keys(z, at)
+    sizes = np.diff(at) - PAD
+    of, counts = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), []
+    for _, inverse in reversed(sequence_numbers(z, t)):
+        order, new = in_order(inverse.astype(np.uint64), int(len(t)).bit_length())
+        text, first = of.take(order), np.flatnonzero(new)
+        new[1:] |= text[1:] != text[:-1]
+        # places of a sequence are in the order of texts, so those in one text are neighbours
+        mine, other = np.diff(np.append(np.flatnonzero(new), len(t))), np.empty(len(t), np.int32)
+        other[order] = np.repeat(np.diff(np.append(first, len(t))), np.diff(np.append(first, len(t)))) - np.repeat(mine, mine)
+        counts.append(other)
+    counts = np.stack(counts)
+    return corpus_parts(counts, counted_before(counts, at, len(sizes) - 1), len(t) - np.repeat(sizes, sizes), size)
+
+
+def _fitted(vocab_text, sent, block_size: int):
+    """The model after one pass over the texts of a task, weighed by their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        vocab, model, block, weight = subwords(vocab_text.value), copy.deepcopy(sent.value), _Block(), 0
+        squares = {k: np.full_like(v, 1e-8) for k, v in model.p.items()}
+        changed, rng = np.zeros(len(model.p["e"]), bool), np.random.default_rng([5, TaskContext.get().partitionId()])
+
+        def fit() -> int:
+            if not block.ids:
+                return 0
+            z, at = block_ids(*block.arrays(vocab)[:4], vocab.marks)
+            model.fit(z, at, squares, rng)
+            changed[z] = True
+            return int(at[-1]) - PAD * len(block.ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = subwords(vocab_text.value)
         for batch in batches:
-            for piece in slices(batch):
-                picks, lists = [], []
-                for pick, text in zip(piece.column("pick").to_pylist(), piece.column("text"), strict=True):
+            for piece in slices(batch, limit=1 << 19):
+                block.add([0] * piece.num_rows, [True] * piece.num_rows, piece.column("text"))
+                if block.size >= block_size and len(block.ids) > 1:
+                    weight += fit()
                     block = _Block()
-                    block.add([0], [True], pa.array([text.as_py()], pa.string()))
-                    z, _ = block_ids(*block.arrays(vocab)[:4], vocab.marks)
-                    rng = np.random.default_rng(abs(pick))
-                    # stretches of a text that do not overlap, some of them chosen
-                    stretches = np.arange(0, max(1, len(z) - PAD), WINDOW)
-                    for k in sorted(rng.permutation(stretches)[:spans].tolist()):
-                        picks.append(pick)
-                        lists.append(z[k : k + PAD + WINDOW].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(picks, pa.int64()), pa.array(lists, schema.field("ids").type)], schema=schema)
+        weight += fit()
+        return model.numbers(float(weight), changed) if weight else None
 
     return run
 
@@ -645,21 +795,16 @@ def fit_windows(spans: list[tuple[int, np.ndarray]], size: int) -> tuple:
     return tuple(np.concatenate(x) for x in data)
 
 
-def train(docs: DataFrame, learned, path: str, fit_texts: int = 1_500, fit_spans: int = 3) -> Attention:
-    """The attention model from (doc_id, text) rows for which `learned` is true; see the module for the bounds."""
+def train(docs: DataFrame, learned, path: str, block_size: int = BLOCK) -> Attention:
+    """The attention model from all (doc_id, text) rows for which `learned` is true; see the module."""
     with open(path, encoding="utf-8") as f:
-        marks = Subwords(f.read()).marks
-    rows = docs.filter(learned & F.col("doc_id").isNotNull())
-    pick = F.xxhash64(F.col("doc_id").cast("string")).alias("pick")
-    picked = rows.select(pick, F.col("doc_id").alias("id")).distinct().orderBy("pick", "id").limit(fit_texts)
-    # no more than fit_texts ids; of rows that share an id one is taken
-    some = rows.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id")
-    some = some.groupBy("pick", "id").agg(F.min("text").alias("text")).select("pick", "text")
-    found = some.mapInArrow(_spans(vocabulary_file(docs, path), fit_spans), "pick long, ids array<int>")
-    spans = [(r.pick, np.array(r.ids, np.int32)) for r in found.toLocalIterator()]
-    model = Attention(marks.size)
-    if len({t for t, _ in spans}) > 1:
-        model.fit(fit_windows(spans, marks.size))
+        model = Attention(Subwords(f.read()).marks.size)
+    texts = docs.filter(learned & F.col("doc_id").isNotNull()).select(F.col("text").cast("string").alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    found = batch_sums(texts, _fitted(vocabulary_file(docs, path), sent, block_size))
+    sent.destroy()
+    if found is not None:
+        model.average(found)
     return model
 
 

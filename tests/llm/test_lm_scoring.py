@@ -234,3 +234,68 @@ def test_blocks_answer_each_other_whatever_their_size(spark, vocab, monkeypatch)
     for a, b in zip(whole, dealt, strict=True):
         assert a[:5] == b[:5] and a.score == pytest.approx(b.score, rel=1e-5) and a.base_score == pytest.approx(b.base_score)
     assert pa.__version__
+
+
+def texts_for_fitting():
+    rng = np.random.default_rng(10)
+    at = np.concatenate(([0], np.cumsum(rng.integers(3, 40, 25))))
+    z = rng.integers(0, 30, at[-1]).astype(np.int32)
+    z[at[:-1]] = z[at[:-1] + 1] = 30  # what stands before a text
+    return z, at
+
+
+def test_counts_of_other_texts_equal_slow_ones():
+    z, at = texts_for_fitting()
+    features, parts = lm_scoring.other_counts(z, at, 31)
+    texts, n = [z[a:b].tolist() for a, b in zip(at[:-1], at[1:])], 0
+    for own, text in enumerate(texts):
+        others = [x for k, x in enumerate(texts) if k != own]
+        seen = Counter(tuple(x[k - j : k + 1]) for x in others for k in range(2, len(x)) for j in range(3))
+        before = Counter(tuple(x[k - j : k]) for x in others for k in range(2, len(x) + 1) for j in (1, 2))
+        total = sum(len(x) - 2 for x in others)
+        for k in range(2, len(text)):
+            two, one = tuple(text[k - 2 : k]), (text[k - 1],)
+            n2, n1 = before[two], before[one]
+            assert features[n].tolist() == pytest.approx([math.log1p(n2), math.log1p(n1), 1])
+            want = [seen[*two, text[k]] / n2 if n2 else -1, seen[*one, text[k]] / n1 if n1 else -1, (seen[(text[k],)] + 0.1) / (total + 3.1)]
+            assert parts[n].tolist() == pytest.approx(want, rel=1e-5)
+            n += 1
+    assert n == len(parts)
+
+
+def test_gradients_of_stretches_equal_those_of_windows():
+    z, at = texts_for_fitting()
+    rng, model = np.random.default_rng(11), lm_scoring.Attention(31, dim=4, context=3, window=8, stride=4)
+    for name in model.p:
+        model.p[name] = rng.normal(0, 0.5, model.p[name].shape)
+    features, parts = lm_scoring.other_counts(z, at, 31)
+    t, _ = lm_scoring.sequence_keys(z, at)
+    place = np.zeros(len(z), np.int64)
+    place[t] = np.arange(len(t))
+    own, given, scored, counted = (np.concatenate(x) for x in zip(*lm_scoring.window_batches(z, at, 8, 4)))
+    loss, want = model.gradients(z[own], given, features[place[scored]], parts[place[scored]], counted.astype(float))
+    slot, position, _, empty = lm_scoring.stretches(at, 4)
+    x, weight = np.full(2 + 4 * len(empty), 30, np.int32), np.zeros(4 * len(empty))
+    f, p = np.zeros((3, len(weight))), np.zeros((3, len(weight)))
+    x[2 + slot], weight[slot], f[:, slot], p[:, slot] = z[position], 1, features.T, parts.T
+    found, got = model.stretch_gradients(model.causal(), x, empty, f, p, weight)
+    assert found == pytest.approx(loss)
+    for r in (want, got):
+        ids, rows = r["e"]
+        r["e"] = np.zeros_like(model.p["e"])
+        r["e"][ids] = rows
+    for name in want:
+        assert np.allclose(got[name], want[name], atol=1e-6), name
+
+
+def test_every_training_text_is_fitted_as_a_whole(spark, vocab):
+    """Few long texts and many short ones: what their ids say is learned wherever they stand."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 6)))
+    rows = [(i, " ".join(word() for _ in range(900 if i < 8 else 4))) for i in range(2_500)]
+    model = lm_scoring.train(spark.createDataFrame(rows, DOCS).repartition(3), F.expr(LEARNED), queries.BYTE_BPE_MULTI)
+    start = lm_scoring.Attention(vocab.marks.size).p["e"]
+    for some in (rows[:8], rows[8:]):
+        ids = sorted({k for i, t in some if not held_out(i) for k in ids_of(t, vocab)})
+        assert (model.p["e"][ids] != start[ids]).any(axis=1).mean() > 0.99
