@@ -1,5 +1,7 @@
 import datetime as dt
+import io
 import os
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from lectern.config import Settings
 from lectern.plans import lake
 from lectern.schemas import CHUNK_INDEX, GOLD, GOLD_WITH_TEXT, conform
 from lectern.sources import landing, layers
+from lectern.sources.landing import pptx_slides
 from lectern.sources.upsert import replace_documents, upsert
 from lectern.streaming.landing import watch_landing
 
@@ -173,3 +176,28 @@ def test_scan_corpus(spark):
     df = spark.createDataFrame([(1, "x"), (2, ""), (3, None)], "chunk_id long, chunk_text string")
     rows = layers.scan_corpus(df.withColumn("more", F.lit(1)))
     assert [tuple(r) for r in rows.collect()] == [(1, "x")]
+
+
+def test_slides_are_read_without_opening_each(monkeypatch):
+    lines = [[f"slide {i} of <many>", "and more"] for i in range(300)]
+    made, opened = presentation(lines), []
+    packed = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(made)) as given, zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        assert given.testzip() is None
+        for name in given.namelist():
+            out.writestr(name, given.read(name))
+    read = zipfile.ZipFile.open
+    monkeypatch.setattr(zipfile.ZipFile, "open", lambda self, name, *a, **k: opened.append(name) or read(self, name, *a, **k))
+    for content in (made, packed.getvalue()):
+        assert pptx_slides(content) == ["\n".join(x) for x in lines]
+    assert len(opened) <= 4  # the lists of the two packages
+
+
+def test_damaged_slides_still_fail():
+    content = presentation([["a line that is long enough"], ["another"]])
+    with pytest.raises(zipfile.BadZipFile):
+        pptx_slides(content.replace(b"long enough", b"long enougg"))
+
+
+def test_more_slides_than_a_plain_package_holds():
+    assert pptx_slides(presentation([["x"]] * 65_540)) == ["x"] * 65_540
