@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS
@@ -15,8 +16,12 @@ from lectern.session import checked_broadcast
 def newest_per_key(rows: DataFrame, keys: Sequence[str], order: str = "load_ts") -> DataFrame:
     """The last written row of every key; equal times are settled by content, not by chance."""
     rest = [c for c in rows.columns if c not in (*keys, order)]
-    tie = F.xxhash64(*[F.col(c).cast("string") for c in rest]) if rest else F.lit(0)
-    return first_seen(rows, keys, [F.col(order).desc(), tie])
+    if not rest:
+        return first_seen(rows, keys, [F.col(order).desc()])
+    # a hash of whole rows takes longer than all else, so only rows that have a rival get one
+    rivals = F.count("*").over(W.partitionBy(*keys))
+    tie = F.when(F.col("_rivals") > 1, F.xxhash64(*[F.col(c).cast("string") for c in rest]))
+    return first_seen(rows.withColumn("_rivals", rivals), keys, [F.col(order).desc(), tie]).drop("_rivals")
 
 
 def upsert(

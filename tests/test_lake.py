@@ -12,7 +12,7 @@ from lectern.plans import lake
 from lectern.schemas import CHUNK_INDEX, GOLD, GOLD_WITH_TEXT, conform
 from lectern.sources import landing, layers
 from lectern.sources.landing import pptx_slides
-from lectern.sources.upsert import replace_documents, upsert
+from lectern.sources.upsert import newest_per_key, replace_documents, upsert
 from lectern.streaming.landing import watch_landing
 
 LINE = "Une boucle répète le corps tant que la condition est vraie et que les données sont là."
@@ -201,3 +201,15 @@ def test_damaged_slides_still_fail():
 
 def test_more_slides_than_a_plain_package_holds():
     assert pptx_slides(presentation([["x"]] * 65_540)) == ["x"] * 65_540
+
+
+def test_only_rows_with_a_rival_are_hashed_as_a_whole(spark):
+    rows = [(1, 10, "a", [1.0]), (1, 10, "b", [2.0]), (1, 9, "c", [3.0]), (2, 5, "d", None), (None, 1, "e", [1.0]), (None, 2, None, [1.0])]
+    df = spark.createDataFrame(rows, "chunk_id long, load_ts long, document string, embedding array<float>")
+    newest = newest_per_key(df, ["chunk_id"])
+    tie = F.xxhash64(F.col("document").cast("string"), F.col("embedding").cast("string"))
+    want = df.orderBy("chunk_id", F.col("load_ts").desc(), tie).collect()
+    first = {r.chunk_id: r for r in reversed(want)}
+    assert sorted(newest.collect(), key=str) == sorted(first.values(), key=str)
+    plan = newest._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and all("_rivals" in line for line in plan.splitlines() if "xxhash64" in line)
