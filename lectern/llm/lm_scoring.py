@@ -79,10 +79,11 @@ class Subwords:
     """Ids of words in a byte-level BPE vocabulary, kept by hash; it starts afresh when it is full.
 
     A word is encoded with a blank before it, as it stands in a text, so the blanks part the words of many that are
-    encoded as one text.
+    encoded as one text. The table of hashes is at most half full, and a hash lies where its lowest bits say or in the next free
+    slot; a dictionary takes about as much memory for a third of the words.
     """
 
-    def __init__(self, text: str, limit: int = 300_000):
+    def __init__(self, text: str, limit: int = 900_000):
         ranks = {base64.b64decode(piece): int(i) for piece, i in map(str.split, text.splitlines())}
         self.encoder = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.marks, self.limit = Marks(max(ranks.values()) + 3), limit
@@ -94,9 +95,45 @@ class Subwords:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat, self.starts, self.counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.used = 0
+        self.flat, self.starts, self.counts, self.used, self.known = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0, 0
+        self._table(1 << 15)
+
+    def _table(self, slots: int) -> None:
+        """An empty table: hashes, and the numbers of their words from 1; 0 is free."""
+        self.hashes, self.numbers = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash is in the table, or the free slot where it may go."""
+        at, left = (hashes & np.uint64(len(self.hashes) - 1)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            here = at[left]
+            left = left[(self.numbers[here] > 0) & (self.hashes[here] != hashes[left])]
+            at[left] = (at[left] + 1) & (len(self.hashes) - 1)
+        return at
+
+    def _enter(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        while len(hashes):
+            at = self._slots(hashes)
+            self.hashes[at], self.numbers[at] = hashes, numbers
+            others = self.hashes[at] != hashes  # wanted the same free slot
+            hashes, numbers = hashes[others], numbers[others]
+
+    def _keep(self, hashes: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> None:
+        """Number words that are new from `known` on."""
+        for name, need in (("flat", self.used + len(ids)), ("starts", self.known + len(hashes)), ("counts", self.known + len(hashes))):
+            old = getattr(self, name)
+            if need > len(old):
+                setattr(self, name, np.concatenate((old, np.zeros(max(len(old), need - len(old)), old.dtype))))
+        new = slice(self.known, self.known + len(hashes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[new], self.counts[new] = self.used + offsets[:-1], np.diff(offsets)
+        self.used, self.known = self.used + len(ids), new.stop
+        if 2 * self.known > len(self.hashes):
+            taken = self.numbers > 0
+            old = self.hashes[taken], self.numbers[taken]
+            self._table(1 << (2 * self.known).bit_length())
+            self._enter(*old)
+        self._enter(hashes, np.arange(new.start + 1, new.stop + 1, dtype=np.int32))
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and the offsets of each word's."""
@@ -108,26 +145,16 @@ class Subwords:
 
     def ids(self, hashes: np.ndarray, text_of: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the number of each word's; `text_of` gives the texts of some of them."""
-        if len(self.place) > self.limit:
+        if self.known > self.limit:
             self._clear()
-        keys, get = hashes.tolist(), self.place.get
-        at = np.fromiter((get(h, -1) for h in keys), np.int64, len(keys))
+        at = self.numbers[self._slots(hashes)].astype(np.int64) - 1
         new = np.flatnonzero(at < 0)
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
-            ids, offsets = self._encode(text_of(some))
-            self.flat.append(ids)
-            self.starts.append(self.used + offsets[:-1])
-            self.counts.append(np.diff(offsets))
-            at[some] = np.arange(len(self.place), len(self.place) + len(some))
-            self.place.update(zip(hashes[some].tolist(), at[some].tolist(), strict=True))
-            self.used += len(ids)
-        for name in ("flat", "starts", "counts"):
-            parts = getattr(self, name)
-            if len(parts) > 1:
-                setattr(self, name, [np.concatenate(parts)])
-        counts = self.counts[0][at]
-        return gather(self.flat[0], self.starts[0][at], counts), counts
+            at[some] = np.arange(self.known, self.known + len(some))
+            self._keep(hashes[some], *self._encode(text_of(some)))
+        counts = self.counts[at].astype(np.int64)
+        return gather(self.flat, self.starts[at], counts), counts
 
 
 def subwords(text: str) -> Subwords:
@@ -161,11 +188,8 @@ class Attention:
         e, d = self.p["e"], self.p["e"].shape[1]
         scale = e.dtype.type(1 / np.sqrt(d))
         t = {"q1": e @ self.p["q"][:d] * scale, "q2": e @ self.p["q"][d:] * scale, "k1": e @ self.p["k"][:d], "k2": e @ self.p["k"][d:]}
-        # the column of ones adds up the weights; the gate is linear in the context vector, so it can be applied to its parts
-        one = np.ones((len(e), 1), e.dtype)
-        t["v"] = np.concatenate((e @ self.p["v"], one), axis=1)
-        t["both1"], t["both2"] = (np.concatenate((t[f"k{n}"], t[f"q{n}"]), axis=1) for n in "12")
-        t["gate"] = np.concatenate((e @ self.p["v"] @ self.p["g"][:, : self.p["v"].shape[1]].T, one), axis=1)
+        # the column of ones adds up the weights
+        t["v"] = np.concatenate((e @ self.p["v"], np.ones((len(e), 1), e.dtype)), axis=1)
         length = [np.linalg.norm(t[n], axis=1).max() for n in ("q1", "q2", "k1", "k2")]
         t["steep"] = (length[0] + length[1]) * (length[2] + length[3]) + self.p["near"].max() > 60
         return t
@@ -217,42 +241,42 @@ class Attention:
         ids of a stretch look at their own, as far as it lies before them, and at the one before.
         """
         s = self.stride
-        slot, position, _, empty = stretches(at, s)
-        slots = len(empty) * s
-        given = features @ self.p["g"][:, self.p["v"].shape[1] :].T
-        ids, share, bias = np.zeros((3, slots), np.int32), np.zeros((3, slots), np.float32), np.zeros((3, slots), np.float32)
-        for k in range(3):
-            ids[k, slot] = z[position - k]
-            share[k, slot] = np.maximum(parts[:, k], 0)
-            bias[k, slot] = np.where(parts[:, k] >= 0, given[:, k], -np.inf)
+        slot, position, first, empty = stretches(at, s)
+        x = np.zeros(PAD + len(empty) * s, np.int32)
+        x[PAD + slot] = z.take(position)
+        for k in range(PAD):
+            x[(first + 1) * s + k] = z.take(at[:-1] + k)
         causal, rest, d = self.causal(), np.exp(self.p["rest"][0]), self.p["e"].shape[1]
-        logs = np.zeros(slots)
-        for k in range(1, slots // s, BATCH):
-            here = slice((k - 1) * s, min((k + BATCH) * s, slots))
-            x, p, q = (ids[n, here] for n in range(3))
-            both = (t["both1"][p] + t["both2"][q]).reshape(-1, s, 2 * d)
-            key, query = np.ascontiguousarray(both[:, :, :d].transpose(0, 2, 1)), np.ascontiguousarray(both[1:, :, d:])
-            value, own = t["gate"][x].reshape(-1, s, 4), x.astype(np.uint16).reshape(-1, s)
-            summed, copied = 0, 0
-            for n, which in enumerate((slice(None, -1), slice(1, None))):
-                a = query @ key[which]
-                a += causal[:, n * s : (n + 1) * s]
-                if t["steep"]:
-                    np.minimum(a, 60, out=a)
-                np.exp(a, out=a)
-                if not n:
-                    a[empty[k - 1 : k - 1 + len(a)]] = 0
-                summed = summed + a @ value[which]
-                a *= own[1:, :, None] == own[which][:, None, :]
-                copied = copied + a
-            copied = copied.sum(axis=2)
-            summed = summed.reshape(-1, 4).T
-            total = summed[3] + rest
-            w = summed[:3] / total + bias[:, here][:, s:]
+        before, (context, gate) = causal > -np.inf, np.split(self.p["g"], [self.p["v"].shape[1]], axis=1)
+        # the gate is linear in the context vector, so it can be applied to its parts; the row of ones adds up the weights
+        project = (self.p["k"].T, self.p["q"].T * np.float32(1 / np.sqrt(d)), context @ self.p["v"].T)
+        logs = np.zeros(len(slot))
+        for k in range(1, len(empty), BATCH):
+            low, high = (k - 1) * s, min((k + BATCH) * s, len(x) - PAD)
+            e = np.ascontiguousarray(self.p["e"].take(x[low : high + PAD], axis=0).T)
+            pair, value = np.concatenate((e[:, 1:-1], e[:, :-2])), np.ones((4, high - low), e.dtype)
+            np.matmul(project[2], e[:, PAD:], out=value[:3])
+            a = apart(project[1] @ pair[:, s:], s).transpose(0, 2, 1) @ neighbours(project[0] @ pair, s)
+            a += causal
+            if t["steep"] and a.max() > 60:
+                np.minimum(a, 60, out=a)
+            np.exp(a, out=a)
+            a[empty[k - 1 : k - 1 + len(a)], :, :s] = 0
+            mine = slice(*np.searchsorted(slot, (low + s, high)))
+            place = slot[mine] - (low + s)
+            same = same_ids(x[low + PAD : high + PAD], s, before)
+            copied = np.bincount(same // (2 * s), a.reshape(-1).take(same), len(a) * s).take(place)
+            summed = np.empty((4, len(a) * s), a.dtype)
+            np.matmul(neighbours(value, s), a.transpose(0, 2, 1), out=apart(summed, s))
+            summed = summed.take(place, axis=1)
+            total, share = summed[3] + rest, parts[mine].T
+            w = summed[:3] / total
+            w += gate @ features[mine].T
+            w[share < 0] = -np.inf
             w = np.exp(w - w.max(axis=0))
-            corpus = (w * share[:, here][:, s:]).sum(axis=0) / w.sum(axis=0)
-            logs[here][s:] = np.log10(np.maximum((copied.reshape(-1) + rest * corpus) / total, 1e-30))
-        return logs[slot]
+            corpus = (w * np.maximum(share, 0)).sum(axis=0) / w.sum(axis=0)
+            logs[mine] = np.log10(np.maximum((copied + rest * corpus) / total, 1e-30))
+        return logs
 
     def gradients(self, ids, given, features, parts, weight) -> tuple[float, dict]:
         """Mean loss (natural logarithm) over the queries with weight 1, and its gradients; rows of `e` that occur only."""
@@ -294,23 +318,23 @@ class Attention:
         """What `gradients` gives, for neighbouring stretches: the ids x of their slots and of `PAD` slots before, with an `empty` stretch of
         start ids before each text; features and parts (FEATURES or 3, slots), weight (slots). The first stretch is looked at only."""
         s, f = self.stride, self.p["e"].dtype
-        e = self.p["e"].take(x, axis=0)
-        d, c = e.shape[1], self.p["v"].shape[1]
+        # parameters and what is computed of slots lie in rows as long as the slots: products of small matrices are fast so
+        e = np.ascontiguousarray(self.p["e"].take(x, axis=0).T)
+        d, c = len(e), self.p["v"].shape[1]
         scale, n = f.type(1 / np.sqrt(d)), max(1.0, float(weight[s:].sum()))
-        ex, pair = e[PAD:], np.concatenate((e[1:-1], e[:-2]), axis=1)
-        both = lambda v: np.concatenate((v[:-1], v[1:]), axis=1)
-        turned = lambda v: np.ascontiguousarray(v.transpose(0, 2, 1))
-        key = both((pair @ self.p["k"]).reshape(-1, s, d))
-        value = both(np.concatenate((ex @ self.p["v"], np.ones((len(ex), 1), f)), axis=1).reshape(-1, s, c + 1))
-        query = (pair[s:] @ (self.p["q"] * scale)).reshape(-1, s, d)
+        ex, pair = e[:, PAD:], np.concatenate((e[:, 1:-1], e[:, :-2]))
+        value = np.ones((c + 1, ex.shape[1]), f)
+        np.matmul(self.p["v"].T, ex, out=value[:c])
+        key, value, query = neighbours(self.p["k"].T @ pair, s), neighbours(value, s), apart(self.p["q"].T * scale @ pair[:, s:], s)
         # `a` is not divided by its sums; what it is multiplied with is
-        a = query @ turned(key)
+        a = query.transpose(0, 2, 1) @ key
         a += causal
         if a.max() > 60:
             np.minimum(a, 60, out=a)
         np.exp(a, out=a)
         a[empty[:-1], :, :s] = 0
-        summed = np.ascontiguousarray((a @ value).reshape(-1, c + 1).T)
+        summed = np.empty((c + 1, len(a) * s), f)
+        np.matmul(value, a.transpose(0, 2, 1), out=apart(summed, s))
         rest = np.exp(self.p["rest"][0])
         total = summed[c] + rest
         rest = rest / total
@@ -320,9 +344,9 @@ class Attention:
         g /= g.sum(axis=0)
         share = np.maximum(parts[:, s:], 0)
         corpus = (g * share).sum(axis=0)
-        own = x[PAD:].astype(np.uint16).reshape(-1, s)
-        same = (own[1:, :, None] == both(own)[:, None, :]).astype(f)
-        probability = np.einsum("bqk,bqk->bq", a, same).reshape(-1) / total + rest * corpus
+        same = same_ids(x[PAD:], s, causal > -np.inf)
+        query_of = same // (2 * s)
+        probability = np.bincount(query_of, a.reshape(-1).take(same), len(total)).astype(f) / total + rest * corpus
         w = weight[s:]
         loss = float(-(np.log(np.where(w > 0, probability, 1)) * w).sum() / n)
         dp = (-w / np.maximum(probability, 1e-12) / n).astype(f)
@@ -331,29 +355,24 @@ class Attention:
         dh = self.p["g"][:, :c].T @ dz
         mean = dp * probability + (dh * h[:c]).sum(axis=0)
         out["rest"] = np.array([(rest * (dp * corpus - mean)).sum()], f)
-        down = np.ascontiguousarray((np.concatenate((dh, -mean[None])) / total).T, f).reshape(-1, s, c + 1)
-        dl = down @ turned(value)
-        same *= (dp / total).astype(f).reshape(-1, s, 1)
-        dl += same
+        down = apart((np.concatenate((dh, -mean[None])) / total).astype(f, copy=False), s)
+        dl = down.transpose(0, 2, 1) @ value
+        dl.reshape(-1)[same] += (dp / total).take(query_of)
         dl *= a
         back = np.arange(s)[:, None] + s - np.arange(2 * s)[None, :]
-        out["near"] = np.bincount(np.clip(back, 0, 2 * s - 1).ravel(), dl.sum(axis=0).ravel(), 2 * s).astype(f)
-
-        def apart(v: np.ndarray) -> np.ndarray:
-            """Adds up what each slot got as a slot of its own stretch and of the one before."""
-            total = np.zeros((len(v) + 1, s, v.shape[2]), v.dtype)
-            total[:-1] = v[:, :s]
-            total[1:] += v[:, s:]
-            return total.reshape(-1, v.shape[2])
-
-        dq, dk, dv = (dl @ key).reshape(-1, d) * scale, apart(dl.transpose(0, 2, 1) @ query), apart(a.transpose(0, 2, 1) @ down)[:, :c]
-        out["q"], out["k"], out["v"] = pair[s:].T @ dq, pair.T @ dk, ex.T @ dv
-        dpair = dk @ self.p["k"].T
-        dpair[s:] += dq @ self.p["q"].T
+        out["near"] = np.bincount(np.clip(back, 0, 2 * s - 1).ravel(), np.ones(len(dl), f) @ dl.reshape(len(dl), -1), 2 * s).astype(f)
+        dq = np.empty((d, len(a) * s), f)
+        np.matmul(key, dl.transpose(0, 2, 1), out=apart(dq, s))
+        dq *= scale
+        dk, dv = to_both(query, dl), to_both(down, a)[:c]
+        out["q"], out["k"], out["v"] = pair[:, s:] @ dq.T, pair @ dk.T, ex @ dv.T
+        dpair = self.p["k"] @ dk
+        dpair[:, s:] += self.p["q"] @ dq
         rows = np.zeros_like(e)  # an id is that of its slot, and one before those of the next two
-        rows[PAD:] = dv @ self.p["v"].T
-        rows[1:-1] += dpair[:, :d]
-        rows[:-2] += dpair[:, d:]
+        rows[:, PAD:] = self.p["v"] @ dv
+        rows[:, 1:-1] += dpair[:d]
+        rows[:, :-2] += dpair[d:]
+        rows = np.ascontiguousarray(rows.T)
         order = np.argsort(x.astype(np.uint16), kind="stable")
         ids = x.take(order)
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
@@ -369,7 +388,8 @@ class Attention:
         x, weight = np.full(PAD + slots, z[0], np.int32), np.zeros(slots, f)
         x[PAD + slot], weight[slot] = z[position], 1
         given, share = np.zeros((FEATURES, slots), f), np.zeros((3, slots), f)
-        given[:, slot], share[:, slot] = features.T, parts.T
+        for to, values in zip((*given, *share), (*features.T, *parts.T), strict=True):
+            to[slot] = values
         total = 0.0
         for k in rng.permutation(np.arange(1, len(empty), batch)).tolist():
             here = slice((k - 1) * s, min((k + batch) * s, slots))
@@ -420,6 +440,37 @@ def stretches(at: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.n
     return slot, position, first, empty
 
 
+def apart(rows: np.ndarray, stride: int) -> np.ndarray:
+    """The stretches of (columns, slots), as (stretches, columns, stride); not copied."""
+    return rows.reshape(len(rows), -1, stride).transpose(1, 0, 2)
+
+
+def neighbours(rows: np.ndarray, stride: int) -> np.ndarray:
+    """Each stretch of (columns, slots) from the second on behind the one before it, as (stretches - 1, columns, 2 * stride); not copied."""
+    columns, n = rows.shape
+    step, item = rows.strides
+    return np.lib.stride_tricks.as_strided(rows, (n // stride - 1, columns, 2 * stride), (stride * item, step, item), writeable=False)
+
+
+def to_both(weight: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """(columns, slots) of what each slot gets by `a` (stretches - 1, stride, 2 * stride) as a slot of its own stretch and of the one before,
+    where the stretches that look at it weigh (stretches - 1, columns, stride)."""
+    stride, columns = a.shape[1], weight.shape[1]
+    total, own = np.zeros((columns, (len(a) + 1) * stride), a.dtype), np.empty((columns, len(a) * stride), a.dtype)
+    np.matmul(weight, a[:, :, :stride], out=apart(total, stride)[:-1])
+    np.matmul(weight, a[:, :, stride:], out=apart(own, stride))
+    total[:, stride:] += own
+    return total
+
+
+def same_ids(own: np.ndarray, stride: int, before: np.ndarray) -> np.ndarray:
+    """Which places of (stretches - 1, stride, 2 * stride), where the ids `own` look at those that lie `before`, see their own id."""
+    own = own.astype(np.uint16)
+    same = own[stride:].reshape(-1, stride, 1) == neighbours(own[None], stride)
+    same &= before
+    return np.flatnonzero(same)
+
+
 def window_batches(ids: np.ndarray, at: np.ndarray, window: int, stride: int) -> Iterator[tuple]:
     """Batches of windows over texts whose ids, `PAD` start ids and the end included, lie in `ids` between offsets `at`.
 
@@ -454,14 +505,35 @@ def padded(ids: np.ndarray, at: np.ndarray, marks: Marks) -> tuple[np.ndarray, n
     return out, new
 
 
+def predicted(at: np.ndarray) -> np.ndarray:
+    """Positions that are predicted, in texts between offsets `at`."""
+    sizes = np.diff(at) - PAD
+    return np.arange(sizes.sum()) + np.repeat(PAD * np.arange(1, len(sizes) + 1), sizes)
+
+
+def sequence_key(z: np.ndarray, t: np.ndarray, ids: int) -> np.ndarray:
+    """Keys of the last `ids` ids up to positions `t`: their number * 2**48 + ids."""
+    key = z.take(t).astype(np.uint64)
+    for k in range(1, ids):
+        key |= z.take(t - k).astype(np.uint64) << np.uint64(16 * k)
+    key |= np.uint64(ids << 48)
+    return key
+
+
 def sequence_keys(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions that are predicted, and for each the keys of the last three, two and one ids: order * 2**48 + ids."""
-    where = np.ones(len(z), bool)
-    where[at[:-1]] = where[at[:-1] + 1] = False
-    t = np.flatnonzero(where)
-    x, p, q = (z[t - k].astype(np.uint64) for k in (0, 1, 2))
-    two = p << np.uint64(16) | x
-    return t, np.stack((np.uint64(3 << 48) | q << np.uint64(32) | two, np.uint64(2 << 48) | two, np.uint64(1 << 48) | x))
+    t = predicted(at)
+    c, before = z.astype(np.uint64), t - PAD
+    q, two, x = (c[k:].take(before) for k in range(PAD + 1))
+    two <<= np.uint64(16)
+    two |= x
+    keys = np.empty((3, len(t)), np.uint64)
+    np.left_shift(q, np.uint64(32), out=keys[0])
+    keys[0] |= two
+    keys[0] |= np.uint64(3 << 48)
+    np.bitwise_or(two, np.uint64(2 << 48), out=keys[1])
+    np.bitwise_or(x, np.uint64(1 << 48), out=keys[2])
+    return t, keys
 
 
 def context_keys(z: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -470,43 +542,49 @@ def context_keys(z: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.stack((np.uint64(5 << 48) | q << np.uint64(16) | p, np.uint64(4 << 48) | p))
 
 
-def corpus_parts(counts: np.ndarray, contexts: np.ndarray, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def corpus_parts(counts: np.ndarray, contexts: np.ndarray, total, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(features, parts) of positions from the counts of their three keys and of their two contexts."""
-    c, n = counts.astype(np.float32), contexts.astype(np.float32)
-    parts, features = np.empty((c.shape[1], 3), np.float32), np.ones((c.shape[1], FEATURES), np.float32)
+    f = np.float32
+    c, n = counts.astype(f, copy=False), contexts.astype(f, copy=False)
+    parts, features = np.empty((3, c.shape[1]), f), np.ones((FEATURES, c.shape[1]), f)
     for k in (0, 1):
-        parts[:, k] = np.where(n[k] > 0, c[k] / np.maximum(n[k], 1), -1)
-        features[:, k] = np.log1p(n[k])
-    parts[:, 2] = (counts[2] + SMOOTH) / (total + SMOOTH * size)
-    return features, parts
+        np.divide(c[k], np.maximum(n[k], 1), out=parts[k])
+        parts[k][n[k] <= 0] = -1
+        np.log1p(n[k], out=features[k])
+    np.divide(c[2] + f(SMOOTH), np.asarray(total + SMOOTH * size, f), out=parts[2])
+    return features.T, parts.T
 
 
 def counted_before(counts: np.ndarray, at: np.ndarray, texts: int) -> np.ndarray:
     """Counts of the contexts of two and one ids: what was counted at the position before, or the start of a text."""
-    contexts = np.concatenate((np.zeros((2, 1), np.int64), counts[1:, :-1]), axis=1)
+    contexts = np.zeros((2, counts.shape[1]), counts.dtype)
+    contexts[:, 1:] = counts[1:, :-1]
     contexts[:, at[:-1] - PAD * np.arange(len(at) - 1)] = texts
     return contexts
 
 
 def bucket_order(keys: np.ndarray, parts: int, shared: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Order of distinct keys by bucket and key, and where each bucket begins in it; keys that agree but for the last
+    """Order of distinct ascending keys by bucket and key, and where each bucket begins in it; keys that agree but for the last
     `shared` bits are in one bucket."""
     bucket = ((mix(keys >> np.uint64(shared)) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    order = np.lexsort((keys, bucket))
-    return order, np.searchsorted(bucket[order], np.arange(parts + 1))
+    bucket = bucket.astype(np.uint16 if parts <= 1 << 16 else np.int64)  # 16 bits are sorted by counting
+    return np.argsort(bucket, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=parts))))
 
 
 def asked_keys(z: np.ndarray, at: np.ndarray, learned: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in bucket order, where buckets begin, and how often each key occurs in the texts that are learned."""
-    _, keys = sequence_keys(z, at)
+    t, keys = sequence_keys(z, at)
     flags = np.repeat(learned, np.diff(at) - PAD).astype(np.uint64)
-    single = keys[2].astype(np.int64) & 0xFFFF
+    single = z.take(t)
     ids = np.flatnonzero(np.bincount(single))
+    seen = np.bincount(single, flags, len(ids) and ids[-1] + 1)
     both = np.sort((keys[:2] << np.uint64(1) | flags).reshape(-1))
-    key = both >> np.uint64(1)
-    first = np.flatnonzero(np.diff(key, prepend=np.uint64(0)))
-    counts = np.add.reduceat(both & np.uint64(1), first) if len(first) else np.zeros(0, np.uint64)
-    counts = np.concatenate((np.bincount(single, flags, len(ids) and ids[-1] + 1)[ids].astype(np.uint64), counts))
+    flags, key = both & np.uint64(1), both >> np.uint64(1)
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    counts = np.add.reduceat(flags, first) if len(first) else np.zeros(0, np.uint64)
+    counts = np.concatenate((seen[ids].astype(np.uint64), counts))
     distinct = np.concatenate((ids.astype(np.uint64) | np.uint64(1 << 48), key[first]))
     order, cuts = bucket_order(distinct, parts, SHARED)
     return distinct[order], cuts, counts[order]
@@ -521,8 +599,10 @@ def in_order(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         np.not_equal(codes[place[1:]], codes[place[:-1]], out=new[1:])
         return place, new
     # one sort of codes with their positions is a third of the time of sorting positions by code
-    both = np.sort(codes << np.uint64(low) | np.arange(len(codes), dtype=np.uint64))
-    place = (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    both = codes << np.uint64(low)
+    both |= np.arange(len(codes), dtype=np.uint64)
+    both.sort()
+    place = (both & np.uint64((1 << low) - 1)).view(np.int64)
     both >>= np.uint64(low)
     np.not_equal(both[1:], both[:-1], out=new[1:])
     return place, new
@@ -536,30 +616,63 @@ def numbered(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return place[new], inverse
 
 
-def sequence_numbers(z: np.ndarray, t: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For one, two and three ids that end at positions `t`: the first place of each distinct sequence in their order, and the number
-    of each place's."""
+def sequence_orders(z: np.ndarray, t: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For one, two and three ids that end at positions `t`: the places of `t` in the order of these ids, and which are the first
+    of theirs."""
     ids = np.flatnonzero(np.bincount(z))
     number = np.zeros(len(ids) and ids[-1] + 1, np.uint64)
     number[ids] = np.arange(len(ids), dtype=np.uint64)
     # the ids of a block are few, and their numbers are in the same order; so are those of its pairs
     bits = int(len(ids)).bit_length()
-    x, p, q = (number[z[t - k]] for k in (0, 1, 2))
-    one, two = numbered(x, bits), numbered(p << np.uint64(bits) | x, 2 * bits)
-    more = int(len(two[0])).bit_length()
-    return [one, two, numbered(q << np.uint64(more) | two[1].astype(np.uint64), bits + more)]
-
-
-def key_numbers(z: np.ndarray, at: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that are predicted, and the place of each of their keys among the distinct ones in bucket order."""
-    t, keys = sequence_keys(z, at)
-    found = sequence_numbers(z, t)
-    distinct = np.concatenate([keys[2 - k][first] for k, (first, _) in enumerate(found)])  # keys of fewer ids are smaller numbers
+    c, before = number.take(z), t - PAD
+    q, p, x = (c[k:].take(before) for k in range(PAD + 1))
+    one = in_order(x, bits)
+    p <<= np.uint64(bits)
+    p |= x
+    two = place, new = in_order(p, 2 * bits)
+    pairs = np.cumsum(new, dtype=np.uint64)
+    more = int(pairs[-1] if len(pairs) else 0).bit_length()
+    q <<= np.uint64(more)
+    x[place] = pairs - np.uint64(1)
+    q |= x
+    return [one, two, in_order(q, bits + more)]
+
+
+def run_sizes(first: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of the runs of `n` elements that begin at `first`."""
+    return np.diff(first, append=n)
+
+
+def position_counts(z: np.ndarray, at: np.ndarray, parts: int, totals: np.ndarray) -> np.ndarray:
+    """For each predicted position the total counts of its three, two and one ids, from those of the distinct keys in bucket order."""
+    t = predicted(at)
+    orders = [(place, np.flatnonzero(new)) for place, new in sequence_orders(z, t)]
+    # ascending, since keys of fewer ids are smaller numbers
+    distinct = np.concatenate([sequence_key(z, t.take(place.take(first)), k) for k, (place, first) in enumerate(orders, 1)])
     order, _ = bucket_order(distinct, parts, SHARED)
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    before = np.cumsum([0] + [len(first) for first, _ in found])
-    return t, np.stack([rank[inverse + n] for (_, inverse), n in zip(found, before[:3], strict=True)][::-1])
+    values, counts, used = np.empty(len(order), np.float32), np.empty((3, len(t)), np.float32), 0
+    values[order] = totals
+    for row, (place, first) in zip(counts[::-1], orders, strict=True):
+        row[place] = np.repeat(values[used : used + len(first)], run_sizes(first, len(t)))
+        used += len(first)
+    return counts
+
+
+def distinct_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in their order, the first place of each, and the number of each place's."""
+    low = max(1, int(len(hashes) - 1).bit_length())
+    both = hashes >> np.uint64(low) << np.uint64(low)
+    both |= np.arange(len(hashes), dtype=np.uint64)
+    both.sort()
+    place = (both & np.uint64((1 << low) - 1)).view(np.int64)
+    found = hashes.take(place)
+    if (found[1:] < found[:-1]).any():  # some differ in the lowest bits only, which made way for the places
+        return np.unique(hashes, return_index=True, return_inverse=True)
+    new = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    inverse = np.empty(len(found), np.int64)
+    inverse[place] = np.cumsum(new) - 1
+    return found[new], place[new], inverse
 
 
 class _Block:
@@ -585,7 +698,7 @@ class _Block:
     def arrays(self, vocab: Subwords, parts: int = 1) -> tuple:
         """Number of the word of each position, words of each text, ids of each distinct word, all ids; hashes of the words in
         the order of buckets, and where each bucket begins."""
-        distinct, first, inverse = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
+        distinct, first, inverse = distinct_hashes(np.concatenate(self.hashes))
         order, cuts = bucket_order(distinct, parts)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -712,8 +825,7 @@ def kept_tables(model: Attention) -> tuple:
 def block_scores(z, at, totals, parts, texts, single, marks: Marks, kept_model) -> np.ndarray:
     """log10 probability of each text of a block, from the total counts of its distinct keys."""
     model, tables = kept_model
-    t, number = key_numbers(z, at, parts)
-    counts = totals[number]
+    counts = position_counts(z, at, parts, totals)
     contexts = counted_before(counts, at, texts)
     features, corpus = corpus_parts(counts, contexts, single, marks.size)
     logs = model.log_probabilities(tables, z, at, features, corpus)
@@ -725,18 +837,15 @@ def block_scores(z, at, totals, parts, texts, single, marks: Marks, kept_model)
 
 def other_counts(z: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(features, parts) of all predicted positions of texts, from the counts of the other ones."""
-    t, _ = sequence_keys(z, at)
-    sizes = np.diff(at) - PAD
-    of, counts = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), []
-    for _, inverse in reversed(sequence_numbers(z, t)):
-        order, new = in_order(inverse.astype(np.uint64), int(len(t)).bit_length())
-        text, first = of.take(order), np.flatnonzero(new)
-        new[1:] |= text[1:] != text[:-1]
+    t, sizes = predicted(at), np.diff(at) - PAD
+    of, counts = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.empty((3, len(t)), np.float32)
+    for row, (place, new) in zip(counts[::-1], sequence_orders(z, t), strict=True):
         # places of a sequence are in the order of texts, so those in one text are neighbours
-        mine, other = np.diff(np.append(np.flatnonzero(new), len(t))), np.empty(len(t), np.int32)
-        other[order] = np.repeat(np.diff(np.append(first, len(t))), np.diff(np.append(first, len(t)))) - np.repeat(mine, mine)
-        counts.append(other)
-    counts = np.stack(counts)
+        text, mine = of.take(place), new.copy()
+        mine[1:] |= text[1:] != text[:-1]
+        run = np.flatnonzero(mine)
+        mine, every = run_sizes(run, len(t)), run_sizes(np.flatnonzero(new), len(t))
+        row[place] = np.repeat((every.take(np.cumsum(new.take(run)) - 1) - mine).astype(np.float32), mine)
     return corpus_parts(counts, counted_before(counts, at, len(sizes) - 1), len(t) - np.repeat(sizes, sizes), size)
 
 

@@ -299,3 +299,47 @@ def test_every_training_text_is_fitted_as_a_whole(spark, vocab):
     for some in (rows[:8], rows[8:]):
         ids = sorted({k for i, t in some if not held_out(i) for k in ids_of(t, vocab)})
         assert (model.p["e"][ids] != start[ids]).any(axis=1).mean() > 0.99
+
+
+def test_no_word_is_encoded_again_while_it_is_kept(monkeypatch):
+    """As many words as a task meets in a few blocks; each is encoded once, and found again whatever else was entered."""
+    fresh, sent = lm_scoring.Subwords("YQ== 0"), []
+    encode = lambda words: (sent.extend(words), (np.arange(len(words), dtype=np.uint16), np.arange(len(words) + 1)))[1]
+    monkeypatch.setattr(fresh, "_encode", encode)
+    hashes = lm_scoring.mix(np.arange(1, 400_001, dtype=np.uint64))
+    for again in range(2):
+        for some in np.array_split(np.arange(len(hashes)), 5):
+            ids, counts = fresh.ids(hashes[some], lambda k, some=some: [b"%d" % w for w in some[k].tolist()])
+            assert (counts == 1).all() and (ids == np.arange(len(some)) % 20_000).all()
+    assert len(sent) == len(set(sent)) == 400_000
+
+
+def test_ids_of_words_whose_hashes_want_one_slot(vocab):
+    words = [b"the", b"mat.", b"zyx12", "élan".encode(), b"x!!", b"a" * 40, b"sat"]
+    hashes = np.array([1, 1 << 40, 5, 1 << 41, 6 << 50, 2, 0], np.uint64)
+    want = [vocab.encoder.encode_ordinary(" " + w.decode()) for w in words]
+    with open(queries.BYTE_BPE_MULTI, encoding="utf-8") as f:
+        fresh = lm_scoring.Subwords(f.read(), limit=6)
+    for order in ([0, 2, 1], [6, 5, 4, 3, 2, 1, 0], [3], [1, 0], list(range(7))):
+        ids, counts = fresh.ids(hashes[order], lambda some, order=order: [words[order[k]] for k in some.tolist()])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [want[k] for k in order]
+
+
+def test_distinct_hashes_that_differ_in_the_lowest_bits_only():
+    rng = np.random.default_rng(13)
+    for hashes in (lm_scoring.mix(rng.integers(0, 50, 400)), rng.integers(0, 40, 400).astype(np.uint64), np.zeros(0, np.uint64), np.full(3, 2**64 - 1, np.uint64)):
+        for got, want in zip(lm_scoring.distinct_hashes(hashes), np.unique(hashes, return_index=True, return_inverse=True), strict=True):
+            assert (got == want).all() and len(got) == len(want)
+
+
+def test_counts_of_positions_come_back_from_buckets():
+    z, at = texts_for_fitting()
+    learned = np.arange(len(at) - 1) % 3 > 0
+    for parts in (1, 7):
+        keys, cuts, counts = lm_scoring.asked_keys(z, at, learned, parts)
+        assert len(keys) == len(set(keys.tolist())) == cuts[-1] and len(cuts) == parts + 1
+        flags = np.repeat(learned, np.diff(at) - 2)
+        _, own = lm_scoring.sequence_keys(z, at)
+        seen = Counter(own[:, flags].reshape(-1).tolist())
+        assert counts.tolist() == [seen[k] for k in keys.tolist()]
+        assert (lm_scoring.position_counts(z, at, parts, counts) == [[seen[k] for k in row] for row in own.tolist()]).all()
