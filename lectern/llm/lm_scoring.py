@@ -234,8 +234,9 @@ class Attention:
         out["a"] = a / total[:, :, None]
         return out | {"p": (out["a"] * same).sum(axis=2) + rest * corpus, "v": t["v"][own][:, :, :-1]}
 
-    def log_probabilities(self, t: dict, z: np.ndarray, at: np.ndarray, features: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        """log10 probability of each predicted position of texts as `window_batches` takes them; the window is two strides.
+    def log_probabilities(self, t: dict, z: np.ndarray, at: np.ndarray, features: np.ndarray, parts: np.ndarray, order: tuple | None = None) -> np.ndarray:
+        """log10 probability of each predicted position of texts as `window_batches` takes them; the window is two strides; `order`: places
+        of these positions in the order of their ids, and which are the first of theirs.
 
         What `forward` computes, laid out for speed: texts are cut into stretches of a stride with an empty one before each, and the
         ids of a stretch look at their own, as far as it lies before them, and at the one before.
@@ -247,7 +248,8 @@ class Attention:
         for k in range(PAD):
             x[(first + 1) * s + k] = z.take(at[:-1] + k)
         causal, rest, d = self.causal(), np.exp(self.p["rest"][0]), self.p["e"].shape[1]
-        before, (context, gate) = causal > -np.inf, np.split(self.p["g"], [self.p["v"].shape[1]], axis=1)
+        same = same_ids(*order or in_order(z.take(position).astype(np.uint64), 16), slot, s)
+        context, gate = np.split(self.p["g"], [self.p["v"].shape[1]], axis=1)
         # the gate is linear in the context vector, so it can be applied to its parts; the row of ones adds up the weights
         project = (self.p["k"].T, self.p["q"].T * np.float32(1 / np.sqrt(d)), context @ self.p["v"].T)
         logs = np.zeros(len(slot))
@@ -264,8 +266,8 @@ class Attention:
             a[empty[k - 1 : k - 1 + len(a)], :, :s] = 0
             mine = slice(*np.searchsorted(slot, (low + s, high)))
             place = slot[mine] - (low + s)
-            same = same_ids(x[low + PAD : high + PAD], s, before)
-            copied = np.bincount(same // (2 * s), a.reshape(-1).take(same), len(a) * s).take(place)
+            seen = within(same, low + s, high, s)
+            copied = np.bincount(seen // (2 * s), a.reshape(-1).take(seen), len(a) * s).take(place)
             summed = np.empty((4, len(a) * s), a.dtype)
             np.matmul(neighbours(value, s), a.transpose(0, 2, 1), out=apart(summed, s))
             summed = summed.take(place, axis=1)
@@ -314,9 +316,10 @@ class Attention:
         out["e"] = (flat[order][first], np.add.reduceat(np.concatenate([x for _, x in touched])[order], first))
         return loss, out
 
-    def stretch_gradients(self, causal: np.ndarray, x: np.ndarray, empty: np.ndarray, features: np.ndarray, parts: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    def stretch_gradients(self, causal: np.ndarray, x: np.ndarray, empty: np.ndarray, features: np.ndarray, parts: np.ndarray, weight: np.ndarray, same: np.ndarray | None = None) -> tuple[float, dict]:
         """What `gradients` gives, for neighbouring stretches: the ids x of their slots and of `PAD` slots before, with an `empty` stretch of
-        start ids before each text; features and parts (FEATURES or 3, slots), weight (slots). The first stretch is looked at only."""
+        start ids before each text; features and parts (FEATURES or 3, slots), weight (slots), and where they see the `same`
+        id (see `within`). The first stretch is looked at only."""
         s, f = self.stride, self.p["e"].dtype
         # parameters and what is computed of slots lie in rows as long as the slots: products of small matrices are fast so
         e = np.ascontiguousarray(self.p["e"].take(x, axis=0).T)
@@ -344,7 +347,8 @@ class Attention:
         g /= g.sum(axis=0)
         share = np.maximum(parts[:, s:], 0)
         corpus = (g * share).sum(axis=0)
-        same = same_ids(x[PAD:], s, causal > -np.inf)
+        if same is None:
+            same = within(same_ids(*in_order(x[PAD:].astype(np.uint64), 16), np.arange(len(x) - PAD), s), s, len(x) - PAD, s)
         query_of = same // (2 * s)
         probability = np.bincount(query_of, a.reshape(-1).take(same), len(total)).astype(f) / total + rest * corpus
         w = weight[s:]
@@ -381,8 +385,10 @@ class Attention:
 
     def fit(self, z: np.ndarray, at: np.ndarray, squares: dict, rng: np.random.Generator, batch: int = FIT_BATCH) -> float:
         """Adagrad over all ids of texts, in batches of neighbouring stretches in any order; returns the mean loss."""
-        s, (features, parts) = self.stride, other_counts(z, at, len(self.p["e"]))
-        slot, position, _, empty = stretches(at, s)
+        s, (slot, position, _, empty) = self.stride, stretches(at, self.stride)
+        orders = sequence_orders(z, position)
+        features, parts = other_counts(z, at, len(self.p["e"]), orders)
+        same = same_ids(*orders[0], slot, s)
         slots, f = len(empty) * s, self.p["e"].dtype
         # start ids are where no text is, so that what stands before a slot is always what came before its id
         x, weight = np.full(PAD + slots, z[0], np.int32), np.zeros(slots, f)
@@ -394,7 +400,7 @@ class Attention:
         for k in rng.permutation(np.arange(1, len(empty), batch)).tolist():
             here = slice((k - 1) * s, min((k + batch) * s, slots))
             w = weight[here]
-            loss, found = self.stretch_gradients(self.causal(), x[here.start : here.stop + PAD], empty[k - 1 : k + batch], given[:, here], share[:, here], w)
+            loss, found = self.stretch_gradients(self.causal(), x[here.start : here.stop + PAD], empty[k - 1 : k + batch], given[:, here], share[:, here], w, within(same, here.start + s, here.stop, s))
             total += loss * float(w[s:].sum())
             (ids, gradient), square = found.pop("e"), squares["e"]
             sums = square.take(ids, axis=0)
@@ -463,12 +469,27 @@ def to_both(weight: np.ndarray, a: np.ndarray) -> np.ndarray:
     return total
 
 
-def same_ids(own: np.ndarray, stride: int, before: np.ndarray) -> np.ndarray:
-    """Which places of (stretches - 1, stride, 2 * stride), where the ids `own` look at those that lie `before`, see their own id."""
-    own = own.astype(np.uint16)
-    same = own[stride:].reshape(-1, stride, 1) == neighbours(own[None], stride)
-    same &= before
-    return np.flatnonzero(same)
+def same_ids(place: np.ndarray, new: np.ndarray, slot: np.ndarray, stride: int) -> np.ndarray:
+    """Which places of (slots, 2 * stride), where each slot looks at its stretch and at the one before, see the slot's own id before it;
+    places of `slot` in the order of their ids, and which are the first of theirs."""
+    where = slot.take(place)
+    stretch = where // stride
+    line = stretch + np.cumsum(new) * (stretch.max(initial=0) + 2)  # stretches of one id, far from those of the next
+    code = where * (2 * stride) - (stretch - 1) * stride
+    found, back = [], 1
+    last = np.flatnonzero(line[1:] - line[:-1] <= 1) + 1
+    while len(last):  # an id that is too far has only such before it
+        found.append(code.take(last) + where.take(last - back))
+        back += 1
+        last = last[last >= back]
+        last = last[line.take(last) - line.take(last - back) <= 1]
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def within(same: np.ndarray, low: int, high: int, stride: int) -> np.ndarray:
+    """Of ascending places as of `same_ids` those of the slots from `low` to `high`, counted from `low`."""
+    low, high = low * 2 * stride, high * 2 * stride
+    return same[slice(*np.searchsorted(same, (low, high)))] - low
 
 
 def window_batches(ids: np.ndarray, at: np.ndarray, window: int, stride: int) -> Iterator[tuple]:
@@ -643,10 +664,10 @@ def run_sizes(first: np.ndarray, n: int) -> np.ndarray:
     return np.diff(first, append=n)
 
 
-def position_counts(z: np.ndarray, at: np.ndarray, parts: int, totals: np.ndarray) -> np.ndarray:
+def position_counts(z: np.ndarray, at: np.ndarray, parts: int, totals: np.ndarray, orders: list | None = None) -> np.ndarray:
     """For each predicted position the total counts of its three, two and one ids, from those of the distinct keys in bucket order."""
     t = predicted(at)
-    orders = [(place, np.flatnonzero(new)) for place, new in sequence_orders(z, t)]
+    orders = [(place, np.flatnonzero(new)) for place, new in orders or sequence_orders(z, t)]
     # ascending, since keys of fewer ids are smaller numbers
     distinct = np.concatenate([sequence_key(z, t.take(place.take(first)), k) for k, (place, first) in enumerate(orders, 1)])
     order, _ = bucket_order(distinct, parts, SHARED)
@@ -762,20 +783,22 @@ def _merge(rows: list[tuple]) -> list[tuple]:
     asked = [(block, unpack(body)) for block, body in rows]
     sums = []
     for k in (1, 3):
-        keys = np.concatenate([a[k] for _, a in asked])
-        order = np.argsort(keys, kind="stable")  # of sorted runs, one for each block
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        counts = np.concatenate([a[k + 1] for _, a in asked])[order].astype(np.int64)
-        sums.append((keys[first], np.add.reduceat(counts, first) if len(first) else counts))
-    (keys, counts), (hashes, found) = sums
+        keys = np.sort(np.concatenate([a[k] for _, a in asked]))
+        new = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        keys = keys[new]
+        # the keys of a block are distinct, and in the order of the bucket
+        places = [np.searchsorted(keys, a[k]) for _, a in asked]
+        counts = np.zeros(len(keys), np.int64)
+        for place, (_, a) in zip(places, asked, strict=True):
+            counts[place] += a[k + 1]
+        sums.append((keys, counts, places))
+    (keys, counts, of_keys), (_, found, of_words) = sums
     texts = sum(int(a[0][0]) for _, a in asked)
-    single = counts[keys >> np.uint64(48) == 1].sum()
+    single = counts[: np.searchsorted(keys, np.uint64(2 << 48))].sum()
     facts = np.array([texts, single, found.sum(), (found > 0).sum()], np.int64)
-    return [
-        (block, pack(facts, counts[np.searchsorted(keys, a[1])].astype(np.uint64), found[np.searchsorted(hashes, a[3])].astype(np.uint64)))
-        for block, a in asked
-    ]
+    counts, found = counts.astype(np.uint64), found.astype(np.uint64)
+    return [(block, pack(facts, counts.take(k), found.take(w))) for (block, _), k, w in zip(asked, of_keys, of_words, strict=True)]
 
 
 def _finish(marks: Marks, sent):
@@ -825,21 +848,22 @@ def kept_tables(model: Attention) -> tuple:
 def block_scores(z, at, totals, parts, texts, single, marks: Marks, kept_model) -> np.ndarray:
     """log10 probability of each text of a block, from the total counts of its distinct keys."""
     model, tables = kept_model
-    counts = position_counts(z, at, parts, totals)
+    orders = sequence_orders(z, predicted(at))
+    counts = position_counts(z, at, parts, totals, orders)
     contexts = counted_before(counts, at, texts)
     features, corpus = corpus_parts(counts, contexts, single, marks.size)
-    logs = model.log_probabilities(tables, z, at, features, corpus)
+    logs = model.log_probabilities(tables, z, at, features, corpus, orders[0])
     return _sums(logs, at - PAD * np.arange(len(at)))
 
 
 # ---- fitting ------------------------------------------------------------------------------
 
 
-def other_counts(z: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(features, parts) of all predicted positions of texts, from the counts of the other ones."""
+def other_counts(z: np.ndarray, at: np.ndarray, size: int, orders: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(features, parts) of all predicted positions of texts, from the counts of the other ones; `orders` as of `sequence_orders`."""
     t, sizes = predicted(at), np.diff(at) - PAD
     of, counts = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.empty((3, len(t)), np.float32)
-    for row, (place, new) in zip(counts[::-1], sequence_orders(z, t), strict=True):
+    for row, (place, new) in zip(counts[::-1], orders or sequence_orders(z, t), strict=True):
         # places of a sequence are in the order of texts, so those in one text are neighbours
         text, mine = of.take(place), new.copy()
         mine[1:] |= text[1:] != text[:-1]
