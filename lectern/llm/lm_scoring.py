@@ -196,9 +196,13 @@ class Attention:
 
     def causal(self) -> np.ndarray:
         """Bias of each query of a window for each key; -inf for keys that are not before the query."""
+        back = self.back()
+        return np.where(back > 0, self.p["near"].take(back), np.float32(-np.inf)).astype(np.float32, copy=False)
+
+    def back(self) -> np.ndarray:
+        """How far each key of a window is before each query; 0 for keys that are not."""
         w, s = self.window, self.stride
-        back = (np.arange(s) + w - s)[:, None] - np.arange(w)[None, :]
-        return np.where(back > 0, self.p["near"][np.clip(back, 0, w - 1)], -np.inf).astype(np.float32)
+        return np.maximum((np.arange(s) + w - s)[:, None] - np.arange(w), 0)
 
     def forward(
         self, t: dict, causal: np.ndarray, ids: np.ndarray, given: np.ndarray, features: np.ndarray, parts: np.ndarray, keep: bool = False
@@ -363,8 +367,7 @@ class Attention:
         dl = down.transpose(0, 2, 1) @ value
         dl.reshape(-1)[same] += (dp / total).take(query_of)
         dl *= a
-        back = np.arange(s)[:, None] + s - np.arange(2 * s)[None, :]
-        out["near"] = np.bincount(np.clip(back, 0, 2 * s - 1).ravel(), np.ones(len(dl), f) @ dl.reshape(len(dl), -1), 2 * s).astype(f)
+        out["near"] = np.bincount(self.back().ravel(), np.ones(len(dl), f) @ dl.reshape(len(dl), -1), 2 * s).astype(f)
         dq = np.empty((d, len(a) * s), f)
         np.matmul(key, dl.transpose(0, 2, 1), out=apart(dq, s))
         dq *= scale
@@ -472,9 +475,9 @@ def to_both(weight: np.ndarray, a: np.ndarray) -> np.ndarray:
 def same_ids(place: np.ndarray, new: np.ndarray, slot: np.ndarray, stride: int) -> np.ndarray:
     """Which places of (slots, 2 * stride), where each slot looks at its stretch and at the one before, see the slot's own id before it;
     places of `slot` in the order of their ids, and which are the first of theirs."""
-    where = slot.take(place)
+    where = slot.astype(np.int32 if slot.max(initial=0) < 2**29 // stride else np.int64).take(place)
     stretch = where // stride
-    line = stretch + np.cumsum(new) * (stretch.max(initial=0) + 2)  # stretches of one id, far from those of the next
+    line = stretch + np.cumsum(new) * np.int64(stretch.max(initial=0) + 2)  # stretches of one id, far from those of the next
     code = where * (2 * stride) - (stretch - 1) * stride
     found, back = [], 1
     last = np.flatnonzero(line[1:] - line[:-1] <= 1) + 1
@@ -489,7 +492,7 @@ def same_ids(place: np.ndarray, new: np.ndarray, slot: np.ndarray, stride: int)
 def within(same: np.ndarray, low: int, high: int, stride: int) -> np.ndarray:
     """Of ascending places as of `same_ids` those of the slots from `low` to `high`, counted from `low`."""
     low, high = low * 2 * stride, high * 2 * stride
-    return same[slice(*np.searchsorted(same, (low, high)))] - low
+    return same[slice(*np.searchsorted(same, np.array((low, high), same.dtype)))].astype(np.int64) - low
 
 
 def window_batches(ids: np.ndarray, at: np.ndarray, window: int, stride: int) -> Iterator[tuple]:
@@ -870,7 +873,7 @@ def other_counts(z: np.ndarray, at: np.ndarray, size: int, orders: list | None =
         run = np.flatnonzero(mine)
         mine, every = run_sizes(run, len(t)), run_sizes(np.flatnonzero(new), len(t))
         row[place] = np.repeat((every.take(np.cumsum(new.take(run)) - 1) - mine).astype(np.float32), mine)
-    return corpus_parts(counts, counted_before(counts, at, len(sizes) - 1), len(t) - np.repeat(sizes, sizes), size)
+    return corpus_parts(counts, counted_before(counts, at, len(sizes) - 1), np.repeat((len(t) - sizes).astype(np.float32), sizes), size)
 
 
 def _fitted(vocab_text, sent, block_size: int):

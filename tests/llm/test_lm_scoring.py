@@ -343,3 +343,15 @@ def test_counts_of_positions_come_back_from_buckets():
         seen = Counter(own[:, flags].reshape(-1).tolist())
         assert counts.tolist() == [seen[k] for k in keys.tolist()]
         assert (lm_scoring.position_counts(z, at, parts, counts) == [[seen[k] for k in row] for row in own.tolist()]).all()
+
+
+def test_places_that_see_their_own_id():
+    z, at = texts_for_fitting()
+    slot, position, _, empty = lm_scoring.stretches(at, 4)
+    x = np.full(len(empty) * 4, -1)
+    x[slot] = z[position]
+    want = [8 * q + k - (q // 4 - 1) * 4 for q in range(4, len(x)) for k in range((q // 4 - 1) * 4, q) if x[q] == x[k] >= 0]
+    same = lm_scoring.same_ids(*lm_scoring.sequence_orders(z, position)[0], slot, 4)
+    assert same.tolist() == want
+    some = [k - 8 * 20 for k in want if 20 <= k // 8 < 44]
+    assert lm_scoring.within(same, 20, 44, 4).tolist() == some and len(some) > 0
