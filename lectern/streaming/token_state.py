@@ -1,7 +1,8 @@
 """Segments of token streams on named state, timers and time to live.
 
 The same segments as `tokens.segment_stream`, held by Spark as separate variables of each reply: `front` (the open buffer,
-the number of segments, the next place, the time of the last token), `early` (tokens ahead of their turn, a list) and `closed` (that
+the number of segments, the next place, the time of the last token), `early` (tokens ahead of their turn, a list of one row: place -1
+and a JSON list of [seq, token, done], since each row of a list costs as much as many tokens) and `closed` (that
 the reply has ended). A reply has one timer: when it fires, a reply that was idle since is flushed and forgotten, and another
 gets a timer for the rest of its time. `closed` goes by itself after `remember_seconds`, so lines that come again for an
 ended reply are ignored as long, without a timer. The variables can be looked at with Spark's state reader.
@@ -9,15 +10,15 @@ ended reply are ignored as long, without a timer. The variables can be looked at
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lectern.session import need_named_state
-from lectern.streaming.tokens import MIN_SEGMENT_CHARS, REPLY, ends_segment
+from lectern.streaming.tokens import MIN_SEGMENT_CHARS, REPLY, ends_segment, pack_replies, unpacked
 
 _OUT = "session_id string, reply_id bigint, segment_no int, segment string"
 
@@ -33,8 +34,13 @@ class _Segments(StatefulProcessor):
         self.closed = handle.getValueState("closed", "segments int", self.remember_ms)
 
     def _load(self) -> tuple[list, dict]:
-        front = self.front.get() if self.front.exists() else ("", 0, 0, -1)
-        held = {r[0]: (r[1], r[2]) for r in self.early.get()} if self.early.exists() else {}
+        front = self.front.get()
+        if front is None:
+            return ["", 0, 0, -1], {}  # `early` is never without `front`
+        held = {}
+        for seq, token, done in self.early.get():
+            # older checkpoints have a row for each token
+            held |= {seq: (token, done)} if seq >= 0 else {at: (text, end) for at, text, end in json.loads(token)}
         return list(front), held
 
     @staticmethod
@@ -54,7 +60,7 @@ class _Segments(StatefulProcessor):
                 self._cut(front, out)
                 return True
             front[0] += token
-            if ends_segment(token) and len(front[0].strip()) >= MIN_SEGMENT_CHARS:
+            if token and ends_segment(token) and len(front[0].strip()) >= MIN_SEGMENT_CHARS:
                 self._cut(front, out)
         return False
 
@@ -63,18 +69,17 @@ class _Segments(StatefulProcessor):
         self.early.clear()
 
     @staticmethod
-    def _frame(key, out: list) -> pd.DataFrame:
-        return pd.DataFrame([(*key, n, text) for n, text in out], columns=["session_id", "reply_id", "segment_no", "segment"])
+    def _rows(key, out: list) -> Iterator[Row]:
+        return (Row(session_id=key[0], reply_id=key[1], segment_no=n, segment=text) for n, text in out)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         out: list = []
-        if not self.closed.exists():
-            front, early = self._load()
+        front, early = self._load()
+        # each question to the state costs much; an open reply has a front
+        if front[3] >= 0 or not self.closed.exists():
             waiting = set(early)
-            for frame in rows:
-                for seq, token, done in zip(frame["seq"], frame["token"], frame["done"], strict=True):
-                    if seq >= front[2]:
-                        early[int(seq)] = (token or "", bool(done))
+            for row in rows:
+                early.update((seq, (token, done)) for seq, token, done in unpacked(row["tokens"]) if seq >= front[2])
             if self._advance(front, early, out):
                 self._forget()
                 self.closed.update((front[1],))
@@ -83,20 +88,20 @@ class _Segments(StatefulProcessor):
                 if front[3] < 0:
                     self.handle.registerTimer(now + self.idle_ms)
                 self.front.update((*front[:3], now))
-                if not early:
-                    self.early.clear()
-                elif set(early) != waiting:
-                    self.early.put([(seq, *x) for seq, x in sorted(early.items())])
-        yield self._frame(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+                if early.keys() != waiting:
+                    if early:
+                        self.early.put([(-1, json.dumps([(seq, *x) for seq, x in sorted(early.items())]), False)])
+                    else:
+                        self.early.clear()
+        yield from self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Of an idle reply, what has come is taken in order, gaps or not, and nothing is kept."""
         out: list = []
         front, early = self._load()
         due = front[3] + self.idle_ms
         if front[3] >= 0 and due > timerValues.getCurrentProcessingTimeInMs():
             self.handle.registerTimer(due)
-            yield self._frame(key, out)
             return
         ended = False
         while early and not ended:
@@ -104,7 +109,7 @@ class _Segments(StatefulProcessor):
             ended = self._advance(front, early, out)
         self._cut(front, out)
         self._forget()
-        yield self._frame(key, out)
+        yield from self._rows(key, out)
 
     def close(self) -> None:
         pass
@@ -117,7 +122,7 @@ def segment_stream_timers(tokens: DataFrame, idle_seconds: int = 600, remember_s
     Time is that of processing, and timers fire with the next micro-batch.
     """
     need_named_state(tokens.sparkSession)
-    return tokens.groupBy(*REPLY).transformWithStateInPandas(
+    return pack_replies(tokens).groupBy(*REPLY).transformWithState(
         _Segments(idle_seconds * 1000, remember_seconds * 1000), _OUT, "Append", "ProcessingTime"
     )
 

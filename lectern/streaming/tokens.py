@@ -6,7 +6,9 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ def parse_token_lines(lines: DataFrame, keep_gaps: bool = False) -> DataFrame:
     Works on tables and on streams. `lines` has session_id, reply_id, seq and line. With
     `keep_gaps` the dropped lines stay as empty tokens, so that `seq` has no holes.
     """
-    parsed = F.from_json("line", TOKEN_LINE, {"mode": "PERMISSIVE"})
+    # to find out that a line is broken costs more than to read one, and no object is without its end
+    parsed = F.from_json(F.when(F.col("line").contains("}"), F.col("line")), TOKEN_LINE, {"mode": "PERMISSIVE"})
     kept = [c for c in lines.columns if c != "line"]
     whole = F.lit(True) if keep_gaps else F.col("_p.message").isNotNull() | F.col("_p.done").isNotNull()
     return (
@@ -88,6 +91,75 @@ def segment_tokens(tokens: DataFrame) -> DataFrame:
     )
 
 
+# ---- packing -----------------------------------------------------------------------------
+
+PACK_BYTES = 32 << 20  # of the tokens of a task, about so much is packed at a time
+
+
+def pack_replies(tokens: DataFrame) -> DataFrame:
+    """session_id, reply_id, tokens: the tokens of a reply as bytes in few rows, usually one for each micro-batch.
+
+    What handles the replies in Python pays for each row and column, and far more than for a token. Works on streams: lines
+    are dealt out by reply and each task packs what it gets, about `PACK_BYTES` at a time. Of a token that is there twice one
+    is kept. `unpacked` reads the bytes.
+    """
+    kept = tokens.select(
+        *REPLY, F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"),
+        F.coalesce("token", F.lit("")).alias("token"), F.coalesce("done", F.lit(False)).alias("done"),
+    )
+    keys = [f"{name} {kept.schema[name].dataType.simpleString()}" for name in REPLY]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= PACK_BYTES:
+                yield from _packed(held)
+                held, size = [], 0
+        if held:
+            yield from _packed(held)
+
+    return kept.repartition(*REPLY).mapInArrow(pack, ", ".join([*keys, "tokens binary"]))
+
+
+def _packed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    if not table.num_rows:
+        return
+    reply = np.zeros(table.num_rows, np.int64)
+    for name in REPLY:
+        codes = table[name].combine_chunks().dictionary_encode(null_encoding="encode")
+        reply = reply * len(codes.dictionary) + codes.indices.to_numpy()
+    seq = table["seq"].to_numpy()
+    order = np.lexsort((seq, reply))
+    reply, seq = reply[order], seq[order]
+    last = np.append((reply[1:] != reply[:-1]) | (seq[1:] != seq[:-1]), True)  # of equal ones
+    order, reply, seq = order[last], reply[last], seq[last]
+    starts = np.append(0, np.flatnonzero(reply[1:] != reply[:-1]) + 1)
+    texts = [t.encode() for t in table["token"].combine_chunks().take(pa.array(order)).to_pylist()]
+    sizes = np.fromiter(map(len, texts), np.int32, len(texts))
+    done = table["done"].to_numpy()[order]
+    packs = [
+        b"".join([(b - a).to_bytes(8, "little"), seq[a:b].tobytes(), sizes[a:b].tobytes(), done[a:b].tobytes(), *texts[a:b]])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)])
+    ]
+    names = table.select(list(REPLY)).take(pa.array(order[starts]))
+    yield from names.append_column("tokens", pa.array(packs, pa.binary())).to_batches(max_chunksize=1_000)
+
+
+def unpacked(pack: bytes) -> Iterator[tuple[int, str, bool]]:
+    """(seq, token, done) of the tokens of a pack, by their places."""
+    n = int.from_bytes(pack[:8], "little")
+    seqs, sizes = np.frombuffer(pack, np.int64, n, 8).tolist(), np.frombuffer(pack, np.int32, n, 8 + 8 * n).tolist()
+    at = 8 + 13 * n
+    for seq, size, done in zip(seqs, sizes, pack[8 + 12 * n : at]):
+        yield seq, pack[at : at + size].decode() if size else "", done == 1
+        at += size
+
+
+# ---- segments of a stream ----------------------------------------------------------------
+
 _OUT = "session_id string, reply_id bigint, segment_no int, segment string"
 _STATE = "buffer string, segments int, closed boolean, next bigint, waiting string"
 
@@ -116,7 +188,7 @@ class _Reply:
         if done:
             self.closed = True
             self.cut()
-        else:
+        elif token:
             self.buffer += token
             if ends_segment(token) and len(self.buffer.strip()) >= MIN_SEGMENT_CHARS:
                 self.cut()
@@ -150,8 +222,7 @@ def segment_stream(tokens: DataFrame, idle_seconds: int = 600) -> DataFrame:
     still open, and its state is removed, so the state holds the replies of that time only. Time
     is that of arrival, the start of a micro-batch, and moves on with newer batches.
     """
-    arriving = tokens.withColumn("_arrived", F.current_timestamp()).withColumn("_ms", F.unix_millis("_arrived"))
-    arriving = arriving.withWatermark("_arrived", "1 second")
+    arriving = pack_replies(tokens).withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "1 second")
 
     def advance(
         key: tuple, batches: Iterator[pd.DataFrame], held: GroupState
@@ -163,17 +234,17 @@ def segment_stream(tokens: DataFrame, idle_seconds: int = 600) -> DataFrame:
                 reply.cut()
             held.remove()
         else:
-            latest = 0
             for rows in batches:
-                latest = max(latest, int(rows["_ms"].max()))
-                for seq, token, done in zip(rows["seq"], rows["token"], rows["done"]):
-                    if not reply.closed and seq >= reply.next:
-                        reply.waiting[int(seq)] = (token or "", bool(done))
+                for pack in rows["tokens"]:
+                    if not reply.closed:
+                        reply.waiting.update((seq, (token, done)) for seq, token, done in unpacked(pack) if seq >= reply.next)
             reply.advance()
             held.update(reply.state())
-            held.setTimeoutTimestamp(latest + idle_seconds * 1000)
-        rows = [(*key, n, text) for n, text in reply.out]
-        yield pd.DataFrame(rows, columns=["session_id", "reply_id", "segment_no", "segment"])
+            # the time that `_arrived` has in this micro-batch
+            held.setTimeoutTimestamp(held.getCurrentProcessingTimeMs() + idle_seconds * 1000)
+        if reply.out:
+            numbers, texts = zip(*reply.out)
+            yield pd.DataFrame({"session_id": key[0], "reply_id": key[1], "segment_no": numbers, "segment": texts})
 
     return arriving.groupBy(*REPLY).applyInPandasWithState(
         advance, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout

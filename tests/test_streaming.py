@@ -225,3 +225,38 @@ def test_shuffled_lines_come_in_three_batches_however_many_files_hold_them(spark
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
     assert spark.read.parquet(f"{folder}/out").count() == 2 * len(rows)
+
+
+def test_a_reply_comes_to_the_stateful_function_as_one_row_of_a_batch(spark):
+    rows = [("a", 1, seq, "é" * (seq % 3), False) for seq in range(50)] + [("a", 1, 50, None, True), ("b", None, 0, "x", False), ("b", None, None, "y", None)]
+    twice = spark.createDataFrame(rows + rows[::-1], TOKENS).repartition(7)
+    got = {(r["session_id"], r["reply_id"], *x) for r in tokens.pack_replies(twice).collect() for x in tokens.unpacked(r["tokens"])}
+    assert tokens.pack_replies(twice).count() == 2
+    assert got == {(s, i, -1 if seq is None else seq, token or "", bool(done)) for s, i, seq, token, done in rows}
+
+
+def test_tokens_ahead_of_their_turn_are_one_row_of_the_state(spark, tmp_path):
+    place = new(tmp_path)
+    rows = [("a", 1, seq, f" word{seq}", False) for seq in range(1, 40)]
+    stream = token_state.segment_stream_timers(stream_of(spark, new(tmp_path), TOKENS, rows))
+    collect(spark, stream, place, token_state.drain)
+    reader = spark.read.format("statestore").option("stateVarName", "early")
+    assert reader.load(f"{place}/state").count() == 1
+
+
+def test_tokens_ahead_of_their_turn_are_read_from_older_checkpoints():
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self):
+            return self.value
+
+    segments = token_state._Segments(1, 1)
+    segments.front, segments.early = Held(("open", 1, 2, 3)), Held(iter([(4, "x", False), (-1, '[[6, "y", false], [7, "", true]]', False)]))
+    assert segments._load() == (["open", 1, 2, 3], {4: ("x", False), 6: ("y", False), 7: ("", True)})
+
+
+def test_broken_lines_are_not_parsed(spark):
+    plan = tokens.parse_token_lines(spark.createDataFrame([("{",)], "line string"), keep_gaps=True)._jdf.queryExecution().toString()
+    assert "Contains(" in plan
