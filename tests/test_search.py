@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import Settings
 from lectern.functions import vectors
-from lectern.operators import blocks, bm25, ranking, retrieval, vector_index
+from lectern.operators import blocks, bm25, ranking, retrieval, vector_index, vector_search
 from lectern.operators.chunks import with_embedding
 from lectern.operators.vector_search import vector_top_k
 from lectern.plans import search
@@ -431,3 +431,34 @@ def test_many_queries_do_not_copy_the_corpus(spark, index):
     assert spark.read.parquet(f"{folder}/corpus").count() == index.docs.count()
     assert spark.read.parquet(f"{folder}/queries").count() <= 6 * 3
     assert ranked(got.collect()) == ranked(bm25.bm25_top_k(asked, index, 4).collect())
+
+
+def test_common_terms_are_scored_by_a_product_with_the_same_scores(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = sorted({(q, int(t)) for q in range(300) for t in (rng.random(6) ** 3 * 50).astype(int)})
+    terms = pa.table({"query_id": [q for q, _ in rows], "term": [f"t{t}" for _, t in rows], "weight": [1.0 + t / 7 for _, t in rows]})
+    corpus = pa.table({"id": list(range(40)), "tokens": [[f"t{t}" for t in (rng.random(d) ** 3 * 60).astype(int)] for d in range(40)]})
+    product = bm25.Bm25Scorer(terms, 20.0, 1.5, 0.75, False)
+    monkeypatch.setattr(bm25, "MANY", 1_000)
+    plain = bm25.Bm25Scorer(terms, 20.0, 1.5, 0.75, False)
+    assert 0 < len(product.weights) < len(product.vocabulary) and not len(plain.weights)
+    got, want = (np.concatenate([s for _, _, s in x.score(corpus, 3_000)]) for x in (product, plain))
+    np.testing.assert_allclose(got, want, rtol=1e-12)
+    assert np.isnan(got[0]).all()
+
+
+def test_near_scores_lose_none_of_the_best(monkeypatch):
+    monkeypatch.setattr(vector_search, "QUERIES", 7)
+    rng = np.random.default_rng(2)
+    rows, asked = rng.integers(-2, 3, (90, 5)).astype(float), rng.integers(-2, 3, (20, 5)).astype(float)
+    rows[4], rows[9:30], asked[:, 0] = 0, rows[8], 1  # one without a length, many ties
+    scorer = vector_search.CosineScorer(pa.table({"query_id": list(range(20)), "embedding": asked.tolist()}))
+    corpus = pa.table({"id": list(range(90)), "embedding": rows.tolist()})
+    assert {s.dtype for _, _, s, *_ in scorer.score(corpus, 50)} == {np.dtype(np.float32)}
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    found = blocks._scan(scorer, iter([corpus.slice(0, 33), corpus.slice(33)]), 4, schema).to_pylist()
+    with np.errstate(invalid="ignore"):
+        exact = np.round((asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T, 6)
+    want = {(q, i) for q in range(20) for i in sorted((i for i in range(90) if i != 4), key=lambda i: (-exact[q, i], i))[:4]}
+    assert {(r["query_id"], r["id"]) for r in found} == want
+    assert all(r["score"] == exact[r["query_id"], r["id"]] for r in found)
