@@ -435,7 +435,7 @@ def test_many_queries_do_not_copy_the_corpus(spark, index):
 
 def test_common_terms_are_scored_by_a_product_with_the_same_scores(monkeypatch):
     rng = np.random.default_rng(1)
-    rows = sorted({(q, int(t)) for q in range(300) for t in (rng.random(6) ** 3 * 50).astype(int)})
+    rows = sorted({(q, int(t)) for q in range(300) for t in (rng.random(6) ** 3 * 50).astype(int)} | {(0, 57), (1, 58)})
     terms = pa.table({"query_id": [q for q, _ in rows], "term": [f"t{t}" for _, t in rows], "weight": [1.0 + t / 7 for _, t in rows]})
     corpus = pa.table({"id": list(range(40)), "tokens": [[f"t{t}" for t in (rng.random(d) ** 3 * 60).astype(int)] for d in range(40)]})
     product = bm25.Bm25Scorer(terms, 20.0, 1.5, 0.75, False)

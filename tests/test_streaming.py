@@ -260,3 +260,9 @@ def test_tokens_ahead_of_their_turn_are_read_from_older_checkpoints():
 def test_broken_lines_are_not_parsed(spark):
     plan = tokens.parse_token_lines(spark.createDataFrame([("{",)], "line string"), keep_gaps=True)._jdf.queryExecution().toString()
     assert "Contains(" in plan
+
+
+def test_replies_without_an_id_leave_the_ids_of_others_alone(spark, tmp_path):
+    lines = [(s, i, seq, token, token is None) for s, i in (("a", None), ("a", 1), ("b", 2)) for seq, token in enumerate([f" words of {s} {i}.", None])]
+    out = collect(spark, token_state.segment_stream_timers(stream_of(spark, new(tmp_path), TOKENS, lines)), new(tmp_path), token_state.drain)
+    assert {tuple(r) for r in out} == {("a", None, 0, "words of a None."), ("a", 1, 0, "words of a 1."), ("b", 2, 0, "words of b 2.")}
